@@ -33,12 +33,25 @@ def minutes_between(start: Column, end: Column) -> Column:
     return (end.cast("bigint") - start.cast("bigint")) / F.lit(60)
 
 
+# The characters that a cast of text to a number skips at both ends.
+NUMBER_PADDING = "".join(map(chr, range(33)))
+
+
+def reads_as_nan(text: Column) -> Column:
+    """Whether a cast to double would give NaN.
+
+    Said without the cast, since a failing cast raises and catches an exception for every plain word.
+    """
+    bare = F.btrim(text, F.lit(NUMBER_PADDING))
+    return (F.octet_length(bare) <= 4) & ((F.lower(bare) == "nan") | bare.isin("+NaN", "-NaN"))
+
+
 def is_missing(value: Column, dtype: T.DataType) -> Column:
     """NULL, or NaN in a numeric column, or text that reads as NaN."""
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return value.isNull() | F.isnan(value)
     if isinstance(dtype, T.StringType):
-        return value.isNull() | F.coalesce(F.isnan(value.try_cast("double")), F.lit(False))
+        return value.isNull() | reads_as_nan(value)
     return value.isNull()
 
 

@@ -6,7 +6,6 @@ aggregate over its rows; the top applications and the application totals share o
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -104,19 +103,28 @@ def sample_rows(df: DataFrame, samples: list[Column]) -> DataFrame:
     return df.select(F.inline(F.array(*samples)))
 
 
-def _common(run: Samples, report_type: str) -> list[Column]:
-    return [
+def _common(run: Samples, report_type: str, report_date: str | None) -> list[Column]:
+    """Samples of any report, over a row with its row count in ``rows``."""
+    samples = [
         run.usage(TOTAL_RECORDS, F.col("rows"), report_type=report_type),
         run.usage(LAST_PROCESSED_TIMESTAMP, run.time_s(), report_type=report_type),
     ]
+    if report_date is not None:
+        data_type = run.data_type(report_type)
+        samples.append(
+            run.job(RECORDS_PROCESSED_TOTAL, F.col("rows"), data_type=data_type, report_date=report_date)
+        )
+    return samples
 
 
-def common_samples(clean: DataFrame, report_type: str, run: Samples) -> DataFrame:
-    """Row count and processing time, for any report type."""
-    return sample_rows(clean.agg(F.count(F.lit(1)).alias("rows")), _common(run, report_type))
+def common_samples(
+    clean: DataFrame, report_type: str, run: Samples, report_date: str | None = None
+) -> DataFrame:
+    """Row count and processing time, for any report type; with a date also the records processed for it."""
+    return sample_rows(clean.agg(F.count(F.lit(1)).alias("rows")), _common(run, report_type, report_date))
 
 
-def session_samples(clean: DataFrame, run: Samples) -> DataFrame:
+def session_samples(clean: DataFrame, run: Samples, report_date: str | None = None) -> DataFrame:
     """Session counts, users and minutes, and the common samples, from one aggregate."""
     report_type = "sessions"
     aggregates = {"rows": F.count(F.lit(1))}
@@ -132,16 +140,16 @@ def session_samples(clean: DataFrame, run: Samples) -> DataFrame:
             run.usage(TOTAL_USAGE_MINUTES, F.col("total_minutes")),
         ]
     row = clean.agg(*[value.alias(name) for name, value in aggregates.items()])
-    return sample_rows(row, samples + _common(run, report_type))
+    return sample_rows(row, samples + _common(run, report_type, report_date))
 
 
-def application_samples(clean: DataFrame, run: Samples) -> DataFrame:
+def application_samples(clean: DataFrame, run: Samples, report_date: str | None = None) -> DataFrame:
     """Record counts, applications and the ten most used ones, and the common samples."""
     report_type = "applications"
     records = run.usage(APPLICATION_RECORDS_TOTAL, F.col("rows"), report_type=report_type)
+    common = _common(run, report_type, report_date)
     if not present(clean, ["ApplicationName"]):
-        row = clean.agg(F.count(F.lit(1)).alias("rows"))
-        return sample_rows(row, [records, *_common(run, report_type)])
+        return sample_rows(clean.agg(F.count(F.lit(1)).alias("rows")), [records, *common])
     counts = stats.application_counts(clean)
     totals = counts.agg(
         F.coalesce(F.sum("records"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("applications")
@@ -154,18 +162,20 @@ def application_samples(clean: DataFrame, run: Samples) -> DataFrame:
         rank=F.col("rank"),
         report_type=report_type,
     )
-    return sample_rows(totals, [records, unique, *_common(run, report_type)]).unionByName(
+    return sample_rows(totals, [records, unique, *common]).unionByName(
         sample_rows(stats.rank_applications(counts), [top])
     )
 
 
-def report_samples(clean: DataFrame, report_type: str, run: Samples) -> DataFrame:
+def report_samples(
+    clean: DataFrame, report_type: str, run: Samples, report_date: str | None = None
+) -> DataFrame:
     """All usage samples of a clean report; an unknown type has the common ones only."""
     if report_type == "sessions":
-        return session_samples(clean, run)
+        return session_samples(clean, run, report_date)
     if report_type == "applications":
-        return application_samples(clean, run)
-    return common_samples(clean, report_type, run)
+        return application_samples(clean, run, report_date)
+    return common_samples(clean, report_type, run, report_date)
 
 
 def quality_samples(profile: DataFrame, raw: DataFrame, report_type: str, run: Samples) -> DataFrame:
@@ -184,14 +194,6 @@ def profile_samples(raw: DataFrame, report_type: str, run: Samples) -> DataFrame
     return quality_samples(raw.agg(*quality.missing_counts(raw)), raw, report_type, run)
 
 
-def processed_samples(totals: DataFrame, report_type: str, report_date: str, run: Samples) -> DataFrame:
-    """Processed-record sample over a frame whose one row has the count in ``rows``."""
-    count = run.job(
-        RECORDS_PROCESSED_TOTAL, F.col("rows"), data_type=run.data_type(report_type), report_date=report_date
-    )
-    return sample_rows(totals, [count])
-
-
 def telemetry_samples(events: DataFrame, run: Samples) -> DataFrame:
     """Stage durations, job durations, completions and errors of all runs in an event table.
 
@@ -210,25 +212,11 @@ def telemetry_samples(events: DataFrame, run: Samples) -> DataFrame:
         ],
     )
     errors = telemetry.error_events(events)
-    with_type = errors.where(F.col("report_type").isNotNull())
-    errors_by_type = sample_rows(
-        with_type,
-        [
-            run.job(
-                JOB_ERRORS_TOTAL,
-                F.lit(1),
-                ended_ms,
-                error_type=F.col("error_type"),
-                report_type=F.col("report_type"),
-            )
-        ],
-    )
-    errors_any = sample_rows(
-        errors.where(F.col("report_type").isNull()),
-        [run.job(JOB_ERRORS_TOTAL, F.lit(1), ended_ms, error_type=F.col("error_type"))],
+    error = {"error_type": F.col("error_type")}
+    typed = [run.job(JOB_ERRORS_TOTAL, F.lit(1), ended_ms, **error, report_type=F.col("report_type"))]
+    untyped = [run.job(JOB_ERRORS_TOTAL, F.lit(1), ended_ms, **error)]
+    return (
+        stages.unionByName(jobs)
+        .unionByName(sample_rows(errors.where(F.col("report_type").isNotNull()), typed))
+        .unionByName(sample_rows(errors.where(F.col("report_type").isNull()), untyped))
     )
-    return stages.unionByName(jobs).unionByName(errors_by_type).unionByName(errors_any)
-
-
-def now_ms() -> int:
-    return int(dt.datetime.now(dt.timezone.utc).timestamp() * 1000)

@@ -63,6 +63,14 @@ def fit_slot(events: DataFrame, rows_per_slot: int = ROWS_PER_SLOT) -> Column:
     return _slot(SLOT_WIDTHS_US[-1], rows_per_slot)
 
 
+BEFORE = ["kind_before", "ts_before", "stage_before"]
+
+
+def _before(window: Window) -> list[Column]:
+    """Kind, time and stage of the event before, NULL for the first one."""
+    return [F.lag(name.removesuffix("_before")).over(window).alias(name) for name in BEFORE]
+
+
 def stage_durations(events: DataFrame, rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
     """Seconds of every stage that was closed: ``run_id, seq, stage, seconds, ended_at``.
 
@@ -75,34 +83,27 @@ def stage_durations(events: DataFrame, rows_per_slot: int = ROWS_PER_SLOT) -> Da
     with the last one of the slot before it, for which only the two outer events of every slot are shuffled.
     """
     staged = events.where(F.col("kind").isin(STAGE_START, STAGE_END)).select("run_id", "seq", "ts", "kind", "stage")
-    slot = fit_slot(staged, rows_per_slot)
-    event = F.struct("ts", "seq", "kind", "stage")
+    slotted = staged.withColumn("slot", fit_slot(staged, rows_per_slot))
     inside = Window.partitionBy("run_id", "slot").orderBy("ts", "seq")
-    slotted = staged.select("run_id", slot.alias("slot"), "ts", "seq", "kind", "stage").select(
-        "run_id",
-        "slot",
-        event.alias("event"),
-        F.lag(event).over(inside).alias("before"),
-        F.lead(F.lit(True), 1, False).over(inside).alias("has_next"),
-    )
-    across = Window.partitionBy("run_id").orderBy("event.ts", "event.seq")
-    outer = slotted.where(F.col("before").isNull() | ~F.col("has_next"))
-    paired_inside = slotted.where(F.col("before").isNotNull()).select("run_id", "event", "before")
-    paired_across = (
-        outer.select("run_id", "event", F.col("before").isNull().alias("opens_slot"), F.lag("event").over(across).alias("before"))
-        .where("opens_slot")
-        .select("run_id", "event", "before")
+    neighbours = slotted.select(
+        "*", *_before(inside), F.lead(F.lit(True), 1, False).over(inside).alias("has_next")
     )
-    closes_named = (F.col("event.kind") == STAGE_END) | (F.length("before.stage") > 0)
+    first = F.col("kind_before").isNull()
+    paired_inside = neighbours.where(~first)
+    outer = neighbours.where(first | ~F.col("has_next")).withColumn("first", first)
+    across = Window.partitionBy("run_id").orderBy("ts", "seq")
+    paired_across = outer.drop(*BEFORE).select("*", *_before(across)).where("first")
+    starts_new = (F.col("kind") == STAGE_START) & (F.length("stage_before") > 0)
     return (
-        paired_inside.unionByName(paired_across)
-        .where((F.col("before.kind") == STAGE_START) & closes_named)
+        paired_inside.select(*staged.columns, *BEFORE)
+        .unionByName(paired_across.select(*staged.columns, *BEFORE))
+        .where((F.col("kind_before") == STAGE_START) & ((F.col("kind") == STAGE_END) | starts_new))
         .select(
             "run_id",
-            F.col("event.seq").alias("seq"),
-            F.when(F.col("event.kind") == STAGE_START, F.col("before.stage")).otherwise(F.col("event.stage")).alias("stage"),
-            seconds_between(F.col("before.ts"), F.col("event.ts")).alias("seconds"),
-            F.col("event.ts").alias("ended_at"),
+            "seq",
+            F.when(F.col("kind") == STAGE_START, F.col("stage_before")).otherwise(F.col("stage")).alias("stage"),
+            seconds_between(F.col("ts_before"), F.col("ts")).alias("seconds"),
+            F.col("ts").alias("ended_at"),
         )
     )
 

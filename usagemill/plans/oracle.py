@@ -170,6 +170,12 @@ def _common_samples(report_type: str, table: str) -> list[str]:
     return [
         _sample("appstream_total_records", "count(*)", labels, table),
         _sample("appstream_last_processed_timestamp", "1706745600", labels, "(SELECT 1)"),
+        _sample(
+            "glue_records_processed_total",
+            "count(*)",
+            _labels(data_type=f"appstream_{report_type}", report_date="2024-01-15"),
+            table,
+        ),
     ]
 
 
@@ -199,12 +205,6 @@ _APPLICATION_SAMPLES = [
     ),
     *_common_samples("applications", "apps"),
     *_quality_samples("applications", _APP_NULLS),
-    _sample(
-        "glue_records_processed_total",
-        "count(*)",
-        _labels(data_type="appstream_applications", report_date="2024-01-15"),
-        "apps",
-    ),
 ]
 
 _SESSION_SAMPLES = [

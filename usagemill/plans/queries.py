@@ -198,22 +198,19 @@ def route_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def metric_samples_sessions(spark: SparkSession, folder: str) -> DataFrame:
     raw = test_tables.usage_sessions(spark, folder)
-    usage = samples.report_samples(clean.clean_sessions(raw), "sessions", RUN)
+    usage = samples.report_samples(clean.clean_sessions(raw), "sessions", RUN, REPORT_DATE)
     return _flat(usage.unionByName(samples.profile_samples(raw, "sessions", RUN)))
 
 
 def metric_samples_applications(spark: SparkSession, folder: str) -> DataFrame:
     raw = test_tables.usage_apps(spark, folder)
-    cleaned = clean.clean_applications(raw)
-    usage = samples.report_samples(cleaned, "applications", RUN)
-    counted = cleaned.agg(F.count(F.lit(1)).alias("rows"))
-    processed = samples.processed_samples(counted, "applications", REPORT_DATE, RUN)
-    return _flat(usage.unionByName(samples.profile_samples(raw, "applications", RUN)).unionByName(processed))
+    usage = samples.report_samples(clean.clean_applications(raw), "applications", RUN, REPORT_DATE)
+    return _flat(usage.unionByName(samples.profile_samples(raw, "applications", RUN)))
 
 
 def metric_samples_generic(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = clean.clean_report(test_tables.usage_generic(spark, folder), "printers")
-    return _flat(samples.report_samples(cleaned, "printers", RUN))
+    return _flat(samples.report_samples(cleaned, "printers", RUN, REPORT_DATE))
 
 
 def metric_samples_telemetry(spark: SparkSession, folder: str) -> DataFrame:

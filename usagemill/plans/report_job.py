@@ -11,11 +11,12 @@ import datetime as dt
 import uuid
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
-from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from usagemill.operators import quality, samples as sample_ops, telemetry
 from usagemill.operators.clean import clean_report, with_metadata
@@ -78,7 +79,10 @@ class _RunLog:
         self.add(telemetry.STAGE_END, name)
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, telemetry.RUN_EVENTS_SCHEMA).coalesce(1)
+        schema = telemetry.RUN_EVENTS_SCHEMA
+        columns = [list(column) for column in zip(*self.rows)]
+        arrays = [pa.array(column, field.type) for column, field in zip(columns, to_arrow_schema(schema))]
+        return spark.createDataFrame(pa.Table.from_arrays(arrays, schema.names), schema).coalesce(1)
 
 
 def _one_row(spark: SparkSession, values: dict[str, int]) -> DataFrame:
@@ -86,10 +90,8 @@ def _one_row(spark: SparkSession, values: dict[str, int]) -> DataFrame:
 
 
 def _held(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """The rows of a small frame, worked out once; labels keep their order as lists of entries."""
-    listed = rows.withColumn("labels", F.map_entries("labels"))
-    copy = spark.createDataFrame(listed.collect(), listed.schema)
-    return copy.withColumn("labels", F.map_from_entries("labels"))
+    """The rows of a small frame, worked out once."""
+    return spark.createDataFrame(rows.toArrow(), rows.schema)
 
 
 def _process(spark: SparkSession, run: ReportRun, log: _RunLog, naming: sample_ops.Samples) -> ReportResult:
@@ -108,16 +110,12 @@ def _process(spark: SparkSession, run: ReportRun, log: _RunLog, naming: sample_o
         )
         write_summary(summary, run.output_base)
     with log.stage("analytics"):
-        usage = sample_ops.report_samples(clean_report(raw, run.report_type), run.report_type, naming)
-        parts = [
-            usage,
-            sample_ops.quality_samples(_one_row(spark, profile.get), raw, run.report_type, naming),
-            sample_ops.processed_samples(
-                _one_row(spark, {"rows": total}), run.report_type, run.report_date, naming
-            ),
-        ]
+        usage = sample_ops.report_samples(
+            clean_report(raw, run.report_type), run.report_type, naming, run.report_date
+        )
+        nulls = sample_ops.quality_samples(_one_row(spark, profile.get), raw, run.report_type, naming)
         # As many rows as the report has columns and the fixed catalogue has series; written and sent below.
-        samples = _held(spark, reduce(lambda left, right: left.unionByName(right), parts))
+        samples = _held(spark, usage.unionByName(nulls))
     return ReportResult(total, clean.schema, samples)
 
 
