@@ -24,3 +24,13 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def plan_of(spark):
+    """The physical plan of a frame before it runs."""
+
+    def text(frame) -> str:
+        return frame._jdf.queryExecution().executedPlan().toString()
+
+    return text

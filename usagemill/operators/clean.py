@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,10 +60,21 @@ def clean_applications(df: DataFrame) -> DataFrame:
     return usage_minutes(_trim(_keep_filled(df, names), names))
 
 
+def _is_filled(field: T.StructField) -> Column:
+    """Not NULL, and not NaN in a column of numbers; empty text is a value."""
+    value = cell(field.name)
+    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+        return value.isNotNull() & ~F.isnan(value)
+    return value.isNotNull()
+
+
 def clean_generic(df: DataFrame) -> DataFrame:
     """Rows with at least one value, all text trimmed."""
-    texts = [field.name for field in df.schema.fields if isinstance(field.dataType, T.StringType)]
-    return _trim(df.dropna(how="all"), texts)
+    fields = df.schema.fields
+    texts = [field.name for field in fields if isinstance(field.dataType, T.StringType)]
+    filled = [_is_filled(field) for field in fields]
+    kept = df.where(reduce(lambda a, b: a | b, filled)) if filled else df
+    return _trim(kept, texts)
 
 
 def clean_report(df: DataFrame, report_type: str) -> DataFrame:
