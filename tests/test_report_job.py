@@ -5,7 +5,7 @@ import gzip
 import pytest
 
 from usagemill.operators import telemetry
-from usagemill.plans.report_job import ReportRun, run_report_job
+from usagemill.plans.report_job import ReportRun, _rows_of_run, run_report_job
 
 
 def write(folder, name, text):
@@ -78,12 +78,29 @@ def test_sessions(spark, tmp_path):
     assert sorted(lines) == sorted(row["value"] for row in spark.read.text(str(tmp_path / "out" / "metrics")).collect())
 
 
-def test_runs_share_the_event_table(spark, tmp_path):
+def totals(result):
+    return {row["value"] for row in result.samples.where("name = 'appstream_total_records'").collect()}
+
+
+def test_runs_share_the_tables(spark, tmp_path):
+    """Two runs under one date: each measures the rows it has written itself."""
     write(tmp_path / "in", "a.csv", "Printer\n hp \n")
-    for _ in range(2):
-        run_report_job(spark, run_of(tmp_path, "printers"))
+    assert totals(run_report_job(spark, run_of(tmp_path, "printers"))) == {1.0}
+    write(tmp_path / "in", "b.csv", "Printer\nxerox\n")
+    assert totals(run_report_job(spark, run_of(tmp_path, "printers"))) == {2.0}
     assert telemetry.job_completion(events(spark, tmp_path)).first()["runs"] == 2
-    assert [row["Printer"] for row in spark.read.parquet(str(tmp_path / "out" / "printers")).collect()] == ["hp", "hp"]
+    table = spark.read.parquet(str(tmp_path / "out" / "printers"))
+    assert sorted(row["Printer"] for row in table.collect()) == ["hp", "hp", "xerox"]
+
+
+def test_rows_of_a_run_are_taken_only_if_they_are_all_of_them(spark, tmp_path):
+    write(tmp_path / "in", "a.csv", "Printer\nhp\n")
+    run = run_of(tmp_path, "printers")
+    schema = run_report_job(spark, run).schema
+    table = spark.read.parquet(run.clean_path)
+    time = table.selectExpr("unix_micros(ProcessedAt)").first()[0]
+    assert _rows_of_run(spark, run, schema, {"rows": 1, "processed_us": time}).count() == 1
+    assert _rows_of_run(spark, run, schema, {"rows": 2, "processed_us": time}) is None
 
 
 def test_headerless_files_are_generic_rows(spark, tmp_path):
@@ -123,3 +140,14 @@ def test_scans_of_the_report_files(spark, tmp_path, plan_of):
     raw = read_reports(spark, str(tmp_path / "in"))
     frame = samples.report_samples(clean_report(raw, "applications"), "applications", samples.Samples("job"))
     assert "ReadSchema: struct<UserId:string,ApplicationName:string>" in plan_of(frame)
+
+
+def test_arguments():
+    from usagemill.__main__ import parse
+
+    run = parse(
+        "--job-name j --input-path in --output-path out --report-type sessions --report-date 2024-01-15".split()
+        + ["--metrics-url", "http://metrics.example:8428", "--no-header"]
+    )
+    assert (run.job_name, run.input_path, run.clean_path, run.header) == ("j", "in", "out/sessions/", False)
+    assert run.transport is not None

@@ -1,8 +1,8 @@
 """The report job: read the files of one report, clean, write, summarise, and emit metric samples.
 
-The report files are scanned twice, whatever the number of columns and metrics. The first scan writes the clean
-table; the null profile of the raw rows and the count of the clean rows are observed on the way. The second scan
-reads only the columns that the statistics need.
+The report files are scanned once, whatever the number of columns and metrics. That scan writes the clean table; the
+null profile of the raw rows and the count of the clean rows are observed on the way. The statistics are taken from
+the columns of the clean table that they need, over the rows of this run.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from usagemill.operators.clean import clean_report, with_metadata
 from usagemill.operators.summary import known_summary
 from usagemill.session import use_utc, with_slash
 from usagemill.sinks.exposition import Transport, push_samples, write_text
-from usagemill.sinks.tables import clean_path, write_clean, write_summary
+from usagemill.sinks.tables import clean_path, read_clean, write_clean, write_summary
 from usagemill.sources.reports import read_reports
 
 
@@ -94,6 +94,19 @@ def _held(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows.toArrow(), rows.schema)
 
 
+def _rows_of_run(spark: SparkSession, run: ReportRun, schema: T.StructType, counted: dict) -> DataFrame | None:
+    """The rows this run has written, told by their processing time; None if their number is not the observed one.
+
+    The clean table may hold rows of other runs under the same date, at worst with the same time.
+    """
+    rows = read_clean(spark, schema, run.clean_path).where(
+        (F.col("ReportType") == run.report_type)
+        & (F.col("ProcessingDate") == run.report_date)
+        & (F.col("ProcessedAt") == F.timestamp_micros(F.lit(counted["processed_us"]).cast("bigint")))
+    )
+    return rows if rows.count() == counted["rows"] else None
+
+
 def _process(spark: SparkSession, run: ReportRun, log: _RunLog, naming: sample_ops.Samples) -> ReportResult:
     with log.stage("extraction"):
         raw = read_reports(spark, run.input_path, run.header)
@@ -101,7 +114,9 @@ def _process(spark: SparkSession, run: ReportRun, log: _RunLog, naming: sample_o
         profile, counted = Observation(), Observation()
         observed = raw.observe(profile, *quality.missing_counts(raw))
         clean = with_metadata(clean_report(observed, run.report_type), run.report_type, run.report_date)
-        clean = clean.observe(counted, F.count(F.lit(1)).alias("rows"))
+        clean = clean.observe(
+            counted, F.count(F.lit(1)).alias("rows"), F.max(F.unix_micros("ProcessedAt")).alias("processed_us")
+        )
     with log.stage("loading"):
         write_clean(clean, run.output_base, run.report_type)
         total = counted.get["rows"]
@@ -110,9 +125,9 @@ def _process(spark: SparkSession, run: ReportRun, log: _RunLog, naming: sample_o
         )
         write_summary(summary, run.output_base)
     with log.stage("analytics"):
-        usage = sample_ops.report_samples(
-            clean_report(raw, run.report_type), run.report_type, naming, run.report_date
-        )
+        written = _rows_of_run(spark, run, clean.schema, counted.get)
+        source = clean_report(raw, run.report_type) if written is None else written
+        usage = sample_ops.report_samples(source, run.report_type, naming, run.report_date)
         nulls = sample_ops.quality_samples(_one_row(spark, profile.get), raw, run.report_type, naming)
         # As many rows as the report has columns and the fixed catalogue has series; written and sent below.
         samples = _held(spark, usage.unionByName(nulls))

@@ -18,6 +18,9 @@ CSV_FORMAT = {
     "ignoreTrailingWhiteSpace": True,
 }
 
+# More different headers than this are taken for files that have none.
+MAX_HEADERS = 200
+
 
 def text_schema(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(name, T.StringType()) for name in columns])
@@ -65,21 +68,40 @@ def file_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
             yield batch[["path"]].assign(header=[first_line(path) for path in batch["path"]])
 
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(as_list(paths))
-    headers = listing.select("path").mapInPandas(first_lines, "path string, header string")
+    # Only names are listed, so few tasks do, however large the files are.
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    headers = listing.select("path").coalesce(tasks).mapInPandas(first_lines, "path string, header string")
     return headers.where(F.col("header").isNotNull())
 
 
-def read_reports(spark: SparkSession, paths: str | list[str], header: bool = True) -> DataFrame:
+def read_checked(spark: SparkSession, paths: str | list[str], columns: list[str]) -> DataFrame:
+    """Files that must all have the given header; the reader compares each file's own, and another one fails.
+
+    This needs no look at the files before the scan.
+    """
+    reader = spark.read.schema(text_schema(columns)).options(**CSV_FORMAT, header=True, enforceSchema=False)
+    return reader.option("recursiveFileLookup", True).csv(as_list(paths))
+
+
+def read_reports(
+    spark: SparkSession, paths: str | list[str], header: bool = True, columns: list[str] | None = None
+) -> DataFrame:
     """All report files below the given folders, their columns bound by name.
 
     Spark binds the cells of several CSV files by position, after the header of one of them. So files are
     grouped by header, every group is read on its own, and the groups are put together by column name; a
     column that a file lacks is NULL in its rows. With one header, as is usual, the folders are read as they are.
+    Where the header is known, ``columns`` saves the look at the files and makes any other header an error.
     """
     if not header:
         return read_headerless(spark, paths)
+    if columns:
+        return read_checked(spark, paths, columns)
     headers = file_headers(spark, paths)
-    groups = headers.groupBy("header").agg(F.min("path").alias("example")).orderBy("example").collect()
+    examples = headers.groupBy("header").agg(F.min("path").alias("example")).orderBy("example")
+    groups = examples.limit(MAX_HEADERS + 1).collect()
+    if len(groups) > MAX_HEADERS:
+        raise ValueError(f"more than {MAX_HEADERS} different first lines: read files without a header as such")
     if len(groups) <= 1:
         return read_with_header(spark, paths)
     # Only file names come to the driver, where Spark's own file listing holds them as well.
