@@ -28,8 +28,9 @@ def report_date(key: Column, default_date: str | None = None) -> Column:
 
 
 def folder_of(key: Column) -> Column:
-    """The key without its last part."""
-    return F.regexp_replace(key, r"/?[^/]*$", "")
+    """The key without its last part and the slash before it."""
+    last = F.substring_index(key, "/", -1)
+    return F.left(key, F.length(key) - F.length(last) - F.lit(1))
 
 
 def object_uri(bucket: Column, key: Column) -> Column:

@@ -12,9 +12,14 @@ NOTIFICATION_SCHEMA = (
 
 
 def notification_records(notifications: DataFrame) -> DataFrame:
-    """One row per record: ``event_name, bucket, key``; other columns of ``notifications`` stay."""
+    """One row per record: ``event_name, bucket, key``; other columns of ``notifications`` stay.
+
+    The outer explode keeps Spark from testing the list before it is exploded, which would parse JSON text once
+    more for each test.
+    """
     others = [name for name in notifications.columns if name != "Records"]
-    return notifications.select(*others, F.explode("Records").alias("record")).select(
+    records = notifications.select(*others, F.explode_outer("Records").alias("record"))
+    return records.where(F.col("record").isNotNull()).select(
         *others,
         F.col("record.eventName").alias("event_name"),
         F.col("record.s3.bucket.name").alias("bucket"),
