@@ -58,7 +58,7 @@ def test_stage_rules(spark):
 @pytest.mark.parametrize("rows_per_slot", [1, 3, 50, 10_000])
 def test_stages_do_not_depend_on_the_slots(spark, rows_per_slot):
     """One run has most events, many at the same time; slots are cut down to single rows."""
-    rng = random.Random(11)
+    rng = random.Random(rows_per_slot)
     kinds = [telemetry.STAGE_START, telemetry.STAGE_END, telemetry.JOB_END]
     events = []
     for seq in range(900):
@@ -71,8 +71,10 @@ def test_stages_do_not_depend_on_the_slots(spark, rows_per_slot):
 def test_slots_bound_the_rows_of_a_run(spark):
     events = [event("hot", seq, 0, telemetry.STAGE_START, "a") for seq in range(500)]
     df = frame(spark, events)
-    slot = telemetry.fit_slot(df, 50)
-    assert df.groupBy("run_id", slot.alias("slot")).count().agg({"count": "max"}).first()[0] == 50
+    finest, *_, widest = telemetry.fit_slots(df, 50)
+    largest = [df.groupBy("run_id", slot.alias("s")).count().agg({"count": "max"}).first()[0] for slot in (finest, widest)]
+    assert largest == [50, 500]
+    assert len(telemetry.fit_slots(df)) == 1
 
 
 def test_stage_branches_share_the_first_shuffle(spark):

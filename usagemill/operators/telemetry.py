@@ -6,6 +6,8 @@ of a run are ordered by ``(ts, seq)`` and ``seq`` is unique within the run. Many
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +34,7 @@ JOB_END = "job_end"
 FAILED = "failed"
 PROCESSING_ERROR = "processing_error"
 
-# Widths of the time slots that a run is cut into, widest first, in microseconds.
+# Widths of the time slots that a run is cut into, widest first, in microseconds: each holds the next one whole.
 SLOT_WIDTHS_US = [3_600_000_000, 60_000_000, 1_000_000, 1_000, 1]
 ROWS_PER_SLOT = 2_000_000
 
@@ -43,32 +45,37 @@ def seconds_between(start: Column, end: Column) -> Column:
 
 def _slot(width_us: int, rows_per_slot: int) -> Column:
     """Slots in the order of ``(ts, seq)``; at the finest width ``seq`` also splits equal times."""
-    within = F.floor(F.col("seq") / F.lit(rows_per_slot)) if width_us == 1 else F.lit(0)
-    return F.struct(
-        F.floor(F.unix_micros("ts") / F.lit(width_us)).cast("bigint").alias("time"),
-        within.cast("bigint").alias("part"),
-    )
+    time = F.floor(F.unix_micros("ts") / F.lit(width_us)).cast("bigint")
+    if width_us > 1:
+        return time
+    return F.struct(time.alias("time"), F.floor(F.col("seq") / F.lit(rows_per_slot)).cast("bigint").alias("part"))
 
 
-def fit_slot(events: DataFrame, rows_per_slot: int = ROWS_PER_SLOT) -> Column:
-    """The widest slot in which no run has more than ``rows_per_slot`` events, by counting them.
+def fit_slots(events: DataFrame, rows_per_slot: int = ROWS_PER_SLOT) -> list[Column]:
+    """Slots from the widest one in which no run has more than ``rows_per_slot`` events up to the hour.
 
-    The count is a partial aggregate over two columns; nearly always the first width fits.
+    The events are counted to find out, by a partial aggregate over two columns; nearly always the hour fits.
     """
-    for width_us in SLOT_WIDTHS_US[:-1]:
+    slots: list[Column] = []
+    for width_us in SLOT_WIDTHS_US:
         slot = _slot(width_us, rows_per_slot)
-        largest = events.groupBy("run_id", slot.alias("slot")).count().agg(F.max("count")).first()[0]
-        if (largest or 0) <= rows_per_slot:
-            return slot
-    return _slot(SLOT_WIDTHS_US[-1], rows_per_slot)
+        slots.insert(0, slot)
+        if width_us > 1:
+            counts = events.groupBy("run_id", slot.alias("slot")).count()
+            if (counts.agg(F.max("count")).first()[0] or 0) <= rows_per_slot:
+                break
+    return slots
 
 
 BEFORE = ["kind_before", "ts_before", "stage_before"]
 
 
-def _before(window: Window) -> list[Column]:
-    """Kind, time and stage of the event before, NULL for the first one."""
-    return [F.lag(name.removesuffix("_before")).over(window).alias(name) for name in BEFORE]
+def _with_neighbours(events: DataFrame, slot: Column) -> DataFrame:
+    """Each event with kind, time and stage of the one before it in its run and slot, and whether one follows."""
+    order = Window.partitionBy("run_id", "slot").orderBy("ts", "seq")
+    before = [F.lag(name.removesuffix("_before")).over(order).alias(name) for name in BEFORE]
+    has_next = F.lead(F.lit(True), 1, False).over(order).alias("has_next")
+    return events.withColumn("slot", slot).select("*", *before, has_next)
 
 
 def stage_durations(events: DataFrame, rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
@@ -79,24 +86,21 @@ def stage_durations(events: DataFrame, rows_per_slot: int = ROWS_PER_SLOT) -> Da
     that is still open when the events stop.
 
     Each event needs the one before it. A run that holds much of the table must not land in one task, so runs
-    are cut into time slots: neighbours are paired inside a slot first, then the first event of a slot is paired
-    with the last one of the slot before it, for which only the two outer events of every slot are shuffled.
+    are cut into time slots: neighbours are paired inside a slot first. Only the first and the last event of each
+    slot go on to the next wider slot, where the first ones meet the last ones before them, and in the end to the
+    run as a whole, which then has at most two events per hour.
     """
     staged = events.where(F.col("kind").isin(STAGE_START, STAGE_END)).select("run_id", "seq", "ts", "kind", "stage")
-    slotted = staged.withColumn("slot", fit_slot(staged, rows_per_slot))
-    inside = Window.partitionBy("run_id", "slot").orderBy("ts", "seq")
-    neighbours = slotted.select(
-        "*", *_before(inside), F.lead(F.lit(True), 1, False).over(inside).alias("has_next")
-    )
-    first = F.col("kind_before").isNull()
-    paired_inside = neighbours.where(~first)
-    outer = neighbours.where(first | ~F.col("has_next")).withColumn("first", first)
-    across = Window.partitionBy("run_id").orderBy("ts", "seq")
-    paired_across = outer.drop(*BEFORE).select("*", *_before(across)).where("first")
+    rows, pairs = staged.withColumn("open", F.lit(True)), []
+    for slot in [*fit_slots(staged, rows_per_slot), F.lit(0)]:
+        placed = _with_neighbours(rows, slot)
+        first = F.col("kind_before").isNull()
+        pairs.append(placed.where(F.col("open") & ~first).select(*staged.columns, *BEFORE))
+        outer = placed.where(first | ~F.col("has_next"))
+        rows = outer.select(*staged.columns, (F.col("open") & first).alias("open"))
     starts_new = (F.col("kind") == STAGE_START) & (F.length("stage_before") > 0)
     return (
-        paired_inside.select(*staged.columns, *BEFORE)
-        .unionByName(paired_across.select(*staged.columns, *BEFORE))
+        reduce(DataFrame.unionByName, pairs)
         .where((F.col("kind_before") == STAGE_START) & ((F.col("kind") == STAGE_END) | starts_new))
         .select(
             "run_id",
