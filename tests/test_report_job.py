@@ -4,7 +4,7 @@ import gzip
 
 import pytest
 
-from usagemill.operators import telemetry
+from usagemill.operators import samples, telemetry
 from usagemill.plans.report_job import ReportRun, _rows_of_run, run_report_job
 
 
@@ -59,19 +59,19 @@ def test_sessions(spark, tmp_path):
     values = {}
     for row in result.samples.collect():
         values.setdefault(row["name"], {})[row["labels"].get("column", "")] = row["value"]
-    assert values["appstream_unique_users"] == {"": 2.0}
-    assert values["appstream_total_usage_minutes"] == {"": 30.0}
-    assert values["glue_records_processed_total"] == {"": 3.0}
-    assert values["glue_column_null_percentage"] == {
+    assert values[samples.UNIQUE_USERS] == {"": 2.0}
+    assert values[samples.TOTAL_USAGE_MINUTES] == {"": 30.0}
+    assert values[samples.RECORDS_PROCESSED_TOTAL] == {"": 3.0}
+    assert values[samples.COLUMN_NULL_PERCENTAGE] == {
         "UserId": 25.0,
         "SessionId": 0.0,
         "SessionStartTime": 50.0,
         "SessionEndTime": 75.0,
         "Extra": 75.0,
     }
-    assert values["glue_data_quality_score"] == {"": 55.0}
-    assert values["glue_job_completed_total"] == {"": 1.0}
-    stages = {row["labels"]["stage"] for row in result.samples.where("name = 'glue_stage_duration_seconds'").collect()}
+    assert values[samples.DATA_QUALITY_SCORE] == {"": 55.0}
+    assert values[samples.JOB_COMPLETED_TOTAL] == {"": 1.0}
+    stages = {row["labels"]["stage"] for row in result.samples.where(f"name = '{samples.STAGE_DURATION_SECONDS}'").collect()}
     assert stages == {"extraction", "transformation", "loading", "analytics"}
     lines = sent_lines(tmp_path)
     assert len(lines) == result.samples.count()
@@ -79,7 +79,7 @@ def test_sessions(spark, tmp_path):
 
 
 def totals(result):
-    return {row["value"] for row in result.samples.where("name = 'appstream_total_records'").collect()}
+    return {row["value"] for row in result.samples.where(f"name = '{samples.TOTAL_RECORDS}'").collect()}
 
 
 def test_runs_share_the_tables(spark, tmp_path):
@@ -103,6 +103,25 @@ def test_rows_of_a_run_are_taken_only_if_they_are_all_of_them(spark, tmp_path):
     assert _rows_of_run(spark, run, schema, {"rows": 2, "processed_us": time}) is None
 
 
+def test_statistics_come_from_the_written_rows(spark, tmp_path, monkeypatch):
+    found = []
+
+    def watched(*arguments):
+        found.append(_rows_of_run(*arguments))
+        return found[-1]
+
+    monkeypatch.setattr("usagemill.plans.report_job._rows_of_run", watched)
+    write(tmp_path / "in", "a.csv", "Printer\nhp\n")
+    run_report_job(spark, run_of(tmp_path, "printers"))
+    assert [rows.count() for rows in found] == [1]
+
+
+def test_statistics_come_from_the_files_otherwise(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("usagemill.plans.report_job._rows_of_run", lambda *_: None)
+    write(tmp_path / "in", "a.csv", "Printer\nhp\n")
+    assert totals(run_report_job(spark, run_of(tmp_path, "printers"))) == {1.0}
+
+
 def test_headerless_files_are_generic_rows(spark, tmp_path):
     write(tmp_path / "in", "a.csv", " x ,1\n,\n")
     result = run_report_job(spark, run_of(tmp_path, "sessions", header=False))
@@ -115,8 +134,8 @@ def test_no_rows(spark, tmp_path):
     result = run_report_job(spark, run_of(tmp_path, "applications"))
     assert result.total_records == 0
     names = {row["name"]: row["value"] for row in result.samples.collect()}
-    assert names["appstream_unique_applications"] == 0.0
-    assert names["glue_data_quality_score"] == 100.0
+    assert names[samples.UNIQUE_APPLICATIONS] == 0.0
+    assert names[samples.DATA_QUALITY_SCORE] == 100.0
 
 
 def test_failure_is_logged_measured_and_raised(spark, tmp_path):
@@ -126,13 +145,12 @@ def test_failure_is_logged_measured_and_raised(spark, tmp_path):
     kinds = [(row["kind"], row["stage"], row["status"]) for row in events(spark, tmp_path).orderBy("seq").collect()]
     assert kinds == [("job_start", None, None), ("stage_start", "extraction", None), ("job_end", None, "failed")]
     names = sorted(line.split("{")[0] for line in sent_lines(tmp_path))
-    assert names == ["glue_job_completed_total", "glue_job_duration_seconds"] + ["glue_job_errors_total"] * 2
+    assert names == [samples.JOB_COMPLETED_TOTAL, samples.JOB_DURATION_SECONDS] + [samples.JOB_ERRORS_TOTAL] * 2
     assert not (tmp_path / "out" / "sessions").exists()
 
 
 def test_scans_of_the_report_files(spark, tmp_path, plan_of):
     """The statistics read only the columns they need."""
-    from usagemill.operators import samples
     from usagemill.operators.clean import clean_report
     from usagemill.sources.reports import read_reports
 

@@ -27,8 +27,8 @@ def test_unknown_report_has_the_common_samples(spark):
     found = flat(samples.report_samples(spark.range(3), "printers", RUN))
     labels = (("job_name", "job"), ("report_type", "printers"))
     assert found == {
-        ("appstream_total_records", labels): 3.0,
-        ("appstream_last_processed_timestamp", labels): 1_700_000_000.0,
+        (samples.TOTAL_RECORDS, labels): 3.0,
+        (samples.LAST_PROCESSED_TIMESTAMP, labels): 1_700_000_000.0,
     }
 
 
@@ -36,12 +36,12 @@ def test_session_samples_follow_the_columns_present(spark):
     rows = [(" a ", "s1"), ("a", "s2"), ("b", "s3")]
     found = flat(samples.session_samples(clean_sessions(spark.createDataFrame(rows, text_schema(["UserId", "SessionId"]))), RUN))
     assert {name for name, _ in found} == {
-        "appstream_sessions_total",
-        "appstream_unique_users",
-        "appstream_total_records",
-        "appstream_last_processed_timestamp",
+        samples.SESSIONS_TOTAL,
+        samples.UNIQUE_USERS,
+        samples.TOTAL_RECORDS,
+        samples.LAST_PROCESSED_TIMESTAMP,
     }
-    assert found["appstream_unique_users", (("job_name", "job"), ("report_type", "sessions"))] == 2.0
+    assert found[samples.UNIQUE_USERS, (("job_name", "job"), ("report_type", "sessions"))] == 2.0
 
 
 def test_application_samples(spark):
@@ -49,23 +49,23 @@ def test_application_samples(spark):
     clean = clean_applications(spark.createDataFrame(rows, text_schema(["ApplicationName", "UserId"])))
     found = flat(samples.report_samples(clean, "applications", RUN, "2024-01-15"))
     typed = (("job_name", "job"), ("report_type", "applications"))
-    assert found["appstream_application_records_total", typed] == 5.0
-    assert found["appstream_unique_applications", typed] == 2.0
-    top = {labels: value for (name, labels), value in found.items() if name == "appstream_top_applications_usage"}
+    assert found[samples.APPLICATION_RECORDS_TOTAL, typed] == 5.0
+    assert found[samples.UNIQUE_APPLICATIONS, typed] == 2.0
+    top = {labels: value for (name, labels), value in found.items() if name == samples.TOP_APPLICATIONS_USAGE}
     assert top == {
         (("application", "calc"), ("job_name", "job"), ("rank", "1"), ("report_type", "applications")): 3.0,
         (("application", "w" * 50), ("job_name", "job"), ("rank", "2"), ("report_type", "applications")): 2.0,
     }
-    processed = (("data_type", "appstream_applications"), ("job_name", "job"), ("report_date", "2024-01-15"))
-    assert found["glue_records_processed_total", processed] == 5.0
+    processed = (("data_type", samples.USAGE_PREFIX + "applications"), ("job_name", "job"), ("report_date", "2024-01-15"))
+    assert found[samples.RECORDS_PROCESSED_TOTAL, processed] == 5.0
 
 
 def test_samples_without_rows(spark):
     empty = spark.createDataFrame([], "UserId string, SessionDurationMinutes double")
     values = flat(samples.session_samples(empty, RUN))
-    assert {v for (name, _), v in values.items() if name != "appstream_last_processed_timestamp"} == {0.0}
+    assert {v for (name, _), v in values.items() if name != samples.LAST_PROCESSED_TIMESTAMP} == {0.0}
     apps = flat(samples.application_samples(spark.createDataFrame([], "ApplicationName string"), RUN))
-    assert "appstream_top_applications_usage" not in {name for name, _ in apps}
+    assert samples.TOP_APPLICATIONS_USAGE not in {name for name, _ in apps}
 
 
 def test_application_totals_and_ranks_share_one_shuffle(spark):

@@ -71,6 +71,30 @@ def test_no_header(spark, tmp_path):
     assert rows(found) == [("  alice ", "s1"), ("bob", "s2")]
 
 
+def test_no_header_and_files_of_several_widths(spark, tmp_path):
+    write(tmp_path, "a.csv", "alice,s1\n")
+    write(tmp_path, "b.csv", "bob,s2,2024-01-15\n")
+    write(tmp_path, "c.csv", '"a,b,c,d",s3\n')
+    found = read_reports(spark, str(tmp_path), header=False)
+    assert rows(found) == [("a,b,c,d", "s3", None), ("alice", "s1", None), ("bob", "s2", "2024-01-15")]
+
+
+def test_known_header(spark, tmp_path):
+    write(tmp_path, "a.csv", "UserId,SessionId\n alice ,s1\n")
+    assert rows(read_reports(spark, str(tmp_path), columns=["UserId", "SessionId"])) == [("alice", "s1")]
+    write(tmp_path, "b.csv", "SessionId,UserId\ns2,bob\n")
+    with pytest.raises(Exception, match="header|HEADER"):
+        read_reports(spark, str(tmp_path), columns=["UserId", "SessionId"]).collect()
+
+
+def test_too_many_headers_are_no_headers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(reports, "MAX_HEADERS", 2)
+    for name in "abc":
+        write(tmp_path, f"{name}.csv", f"{name},1\n")
+    with pytest.raises(ValueError, match="without a header"):
+        read_reports(spark, str(tmp_path))
+
+
 def test_header_only(spark, tmp_path):
     write(tmp_path, "a.csv", "UserId,SessionId\n")
     found = read_reports(spark, str(tmp_path))

@@ -25,26 +25,26 @@ SAMPLE_SCHEMA = T.StructType(
     ]
 )
 
-# The prefixes of all series, and their names behind the prefix, as dashboards read them.
+# The names of all series and their prefixes, as dashboards read them.
+SESSIONS_TOTAL = "appstream_sessions_total"
+UNIQUE_USERS = "appstream_unique_users"
+AVG_SESSION_MINUTES = "appstream_avg_session_duration_minutes"
+MAX_SESSION_MINUTES = "appstream_max_session_duration_minutes"
+TOTAL_USAGE_MINUTES = "appstream_total_usage_minutes"
+APPLICATION_RECORDS_TOTAL = "appstream_application_records_total"
+UNIQUE_APPLICATIONS = "appstream_unique_applications"
+TOP_APPLICATIONS_USAGE = "appstream_top_applications_usage"
+TOTAL_RECORDS = "appstream_total_records"
+LAST_PROCESSED_TIMESTAMP = "appstream_last_processed_timestamp"
+RECORDS_PROCESSED_TOTAL = "glue_records_processed_total"
+COLUMN_NULL_PERCENTAGE = "glue_column_null_percentage"
+DATA_QUALITY_SCORE = "glue_data_quality_score"
+STAGE_DURATION_SECONDS = "glue_stage_duration_seconds"
+JOB_DURATION_SECONDS = "glue_job_duration_seconds"
+JOB_COMPLETED_TOTAL = "glue_job_completed_total"
+JOB_ERRORS_TOTAL = "glue_job_errors_total"
 USAGE_PREFIX = "appstream_"
 JOB_PREFIX = "glue_"
-SESSIONS_TOTAL = "sessions_total"
-UNIQUE_USERS = "unique_users"
-AVG_SESSION_MINUTES = "avg_session_duration_minutes"
-MAX_SESSION_MINUTES = "max_session_duration_minutes"
-TOTAL_USAGE_MINUTES = "total_usage_minutes"
-APPLICATION_RECORDS_TOTAL = "application_records_total"
-UNIQUE_APPLICATIONS = "unique_applications"
-TOP_APPLICATIONS_USAGE = "top_applications_usage"
-TOTAL_RECORDS = "total_records"
-LAST_PROCESSED_TIMESTAMP = "last_processed_timestamp"
-RECORDS_PROCESSED_TOTAL = "records_processed_total"
-COLUMN_NULL_PERCENTAGE = "column_null_percentage"
-DATA_QUALITY_SCORE = "data_quality_score"
-STAGE_DURATION_SECONDS = "stage_duration_seconds"
-JOB_DURATION_SECONDS = "job_duration_seconds"
-JOB_COMPLETED_TOTAL = "job_completed_total"
-JOB_ERRORS_TOTAL = "job_errors_total"
 
 
 @dataclass(frozen=True)
@@ -63,11 +63,11 @@ class Samples:
         return F.floor(self.time_ms() / F.lit(1000)).cast("bigint")
 
     def usage(self, name: str, value: Column, **labels: Column | str) -> Column:
-        return sample(self.usage_prefix + name, value, labels, self.job_name, self.time_ms())
+        return sample(self.usage_prefix + name.removeprefix(USAGE_PREFIX), value, labels, self.job_name, self.time_ms())
 
     def job(self, name: str, value: Column, time_ms: Column | None = None, **labels: Column | str) -> Column:
         time_ms = self.time_ms() if time_ms is None else time_ms
-        return sample(self.job_prefix + name, value, labels, self.job_name, time_ms)
+        return sample(self.job_prefix + name.removeprefix(JOB_PREFIX), value, labels, self.job_name, time_ms)
 
     def dataset(self, report_type: str) -> str:
         return f"{self.usage_prefix}{report_type}_reports"

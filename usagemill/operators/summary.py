@@ -28,4 +28,4 @@ def known_summary(
 ) -> DataFrame:
     """Summary for a row count that was already observed while the rows were written."""
     total_column = F.lit(total).cast("bigint")
-    return spark.range(1).select(*_summary_columns(total_column, report_type, report_date, input_path, output_path))
+    return spark.range(0, 1, 1, 1).select(*_summary_columns(total_column, report_type, report_date, input_path, output_path))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from usagemill.operators import samples as names
+
 _SESSIONS = """
 sessions_raw AS (
   SELECT event_id, event_type, ts,
@@ -168,36 +170,36 @@ def _labels(**labels: str) -> str:
 def _common_samples(report_type: str, table: str) -> list[str]:
     labels = _labels(report_type=report_type)
     return [
-        _sample("appstream_total_records", "count(*)", labels, table),
-        _sample("appstream_last_processed_timestamp", "1706745600", labels, "(SELECT 1)"),
+        _sample(names.TOTAL_RECORDS, "count(*)", labels, table),
+        _sample(names.LAST_PROCESSED_TIMESTAMP, "1706745600", labels, "(SELECT 1)"),
         _sample(
-            "glue_records_processed_total",
+            names.RECORDS_PROCESSED_TOTAL,
             "count(*)",
-            _labels(data_type=f"appstream_{report_type}", report_date="2024-01-15"),
+            _labels(data_type=f"{names.USAGE_PREFIX}{report_type}", report_date="2024-01-15"),
             table,
         ),
     ]
 
 
 def _quality_samples(report_type: str, nulls: str) -> list[str]:
-    dataset = f"appstream_{report_type}_reports"
+    dataset = f"{names.USAGE_PREFIX}{report_type}_reports"
     column_labels = f"""'dataset="{dataset}",column="' || "column" || '",job_name="usage_job"'"""
     return [
-        _sample("glue_column_null_percentage", "null_pct", column_labels, f"({nulls})"),
-        _sample("glue_data_quality_score", "100 - avg(null_pct)", _labels(dataset=dataset), f"({nulls})"),
+        _sample(names.COLUMN_NULL_PERCENTAGE, "null_pct", column_labels, f"({nulls})"),
+        _sample(names.DATA_QUALITY_SCORE, "100 - avg(null_pct)", _labels(dataset=dataset), f"({nulls})"),
     ]
 
 
 _APPLICATION_SAMPLES = [
-    _sample("appstream_application_records_total", "count(*)", _labels(report_type="applications"), "apps"),
+    _sample(names.APPLICATION_RECORDS_TOTAL, "count(*)", _labels(report_type="applications"), "apps"),
     _sample(
-        "appstream_unique_applications",
+        names.UNIQUE_APPLICATIONS,
         'count(DISTINCT "ApplicationName")',
         _labels(report_type="applications"),
         "apps",
     ),
     _sample(
-        "appstream_top_applications_usage",
+        names.TOP_APPLICATIONS_USAGE,
         "records",
         """'application="' || "ApplicationName"[1:50] || '",rank="' || rank
            || '",report_type="applications",job_name="usage_job"'""",
@@ -208,11 +210,11 @@ _APPLICATION_SAMPLES = [
 ]
 
 _SESSION_SAMPLES = [
-    _sample("appstream_sessions_total", "count(*)", _labels(report_type="sessions"), "sessions"),
-    _sample("appstream_unique_users", 'count(DISTINCT "UserId")', _labels(report_type="sessions"), "sessions"),
-    _sample("appstream_avg_session_duration_minutes", "coalesce(avg(minutes), 0)", _labels(), "sessions"),
-    _sample("appstream_max_session_duration_minutes", "coalesce(max(minutes), 0)", _labels(), "sessions"),
-    _sample("appstream_total_usage_minutes", "coalesce(sum(minutes), 0)", _labels(), "sessions"),
+    _sample(names.SESSIONS_TOTAL, "count(*)", _labels(report_type="sessions"), "sessions"),
+    _sample(names.UNIQUE_USERS, 'count(DISTINCT "UserId")', _labels(report_type="sessions"), "sessions"),
+    _sample(names.AVG_SESSION_MINUTES, "coalesce(avg(minutes), 0)", _labels(), "sessions"),
+    _sample(names.MAX_SESSION_MINUTES, "coalesce(max(minutes), 0)", _labels(), "sessions"),
+    _sample(names.TOTAL_USAGE_MINUTES, "coalesce(sum(minutes), 0)", _labels(), "sessions"),
     *_common_samples("sessions", "sessions"),
     *_quality_samples("sessions", _SESSION_NULLS),
 ]
@@ -224,11 +226,11 @@ def _timed(name: str, value: str, labels: str, source: str) -> str:
 
 
 _TELEMETRY_SAMPLES = [
-    _timed("glue_stage_duration_seconds", "seconds", """'stage="' || stage || '",job_name="usage_job"'""", "durations"),
-    _timed("glue_job_duration_seconds", "seconds", """'status="' || status || '",job_name="usage_job"'""", "runs"),
-    _timed("glue_job_completed_total", "1", """'status="' || status || '",job_name="usage_job"'""", "runs"),
+    _timed(names.STAGE_DURATION_SECONDS, "seconds", """'stage="' || stage || '",job_name="usage_job"'""", "durations"),
+    _timed(names.JOB_DURATION_SECONDS, "seconds", """'status="' || status || '",job_name="usage_job"'""", "runs"),
+    _timed(names.JOB_COMPLETED_TOTAL, "1", """'status="' || status || '",job_name="usage_job"'""", "runs"),
     _timed(
-        "glue_job_errors_total",
+        names.JOB_ERRORS_TOTAL,
         "1",
         """'error_type="' || error_type || '",' || coalesce('report_type="' || report_type || '",', '')
            || 'job_name="usage_job"'""",

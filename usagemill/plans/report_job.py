@@ -86,7 +86,7 @@ class _RunLog:
 
 
 def _one_row(spark: SparkSession, values: dict[str, int]) -> DataFrame:
-    return spark.range(1).select(*[F.lit(value).cast("bigint").alias(name) for name, value in values.items()])
+    return spark.range(0, 1, 1, 1).select(*[F.lit(value).cast("bigint").alias(name) for name, value in values.items()])
 
 
 def _held(spark: SparkSession, rows: DataFrame) -> DataFrame:
@@ -112,11 +112,13 @@ def _process(spark: SparkSession, run: ReportRun, log: _RunLog, naming: sample_o
         raw = read_reports(spark, run.input_path, run.header)
     with log.stage("transformation"):
         profile, counted = Observation(), Observation()
-        observed = raw.observe(profile, *quality.missing_counts(raw))
-        clean = with_metadata(clean_report(observed, run.report_type), run.report_type, run.report_date)
-        clean = clean.observe(
-            counted, F.count(F.lit(1)).alias("rows"), F.max(F.unix_micros("ProcessedAt")).alias("processed_us")
+        observed = clean_report(raw.observe(profile, *quality.missing_counts(raw)), run.report_type).observe(
+            counted,
+            F.count(F.lit(1)).alias("rows"),
+            F.max(F.unix_micros(F.current_timestamp())).alias("processed_us"),
         )
+        # The metadata come last, so that Spark sees constant partition columns and need not sort the rows for them.
+        clean = with_metadata(observed, run.report_type, run.report_date)
     with log.stage("loading"):
         write_clean(clean, run.output_base, run.report_type)
         total = counted.get["rows"]

@@ -31,8 +31,19 @@ def as_list(paths: str | list[str]) -> list[str]:
 
 
 def read_headerless(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Files without a header: columns ``_c0, _c1, ...``; only the separator is set, cells keep their spaces."""
-    return spark.read.options(sep=",", header=False, recursiveFileLookup=True).csv(as_list(paths))
+    """Files without a header: columns ``_c0, _c1, ...``; only the separator is set, cells keep their spaces.
+
+    Spark would take the number of columns from one file and drop what others have more; so one file for each
+    number of separators is looked at, and all are read as wide as the widest.
+    """
+    unquoted = F.regexp_replace("header", '"[^"]*"', "")
+    separators = F.size(F.split(unquoted, ",")).alias("separators")
+    examples = file_headers(spark, paths).groupBy(separators).agg(F.min("path").alias("example")).collect()
+    reader = spark.read.options(sep=",", header=False, recursiveFileLookup=True)
+    if len(examples) > 1:
+        widest = max(len(reader.csv(row["example"]).columns) for row in examples)
+        reader = reader.schema(text_schema([f"_c{i}" for i in range(widest)]))
+    return reader.csv(as_list(paths))
 
 
 def read_with_header(spark: SparkSession, paths: str | list[str]) -> DataFrame:
