@@ -31,6 +31,13 @@ def test_top_applications_break_ties_by_name_and_cut_long_names(spark):
     assert [tuple(row)[:2] for row in rows[:4]] == [("x" * 50, 4), ("a", 3), ("b", 3), ("n00", 1)]
 
 
+def test_group_counts_add_up_to_the_rows(spark):
+    rng = random.Random(5)
+    names = [rng.choice("abcdefg") for _ in range(500)]
+    counts = stats.application_counts(spark.createDataFrame([(name,) for name in names], "ApplicationName string"))
+    assert {row[0]: row[1] for row in counts.collect()} == {name: names.count(name) for name in set(names)}
+
+
 def test_top_k_keeps_only_k_rows_per_task(spark, plan_of):
     df = spark.createDataFrame([("a",)], "ApplicationName string")
     plan = plan_of(stats.top_applications(df))

@@ -37,7 +37,7 @@ def test_each_file_is_taken_once(spark, tmp_path):
     put(tmp_path / "in", "latest.csv", "carol,s4,,")
     rows = {
         (r["UserId"], r["SessionId"], r["SessionDurationMinutes"], r["ReportType"], str(r["ProcessingDate"]))
-        for r in run(spark, tmp_path, max_files_per_trigger=1).collect()
+        for r in run(spark, tmp_path, files_per_batch=1).collect()
     }
     assert rows == {
         ("alice", "s1", 30.5, "sessions", "2024-01-15"),

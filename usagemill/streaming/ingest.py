@@ -17,16 +17,18 @@ from usagemill.sources.notifications import stream_notifications
 from usagemill.sources.reports import CSV_FORMAT, text_schema
 
 
+# Files per batch: a backlog is taken in several batches, and a batch that fails is all that is done again.
+FILES_PER_BATCH = 20_000
+
+
 def stream_reports(
-    spark: SparkSession, path: str, columns: list[str], max_files_per_trigger: int | None = None
+    spark: SparkSession, path: str, columns: list[str], files_per_batch: int = FILES_PER_BATCH
 ) -> DataFrame:
     """Report files below a folder as a stream; a file with another header ends the query with an error."""
     reader = spark.readStream.schema(text_schema(columns)).options(
         **CSV_FORMAT, header=True, enforceSchema=False, recursiveFileLookup=True
     )
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.csv(path)
+    return reader.option("maxFilesPerTrigger", files_per_batch).csv(path)
 
 
 def clean_stream(raw: DataFrame, report_type: str, date: Column) -> DataFrame:
@@ -44,14 +46,14 @@ def ingest_reports(
     report_type: str,
     columns: list[str],
     default_date: str | None = None,
-    max_files_per_trigger: int | None = None,
+    files_per_batch: int = FILES_PER_BATCH,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Starts the ingest of one report type into its clean table; by default it stops when all files are taken.
 
     ``ProcessingDate`` is the first date in the path of the file, or else ``default_date`` or today.
     """
-    raw = stream_reports(spark, path, columns, max_files_per_trigger)
+    raw = stream_reports(spark, path, columns, files_per_batch)
     date = report_date(F.col("_metadata.file_path"), default_date)
     clean = clean_stream(raw, report_type, date)
     return (
