@@ -47,6 +47,19 @@ def test_partitions_are_pruned(spark, tmp_path, plan_of):
     assert "ReadSchema: struct<UserId:string>" in plan
 
 
+@pytest.mark.parametrize("report_type", ["sessions", "a b", "x:y=z%?*", "q'[1]{2}^#", '\u00e9"<|>\t~'])
+def test_one_partition_is_read_alone(spark, tmp_path, report_type):
+    path = str(tmp_path / "table") + "/"
+    frame = clean.with_metadata(spark.range(3), report_type, "2024-01-15")
+    other = clean.with_metadata(spark.range(5), "other", "2024-01-15")
+    for part in (frame, other):
+        part.write.mode("append").partitionBy("ReportType", "ProcessingDate").parquet(path)
+    values = {"ReportType": report_type, "ProcessingDate": "2024-01-15"}
+    found = tables.read_partition(spark, frame.schema, path, values)
+    assert found.count() == 3 and found.columns == frame.columns
+    assert {(row["ReportType"], row["ProcessingDate"]) for row in found.collect()} == {(report_type, "2024-01-15")}
+
+
 def test_summary_file(spark, tmp_path):
     for row in (
         summary.run_summary(spark.range(7), "sessions", "2024-01-15", "in/", "out/"),

@@ -77,8 +77,8 @@ class Samples:
 
 
 def with_job_name(labels: Column, job_name: Column) -> Column:
-    """The labels with ``job_name`` set last, in place of any label of that name."""
-    others = F.map_filter(labels, lambda key, _: key != F.lit("job_name"))
+    """The labels that have a value, with ``job_name`` set last, in place of any label of that name."""
+    others = F.map_filter(labels, lambda key, value: (key != F.lit("job_name")) & value.isNotNull())
     return F.map_concat(others, F.create_map(F.lit("job_name"), job_name))
 
 
@@ -211,12 +211,8 @@ def telemetry_samples(events: DataFrame, run: Samples) -> DataFrame:
             run.job(JOB_COMPLETED_TOTAL, F.lit(1), ended_ms, status=F.col("status")),
         ],
     )
-    errors = telemetry.error_events(events)
-    error = {"error_type": F.col("error_type")}
-    typed = [run.job(JOB_ERRORS_TOTAL, F.lit(1), ended_ms, **error, report_type=F.col("report_type"))]
-    untyped = [run.job(JOB_ERRORS_TOTAL, F.lit(1), ended_ms, **error)]
-    return (
-        stages.unionByName(jobs)
-        .unionByName(sample_rows(errors.where(F.col("report_type").isNotNull()), typed))
-        .unionByName(sample_rows(errors.where(F.col("report_type").isNull()), untyped))
+    labels = {"error_type": F.col("error_type"), "report_type": F.col("report_type")}
+    errors = sample_rows(
+        telemetry.error_events(events), [run.job(JOB_ERRORS_TOTAL, F.lit(1), ended_ms, **labels)]
     )
+    return stages.unionByName(jobs).unionByName(errors)

@@ -27,5 +27,6 @@ def known_summary(
     spark: SparkSession, total: int, report_type: str, report_date: str, input_path: str, output_path: str
 ) -> DataFrame:
     """Summary for a row count that was already observed while the rows were written."""
-    total_column = F.lit(total).cast("bigint")
-    return spark.range(0, 1, 1, 1).select(*_summary_columns(total_column, report_type, report_date, input_path, output_path))
+    known = F.lit(total).cast("bigint")
+    one_row = spark.range(0, 1, 1, 1)
+    return one_row.select(*_summary_columns(known, report_type, report_date, input_path, output_path))

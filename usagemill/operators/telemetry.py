@@ -151,9 +151,9 @@ def error_events(events: DataFrame) -> DataFrame:
         F.struct(F.lit(PROCESSING_ERROR).alias("error_type"), F.lit(None).cast("string").alias("report_type")),
     )
     failed = events.where((F.col("kind") == JOB_END) & (F.col("status") == FAILED))
-    return failed.select(
-        F.col("ts").alias("ended_at"), F.explode(F.filter(F.array(by_class, by_message), lambda e: e.isNotNull())).alias("e")
-    ).select("ended_at", "e.error_type", "e.report_type")
+    forms = F.filter(F.array(by_class, by_message), lambda form: form.isNotNull())
+    errors = failed.select(F.col("ts").alias("ended_at"), F.explode(forms).alias("error"))
+    return errors.select("ended_at", "error.error_type", "error.report_type")
 
 
 def job_errors(events: DataFrame) -> DataFrame:

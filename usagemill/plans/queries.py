@@ -98,9 +98,8 @@ def generic_clean(spark: SparkSession, folder: str) -> DataFrame:
 def generic_clean_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Generic cleaning of whole texts; the length and a digest stand for the text."""
     cleaned = clean.clean_generic(spark.read.parquet(f"{folder}/documents.parquet"))
-    return cleaned.select(
-        "doc_id", "lang", "source", "n_chars", F.length("text").cast("bigint").alias("length"), F.md5("text").alias("md5")
-    )
+    length = F.length("text").cast("bigint").alias("length")
+    return cleaned.select("doc_id", "lang", "source", "n_chars", length, F.md5("text").alias("md5"))
 
 
 def with_metadata(spark: SparkSession, folder: str) -> DataFrame:
@@ -329,7 +328,8 @@ def report_job_sessions(spark: SparkSession, folder: str) -> DataFrame:
 def report_job_samples(spark: SparkSession, folder: str) -> DataFrame:
     """The samples of the whole job on application reports, without those that measure time."""
     _, result = _run_job(spark, test_tables.usage_apps(spark, folder), "applications")
-    return _flat(result.samples.where(~F.col("name").endswith("duration_seconds") & ~F.col("name").endswith("completed_total")))
+    timed = [samples.STAGE_DURATION_SECONDS, samples.JOB_DURATION_SECONDS, samples.JOB_COMPLETED_TOTAL]
+    return _flat(result.samples.where(~F.col("name").isin(timed)))
 
 
 QUERIES: dict[str, Query] = {

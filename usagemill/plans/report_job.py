@@ -23,7 +23,7 @@ from usagemill.operators.clean import clean_report, with_metadata
 from usagemill.operators.summary import known_summary
 from usagemill.session import use_utc, with_slash
 from usagemill.sinks.exposition import Transport, push_samples, write_text
-from usagemill.sinks.tables import clean_path, read_clean, write_clean, write_summary
+from usagemill.sinks.tables import clean_path, read_partition, write_clean, write_summary
 from usagemill.sources.reports import read_reports
 
 
@@ -99,11 +99,11 @@ def _rows_of_run(spark: SparkSession, run: ReportRun, schema: T.StructType, coun
 
     The clean table may hold rows of other runs under the same date, at worst with the same time.
     """
-    rows = read_clean(spark, schema, run.clean_path).where(
-        (F.col("ReportType") == run.report_type)
-        & (F.col("ProcessingDate") == run.report_date)
-        & (F.col("ProcessedAt") == F.timestamp_micros(F.lit(counted["processed_us"]).cast("bigint")))
-    )
+    if counted["rows"] == 0:
+        return spark.createDataFrame([], schema)
+    partition = {"ReportType": run.report_type, "ProcessingDate": run.report_date}
+    time = F.timestamp_micros(F.lit(counted["processed_us"]).cast("bigint"))
+    rows = read_partition(spark, schema, run.clean_path, partition).where(F.col("ProcessedAt") == time)
     return rows if rows.count() == counted["rows"] else None
 
 

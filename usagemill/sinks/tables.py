@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -9,6 +11,9 @@ from usagemill.session import with_slash
 
 PARTITION_COLUMNS = ["ReportType", "ProcessingDate"]
 
+# Fixed value: the characters that Spark writes as % and two hexadecimal digits in the folder name of a partition.
+ESCAPED_IN_FOLDERS = r"""[\x00-\x1f"#%'*/:=?\\\x7f{\[\]^]"""
+
 
 def clean_path(base: str, report_type: str) -> str:
     return f"{with_slash(base)}{report_type}/"
@@ -35,6 +40,19 @@ def read_clean(spark: SparkSession, schema: T.StructType, path: str) -> DataFram
     return spark.read.schema(schema).parquet(path)
 
 
+def partition_folder(path: str, values: dict[str, str]) -> str:
+    """The folder of one partition of the table at ``path``."""
+    escaped = {
+        name: re.sub(ESCAPED_IN_FOLDERS, lambda found: f"%{ord(found[0]):02X}", value) for name, value in values.items()
+    }
+    return with_slash(path) + "/".join(f"{name}={value}" for name, value in escaped.items())
+
+
+def read_partition(spark: SparkSession, schema: T.StructType, path: str, values: dict[str, str]) -> DataFrame:
+    """One partition of a clean table, without listing the others."""
+    return spark.read.schema(schema).option("basePath", path).parquet(partition_folder(path, values))
+
+
 def write_summary(summary: DataFrame, base: str) -> str:
     path = summary_path(base)
     summary.write.mode("append").json(path)

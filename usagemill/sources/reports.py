@@ -116,12 +116,11 @@ def read_reports(
     if len(groups) <= 1:
         return read_with_header(spark, paths)
     # Only file names come to the driver, where Spark's own file listing holds them as well.
-    files: dict[str, list[str]] = {}
-    for row in headers.toLocalIterator():
-        files.setdefault(row["header"], []).append(row["path"])
+    known = F.array(*[F.lit(group["header"]) for group in groups])
+    files = headers.select("path", (F.array_position(known, F.col("header")) - 1).alias("group")).collect()
     frames = []
-    for group in groups:
+    for number, group in enumerate(groups):
         schema = read_with_header(spark, group["example"]).schema
         reader = spark.read.options(**CSV_FORMAT, header=True).schema(schema)
-        frames.append(reader.csv(sorted(files[group["header"]])))
+        frames.append(reader.csv(sorted(file["path"] for file in files if file["group"] == number)))
     return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), frames)
