@@ -122,7 +122,7 @@ def test_push_sends_every_sample_in_bounded_batches(spark, tmp_path):
     assert sorted(lines) == sorted(f'm{{k="{i}",job_name="job"}} {i}.0 5' for i in range(100))
 
 
-@pytest.mark.parametrize("answers", [[500], [500, 429], [ConnectionError("gone")], [TimeoutError("slow"), 503]])
+@pytest.mark.parametrize("answers", [[500], [500, 429], [ConnectionError("gone")], [TimeoutError("slow"), 503], [ValueError("odd")]])
 def test_push_tries_again(spark, tmp_path, answers):
     pauses = str(tmp_path / "pauses")
 

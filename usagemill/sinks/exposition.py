@@ -64,8 +64,8 @@ def _sink(
                         answer = transport(body, headers)
                         if answer in statuses:
                             return
-                    except OSError as problem:
-                        answer = problem
+                    except Exception as problem:
+                        answer = repr(problem)
                     if attempt < attempts:
                         (pause or time.sleep)(2**attempt)
                 raise RuntimeError(f"batch of {len(lines)} samples not accepted: {answer}")

@@ -55,6 +55,7 @@ def file_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``path, header`` of every non-empty file. Tasks open the files and read up to the first filled line."""
 
     def first_lines(batches: Iterator) -> Iterator:
+        import io
         from urllib.parse import quote
 
         from pyarrow import fs
@@ -67,13 +68,9 @@ def file_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                 uri = path.replace("s3a://", "s3://", 1)
                 files, name = fs.FileSystem.from_uri(quote(uri, safe=":/@=+,"))
             with files.open_input_stream(name) as stream:
-                pending = b""
-                while block := stream.read(65536):
-                    *lines, pending = (pending + block).split(b"\n")
-                    for line in lines:
-                        if line.strip():
-                            return line.decode("utf-8", "replace").rstrip("\r")
-                return pending.decode("utf-8", "replace").rstrip("\r") if pending.strip() else None
+                filled = (line for line in io.BufferedReader(stream, 65536) if line.strip())
+                line = next(filled, None)
+                return None if line is None else line.decode("utf-8", "replace").rstrip("\r\n")
 
         for batch in batches:
             yield batch[["path"]].assign(header=[first_line(path) for path in batch["path"]])
@@ -117,10 +114,13 @@ def read_reports(
         return read_with_header(spark, paths)
     # Only file names come to the driver, where Spark's own file listing holds them as well.
     known = F.array(*[F.lit(group["header"]) for group in groups])
-    files = headers.select("path", (F.array_position(known, F.col("header")) - 1).alias("group")).collect()
+    number = F.array_position(known, F.col("header")) - 1
+    files: list[list[str]] = [[] for _ in groups]
+    for row in headers.select("path", number.alias("number")).collect():
+        files[row["number"]].append(row["path"])
     frames = []
-    for number, group in enumerate(groups):
+    for group, paths_of_group in zip(groups, files):
         schema = read_with_header(spark, group["example"]).schema
         reader = spark.read.options(**CSV_FORMAT, header=True).schema(schema)
-        frames.append(reader.csv(sorted(file["path"] for file in files if file["group"] == number)))
+        frames.append(reader.csv(sorted(paths_of_group)))
     return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), frames)
