@@ -64,6 +64,13 @@ def test_several_folders(spark, tmp_path):
     assert rows(found) == [("x",), ("y",)]
 
 
+def test_one_file(spark, tmp_path):
+    """A job may be given the new file alone in place of its folder."""
+    write(tmp_path, "a.csv", "UserId\na\n")
+    new = write(tmp_path, "b.csv", "UserId,Extra\nb,x\n")
+    assert rows(read_reports(spark, str(new))) == [("b", "x")]
+
+
 def test_no_header(spark, tmp_path):
     write(tmp_path, "a.csv", "  alice ,s1\nbob,s2\n")
     found = read_reports(spark, str(tmp_path), header=False)

@@ -1,4 +1,8 @@
-"""Runs the report job once: ``spark-submit --py-files usagemill.zip run.py`` or ``python -m usagemill``."""
+"""Runs the report job once.
+
+Locally ``python -m usagemill --job-name ...``; on a cluster, with the package zipped,
+``spark-submit --py-files usagemill.zip usagemill/__main__.py --job-name ...``.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +18,7 @@ from usagemill.sinks.exposition import http_transport
 def parse(arguments: Sequence[str] | None = None) -> ReportRun:
     parser = argparse.ArgumentParser(prog="usagemill", description="Process the usage reports below one folder.")
     parser.add_argument("--job-name", required=True)
-    parser.add_argument("--input-path", required=True, help="folder of the report files")
+    parser.add_argument("--input-path", required=True, help="folder of the report files, or one file")
     parser.add_argument("--output-path", required=True, help="folder of the clean tables, summaries and metrics")
     parser.add_argument("--report-type", required=True, help="sessions, applications, or any other")
     parser.add_argument("--report-date", required=True, help="yyyy-MM-dd")
