@@ -19,8 +19,8 @@ def clean_sessions(spark):
 
 
 def many_samples(spark, n):
-    row = samples.sample("m", F.col("id"), {"k": F.col("id")}, "job", F.lit(5))
-    return samples.sample_rows(spark.range(0, n, 1, 3), [row])
+    row = samples.sample("m", F.col("id"), {"k": F.col("id")}, F.lit(5))
+    return samples.Samples("job").rows(spark.range(0, n, 1, 3), [row])
 
 
 def test_clean_table_layout(spark, tmp_path):

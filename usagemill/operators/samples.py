@@ -63,11 +63,16 @@ class Samples:
         return F.floor(self.time_ms() / F.lit(1000)).cast("bigint")
 
     def usage(self, name: str, value: Column, **labels: Column | str) -> Column:
-        return sample(self.usage_prefix + name.removeprefix(USAGE_PREFIX), value, labels, self.job_name, self.time_ms())
+        return sample(self.usage_prefix + name.removeprefix(USAGE_PREFIX), value, labels, self.time_ms())
 
     def job(self, name: str, value: Column, time_ms: Column | None = None, **labels: Column | str) -> Column:
         time_ms = self.time_ms() if time_ms is None else time_ms
-        return sample(self.job_prefix + name.removeprefix(JOB_PREFIX), value, labels, self.job_name, time_ms)
+        return sample(self.job_prefix + name.removeprefix(JOB_PREFIX), value, labels, time_ms)
+
+    def rows(self, df: DataFrame, samples: list[Column]) -> DataFrame:
+        """The given samples of every row of ``df``, one below the other."""
+        rows = df.select(F.inline(F.array(*samples)))
+        return rows.withColumn("labels", with_job_name(F.col("labels"), F.lit(self.job_name)))
 
     def dataset(self, report_type: str) -> str:
         return f"{self.usage_prefix}{report_type}_reports"
@@ -82,27 +87,19 @@ def with_job_name(labels: Column, job_name: Column) -> Column:
     return F.map_concat(others, F.create_map(F.lit("job_name"), job_name))
 
 
-def sample(
-    name: str, value: Column, labels: Mapping[str, Column | str], job_name: str, timestamp_ms: Column
-) -> Column:
-    """One sample as a struct."""
+def sample(name: str, value: Column, labels: Mapping[str, Column | str], timestamp_ms: Column) -> Column:
+    """One sample as a struct, still without its job."""
     pairs = []
     for key, label in labels.items():
-        pairs += [F.lit(key), (label if isinstance(label, Column) else F.lit(label)).cast("string")]
-    label_map = F.create_map(*pairs).cast("map<string,string>")
+        pairs += [F.lit(key), label.cast("string") if isinstance(label, Column) else F.lit(label)]
     return F.struct(
         F.lit(name).alias("name"),
         value.cast("double").alias("value"),
-        with_job_name(label_map, F.lit(job_name)).alias("labels"),
+        F.create_map(*pairs).cast("map<string,string>").alias("labels"),
         timestamp_ms.cast("bigint").alias("timestamp_ms"),
     )
 
 
-def sample_rows(df: DataFrame, samples: list[Column]) -> DataFrame:
-    """The given samples of every row of ``df``, one below the other."""
-    return df.select(F.inline(F.array(*samples)))
-
-
 def _common(run: Samples, report_type: str, report_date: str | None) -> list[Column]:
     """Samples of any report, over a row with its row count in ``rows``."""
     samples = [
@@ -121,7 +118,7 @@ def common_samples(
     clean: DataFrame, report_type: str, run: Samples, report_date: str | None = None
 ) -> DataFrame:
     """Row count and processing time, for any report type; with a date also the records processed for it."""
-    return sample_rows(clean.agg(F.count(F.lit(1)).alias("rows")), _common(run, report_type, report_date))
+    return run.rows(clean.agg(F.count(F.lit(1)).alias("rows")), _common(run, report_type, report_date))
 
 
 def session_samples(clean: DataFrame, run: Samples, report_date: str | None = None) -> DataFrame:
@@ -140,7 +137,7 @@ def session_samples(clean: DataFrame, run: Samples, report_date: str | None = No
             run.usage(TOTAL_USAGE_MINUTES, F.col("total_minutes")),
         ]
     row = clean.agg(*[value.alias(name) for name, value in aggregates.items()])
-    return sample_rows(row, samples + _common(run, report_type, report_date))
+    return run.rows(row, samples + _common(run, report_type, report_date))
 
 
 def application_samples(clean: DataFrame, run: Samples, report_date: str | None = None) -> DataFrame:
@@ -149,7 +146,7 @@ def application_samples(clean: DataFrame, run: Samples, report_date: str | None
     records = run.usage(APPLICATION_RECORDS_TOTAL, F.col("rows"), report_type=report_type)
     common = _common(run, report_type, report_date)
     if not present(clean, ["ApplicationName"]):
-        return sample_rows(clean.agg(F.count(F.lit(1)).alias("rows")), [records, *common])
+        return run.rows(clean.agg(F.count(F.lit(1)).alias("rows")), [records, *common])
     counts = stats.application_counts(clean)
     totals = counts.agg(
         F.coalesce(F.sum("records"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("applications")
@@ -162,8 +159,8 @@ def application_samples(clean: DataFrame, run: Samples, report_date: str | None
         rank=F.col("rank"),
         report_type=report_type,
     )
-    return sample_rows(totals, [records, unique, *common]).unionByName(
-        sample_rows(stats.rank_applications(counts), [top])
+    return run.rows(totals, [records, unique, *common]).unionByName(
+        run.rows(stats.rank_applications(counts), [top])
     )
 
 
@@ -187,7 +184,7 @@ def quality_samples(profile: DataFrame, raw: DataFrame, report_type: str, run: S
         for name, percent in zip(raw.columns, percents)
     ]
     samples.append(run.job(DATA_QUALITY_SCORE, quality.score(percents), dataset=dataset))
-    return sample_rows(profile, samples)
+    return run.rows(profile, samples)
 
 
 def profile_samples(raw: DataFrame, report_type: str, run: Samples) -> DataFrame:
@@ -200,11 +197,11 @@ def telemetry_samples(events: DataFrame, run: Samples) -> DataFrame:
     Each sample has the time of the event that ended the stage or the run.
     """
     ended_ms = F.unix_millis(F.col("ended_at"))
-    stages = sample_rows(
+    stages = run.rows(
         telemetry.stage_durations(events),
         [run.job(STAGE_DURATION_SECONDS, F.col("seconds"), ended_ms, stage=F.col("stage"))],
     )
-    jobs = sample_rows(
+    jobs = run.rows(
         telemetry.run_durations(events),
         [
             run.job(JOB_DURATION_SECONDS, F.col("seconds"), ended_ms, status=F.col("status")),
@@ -212,7 +209,7 @@ def telemetry_samples(events: DataFrame, run: Samples) -> DataFrame:
         ],
     )
     labels = {"error_type": F.col("error_type"), "report_type": F.col("report_type")}
-    errors = sample_rows(
+    errors = run.rows(
         telemetry.error_events(events), [run.job(JOB_ERRORS_TOTAL, F.lit(1), ended_ms, **labels)]
     )
     return stages.unionByName(jobs).unionByName(errors)
