@@ -256,11 +256,12 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, trim(lang, ' ') AS lang, trim(source, ' ') AS source, n_chars,
           CAST(length(trim(text, ' ')) AS BIGINT) AS length, md5(trim(text, ' ')) AS md5
         FROM documents
-        WHERE doc_id IS NOT NULL OR text IS NOT NULL OR lang IS NOT NULL OR source IS NOT NULL OR n_chars IS NOT NULL""",
+        WHERE coalesce(doc_id, n_chars) IS NOT NULL OR coalesce(text, lang, source) IS NOT NULL""",
     "with_metadata": f"""WITH {_APPS}
         SELECT *, 'applications' AS "ReportType", '2024-01-15' AS "ProcessingDate" FROM apps""",
     "optional_columns": f"""WITH {_SESSIONS}
-        SELECT "UserId" AS userid, "SessionId", epoch_us(TRY_CAST("SessionStartTime" AS TIMESTAMP)) AS "SessionStartTime"
+        SELECT "UserId" AS userid, "SessionId",
+          epoch_us(TRY_CAST("SessionStartTime" AS TIMESTAMP)) AS "SessionStartTime"
         FROM sessions_raw WHERE "SessionId" IS NOT NULL""",
     "total_records": f"WITH {_SESSIONS} SELECT count(*) AS total_records FROM sessions",
     "session_unique_users": f"""WITH {_SESSIONS}
@@ -281,7 +282,8 @@ ORACLE: dict[str, str] = {
     "column_null_percentage": f"""WITH {_SESSIONS}
         SELECT "column", round(null_pct, 6) AS null_pct FROM ({_SESSION_NULLS})""",
     "column_null_percentage_lineitem": f'SELECT "column", round(null_pct, 6) AS null_pct FROM ({_LINEITEM_NULLS})',
-    "data_quality_score": f"WITH {_GENERIC} SELECT round(100 - avg(null_pct), 6) AS quality_score FROM ({_GENERIC_NULLS})",
+    "data_quality_score": f"""WITH {_GENERIC}
+        SELECT round(100 - avg(null_pct), 6) AS quality_score FROM ({_GENERIC_NULLS})""",
     "route_notifications": _ROUTED,
     "report_date": f"WITH {_NOTIFICATIONS} SELECT event_id, report_date FROM dated",
     "route_stream": _ROUTED,
