@@ -3,6 +3,8 @@ from __future__ import annotations
 import pytest
 from pyspark.errors import StreamingQueryException
 
+from usagemill.operators.clean import with_metadata
+from usagemill.sinks.tables import write_clean
 from usagemill.streaming.ingest import ingest_reports
 
 HEADER = "UserId,SessionId,SessionStartTime,SessionEndTime\n"
@@ -63,3 +65,17 @@ def test_other_report_types(spark, tmp_path):
     put(tmp_path / "in", "p-2024-01-15.csv", " x ,", ",", header="Printer,Pages\n")
     rows = run(spark, tmp_path, "printers", ["Printer", "Pages"]).collect()
     assert [(r["Printer"], r["Pages"], r["ReportType"]) for r in rows] == [("x", None, "printers")]
+
+
+def test_streams_and_batch_jobs_do_not_share_a_table(spark, tmp_path):
+    """The log of the streaming sink would hide the rows of the batch job."""
+    clean = with_metadata(spark.range(1), "sessions", "2024-01-15")
+    put(tmp_path / "in", "s-2024-01-15.csv", "a,s1,,")
+    run(spark, tmp_path)
+    with pytest.raises(ValueError, match="written by a stream"):
+        write_clean(clean, str(tmp_path / "out"), "sessions")
+    write_clean(clean, str(tmp_path / "batch"), "sessions")
+    with pytest.raises(ValueError, match="written by batch jobs"):
+        ingest_reports(
+            spark, str(tmp_path / "in"), str(tmp_path / "batch"), str(tmp_path / "check2"), "sessions", COLUMNS
+        )

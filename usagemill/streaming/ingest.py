@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from usagemill.functions.keys import report_date
 from usagemill.operators.clean import clean_report
 from usagemill.operators.routing import route_notifications
-from usagemill.sinks.tables import clean_path, partitioning
+from usagemill.sinks.tables import clean_path, forbid_batch_table, partitioning
 from usagemill.sources.notifications import stream_notifications
 from usagemill.sources.reports import CSV_FORMAT, text_schema
 
@@ -53,13 +53,15 @@ def ingest_reports(
 
     ``ProcessingDate`` is the first date in the path of the file, or else ``default_date`` or today.
     """
+    table = clean_path(base, report_type)
+    forbid_batch_table(spark, table)
     raw = stream_reports(spark, path, columns, files_per_batch)
     date = report_date(F.col("_metadata.file_path"), default_date)
     clean = clean_stream(raw, report_type, date)
     return (
         clean.writeStream.format("parquet")
         .option("compression", "snappy")
-        .option("path", clean_path(base, report_type))
+        .option("path", table)
         .option("checkpointLocation", checkpoint)
         .partitionBy(*partitioning(clean))
         .trigger(**(trigger or {"availableNow": True}))
