@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagemill.llm import bpe, decontaminate, exact, simhash
-from usagemill.llm.tables import documents
+from usagemill.llm import bpe, decontaminate, exact, simhash, toxicity
+from usagemill.llm.tables import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,10 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicate_report(documents(spark, folder))
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_report(documents(spark, folder), labels(spark, folder))
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.duplicate_report(documents(spark, folder))
 
@@ -87,7 +91,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc_words LEFT JOIN per_words USING (doc_id) LEFT JOIN per_items USING (doc_id)
 """
 
-QUERIES: dict[str, Query] = {query.__name__: query for query in [op1_simhash, op5_exact_dedup, op7_bpe, op10_decontamination]}
+QUERIES: dict[str, Query] = {query.__name__: query for query in [op1_simhash, op2_toxicity, op5_exact_dedup, op7_bpe, op10_decontamination]}
 
 ORACLE: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op10_decontamination": OP10_SQL}
 
