@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagemill.llm import bpe, decontaminate, exact, language, simhash, toxicity
+from usagemill.llm import bpe, decontaminate, exact, language, simhash, toxicity, urls
 from usagemill.llm.tables import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,19 @@ def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+RULES = [
+    urls.Rule("allow", "org/"),
+    urls.Rule("block", "example.org/es/"),
+    urls.Rule("block", "example.org/en/1"),
+    urls.Rule("allow", "com/fr/"),
+    urls.Rule("block", "com/de/"),
+]
+
+
+def op8_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge_urls(spark.read.parquet(f"{folder}/pages.parquet"), RULES)
+
+
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.language_report(documents(spark, folder))
 
@@ -95,7 +108,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc_words LEFT JOIN per_words USING (doc_id) LEFT JOIN per_items USING (doc_id)
 """
 
-QUERIES: dict[str, Query] = {query.__name__: query for query in [op1_simhash, op2_toxicity, op5_exact_dedup, op7_bpe, op9_language, op10_decontamination]}
+QUERIES: dict[str, Query] = {query.__name__: query for query in [op1_simhash, op2_toxicity, op5_exact_dedup, op7_bpe, op8_urls, op9_language, op10_decontamination]}
 
 ORACLE: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op10_decontamination": OP10_SQL}
 

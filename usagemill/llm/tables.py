@@ -84,12 +84,12 @@ def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield rows, codes.reshape(len(rows), width)
 
 
-def salted_lookup(rows: DataFrame, key: str, lookup: DataFrame, spread_by: Column) -> DataFrame:
+def salted_lookup(rows: DataFrame, key: str, lookup: DataFrame, spread_by: Column, how: str = "inner") -> DataFrame:
     """``rows`` with the columns of ``lookup`` (one row per key), for keys that may hold any share of the rows.
 
     The pairs of key and salt that occur are looked up first, at most ``SALTS`` for a key; the rows then meet their
     own pair, so that a hot key is dealt over as many reducers. Keys must not be null.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
-    pairs = salted.select(key, "_salt").distinct().join(lookup, key)
+    pairs = salted.select(key, "_salt").distinct().join(lookup, key, how)
     return salted.join(pairs, [key, "_salt"]).drop("_salt")
