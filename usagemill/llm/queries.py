@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagemill.llm import bpe, decontaminate, exact, language, simhash, suffix_dedup, toxicity, urls
+from usagemill.llm import bpe, decontaminate, exact, language, simhash, substring_dedup, suffix_dedup, toxicity, urls
 from usagemill.llm.tables import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,11 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.duplicate_report(documents(spark, folder))
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup.substring_report(documents(spark, folder))
+    return found.select("doc_id", "n_words", "n_removed", _digest("kept", "kept_sha256"))
+
+
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     coded = bpe.encoded_report(documents(spark, folder), vocabulary())
     return coded.select(
@@ -89,6 +94,23 @@ FROM (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
 WINDOW same AS (PARTITION BY text_sha256)
 """
 
+OP6_SQL = r"""
+WITH doc_words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, s, md5(array_to_string(w[s:s + 19], ' ')) AS phrase
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM doc_words WHERE len(w) > 19)),
+later AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY phrase ORDER BY doc_id, s) AS n FROM windows) WHERE n > 1),
+cut AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS s FROM later),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY s) AS words, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS s FROM doc_words) ANTI JOIN cut USING (doc_id, s)
+  GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(words, '')) AS kept_sha256
+FROM doc_words LEFT JOIN kept USING (doc_id)
+"""
+
 OP10_SQL = r"""
 WITH folded AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
@@ -113,9 +135,9 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc_words LEFT JOIN per_words USING (doc_id) LEFT JOIN per_items USING (doc_id)
 """
 
-QUERIES: dict[str, Query] = {query.__name__: query for query in [op1_simhash, op2_toxicity, op3_suffix_dedup, op5_exact_dedup, op7_bpe, op8_urls, op9_language, op10_decontamination]}
+QUERIES: dict[str, Query] = {query.__name__: query for query in [op1_simhash, op2_toxicity, op3_suffix_dedup, op5_exact_dedup, op6_substring_dedup, op7_bpe, op8_urls, op9_language, op10_decontamination]}
 
-ORACLE: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op10_decontamination": OP10_SQL}
+ORACLE: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op10_decontamination": OP10_SQL}
 
 
 def registered() -> dict[str, Query]:
