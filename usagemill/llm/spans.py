@@ -52,7 +52,7 @@ def cut_out(docs: DataFrame, carry: list[str], spans: DataFrame, key: Callable[[
     """
     own = keyed_texts(docs, carry)
     with_key = key(own)
-    by_key = spans.distinct().groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    by_key = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     members = member_filter(spans.select("key").distinct().select(short_key(F.col("key")).alias("k")))
     flagged = with_key.withColumn("_maybe", members.column(short_key(F.col("key"))))
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")

@@ -16,45 +16,52 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagemill.llm.anchors import Runs, runs
+from usagemill.llm.anchors import PrefixHash, Runs, mixed, runs
 from usagemill.llm.automaton import SuffixAutomaton
 from usagemill.llm.repeats import RepeatFilter, repeat_filter
 from usagemill.llm.spans import cut_out, member_filter
-from usagemill.llm.tables import byte_chunks, checkpointed, offsets, salted_lookup
+from usagemill.llm.tables import byte_chunks, kept_table, offsets
 
 LENGTH = 20
-GRAM = 6
+GRAM = 4
 HOT_KINDS = 4096
-SHARD_WORDS = 1 << 18
+SHARD_WORDS = 1 << 17
+SENT_KINDS = 1 << 18
 PIECE_WORDS = 1 << 19
 
+# Space, and tab to carriage return.
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _digest = xxhash.xxh3_128_digest
 
 
-def _key(text: bytes, doc_id) -> bytes:
-    """Of a document: its text and id."""
-    return _digest(text + b"\0" + str(doc_id).encode())
+def _short(data: bytes) -> int:
+    """A signed 64-bit digest."""
+    value = xxhash.xxh3_64_intdigest(data)
+    return value - (1 << 64) if value >> 63 else value
 
 
 class _Chunk:
     """The words of some texts, and the runs of their windows."""
 
     def __init__(self, texts: list[bytes], ids: list, length: int, gram: int):
-        split = [text.split() for text in texts]
-        self.ids, self.keys = ids, [_key(text, own) for text, own in zip(texts, ids)]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        self.begins = offsets(counts)
-        words = [word for own in split for word in own]
-        numbers = {word: xxhash.xxh3_64_intdigest(word) for word in set(words)}
-        values = np.fromiter(map(numbers.__getitem__, words), np.uint64, len(words))
-        self.joined = b" ".join(words)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        self.ends = np.cumsum(sizes + 1) - 1
-        self.starts = self.ends - sizes
-        parts = list(_runs(values, self.begins, length, gram))
+        self.ids, self.keys = ids, [_short(text) for text in texts]
+        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        letter = ~_SPACE[data]
+        kept = letter.copy()
+        kept[1:] |= letter[:-1]  # of the space after a word, one byte stays
+        edges = np.concatenate([[0], np.cumsum(kept)])
+        text_ends = edges[np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)]
+        norm, letter = data[kept], letter[kept]
+        norm = np.where(letter, norm, np.uint8(0x20))
+        self.joined = norm.tobytes()
+        self.ends = np.flatnonzero(~letter)
+        self.starts = np.concatenate([[0], self.ends[:-1] + 1]) if len(self.ends) else self.ends
+        self.begins = np.concatenate([[0], np.searchsorted(self.starts, text_ends)])
+        values = PrefixHash(norm).of(self.starts, self.ends)
+        parts = list(_runs(mixed(values), self.begins, length, gram))
         self.runs = Runs(*[np.concatenate([getattr(part, name) for part in parts]) for name in ("text", "first", "last", "anchor", "gram")])
         self.length = length
 
@@ -62,13 +69,23 @@ class _Chunk:
         """The words of the windows that start at ``first`` to ``last``."""
         return self.joined[self.starts[first] : self.ends[last + self.length - 1]]
 
-    def whole(self, i: int) -> bytes:
-        a, b, p = int(self.runs.first[i]), int(self.runs.last[i]), int(self.runs.anchor[i])
-        return _digest(self.passage(a, b) + b" " + str(p - a).encode())
-
-    def place(self, i: int) -> int:
-        """Start of a run in its own text."""
-        return int(self.runs.first[i] - self.begins[self.runs.text[i]])
+    def chosen(self, wanted: np.ndarray) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+        """Of some runs: text, gram, digest of all words and the anchor's place, first and last start, words."""
+        at = np.flatnonzero(wanted)
+        found = self.runs.pick(at)
+        begin = self.begins[found.text]
+        edges = zip(self.starts[found.first].tolist(), self.ends[found.last + self.length - 1].tolist())
+        reach = (found.anchor - found.first).tolist()
+        words = [self.joined[a:b] for a, b in edges]
+        whole = [_short(passage + b" %d" % r) for passage, r in zip(words, reach)]
+        return zip(
+            found.text.tolist(),
+            found.gram.view(np.int64).tolist(),
+            whole,
+            (found.first - begin).tolist(),
+            (found.last - begin).tolist(),
+            words,
+        )
 
 
 def _runs(values: np.ndarray, begins: np.ndarray, length: int, gram: int) -> Iterator[Runs]:
@@ -85,7 +102,7 @@ def _runs(values: np.ndarray, begins: np.ndarray, length: int, gram: int) -> Ite
 
 def _chunks(batch: pa.RecordBatch, length: int, gram: int) -> Iterator[_Chunk]:
     ids = batch.column("id")
-    for first, texts in byte_chunks(batch, "text"):
+    for first, texts in byte_chunks(batch, "text", 1 << 20):
         yield _Chunk(texts, ids.slice(first, len(texts)).to_pylist(), length, gram)
 
 
@@ -98,76 +115,87 @@ def _grams(length: int, gram: int):
     return run
 
 
+def _record(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[]] * len(names)
+    return pa.record_batch([pa.array(column, kind) for column, kind in zip(columns, kinds)], names=names)
+
+
 def _candidates(seen: RepeatFilter, length: int, gram: int):
-    """Runs whose gram may repeat, without their words."""
+    """Runs whose gram may repeat, without their words: of each kind the first in its text.
+
+    The others of the text start later, so they are spans already; they come merged, without a gram.
+    """
+    names = ["gram", "whole", "id", "key", "first", "last"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind = batch.schema.field("id").type
+            kinds = [pa.int64(), pa.int64(), batch.schema.field("id").type, pa.int64(), pa.int64(), pa.int64()]
             for chunk in _chunks(batch, length, gram):
-                grams = chunk.runs.gram.view(np.int64)
-                chosen = np.flatnonzero(seen.may_repeat(grams)).tolist()
-                text = chunk.runs.text
-                first = [chunk.place(i) for i in chosen]
-                columns = [
-                    pa.array(grams[chosen]),
-                    pa.array([chunk.whole(i) for i in chosen], pa.binary()),
-                    pa.array([chunk.keys[text[i]] for i in chosen], pa.binary()),
-                    pa.array([chunk.ids[text[i]] for i in chosen], kind),
-                    pa.array(first, pa.int64()),
-                    pa.array([a + int(chunk.runs.last[i] - chunk.runs.first[i]) for a, i in zip(first, chosen)], pa.int64()),
-                ]
-                yield pa.record_batch(columns, names=["gram", "whole", "key", "id", "first", "last"])
+                rows, current, met, span = [], -1, set(), None
+                for text, gram_, whole, first, last, _ in chunk.chosen(seen.may_repeat(chunk.runs.gram.view(np.int64))):
+                    if text != current:
+                        current, met, span = text, set(), None
+                    if whole not in met:
+                        met.add(whole)
+                        rows.append((gram_, whole, chunk.ids[text], chunk.keys[text], first, last))
+                    elif span is not None and rows[span][5] >= first - length:
+                        rows[span] = (*rows[span][:5], last)
+                    else:
+                        span = len(rows)
+                        rows.append((None, None, chunk.ids[text], chunk.keys[text], first, last))
+                yield _record(rows, names, kinds)
 
     return run
 
 
-def _contexts(mixed: RepeatFilter, hot: RepeatFilter | None, length: int, gram: int):
+def _contexts(mixed_: RepeatFilter, hot: RepeatFilter | None, length: int, gram: int):
     """The words of runs whose gram has several kinds of runs."""
+    names = ["gram", "whole", "id", "key", "first", "words"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: dict[bytes, tuple] = {}  # of each kind the earliest place that this task has sent
+        sent: dict[int, tuple] = {}  # of each kind the smallest document that this task has sent
         for batch in batches:
-            kind = batch.schema.field("id").type
+            kinds = [pa.int64(), pa.int64(), batch.schema.field("id").type, pa.int64(), pa.int64(), pa.binary()]
             for chunk in _chunks(batch, length, gram):
                 grams = chunk.runs.gram.view(np.int64)
-                wanted = mixed.may_repeat(grams)
+                wanted = mixed_.may_repeat(grams)
                 if hot is not None:
                     wanted &= ~hot.may_repeat(grams)
                 rows = []
-                for i in np.flatnonzero(wanted).tolist():
-                    whole, own, first = chunk.whole(i), chunk.ids[chunk.runs.text[i]], chunk.place(i)
-                    order = (own is not None, own, first)
+                for text, gram_, whole, first, _, words in chunk.chosen(wanted):
+                    order = (chunk.ids[text] is not None, chunk.ids[text])
                     if whole in sent and sent[whole] <= order:
                         continue
-                    if whole in sent or len(sent) < 1 << 19:
+                    if whole in sent or len(sent) < SENT_KINDS:
                         sent[whole] = order
-                    passage = chunk.passage(int(chunk.runs.first[i]), int(chunk.runs.last[i]))
-                    rows.append((int(grams[i]), whole, chunk.keys[chunk.runs.text[i]], own, first, passage))
-                columns = list(zip(*rows)) if rows else [[]] * 6
-                kinds = [pa.int64(), pa.binary(), pa.binary(), kind, pa.int64(), pa.binary()]
-                arrays = [pa.array(column, type_) for column, type_ in zip(columns, kinds)]
-                yield pa.record_batch(arrays, names=["gram", "whole", "key", "id", "first", "words"])
+                    rows.append((gram_, whole, chunk.ids[text], chunk.keys[text], first, words))
+                yield _record(rows, names, kinds)
 
     return run
 
 
 def _hot_windows(hot: RepeatFilter, length: int, gram: int):
-    """Digest and place of each window of the runs around hot anchors."""
+    """Digest and place of each window of the runs around hot anchors: of each string the first in its text.
+
+    The others are spans already and come without a digest.
+    """
+    names = ["window", "id", "key", "start"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind = batch.schema.field("id").type
+            kinds = [pa.binary(), batch.schema.field("id").type, pa.int64(), pa.int64()]
             for chunk in _chunks(batch, length, gram):
-                rows = []
-                for i in np.flatnonzero(hot.may_repeat(chunk.runs.gram.view(np.int64))).tolist():
-                    a, b, text = int(chunk.runs.first[i]), int(chunk.runs.last[i]), chunk.runs.text[i]
-                    begin = int(chunk.begins[text])
-                    rows += [(_digest(chunk.passage(at, at)), chunk.keys[text], chunk.ids[text], at - begin) for at in range(a, b + 1)]
-                columns = list(zip(*rows)) if rows else [[]] * 4
-                kinds = [pa.binary(), pa.binary(), kind, pa.int64()]
-                arrays = [pa.array(column, type_) for column, type_ in zip(columns, kinds)]
-                yield pa.record_batch(arrays, names=["window", "key", "id", "start"])
+                rows, current, met = [], -1, set()
+                chosen = np.flatnonzero(hot.may_repeat(chunk.runs.gram.view(np.int64)))
+                for i in chosen.tolist():
+                    text, begin = int(chunk.runs.text[i]), int(chunk.begins[chunk.runs.text[i]])
+                    if text != current:
+                        current, met = text, set()
+                    for at in range(int(chunk.runs.first[i]), int(chunk.runs.last[i]) + 1):
+                        window = _digest(chunk.passage(at, at))
+                        rows.append((None if window in met else window, chunk.ids[text], chunk.keys[text], at - begin))
+                        met.add(window)
+                yield _record(rows, names, kinds)
 
     return run
 
@@ -175,34 +203,34 @@ def _hot_windows(hot: RepeatFilter, length: int, gram: int):
 def _streamed(length: int):
     """Windows with an earlier start among the runs of a partition, which come sorted by gram and kind."""
 
-    def solve(rows: list[dict]) -> pa.RecordBatch:
+    def solve(rows: list[dict], kind: pa.DataType) -> pa.RecordBatch:
         rows = sorted(rows, key=lambda row: (row["id"] is not None, row["id"], row["first"]))
         numbers: dict[bytes, int] = {}
         sequences = [[numbers.setdefault(word, len(numbers)) for word in row["words"].split()] for row in rows]
         automaton = SuffixAutomaton()
         for sequence in sequences:
             automaton.add(sequence)
-        keys, starts, ends = [], [], []
-        place = 0
-        # Places count in the order of the rows; rows of one document and start are the same place.
-        at_start = {}
-        for row, sequence in zip(rows, sequences):
-            at_start.setdefault((row["id"], row["first"]), place)
-            own, before = at_start[row["id"], row["first"]], None
+        out = []
+        places = offsets(np.array([len(sequence) for sequence in sequences], np.int64))
+        for i, (row, sequence) in enumerate(zip(rows, sequences)):
+            own, before = int(places[i]), None
             for at, (size, first) in enumerate(automaton.matches(sequence, length)):
                 if size == length and first < own + at:
+                    earlier = rows[int(np.searchsorted(places, first, "right")) - 1]
+                    if earlier["id"] == row["id"] and earlier["key"] != row["key"]:
+                        continue  # rows that repeat a doc_id
                     start = row["first"] + at + 1 - length
-                    if before != start - 1:
-                        keys.append(row["key"])
-                        starts.append(start)
-                        ends.append(0)
-                    ends[-1], before = start + length, start
-            place += len(sequence)
-        return pa.record_batch([pa.array(keys, pa.binary()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["key", "start", "end"])
+                    if before == start - 1:
+                        out[-1] = (*out[-1][:3], start + length)
+                    else:
+                        out.append((row["id"], row["key"], start, start + length))
+                    before = start
+        return _record(out, ["id", "key", "start", "end"], [kind, pa.int64(), pa.int64(), pa.int64()])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, group, size = [], [], 0
+        held, group, size, kind = [], [], 0, pa.null()
         for batch in batches:
+            kind = batch.schema.field("id").type
             for row in batch.to_pylist():
                 if group and row["gram"] != group[-1]["gram"]:
                     if len(group) > 1:
@@ -210,52 +238,58 @@ def _streamed(length: int):
                         size += len(group) * (length + 8)
                     group = []
                     if size > SHARD_WORDS:
-                        yield solve(held)
+                        yield solve(held, batch.schema.field("id").type)
                         held, size = [], 0
                 if not group or row["whole"] != group[-1]["whole"]:
                     group.append(row)
         if len(group) > 1:
             held += group
         if held:
-            yield solve(held)
+            yield solve(held, kind)
 
     return run
 
 
 def earlier_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_kinds: int = HOT_KINDS) -> DataFrame:
-    """``key`` (a digest of text and doc_id), ``start``, ``end``: spans of words covered by windows that start earlier."""
+    """``id``, ``key`` (a digest of the text), ``start``, ``end``: spans of words covered by windows that start earlier."""
     if not 0 < gram <= length:
         raise ValueError("a gram must fit into the window")
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     kind = texts.schema["id"].dataType.simpleString()
     seen = repeat_filter(texts.mapInArrow(_grams(length, gram), "gram bigint"))
-    shape = f"gram bigint, whole binary, key binary, id {kind}, first bigint, last bigint"
-    found = checkpointed(texts.mapInArrow(_candidates(seen, length, gram), shape))
-    order = F.struct("id", "first")
-    kinds = checkpointed(found.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("least")))
-    again = kinds.filter("n > 1").select("whole", "least")
-    whole = salted_lookup(found.select("whole", "key", "id", "first", "last"), "whole", again, F.col("key"))
-    whole = whole.filter(order > F.col("least"))
-    spans = [whole.select("key", F.col("first").alias("start"), (F.col("last") + length).alias("end"))]
+    shape = f"gram bigint, whole bigint, id {kind}, key bigint, first bigint, last bigint"
+    found = kept_table(texts.mapInArrow(_candidates(seen, length, gram), shape), "candidates")
+    span = [F.col("first").alias("start"), (F.col("last") + length).alias("end")]
+    spans = [found.filter("gram IS NULL").select("id", "key", *span)]
+    found = found.filter("gram IS NOT NULL")
+    # A row for each text and kind: the smallest doc_id keeps the run, the others lose it as a whole.
+    kinds = kept_table(found.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")), "kinds")
+    again = kinds.filter("n > 1").select("gram", "whole", "least")
+    later = (F.col("id") > F.col("least")) & F.col("id").isNotNull()
+    # Adaptive execution splits a kind that very many documents share.
+    spans.append(found.join(again, ["gram", "whole"]).filter(later).select("id", "key", *span))
 
     several = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    mixed = member_filter(several.select("gram"))
+    several = kept_table(several, "grams")
+    mixed_ = member_filter(several.select("gram"))
     hottest = several.filter(F.col("kinds") > hot_kinds).select("gram")
     hot = None if hottest.isEmpty() else member_filter(hottest)
-    shape = f"gram bigint, whole binary, key binary, id {kind}, first bigint, words binary"
-    contexts = texts.mapInArrow(_contexts(mixed, hot, length, gram), shape)
-    contexts = contexts.repartition("gram").sortWithinPartitions("gram", "whole", "id", "first")
-    spans.append(contexts.mapInArrow(_streamed(length), "key binary, start bigint, end bigint"))
+    shape = f"gram bigint, whole bigint, id {kind}, key bigint, first bigint, words binary"
+    contexts = texts.mapInArrow(_contexts(mixed_, hot, length, gram), shape)
+    contexts = contexts.repartition("gram").sortWithinPartitions("gram", "whole", "id")
+    spans.append(contexts.mapInArrow(_streamed(length), f"id {kind}, key bigint, start bigint, end bigint"))
     if hot is not None:
-        windows = texts.mapInArrow(_hot_windows(hot, length, gram), f"window binary, key binary, id {kind}, start bigint")
-        place = F.struct("id", "start")
-        least = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).filter("n > 1")
-        met = salted_lookup(windows, "window", least.select("window", "least"), F.col("key")).filter(place > F.col("least"))
-        spans.append(met.select("key", "start", (F.col("start") + length).alias("end")))
+        windows = texts.mapInArrow(_hot_windows(hot, length, gram), f"window binary, id {kind}, key bigint, start bigint")
+        windows = kept_table(windows, "windows")
+        end = (F.col("start") + length).alias("end")
+        spans.append(windows.filter("window IS NULL").select("id", "key", "start", end))
+        windows = windows.filter("window IS NOT NULL")
+        least = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).filter("n > 1")
+        spans.append(windows.join(least.select("window", "least"), "window").filter(later).select("id", "key", "start", end))
     out = spans[0]
     for part in spans[1:]:
         out = out.unionByName(part)
-    return checkpointed(out.distinct())
+    return kept_table(out, "spans")
 
 
 def _cut_words(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, bytes]:
@@ -266,14 +300,18 @@ def _cut_words(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int,
 
 def _add_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("row").field("_id").to_pylist()
-        texts = [text for _, part in byte_chunks(batch, "text") for text in part]
-        keys = pa.array([_key(text, own) for text, own in zip(texts, ids)], pa.binary())
-        yield pa.record_batch([*batch.columns, keys], names=[*batch.schema.names, "key"])
+        keys = [_short(text) for _, texts in byte_chunks(batch, "text") for text in texts]
+        yield pa.record_batch([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "key"])
 
 
 def _with_keys(own: DataFrame) -> DataFrame:
-    return own.mapInArrow(_add_keys, f"row {own.schema['row'].dataType.simpleString()}, text string, key binary")
+    keyed = own.mapInArrow(_add_keys, f"row {own.schema['row'].dataType.simpleString()}, text string, key bigint")
+    return keyed.withColumn("key", _both(F.col("row._id")))
+
+
+def _both(doc_id: Column) -> Column:
+    """A document's key: its doc_id and the digest of its text."""
+    return F.concat_ws(" ", doc_id.cast("string"), F.col("key")).cast("binary")
 
 
 def remove_substrings(docs: DataFrame, carry: list[str], length: int = LENGTH, **options) -> DataFrame:
@@ -282,11 +320,11 @@ def remove_substrings(docs: DataFrame, carry: list[str], length: int = LENGTH, *
 
     Words are runs of bytes other than space and tab to carriage return. A word is removed if a window of ``length``
     words that covers it also starts earlier: in a document of a smaller doc_id, or earlier in one of the same doc_id.
-    Windows are judged on the input. A null doc_id counts as smaller than any other; rows that repeat a doc_id are one
-    document and remove nothing from each other at the same place. A null text has no word. Columns of ``docs`` may
+    Windows are judged on the input. A null doc_id counts as smaller than any other; rows of one doc_id, the null one
+    too, remove nothing from each other. A null text has no word. Columns of ``docs`` may
     have any name; an empty table gives no row.
     """
-    spans = earlier_spans(docs, length, **options)
+    spans = earlier_spans(docs, length, **options).select(_both(F.col("id")).alias("key"), "start", "end")
     own = docs.select(F.struct(*[F.col(f"`{name}`") for name in carry]).alias("r"), F.col("doc_id").alias("_id"), "text")
     cut = cut_out(own, ["r", "_id"], spans, _with_keys, _cut_words)
     kept = F.col("kept").cast("string").alias("kept")

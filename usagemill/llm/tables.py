@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagemill.session import shared_root
+from usagemill.session import fresh_folder, shared_root
 
 # Texts are turned into Python objects in pieces of about so many bytes; a longer text is a piece of its own.
 CHUNK_BYTES = 1 << 21
@@ -26,6 +26,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept_table(df: DataFrame, label: str) -> DataFrame:
+    """As ``checkpointed``, as a compressed table; for what has very many rows."""
+    folder = fresh_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
