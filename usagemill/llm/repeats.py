@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 CELLS_LOG2 = 27
 SEGMENT_LOG2 = 16
-FLUSH = 1 << 19
+FLUSH = 1 << 18
 
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _SCHEMA = pa.schema([("segment", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])

@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usagemill.llm.anchors import PrefixHash, Runs, mixed, runs
@@ -29,7 +29,7 @@ LENGTH = 20
 GRAM = 4
 HOT_KINDS = 4096
 SHARD_WORDS = 1 << 17
-SENT_KINDS = 1 << 18
+SENT_KINDS = 1 << 16
 PIECE_WORDS = 1 << 19
 
 # Space, and tab to carriage return.
@@ -102,7 +102,7 @@ def _runs(values: np.ndarray, begins: np.ndarray, length: int, gram: int) -> Ite
 
 def _chunks(batch: pa.RecordBatch, length: int, gram: int) -> Iterator[_Chunk]:
     ids = batch.column("id")
-    for first, texts in byte_chunks(batch, "text", 1 << 20):
+    for first, texts in byte_chunks(batch, "text", 1 << 19):
         yield _Chunk(texts, ids.slice(first, len(texts)).to_pylist(), length, gram)
 
 
@@ -298,20 +298,20 @@ def _cut_words(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int,
     return len(words), b" ".join(word for a, b in zip(edges[::2], edges[1::2]) for word in words[a:b])
 
 
-def _add_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = [_short(text) for _, texts in byte_chunks(batch, "text") for text in texts]
-        yield pa.record_batch([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "key"])
+def _document_key(text: bytes, doc_id) -> bytes:
+    return _digest(b"%d %s" % (_short(text), str(doc_id).encode()))
 
 
-def _with_keys(own: DataFrame) -> DataFrame:
-    keyed = own.mapInArrow(_add_keys, f"row {own.schema['row'].dataType.simpleString()}, text string, key bigint")
-    return keyed.withColumn("key", _both(F.col("row._id")))
+def _document_keys(spans: DataFrame) -> DataFrame:
+    """Spans by the key of text and doc_id."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = zip(batch.column("key").to_pylist(), batch.column("id").to_pylist())
+            keys = [_digest(b"%d %s" % (short, str(doc_id).encode())) for short, doc_id in own]
+            yield pa.record_batch([pa.array(keys, pa.binary()), batch.column("start"), batch.column("end")], names=["key", "start", "end"])
 
-def _both(doc_id: Column) -> Column:
-    """A document's key: its doc_id and the digest of its text."""
-    return F.concat_ws(" ", doc_id.cast("string"), F.col("key")).cast("binary")
+    return spans.mapInArrow(run, "key binary, start bigint, end bigint")
 
 
 def remove_substrings(docs: DataFrame, carry: list[str], length: int = LENGTH, **options) -> DataFrame:
@@ -324,11 +324,10 @@ def remove_substrings(docs: DataFrame, carry: list[str], length: int = LENGTH, *
     too, remove nothing from each other. A null text has no word. Columns of ``docs`` may
     have any name; an empty table gives no row.
     """
-    spans = earlier_spans(docs, length, **options).select(_both(F.col("id")).alias("key"), "start", "end")
-    own = docs.select(F.struct(*[F.col(f"`{name}`") for name in carry]).alias("r"), F.col("doc_id").alias("_id"), "text")
-    cut = cut_out(own, ["r", "_id"], spans, _with_keys, _cut_words)
+    spans = _document_keys(earlier_spans(docs, length, **options))
+    cut = cut_out(docs, carry, spans, _document_key, _cut_words)
     kept = F.col("kept").cast("string").alias("kept")
-    return cut.select(F.col("row.r").alias("row"), F.col("n_units").alias("n_words"), "n_removed", "n_spans", kept)
+    return cut.select("row", F.col("n_units").alias("n_words"), "n_removed", "n_spans", kept)
 
 
 def substring_report(docs: DataFrame, **options) -> DataFrame:

@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,15 +22,17 @@ from pyspark.sql import functions as F
 
 from usagemill.llm.anchors import Runs, runs
 from usagemill.llm.repeats import RepeatFilter, repeat_filter
-from usagemill.llm.spans import add_keys, cut_out, member_filter, text_key
+from usagemill.llm.spans import cut_out, member_filter, text_key
 from usagemill.llm.suffix_sort import repeated_windows
-from usagemill.llm.tables import byte_chunks, checkpointed, offsets, salted_lookup
+from usagemill.llm.tables import byte_chunks, kept_table, offsets
 
 LENGTH = 400
 GRAM = 64
 # An anchor with more kinds of runs than this is counted window by window, over all reducers.
 HOT_KINDS = 4096
-SORT_BYTES = 4 << 20
+SORT_BYTES = 2 << 20
+# A task remembers so many kinds of runs that it has sent.
+SENT_KINDS = 1 << 17
 # Longer texts are looked at in pieces that overlap by a window.
 PIECE_BYTES = 4 << 20
 
@@ -49,7 +52,7 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[bytes], list
 
 def _found(batch: pa.RecordBatch, length: int, gram: int) -> Iterator[tuple[bytes, Runs, np.ndarray, np.ndarray, list[bytes]]]:
     """Of each chunk: all bytes, runs, and for each run its start in the text less that in the chunk, and its key."""
-    for _, texts in byte_chunks(batch, "text", 1 << 20):
+    for _, texts in byte_chunks(batch, "text", 1 << 19):
         keys = [text_key(text) for text in texts]
         for parts, places in _pieces(texts, length):
             begins = offsets(np.fromiter(map(len, parts), np.int64, len(parts)))
@@ -69,57 +72,83 @@ def _grams(length: int, gram: int):
     return run
 
 
-def _whole_digest(data: bytes, found: Runs, i: int, length: int) -> bytes:
-    """Of a run's bytes, and of how far it reaches to either side of its anchor."""
-    a, b, p = int(found.first[i]), int(found.last[i]), int(found.anchor[i])
-    return _digest(data[a : b + length] + (p - a).to_bytes(4, "little"))
+def _chosen(data: bytes, found: Runs, wanted: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int, int, int, bytes]]:
+    """Of some runs: number, text, digest of all bytes and the anchor's place, first and last start, the anchor's
+    distance from the first, bytes."""
+    at = np.flatnonzero(wanted)
+    part = found.pick(at)
+    first, last = part.first.tolist(), part.last.tolist()
+    reach = (part.anchor - part.first).tolist()
+    for i, text, a, b, r in zip(at.tolist(), part.text.tolist(), first, last, reach):
+        own = data[a : b + length]
+        whole = xxhash.xxh3_64_intdigest(own + r.to_bytes(4, "little"))
+        yield i, text, whole - (1 << 64) if whole >> 63 else whole, a, b, r, own
+
+
+def _record(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[]] * len(names)
+    return pa.record_batch([pa.array(column, kind) for column, kind in zip(columns, kinds)], names=names)
 
 
 def _candidates(seen: RepeatFilter, length: int, gram: int):
-    """Runs whose gram may repeat, without their bytes."""
+    """Runs whose gram may repeat, without their bytes: of each kind one for each text, with their number.
+
+    Kinds that a text has more than once are spans already; those come merged, without a gram.
+    """
+    names = ["gram", "whole", "key", "first", "last", "n"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+
+    def of_text(rows: list[tuple], key: bytes, own: list[tuple]) -> None:
+        times = Counter(whole for _, whole, _, _ in own)
+        met, span = set(), None
+        for gram_, whole, first, last in own:
+            if whole not in met:
+                met.add(whole)
+                rows.append((gram_, whole, key, first, last, times[whole]))
+            if times[whole] > 1:
+                if span is not None and rows[span][4] >= first - length:
+                    rows[span] = (None, None, key, rows[span][3], last, None)
+                else:
+                    span = len(rows)
+                    rows.append((None, None, key, first, last, None))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, found, shift, text, owner in _found(batch, length, gram):
-                chosen = np.flatnonzero(seen.may_repeat(found.gram.view(np.int64)))
-                part = found.pick(chosen)
-                whole = [_whole_digest(data, part, i, length) for i in range(len(chosen))]
-                columns = [
-                    pa.array(part.gram.view(np.int64)),
-                    pa.array(whole, pa.binary()),
-                    pa.array([owner[i] for i in part.text.tolist()], pa.binary()),
-                    pa.array(part.first + shift[chosen]),
-                    pa.array(part.last + shift[chosen]),
-                ]
-                yield pa.record_batch(columns, names=["gram", "whole", "key", "first", "last"])
+            for data, found, shift, _, owner in _found(batch, length, gram):
+                rows, current, own = [], -1, []
+                for i, text, whole, first, last, _, _ in _chosen(data, found, seen.may_repeat(found.gram.view(np.int64)), length):
+                    if text != current:
+                        if own:
+                            of_text(rows, owner[current], own)
+                        current, own = text, []
+                    own.append((int(found.gram[i].view(np.int64)), whole, first + int(shift[i]), last + int(shift[i])))
+                if own:
+                    of_text(rows, owner[current], own)
+                yield _record(rows, names, kinds)
 
     return run
 
 
 def _contexts(mixed: RepeatFilter, hot: RepeatFilter | None, length: int, gram: int):
-    """The bytes of runs whose gram has several kinds of runs, each kind once per task."""
+    """The bytes of runs whose gram has several kinds of runs; of each kind one for each task, as far as it remembers."""
+    names = ["gram", "whole", "key", "first", "reach", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[bytes] = set()
+        sent: set[int] = set()
         for batch in batches:
-            for data, found, shift, text, owner in _found(batch, length, gram):
+            for data, found, shift, _, owner in _found(batch, length, gram):
                 signed = found.gram.view(np.int64)
                 wanted = mixed.may_repeat(signed)
                 if hot is not None:
                     wanted &= ~hot.may_repeat(signed)
                 rows = []
-                for i in np.flatnonzero(wanted).tolist():
-                    whole = _whole_digest(data, found, i, length)
-                    if whole in sent:
-                        continue
-                    if len(sent) < 1 << 20:
-                        sent.add(whole)
-                    a, b, p = int(found.first[i]), int(found.last[i]), int(found.anchor[i])
-                    rows.append((int(signed[i]), whole, owner[text[i]], a + int(shift[i]), p - a, data[a : b + length]))
-                columns = list(zip(*rows)) if rows else [[]] * 6
-                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
-                arrays = [pa.array(column, kind) for column, kind in zip(columns, kinds)]
-                yield pa.record_batch(arrays, names=["gram", "whole", "key", "first", "reach", "bytes"])
+                for i, text, whole, first, _, reach, own in _chosen(data, found, wanted, length):
+                    if whole not in sent:
+                        if len(sent) < SENT_KINDS:
+                            sent.add(whole)
+                        rows.append((int(signed[i]), whole, owner[text], first + int(shift[i]), reach, own))
+                yield _record(rows, names, kinds)
 
     return run
 
@@ -188,30 +217,33 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
         raise ValueError("a gram must fit into the window")
     texts = docs.select(F.col("text").cast("string").alias("text")).filter(F.octet_length("text") >= length)
     seen = repeat_filter(texts.mapInArrow(_grams(length, gram), "gram bigint"))
-    found = texts.mapInArrow(_candidates(seen, length, gram), "gram bigint, whole binary, key binary, first bigint, last bigint")
-    found = checkpointed(found)
-    kinds = checkpointed(found.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("n")))
-    again = kinds.filter("n > 1").select("whole").distinct()
-    whole = salted_lookup(found.select("whole", "key", "first", "last"), "whole", again, F.col("key"))
-    spans = [whole.select("key", F.col("first").alias("start"), (F.col("last") + length).alias("end"))]
+    shape = "gram bigint, whole bigint, key binary, first bigint, last bigint, n bigint"
+    found = kept_table(texts.mapInArrow(_candidates(seen, length, gram), shape), "candidates")
+    span = [F.col("first").alias("start"), (F.col("last") + length).alias("end")]
+    spans = [found.filter("gram IS NULL").select("key", *span)]
+    found = found.filter("gram IS NOT NULL")
+    kinds = kept_table(found.groupBy("gram", "whole").agg(F.sum("n").alias("n")), "kinds")
+    # Adaptive execution splits a kind that very many texts share.
+    spans.append(found.join(kinds.filter("n > 1").select("gram", "whole"), ["gram", "whole"]).select("key", *span))
 
     several = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    several = kept_table(several, "grams")
     mixed = member_filter(several.select("gram"))
     hottest = several.filter(F.col("kinds") > hot_kinds).select("gram")
     hot = None if hottest.isEmpty() else member_filter(hottest)
-    shape = "gram bigint, whole binary, key binary, first bigint, reach bigint, bytes binary"
+    shape = "gram bigint, whole bigint, key binary, first bigint, reach bigint, bytes binary"
     contexts = texts.mapInArrow(_contexts(mixed, hot, length, gram), shape)
     contexts = contexts.repartition("gram").sortWithinPartitions("gram", "whole")
     spans.append(contexts.mapInArrow(_sorted_out(length), "key binary, start bigint, end bigint"))
     if hot is not None:
         windows = texts.mapInArrow(_hot_windows(hot, length, gram), "window binary, key binary, start bigint")
+        windows = kept_table(windows, "windows")
         twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
-        met = salted_lookup(windows, "window", twice, F.col("key"))
-        spans.append(met.select("key", "start", (F.col("start") + length).alias("end")))
+        spans.append(windows.join(twice, "window").select("key", "start", (F.col("start") + length).alias("end")))
     out = spans[0]
     for part in spans[1:]:
         out = out.unionByName(part)
-    return checkpointed(out.distinct())
+    return kept_table(out.distinct(), "spans")
 
 
 def _cut_bytes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, bytes]:
@@ -219,10 +251,6 @@ def _cut_bytes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int,
     return len(text), b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def _with_keys(own: DataFrame) -> DataFrame:
-    return own.mapInArrow(add_keys, f"row {own.schema['row'].dataType.simpleString()}, text string, key binary")
-
-
 def remove_repeats(docs: DataFrame, carry: list[str], length: int = LENGTH, **options) -> DataFrame:
     """``row`` (a struct of the carried columns), ``n_bytes, n_removed, n_spans, kept`` of every row of ``docs``.
 
@@ -232,7 +260,7 @@ def remove_repeats(docs: DataFrame, carry: list[str], length: int = LENGTH, **op
     binary, as a cut may fall inside a letter. Columns of ``docs`` may have any name; an empty table gives no row.
     """
     spans = repeated_spans(docs, length, **options)
-    cut = cut_out(docs, carry, spans, _with_keys, _cut_bytes)
+    cut = cut_out(docs, carry, spans, lambda text, _: text_key(text), _cut_bytes)
     return cut.select("row", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept")
 
 
