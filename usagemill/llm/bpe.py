@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagemill.llm.tables import offsets, spread, text_chunks
+from usagemill.llm.tables import offsets, own_rows, spread, text_chunks
 
 # A task forgets the words it has encoded when they are more than this, to bound its memory.
 CACHE_WORDS = 1 << 18
@@ -178,8 +178,7 @@ def encode(docs: DataFrame, path: str, carry: list[str]) -> DataFrame:
     ``path`` must be readable on every executor. A null text is an empty one, with no id; columns of ``docs`` may have
     any name.
     """
-    own = docs.select(F.struct(*[F.col(f"`{name}`") for name in carry]).alias("row"), F.col("text").cast("string").alias("text"))
-    kind = own.schema["row"].dataType.simpleString()
+    own, kind = own_rows(docs, carry)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder(_load(path))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usagemill.llm.fm_index import FMIndex
-from usagemill.llm.tables import byte_chunks, checkpointed, offsets
+from usagemill.llm.tables import byte_chunks, checkpointed, offsets, own_rows
 
 WINDOW_WORDS = 10
 # Documents are searched with so many bytes of benchmark text at a time, which bounds what is sent to the tasks.
@@ -130,8 +130,7 @@ def find_contamination(
     but names none. With no benchmark nothing is hit. Each task indexes its own documents: nothing is shuffled, unless
     the benchmark takes more than one block; then the blocks' spans are brought together by row.
     """
-    own = docs.select(F.struct(*[F.col(f"`{name}`") for name in carry]).alias("row"), F.col("text").cast("string").alias("text"))
-    kind = own.schema["row"].dataType.simpleString()
+    own, kind = own_rows(docs, carry)
     out = f"row {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>"
     context = docs.sparkSession.sparkContext
     blocks = [context.broadcast(phrases) for phrases in _blocks(benchmark, window, block_bytes)]

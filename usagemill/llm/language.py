@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagemill.llm.crf import LONGEST, Chain, fit, marginals
-from usagemill.llm.tables import checkpointed, held_out, text_chunks
+from usagemill.llm.tables import checkpointed, held_out, own_rows, text_chunks
 
 # The chain is fitted on at most so many different texts of each language, the ones of the smallest hashes, and on at
 # most so many words of each, drawn from all over the text. Prediction has no such bound.
@@ -122,8 +122,7 @@ def predict(docs: DataFrame, carry: list[str], chain: Chain | None) -> DataFrame
     ``und`` with score 0; so are all texts if nothing could be learned. Columns of ``docs`` may have any name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # a fixed number of features for each language
-    own = docs.select(F.struct(*[F.col(f"`{name}`") for name in carry]).alias("row"), F.col("text").cast("string").alias("text"))
-    kind = own.schema["row"].dataType.simpleString()
+    own, kind = own_rows(docs, carry)
     return own.mapInArrow(_predictor(shared), f"row {kind}, lang_pred string, score double")
 
 

@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 
 from usagemill.llm.components import components
 from usagemill.llm.gray_index import gray_rank, group_links
-from usagemill.llm.tables import byte_chunks, checkpointed, salted_lookup
+from usagemill.llm.repeats import member_filter
+from usagemill.llm.tables import byte_chunks, checkpointed, own_rows, salted_lookup
 
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 3
 SEED = 42
 BITS = 64
+SLICE = 1 << 16  # hashes of a text that are counted at once
 # A reducer joins whole groups into one forest of about so many fingerprints.
 FOREST = 1 << 18
 # A block value that more fingerprints share is split by the rest of the bits, down to SPLITS times.
@@ -30,49 +32,38 @@ HOT_GROUP = 1 << 16
 SPLITS = 2
 
 
-def _fingerprints(texts: list[bytes], words_per: int) -> np.ndarray:
-    hashes, counts = [], []
-    for text in texts:
-        words = text.lower().split()  # bytes: lower-cases A-Z alone, splits at space and \t to \r
-        if len(words) <= words_per:
-            pieces = [b" ".join(words)] if words else []
-            hashes += [xxhash.xxh64_intdigest(piece, SEED) for piece in pieces]
-            counts.append(len(pieces))
-            continue
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        last = len(words) - words_per + 1
-        digest = xxhash.xxh64_intdigest
-        hashes += [digest(joined[a:b], SEED) for a, b in zip(starts[:last].tolist(), ends[words_per - 1 :].tolist())]
-        counts.append(last)
-    counts = np.array(counts, np.int64)
-    out = np.zeros(len(texts), np.uint64)
-    full = np.flatnonzero(counts)
-    if len(full):
-        bits = np.unpackbits(np.array(hashes, np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        starts = np.concatenate([[0], np.cumsum(counts[full])[:-1]])
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-        major = np.packbits(ones * 2 > counts[full][:, None], axis=1)
-        out[full] = major.copy().view(">u8").ravel()
-    return out
+def _fingerprint(text: bytes, words_per: int) -> int:
+    words = text.lower().split()  # bytes: lower-cases A-Z alone, splits at space and \t to \r
+    if not words:
+        return 0
+    joined = b" ".join(words)
+    if len(words) <= words_per:
+        return xxhash.xxh64_intdigest(joined, SEED)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - words_per + 1]
+    ends, digest = ends[words_per - 1 :], xxhash.xxh64_intdigest
+    ones = np.zeros(BITS, np.int64)
+    for first in range(0, len(starts), SLICE):
+        part = slice(first, first + SLICE)
+        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[part].tolist(), ends[part].tolist())]
+        bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(starts)).tobytes(), "big")
 
 
 def _fingerprint_batches(words_per: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [_fingerprints(texts, words_per) for _, texts in byte_chunks(batch, "text")]
-            codes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            yield pa.record_batch([batch.column("row"), pa.array(codes.view(np.int64))], names=["row", "code"])
+            codes = [_fingerprint(text, words_per) for _, texts in byte_chunks(batch, "text", SLICE) for text in texts]
+            signed = np.array(codes, np.uint64).view(np.int64)
+            yield pa.record_batch([batch.column("row"), pa.array(signed)], names=["row", "code"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, carry: list[str], words_per: int = SHINGLE_WORDS) -> DataFrame:
     """``row`` (a struct of the carried columns) and the 64-bit ``code`` of every row of ``docs``."""
-    row = F.struct(*[F.col(f"`{name}`") for name in carry]).alias("row")
-    rows = docs.select(row, F.col("text").cast("string").alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
+    rows, kind = own_rows(docs, carry)
     return rows.mapInArrow(_fingerprint_batches(words_per), f"row {kind}, code bigint")
 
 
@@ -131,6 +122,9 @@ def links(codes: DataFrame, limit: int = MAX_DISTANCE) -> DataFrame:
     keyed = _keyed(codes, limit + 1)
     for turn in range(SPLITS):
         sizes = keyed.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_GROUP)
+        sizes = checkpointed(sizes)
+        if sizes.isEmpty():
+            break
         hot = keyed.join(sizes.select("group"), "group", "left_semi")
         cold = keyed.join(sizes.select("group"), "group", "left_anti")
         # Cuts that start elsewhere: parts of the code turned by some bits.
@@ -180,5 +174,19 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one doc_id of each component: the smallest."""
-    return near_duplicates(docs, docs.columns).filter(F.col("_id").eqNullSafe(F.col("component_id"))).select("row.*")
+    """The rows of ``docs`` that stay, with all their columns: those of the smallest doc_id of their component.
+
+    Only ids and hashes of texts are shuffled, and the rows whose id may be one of those that go.
+    """
+    own = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    found = near_duplicates(own, ["doc_id", "hash"])
+    gone = found.filter(~F.col("_id").eqNullSafe(F.col("component_id"))).select("row.doc_id", "row.hash").distinct()
+    gone = checkpointed(gone)
+    members = member_filter(gone.select(F.xxhash64("doc_id", "hash").alias("key")))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("hash")
+    )
+    flagged = rows.withColumn("_maybe", members.column(F.xxhash64("doc_id", "hash")))
+    maybe, away = flagged.filter("_maybe").alias("m"), gone.alias("g")
+    same = F.col("m.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("m.hash") == F.col("g.hash"))
+    return flagged.filter("NOT _maybe").select("row.*").unionByName(maybe.join(away, same, "left_anti").select("row.*"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usagemill.llm.anchors import merged_spans
-from usagemill.llm.repeats import CELLS_LOG2, RepeatFilter, repeat_filter
+from usagemill.llm.repeats import RepeatFilter, member_filter
 from usagemill.llm.tables import byte_chunks
 
 
@@ -19,11 +19,6 @@ def text_key(text: bytes) -> bytes:
     return xxhash.xxh3_128_digest(text)
 
 
-def member_filter(members: DataFrame, log2: int = CELLS_LOG2) -> RepeatFilter:
-    """A filter that passes all of the only column of ``members`` (longs) and few others: each counts twice."""
-    return repeat_filter(members.unionAll(members), log2)
-
-
 Key = Callable[[bytes, object], bytes]
 Cutter = Callable[[bytes, np.ndarray, np.ndarray], tuple[int, bytes]]
 

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from usagemill.llm.anchors import PrefixHash, Runs, mixed, runs
 from usagemill.llm.automaton import SuffixAutomaton
-from usagemill.llm.repeats import RepeatFilter, repeat_filter
-from usagemill.llm.spans import cut_out, member_filter
+from usagemill.llm.repeats import RepeatFilter, member_filter, repeat_filter
+from usagemill.llm.spans import cut_out
 from usagemill.llm.tables import byte_chunks, kept_table, offsets
 
 LENGTH = 20

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usagemill.llm.anchors import Runs, runs
-from usagemill.llm.repeats import RepeatFilter, repeat_filter
-from usagemill.llm.spans import cut_out, member_filter, text_key
+from usagemill.llm.repeats import RepeatFilter, member_filter, repeat_filter
+from usagemill.llm.spans import cut_out, text_key
 from usagemill.llm.suffix_sort import repeated_windows
 from usagemill.llm.tables import byte_chunks, kept_table, offsets
 

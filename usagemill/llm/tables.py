@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +46,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def own_rows(docs: DataFrame, carry: Sequence[str]) -> tuple[DataFrame, str]:
+    """``row`` (a struct of the carried columns) and, unless it is one of them, ``text``; and the type of ``row``.
+
+    Operators keep a document's own columns in the struct, so that those may have any name.
+    """
+    columns = [F.struct(*[F.col(f"`{name}`") for name in carry]).alias("row")]
+    if "text" not in carry or docs.schema["text"].dataType.simpleString() != "string":
+        columns.append(F.col("text").cast("string").alias("text"))
+    own = docs.select(*columns)
+    return own, own.schema["row"].dataType.simpleString()
+
+
 def byte_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """First row and UTF-8 texts of consecutive pieces of a batch; a null is an empty text."""
-    texts = batch.column(column)
+    """First row and UTF-8 texts of consecutive pieces of a batch; a null is an empty text.
+
+    The texts are a column of the batch or a field of its ``row``.
+    """
+    texts = batch.column(column) if column in batch.schema.names else batch.column("row").field(column)
     start, end, size = 0, 0, 0
     lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     while start < len(lengths):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagemill.llm.tables import checkpointed, held_out, offsets, text_chunks
+from usagemill.llm.tables import checkpointed, held_out, offsets, own_rows, text_chunks
 from usagemill.llm.word_kernel import LETTERS, LONGEST, FeatureTable, WordKernel
 
 # The machine is fitted on at most so many labelled documents of each class, of different texts, the ones of the
@@ -34,7 +34,8 @@ BACKGROUND = 32
 RANDOM_WORDS = 4000
 ROUNDS = 4
 CLEAN_COST = 2.0  # of a word's share of clean documents, against its share as the word of toxic ones
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 17
+CHUNK_BYTES = 1 << 20
 
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
 _EDGES = "".join(map(chr, range(0x21, 0x30))) + ":;<=>?@[\\]^_`{|}~"
@@ -216,7 +217,7 @@ def _scorer(shared):
         model: Model | None = shared.value
         known: dict[str, float] = {}
         for batch in batches:
-            for first, texts in text_chunks(batch, "text"):
+            for first, texts in text_chunks(batch, "text", CHUNK_BYTES):
                 split = [words_of(text) for text in texts]
                 if model is None:
                     out = np.zeros(len(texts))
@@ -243,8 +244,8 @@ def score(docs: DataFrame, labels: DataFrame, carry: list[str], bound: int = TRA
     """
     model = fit(_sample(docs, labels, bound))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB: one weight for each feature, and the alphabet
-    own = docs.select(F.struct(*[F.col(f"`{name}`") for name in carry]).alias("row"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(_scorer(shared), f"row {own.schema['row'].dataType.simpleString()}, score double")
+    own, kind = own_rows(docs, carry)
+    return own.mapInArrow(_scorer(shared), f"row {kind}, score double")
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -38,9 +38,11 @@ class WordKernel:
             self.code[ord(letter)] = number
 
     def features(self, words: list[str]):
-        """Of each length: rows, feature numbers and weights (a row of each per word); weight 0 is no feature."""
+        """Rows of one length, feature numbers and weights (a row of each per word); weight 0 is no feature."""
         for rows, codes in by_length(words):
-            yield rows, *self._of(self.code[codes])
+            for start in range(0, len(rows), 1 << 12):
+                part = slice(start, start + (1 << 12))
+                yield rows[part], *self._of(self.code[codes[part]])
 
     def _of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         count, width = codes.shape
@@ -85,15 +87,12 @@ class WordKernel:
         """Inner products of the words' features, of norm 1, with the columns of a feature table."""
         out = np.zeros((len(words), table.values.shape[1]), np.float32)
         for rows, numbers, weights in self.features(words):
-            for start in range(0, len(rows), 1 << 13):
-                part = slice(start, start + (1 << 13))
-                number, weight = numbers[part], weights[part]
-                place = table.index[number]
-                total = np.zeros((len(number), table.values.shape[1]), np.float32)
-                for column in np.flatnonzero(place.any(axis=0)):
-                    total += weight[:, column, None] * table.values[place[:, column]]
-                hit = np.flatnonzero(total.any(axis=1))
-                out[rows[part][hit]] = total[hit] / np.maximum(self.norms(number[hit], weight[hit]), 1e-9)[:, None]
+            place = table.index[numbers]
+            total = np.zeros((len(rows), table.values.shape[1]), np.float32)
+            for column in np.flatnonzero(place.any(axis=0)):
+                total += weights[:, column, None] * table.values[place[:, column]]
+            hit = np.flatnonzero(total.any(axis=1))
+            out[rows[hit]] = total[hit] / np.maximum(self.norms(numbers[hit], weights[hit]), 1e-9)[:, None]
         return out
 
     def gram(self, words: list[str], others: list[str]) -> np.ndarray:
