@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from usagemill.llm.tables import offsets, own_rows, spread, text_chunks
 
 # A task forgets the words it has encoded when they are more than this, to bound its memory.
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 17
+CHUNK_BYTES = 1 << 20
 _NO_RANK = np.iinfo(np.int64).max
 
 
@@ -60,7 +61,8 @@ class WordBPE:
         order = np.argsort(keys, kind="stable")
         self.pair_keys, self.pair_ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([token for _, token in pairs], np.int64)
-        self.tokens = {token: text for text, token in [*vocab.items(), *added.items()]}
+        tokens = {token: text for text, token in [*vocab.items(), *added.items()]}
+        self.names = pa.array([tokens.get(token, "") for token in range(max(tokens) + 1)])
 
     def words(self, text: str) -> list[str | int]:
         """The words of a text after normalising; special tokens as their ids."""
@@ -171,8 +173,15 @@ def _load(path: str) -> WordBPE:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, path: str, carry: list[str]) -> DataFrame:
-    """``row`` (a struct of the carried columns) and the token ``ids`` of every row's whole text.
+def _joined(bpe: WordBPE, ids: pa.Array, begins: np.ndarray) -> pa.Array:
+    """The tokens of each list of ids, with a space between."""
+    lists = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), bpe.names.take(ids))
+    return pc.binary_join(lists, " ").cast(pa.string())
+
+
+def encode(docs: DataFrame, path: str, carry: list[str], back: bool = False) -> DataFrame:
+    """``row`` (a struct of the carried columns) and the token ``ids`` of every row's whole text; with ``back`` the text
+    ``decoded`` from them as well, as ``decode`` does.
 
     The text is normalised, split and merged as the vocabulary file says; its special tokens are found in the raw text.
     ``path`` must be readable on every executor. A null text is an empty one, with no id; columns of ``docs`` may have
@@ -183,12 +192,15 @@ def encode(docs: DataFrame, path: str, carry: list[str]) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder(_load(path))
         for batch in batches:
-            for first, texts in text_chunks(batch, "text"):
+            for first, texts in text_chunks(batch, "text", CHUNK_BYTES):
                 ids, begins = encoder(texts)
-                column = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids))
-                yield pa.record_batch([batch.column("row").slice(first, len(texts)), column], names=["row", "ids"])
+                flat = pa.array(ids)
+                columns = [batch.column("row").slice(first, len(texts)), pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), flat)]
+                if back:
+                    columns.append(_joined(encoder.bpe, flat, begins))
+                yield pa.record_batch(columns, names=["row", "ids", "decoded"][: len(columns)])
 
-    return own.mapInArrow(run, f"row {kind}, ids array<int>")
+    return own.mapInArrow(run, f"row {kind}, ids array<int>" + ", decoded string" * back)
 
 
 def decode(ids: Column, path: str) -> Column:
@@ -199,16 +211,12 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def decoded(column: pa.Array) -> pa.Array:
-        tokens = _load(path).tokens
-        names = pa.array([tokens.get(i, "") for i in range(max(tokens) + 1)])
-        flat = names.take(column.flatten())
         sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-        lists = pa.ListArray.from_arrays(pa.array(offsets(sizes).astype(np.int32)), flat)
-        return pc.binary_join(lists, " ").cast(pa.string())
+        return _joined(_load(path), column.flatten(), offsets(sizes))
 
     return decoded(ids)
 
 
 def encoded_report(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids, decoded`` of every row."""
-    return encode(docs, path, ["doc_id"]).select("row.doc_id", "ids", decode(F.col("ids"), path).alias("decoded"))
+    return encode(docs, path, ["doc_id"], back=True).select("row.doc_id", "ids", "decoded")

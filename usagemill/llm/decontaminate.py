@@ -16,7 +16,7 @@ from usagemill.llm.tables import byte_chunks, checkpointed, offsets, own_rows
 WINDOW_WORDS = 10
 # Documents are searched with so many bytes of benchmark text at a time, which bounds what is sent to the tasks.
 BLOCK_BYTES = 1 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 # Bytes of words keep their value, A-Z become a-z, all others become a space.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
