@@ -76,3 +76,10 @@ def test_stream_routes_each_file_once(spark, tmp_path):
     jobs = spark.read.json(str(tmp_path / "jobs"))
     assert routed(jobs) == EXPECTED
     assert jobs.count() == 3
+
+
+def test_notifications_without_a_bucket_are_listed(spark):
+    rows = [("ObjectCreated:Put", None, "sessions/a.csv"), ("ObjectCreated:Put", "logs", None), ("ObjectCreated:Put", "logs", "sessions/b.csv")]
+    notifications = spark.createDataFrame(rows, "event_name string, bucket string, key string")
+    assert routing.route_notifications(notifications, "u", "out").count() == 1
+    assert routing.unroutable(notifications).count() == 2

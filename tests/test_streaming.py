@@ -1,11 +1,16 @@
 from __future__ import annotations
 
+import json
+import os
+import time
+
 import pytest
 from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
 
 from usagemill.operators.clean import with_metadata
 from usagemill.sinks.tables import write_clean
-from usagemill.streaming.ingest import ingest_reports
+from usagemill.streaming.ingest import below_input, ingest_reports, reject_stream, route_stream
 
 HEADER = "UserId,SessionId,SessionStartTime,SessionEndTime\n"
 COLUMNS = HEADER.strip().split(",")
@@ -79,3 +84,48 @@ def test_streams_and_batch_jobs_do_not_share_a_table(spark, tmp_path):
         ingest_reports(
             spark, str(tmp_path / "in"), str(tmp_path / "batch"), str(tmp_path / "check2"), "sessions", COLUMNS
         )
+
+
+def test_an_old_file_is_taken(spark, tmp_path):
+    put(tmp_path / "in", "a-2024-01-15.csv", "a,s1,,")
+    assert run(spark, tmp_path).count() == 1
+    put(tmp_path / "in", "b-2024-01-16.csv", "b,s2,,")
+    month_ago = time.time() - 30 * 86_400
+    os.utime(tmp_path / "in" / "b-2024-01-16.csv", (month_ago, month_ago))
+    assert run(spark, tmp_path).count() == 2
+    put(tmp_path / "in", "c-2024-01-17.csv", "c,s3,,")
+    assert run(spark, tmp_path).count() == 3
+
+
+def test_a_date_above_the_input_does_not_count(spark, tmp_path):
+    top = tmp_path / "backup 2020-01-01"
+    put(top / "in", "s-2024-01-15.csv", "a,s1,,")
+    assert {str(row["ProcessingDate"]) for row in run(spark, top).collect()} == {"2024-01-15"}
+
+
+def test_below_input(spark):
+    paths = [("s3a://b/in-2020-01-01/x/2024-01-15.csv", "s3://b/in-2020-01-01"), ("file:/a/2020-01-01/x.csv", "/a/*/x.csv")]
+    found = [spark.createDataFrame([(path,)], "p string").select(below_input(F.col("p"), given)).first()[0] for path, given in paths]
+    assert found == ["x/2024-01-15.csv", "2020-01-01/x.csv"]
+
+
+def test_a_bad_notification_does_not_end_the_stream(spark, tmp_path):
+    folder = tmp_path / "told"
+    folder.mkdir()
+
+    def tell(name, key):
+        record = {"eventName": "ObjectCreated:Put", "s3": {"bucket": {"name": "logs"}, "object": {"key": key}}}
+        (folder / name).write_text(json.dumps({"Records": [record, {"eventName": "ObjectCreated:Put", "s3": {}}]}))
+
+    def routed():
+        route_stream(spark, str(folder), str(tmp_path / "jobs"), str(tmp_path / "c1"), "u", "out").awaitTermination()
+        reject_stream(spark, str(folder), str(tmp_path / "rejects"), str(tmp_path / "c2")).awaitTermination()
+        jobs = spark.read.json(str(tmp_path / "jobs")).select("trigger_file").collect()
+        bad = spark.read.schema("file string, line string").json(str(tmp_path / "rejects")).collect()
+        return sorted(row["trigger_file"] for row in jobs), [row["line"] for row in bad]
+
+    tell("a.json", "sessions/a-2024-01-15.csv")
+    (folder / "b.json").write_text("{not json")
+    assert routed() == (["s3://logs/sessions/a-2024-01-15.csv"], ["{not json"])
+    tell("c.json", "sessions/c-2024-01-16.csv")
+    assert routed() == (["s3://logs/sessions/a-2024-01-15.csv", "s3://logs/sessions/c-2024-01-16.csv"], ["{not json"])

@@ -13,6 +13,12 @@ def add_report_date(notifications: DataFrame, default_date: str | None = None) -
     return notifications.withColumn("report_date", keys.report_date(F.col("key"), default_date))
 
 
+def unroutable(notifications: DataFrame) -> DataFrame:
+    """Created-object notifications that lack the bucket or the key, so that no job can be made of them."""
+    created = F.col("event_name").startswith("ObjectCreated")
+    return notifications.where(created & (F.col("bucket").isNull() | F.col("key").isNull()))
+
+
 def route_notifications(
     notifications: DataFrame,
     metrics_url: str,
@@ -20,14 +26,16 @@ def route_notifications(
     default_date: str | None = None,
     decode_keys: bool = False,
 ) -> DataFrame:
-    """Arguments of one job for every created report file; other events and folders are left out.
+    """Arguments of one job for every created report file; other events and folders are left out, and so are
+    notifications without a bucket or a key, which ``unroutable`` lists.
 
     ``notifications`` has ``event_name``, ``bucket`` and ``key``. Object stores may percent-encode keys;
     ``decode_keys`` undoes that. Works on a batch or a stream.
     """
     if decode_keys:
         notifications = notifications.withColumn("key", F.try_url_decode(F.col("key")))
-    created = notifications.where(F.col("event_name").startswith("ObjectCreated")).withColumn(
+    named = notifications.where(F.col("bucket").isNotNull() & F.col("key").isNotNull())
+    created = named.where(F.col("event_name").startswith("ObjectCreated")).withColumn(
         "report_type", keys.report_type(F.col("key"))
     )
     bucket, key = F.col("bucket"), F.col("key")

@@ -18,9 +18,6 @@ CSV_FORMAT = {
     "ignoreTrailingWhiteSpace": True,
 }
 
-# More different headers than this are taken for files that have none.
-MAX_HEADERS = 200
-
 
 def text_schema(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(name, T.StringType()) for name in columns])
@@ -107,9 +104,7 @@ def read_reports(
         return read_checked(spark, paths, columns)
     headers = file_headers(spark, paths)
     examples = headers.groupBy("header").agg(F.min("path").alias("example")).orderBy("example")
-    groups = examples.limit(MAX_HEADERS + 1).collect()
-    if len(groups) > MAX_HEADERS:
-        raise ValueError(f"more than {MAX_HEADERS} different first lines: read files without a header as such")
+    groups = examples.collect()
     if len(groups) <= 1:
         return read_with_header(spark, paths)
     # Only file names come to the driver, where Spark's own file listing holds them as well.
@@ -118,9 +113,12 @@ def read_reports(
     files: list[list[str]] = [[] for _ in groups]
     for row in headers.select("path", number.alias("number")).collect():
         files[row["number"]].append(row["path"])
-    frames = []
+    frames: list[DataFrame] = []
     for group, paths_of_group in zip(groups, files):
         schema = read_with_header(spark, group["example"]).schema
         reader = spark.read.options(**CSV_FORMAT, header=True).schema(schema)
         frames.append(reader.csv(sorted(paths_of_group)))
+    names = {name for frame in frames for name in frame.columns}
+    if len({name.lower() for name in names}) < len(names) and spark.conf.get("spark.sql.caseSensitive") != "true":
+        raise ValueError("names that differ in case only are different columns: set spark.sql.caseSensitive to true")
     return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), frames)

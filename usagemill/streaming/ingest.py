@@ -5,6 +5,9 @@ Both streams are stateless: rows are filtered and projected, and the checkpoint
 
 from __future__ import annotations
 
+import re
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,22 +16,42 @@ from usagemill.functions.keys import report_date
 from usagemill.operators.clean import clean_report
 from usagemill.operators.routing import route_notifications
 from usagemill.sinks.tables import clean_path, forbid_batch_table, partitioning
-from usagemill.sources.notifications import stream_notifications
+from usagemill.sources.notifications import MAX_FILE_AGE, notification_records, rejected_lines, stream_notifications
 from usagemill.sources.reports import CSV_FORMAT, text_schema
 
 
 # Files per batch: a backlog is taken in several batches, and a batch that fails is all that is done again.
 FILES_PER_BATCH = 20_000
 
+_GLOB = re.compile(r"[*?\[{]")
+
+
+def below_input(file_path: Column, input_path: str) -> Column:
+    """The part of a file's path below the input folder, or below the folder in which its first wildcard stands."""
+    root = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", input_path)
+    wild = _GLOB.search(root)
+    root = root[: wild.start()].rpartition("/")[0] if wild else root
+    root = quote(re.sub(r"/+", "/", root).rstrip("/") + "/", safe="/:@!$&'()*+,;=~-._")
+    start = F.instr(file_path, root)
+    return F.when(start > 0, F.substr(file_path, start + F.lit(len(root)))).otherwise(file_path)
+
 
 def stream_reports(
-    spark: SparkSession, path: str, columns: list[str], files_per_batch: int = FILES_PER_BATCH
+    spark: SparkSession,
+    path: str,
+    columns: list[str],
+    files_per_batch: int = FILES_PER_BATCH,
+    max_file_age: str = MAX_FILE_AGE,
 ) -> DataFrame:
-    """Report files below a folder as a stream; a file with another header ends the query with an error."""
+    """Report files below a folder as a stream; a file with another header ends the query with an error.
+
+    Files that are older than the newest one seen by more than ``max_file_age`` are left out by Spark; the default
+    leaves out none. The driver remembers path and time of each file taken within that age.
+    """
     reader = spark.readStream.schema(text_schema(columns)).options(
         **CSV_FORMAT, header=True, enforceSchema=False, recursiveFileLookup=True
     )
-    return reader.option("maxFilesPerTrigger", files_per_batch).csv(path)
+    return reader.options(maxFilesPerTrigger=files_per_batch, maxFileAge=max_file_age).csv(path)
 
 
 def clean_stream(raw: DataFrame, report_type: str, date: Column) -> DataFrame:
@@ -51,12 +74,12 @@ def ingest_reports(
 ) -> StreamingQuery:
     """Starts the ingest of one report type into its clean table; by default it stops when all files are taken.
 
-    ``ProcessingDate`` is the first date in the path of the file, or else ``default_date`` or today.
+    ``ProcessingDate`` is the first date in the path of the file below ``path``, or else ``default_date`` or today.
     """
     table = clean_path(base, report_type)
     forbid_batch_table(spark, table)
     raw = stream_reports(spark, path, columns, files_per_batch)
-    date = report_date(F.col("_metadata.file_path"), default_date)
+    date = report_date(below_input(F.col("_metadata.file_path"), path), default_date)
     clean = clean_stream(raw, report_type, date)
     return (
         clean.writeStream.format("parquet")
@@ -79,8 +102,12 @@ def route_stream(
     default_date: str | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Starts the routing of arriving notification files into a table of job arguments."""
-    jobs = route_notifications(stream_notifications(spark, path), metrics_url, output_path, default_date)
+    """Starts the routing of arriving notification files into a table of job arguments.
+
+    Text that is no notification is left out here; ``reject_stream`` keeps it.
+    """
+    records = notification_records(stream_notifications(spark, path, FILES_PER_BATCH))
+    jobs = route_notifications(records, metrics_url, output_path, default_date)
     return (
         jobs.writeStream.format("json")
         .option("path", jobs_path)
@@ -88,3 +115,17 @@ def route_stream(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def reject_stream(
+    spark: SparkSession, path: str, rejects_path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Starts the copying of arriving text that is no notification into a table of its own: ``file, line``."""
+    lines = rejected_lines(stream_notifications(spark, path, FILES_PER_BATCH))
+    return (
+        lines.writeStream.format("json")
+        .option("path", rejects_path)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
