@@ -35,7 +35,7 @@ def _rows(names: list[str], rows) -> list[tuple]:
 
 
 # SQL type names of the two engines that stand for the same type.
-TYPE_NAMES = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "int": "INTEGER"}
+TYPE_NAMES = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "int": "INTEGER", "boolean": "BOOLEAN"}
 
 
 def differences(frame, sql: str, folder: str) -> list[str]:

@@ -169,3 +169,19 @@ def test_arguments():
     )
     assert (run.job_name, run.input_path, run.clean_path, run.header) == ("j", "in", "out/sessions/", False)
     assert run.transport is not None
+
+
+def test_each_file_of_a_folder_is_taken_once_by_its_own_job(spark, tmp_path):
+    header = "UserId,SessionId,SessionStartTime,SessionEndTime"
+    for name in "ab":
+        write(tmp_path / "in", f"{name}.csv", f"{header}\n{name},s-{name},,\n")
+        run = run_of(tmp_path, "sessions", trigger_file=str(tmp_path / "in" / f"{name}.csv"), columns=tuple(header.split(",")))
+        assert run_report_job(spark, run).total_records == 1
+    table = spark.read.parquet(str(tmp_path / "out" / "sessions"))
+    assert sorted(row["SessionId"] for row in table.collect()) == ["s-a", "s-b"]
+
+
+def test_known_columns_refuse_another_header(spark, tmp_path):
+    write(tmp_path / "in", "a.csv", "SessionId,UserId\ns1,a\n")
+    with pytest.raises(Exception, match="header|HEADER"):
+        run_report_job(spark, run_of(tmp_path, "sessions", columns=("UserId", "SessionId")))

@@ -24,6 +24,8 @@ def parse(arguments: Sequence[str] | None = None) -> ReportRun:
     parser.add_argument("--report-date", required=True, help="yyyy-MM-dd")
     parser.add_argument("--metrics-url", help="server that takes the metric samples; without it they are only written")
     parser.add_argument("--no-header", action="store_true", help="the files have no header line")
+    parser.add_argument("--trigger-file", help="the one file below the folder that this run is for")
+    parser.add_argument("--columns", help="the header that all files have, as names with commas between")
     given = parser.parse_args(arguments)
     return ReportRun(
         given.input_path,
@@ -33,6 +35,8 @@ def parse(arguments: Sequence[str] | None = None) -> ReportRun:
         given.job_name,
         header=not given.no_header,
         transport=http_transport(given.metrics_url) if given.metrics_url else None,
+        trigger_file=given.trigger_file,
+        columns=tuple(given.columns.split(",")) if given.columns else None,
     )
 
 

@@ -29,7 +29,11 @@ from usagemill.sources.reports import read_reports
 
 @dataclass(frozen=True)
 class ReportRun:
-    """What one run reads and where it writes."""
+    """What one run reads and where it writes.
+
+    A job of a routed notification reads its ``trigger_file`` alone, so that the files of one folder are taken once
+    each. With ``columns`` no file is opened to look at its header, and any other header is an error.
+    """
 
     input_path: str
     output_base: str
@@ -39,6 +43,12 @@ class ReportRun:
     header: bool = True
     timestamp_ms: int | None = None
     transport: Transport | None = None
+    trigger_file: str | None = None
+    columns: tuple[str, ...] | None = None
+
+    @property
+    def reads(self) -> str:
+        return self.trigger_file or self.input_path
 
     @property
     def clean_path(self) -> str:
@@ -109,7 +119,7 @@ def _rows_of_run(spark: SparkSession, run: ReportRun, schema: T.StructType, coun
 
 def _process(spark: SparkSession, run: ReportRun, log: _RunLog, naming: sample_ops.Samples) -> ReportResult:
     with log.stage("extraction"):
-        raw = read_reports(spark, run.input_path, run.header)
+        raw = read_reports(spark, run.reads, run.header, list(run.columns) if run.columns else None)
     with log.stage("transformation"):
         profile, counted = Observation(), Observation()
         observed = clean_report(raw.observe(profile, *quality.missing_counts(raw)), run.report_type).observe(
@@ -123,7 +133,7 @@ def _process(spark: SparkSession, run: ReportRun, log: _RunLog, naming: sample_o
         write_clean(clean, run.output_base, run.report_type)
         total = counted.get["rows"]
         summary = known_summary(
-            spark, total, run.report_type, run.report_date, run.input_path, run.clean_path
+            spark, total, run.report_type, run.report_date, run.reads, run.clean_path
         )
         write_summary(summary, run.output_base)
     with log.stage("analytics"):
