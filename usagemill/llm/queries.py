@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagemill.llm import bpe, decontaminate, exact, language, simhash, substring_dedup, suffix_dedup, toxicity, urls
+from usagemill.llm import bpe, decontaminate, exact, language, licenses, simhash, substring_dedup, suffix_dedup, toxicity, urls
 from usagemill.llm.tables import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", _digest("kept", "kept_sha256"))
 
 
+def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(documents(spark, folder), licenses.known_licenses(spark))
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.duplicate_report(documents(spark, folder))
 
@@ -135,7 +139,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc_words LEFT JOIN per_words USING (doc_id) LEFT JOIN per_items USING (doc_id)
 """
 
-QUERIES: dict[str, Query] = {query.__name__: query for query in [op1_simhash, op2_toxicity, op3_suffix_dedup, op5_exact_dedup, op6_substring_dedup, op7_bpe, op8_urls, op9_language, op10_decontamination]}
+QUERIES: dict[str, Query] = {query.__name__: query for query in [op1_simhash, op2_toxicity, op3_suffix_dedup, op4_licenses, op5_exact_dedup, op6_substring_dedup, op7_bpe, op8_urls, op9_language, op10_decontamination]}
 
 ORACLE: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op10_decontamination": OP10_SQL}
 
