@@ -68,13 +68,23 @@ def test_stages_do_not_depend_on_the_slots(spark, rows_per_slot):
     assert stages(spark, events, rows_per_slot) == by_hand(events)
 
 
-def test_slots_bound_the_rows_of_a_run(spark):
-    events = [event("hot", seq, 0, telemetry.STAGE_START, "a") for seq in range(500)]
-    df = frame(spark, events)
-    finest, *_, widest = telemetry.fit_slots(df, 50)
-    largest = [df.groupBy("run_id", slot.alias("s")).count().agg({"count": "max"}).first()[0] for slot in (finest, widest)]
-    assert largest == [50, 500]
-    assert len(telemetry.fit_slots(df)) == 1
+def test_slots_bound_the_events_of_one_instant(spark):
+    df = frame(spark, [event("hot", seq, 0, telemetry.STAGE_START, "a") for seq in range(500)])
+    largest = [df.groupBy("run_id", slot.alias("s")).count().agg({"count": "max"}).first()[0] for slot in telemetry.slots(50)]
+    assert largest == [50, 500, 500]
+
+
+def test_building_the_frame_starts_no_job(spark):
+    df = frame(spark, [event("r", seq, seq, telemetry.STAGE_START, "a") for seq in range(50)])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    try:
+        durations = telemetry.stage_durations(df)
+        assert tracker.getJobIdsForGroup("building") == []
+        durations.collect()
+        assert len(tracker.getJobIdsForGroup("building")) > 0
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
 
 
 def test_stage_branches_share_the_first_shuffle(spark):

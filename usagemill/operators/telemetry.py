@@ -34,37 +34,28 @@ JOB_END = "job_end"
 FAILED = "failed"
 PROCESSING_ERROR = "processing_error"
 
-# Widths of the time slots that a run is cut into, widest first, in microseconds: each holds the next one whole.
-SLOT_WIDTHS_US = [3_600_000_000, 60_000_000, 1_000_000, 1_000, 1]
+# The bound on the events of one run at one instant that are paired in one task.
 ROWS_PER_SLOT = 2_000_000
+MINUTE_US = 60_000_000
 
 
 def seconds_between(start: Column, end: Column) -> Column:
     return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(1_000_000)
 
 
-def _slot(width_us: int, rows_per_slot: int) -> Column:
-    """Slots in the order of ``(ts, seq)``; at the finest width ``seq`` also splits equal times."""
-    time = F.floor(F.unix_micros("ts") / F.lit(width_us)).cast("bigint")
-    if width_us > 1:
-        return time
-    return F.struct(time.alias("time"), F.floor(F.col("seq") / F.lit(rows_per_slot)).cast("bigint").alias("part"))
+def slots(rows_per_slot: int = ROWS_PER_SLOT) -> list[Column]:
+    """What a run is cut into, finest first: instants, split by ``seq``; minutes; the whole run.
 
-
-def fit_slots(events: DataFrame, rows_per_slot: int = ROWS_PER_SLOT) -> list[Column]:
-    """Slots from the widest one in which no run has more than ``rows_per_slot`` events up to the hour.
-
-    The events are counted to find out, by a partial aggregate over two columns; nearly always the hour fits.
+    Each slot holds a stretch of the order ``(ts, seq)`` and lies within one of the next. The list is the same for any
+    number of events, so no event is read to choose it.
     """
-    slots: list[Column] = []
-    for width_us in SLOT_WIDTHS_US:
-        slot = _slot(width_us, rows_per_slot)
-        slots.insert(0, slot)
-        if width_us > 1:
-            counts = events.groupBy("run_id", slot.alias("slot")).count()
-            if (counts.agg(F.max("count")).first()[0] or 0) <= rows_per_slot:
-                break
-    return slots
+    micros = F.unix_micros("ts")
+    part = F.floor(F.col("seq") / F.lit(rows_per_slot)).cast("bigint")
+    return [
+        F.struct(micros.alias("time"), part.alias("part")),
+        F.floor(micros / F.lit(MINUTE_US)).cast("bigint"),
+        F.lit(0),
+    ]
 
 
 BEFORE = ["kind_before", "ts_before", "stage_before"]
@@ -88,11 +79,11 @@ def stage_durations(events: DataFrame, rows_per_slot: int = ROWS_PER_SLOT) -> Da
     Each event needs the one before it. A run that holds much of the table must not land in one task, so runs
     are cut into time slots: neighbours are paired inside a slot first. Only the first and the last event of each
     slot go on to the next wider slot, where the first ones meet the last ones before them, and in the end to the
-    run as a whole, which then has at most two events per hour.
+    run as a whole, which then has at most two events per minute.
     """
     staged = events.where(F.col("kind").isin(STAGE_START, STAGE_END)).select("run_id", "seq", "ts", "kind", "stage")
     rows, pairs = staged.withColumn("open", F.lit(True)), []
-    for slot in [*fit_slots(staged, rows_per_slot), F.lit(0)]:
+    for slot in slots(rows_per_slot):
         placed = _with_neighbours(rows, slot)
         first = F.col("kind_before").isNull()
         pairs.append(placed.where(F.col("open") & ~first).select(*staged.columns, *BEFORE))
