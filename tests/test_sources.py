@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import gzip
+from urllib.parse import unquote
 
 import pytest
 
@@ -51,10 +52,15 @@ def test_headers_of_plain_and_compressed_files(spark, tmp_path):
     write(tmp_path, "a b%20c.csv", "\n  \nUserId,X\n1,2\n")
     (tmp_path / "z.csv.gz").write_bytes(gzip.compress(b"UserId,Y\n3,4\n"))
     write(tmp_path, "long.csv", ",".join(f"c{i}" for i in range(20_000)) + "\n")
-    headers = {row["path"].rsplit("/", 1)[1]: row["header"] for row in reports.file_headers(spark, str(tmp_path)).collect()}
-    assert headers["a b%20c.csv"] == "UserId,X"
-    assert headers["z.csv.gz"] == "UserId,Y"
-    assert headers["long.csv"].endswith("c19999")
+    headers = {unquote(row["path"].rsplit("/", 1)[1]): row["names"] for row in reports.file_headers(spark, str(tmp_path)).collect()}
+    assert headers["a b%20c.csv"] == ["UserId", "X"]
+    assert headers["z.csv.gz"] == ["UserId", "Y"]
+    assert headers["long.csv"][-1] == "c19999"
+
+
+def test_column_names():
+    assert reports.column_names(' "a, b",, c ,"x\\"y"') == ["a, b", "_c1", "c", 'x"y']
+    assert reports.column_names("a,b,a") == ["a0", "b", "a2"]
 
 
 def test_several_folders(spark, tmp_path):
@@ -94,11 +100,39 @@ def test_known_header(spark, tmp_path):
         read_reports(spark, str(tmp_path), columns=["UserId", "SessionId"]).collect()
 
 
-def test_many_headers(spark, tmp_path):
-    for i in range(25):
-        write(tmp_path, f"{i}.csv", f"UserId,c{i}\nu{i},{i}\n")
+def test_many_headers_in_one_scan(spark, tmp_path, plan_of):
+    for i in range(310):
+        write(tmp_path, f"{i}.csv", f"UserId,c{i}\nu{i},{i}\n" if i % 2 else f"c{i},UserId\n{i},u{i}\n")
     found = read_reports(spark, str(tmp_path))
-    assert found.count() == 25 and len(found.columns) == 26
+    assert len(found.columns) == 311 and plan_of(found).count("FileScan csv") == 1
+    cells = [(row["UserId"], [value for name, value in row.asDict().items() if name != "UserId" and value]) for row in found.collect()]
+    assert sorted(cells) == sorted((f"u{i}", [str(i)]) for i in range(310))
+
+
+def test_headers_are_joined_without_a_broadcast_beyond_the_bound(spark, tmp_path, monkeypatch):
+    write(tmp_path, "a.csv", "UserId,X\na,1\n")
+    write(tmp_path, "b.csv", "X,UserId\n2,b\n")
+    monkeypatch.setattr(reports, "BROADCAST_CHARACTERS", 0)
+    assert rows(read_reports(spark, str(tmp_path))) == [("a", "1"), ("b", "2")]
+
+
+def test_lines_longer_than_their_header_are_rescued(spark, tmp_path):
+    write(tmp_path, "a.csv", 'UserId,X\na,"1,1"\nb,2,more\nc\nd,3,,\n')
+    found = read_reports(spark, str(tmp_path), rescued="line")
+    expected = [("a", "1,1", None), ("b", "2", "b,2,more"), ("c", None, None), ("d", "3", None)]
+    assert rows(found) == expected
+    assert rows(read_reports(spark, str(tmp_path), columns=["UserId", "X"], rescued="line")) == expected
+    write(tmp_path, "b.csv", "Y,UserId,X\n9,e,5\n8,f,6,7,8\n")
+    write(tmp_path, "c.csv", "UserId\ng,h,i\n")
+    found = read_reports(spark, str(tmp_path), rescued="line").select("UserId", "X", "Y", "line")
+    more = [("e", "5", "9", None), ("f", "6", "8", "8,f,6,7,8"), ("g", None, None, "g,h,i")]
+    assert rows(found) == [(user, x, None, line) for user, x, line in expected] + more
+
+
+def test_headerless_lines_of_several_widths_in_one_file(spark, tmp_path):
+    write(tmp_path, "a.csv", 'a,b\nc,d,e\n"f,g,h,i",j\nk\n')
+    found = read_reports(spark, str(tmp_path), header=False)
+    assert rows(found) == [("a", "b", None), ("c", "d", "e"), ("f,g,h,i", "j", None), ("k", None, None)]
 
 
 def test_names_that_differ_in_case_are_not_merged(spark, tmp_path):

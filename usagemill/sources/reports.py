@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterator
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from usagemill.functions.cells import cell
+from usagemill.session import fresh_folder
+
 # The format of report files with a header.
 CSV_FORMAT = {
     "sep": ",",
@@ -27,98 +30,166 @@ def as_list(paths: str | list[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
+# A quoted cell, up to which a separator is part of the text.
+QUOTED_CELL = r'(^|,)([ \t]*)"(\\.|[^"\\])*"'
+
+
+def count_cells(line: Column) -> Column:
+    """How many cells a line of text has; quoted cells count as one."""
+    return F.size(F.split(F.regexp_replace(line, QUOTED_CELL, "$1"), ","))
+
+
 def read_headerless(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Files without a header: columns ``_c0, _c1, ...``; only the separator is set, cells keep their spaces.
 
-    Spark would take the number of columns from one file and drop what others have more; so one file for each
-    number of separators is looked at, and all are read as wide as the widest.
+    Spark would take the number of columns from the first line of one file and drop what others have more. So the
+    lines are read once for the widest, by an aggregate, and all files are read as wide as that.
     """
-    unquoted = F.regexp_replace("header", '"[^"]*"', "")
-    separators = F.size(F.split(unquoted, ",")).alias("separators")
-    examples = file_headers(spark, paths).groupBy(separators).agg(F.min("path").alias("example")).collect()
+    lines = spark.read.option("recursiveFileLookup", True).text(as_list(paths))
+    widest = lines.agg(F.max(count_cells(F.col("value")))).first()[0] or 0
     reader = spark.read.options(sep=",", header=False, recursiveFileLookup=True)
-    if len(examples) > 1:
-        widest = max(len(reader.csv(row["example"]).columns) for row in examples)
-        reader = reader.schema(text_schema([f"_c{i}" for i in range(widest)]))
-    return reader.csv(as_list(paths))
+    return reader.schema(text_schema([f"_c{i}" for i in range(widest)])).csv(as_list(paths))
 
 
-def read_with_header(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Files below the given folders that all have the same header; Spark takes it from one of them."""
-    return spark.read.options(**CSV_FORMAT, header=True, recursiveFileLookup=True).csv(as_list(paths))
+def column_names(header: str) -> list[str]:
+    """The column names of a header line. A blank name becomes ``_c`` and its place; a repeated one gets its place."""
+    cells = next(csv.reader([header], quotechar=CSV_FORMAT["quote"], escapechar=CSV_FORMAT["escape"], skipinitialspace=True))
+    names = [cell.strip() or f"_c{i}" for i, cell in enumerate(cells)]
+    return [f"{name}{i}" if names.count(name) > 1 else name for i, name in enumerate(names)]
 
 
 def file_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``path, header`` of every non-empty file. Tasks open the files and read up to the first filled line."""
+    """``path, names`` of every non-empty file. Tasks open the files and read up to the first filled line."""
 
     def first_lines(batches: Iterator) -> Iterator:
         import io
-        from urllib.parse import quote
+        from urllib.parse import quote, unquote
 
         from pyarrow import fs
 
         def first_line(path: str) -> str | None:
             scheme, _, rest = path.partition(":")
             if scheme == "file":
-                files, name = fs.LocalFileSystem(), "/" + rest.lstrip("/")
+                files, name = fs.LocalFileSystem(), "/" + unquote(rest).lstrip("/")
             else:
                 uri = path.replace("s3a://", "s3://", 1)
-                files, name = fs.FileSystem.from_uri(quote(uri, safe=":/@=+,"))
+                files, name = fs.FileSystem.from_uri(quote(unquote(uri), safe=":/@=+,"))
             with files.open_input_stream(name) as stream:
                 filled = (line for line in io.BufferedReader(stream, 65536) if line.strip())
                 line = next(filled, None)
-                return None if line is None else line.decode("utf-8", "replace").rstrip("\r\n")
+                return None if line is None else line.decode("utf-8-sig", "replace").rstrip("\r\n")
 
         for batch in batches:
-            yield batch[["path"]].assign(header=[first_line(path) for path in batch["path"]])
+            lines = [first_line(path) for path in batch["path"]]
+            yield batch[["path"]].assign(names=[None if line is None else column_names(line) for line in lines])
 
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(as_list(paths))
     # Only names are listed, so few tasks do, however large the files are.
     tasks = 4 * spark.sparkContext.defaultParallelism
-    headers = listing.select("path").coalesce(tasks).mapInPandas(first_lines, "path string, header string")
-    return headers.where(F.col("header").isNotNull())
+    listed = listing.select(F.col("_metadata.file_path").alias("path")).coalesce(tasks)
+    return listed.mapInPandas(first_lines, "path string, names array<string>").where(F.col("names").isNotNull())
 
 
-def read_checked(spark: SparkSession, paths: str | list[str], columns: list[str]) -> DataFrame:
+def read_checked(
+    spark: SparkSession, paths: str | list[str], columns: list[str], rescued: str | None = None
+) -> DataFrame:
     """Files that must all have the given header; the reader compares each file's own, and another one fails.
 
     This needs no look at the files before the scan.
     """
-    reader = spark.read.schema(text_schema(columns)).options(**CSV_FORMAT, header=True, enforceSchema=False)
-    return reader.option("recursiveFileLookup", True).csv(as_list(paths))
+    reader = spark.read.options(**CSV_FORMAT, header=True, enforceSchema=False, recursiveFileLookup=True)
+    return _with_rescued(reader, paths, columns, rescued)
+
+
+def _with_rescued(
+    reader: DataFrameReader, paths: str | list[str], columns: list[str], rescued: str | None
+) -> DataFrame:
+    if rescued is None:
+        return reader.schema(text_schema(columns)).csv(as_list(paths))
+    reader = reader.option("columnNameOfCorruptRecord", rescued).schema(text_schema([*columns, rescued]))
+    cells = reader.csv(as_list(paths))
+    return cells.withColumn(rescued, F.when(_filled_cells(cell(rescued)) > len(columns), cell(rescued)))
+
+
+def read_alike(spark: SparkSession, paths: str | list[str], columns: list[str], rescued: str | None) -> DataFrame:
+    """Files that are known to have one header: a plain scan, pruned to the columns that are asked for."""
+    reader = spark.read.options(**CSV_FORMAT, header=True, recursiveFileLookup=True)
+    return _with_rescued(reader, paths, columns, rescued)
+
+
+def _filled_cells(line: Column) -> Column:
+    """Cells up to the last one that is not blank."""
+    return count_cells(F.regexp_replace(line, r"[,\s]+\z", ""))
+
+
+# The header table of the files is broadcast up to this many characters of paths and positions; beyond, rows and
+# headers are shuffled by path, and adaptive execution splits the rows of large files.
+BROADCAST_CHARACTERS = 32_000_000
+
+
+def read_by_name(spark: SparkSession, paths: str | list[str], headers: DataFrame, rescued: str | None) -> DataFrame:
+    """One scan of files with several headers, each cell taken from where the header of its file has the column.
+
+    Spark binds the cells of several files by position, so the scan knows places only, as many as the widest header
+    has. ``headers`` comes from a written table; the driver sees column names and three numbers.
+    """
+    first_seen = headers.select("path", F.posexplode("names").alias("at", "name"))
+    columns = [
+        row["name"]
+        for row in first_seen.groupBy("name").agg(F.min(F.struct("path", "at")).alias("first")).orderBy("first").collect()
+    ]
+    if len({name.lower() for name in columns}) < len(columns) and spark.conf.get("spark.sql.caseSensitive") != "true":
+        raise ValueError("names that differ in case only are different columns: set spark.sql.caseSensitive to true")
+    width, characters = headers.agg(
+        F.max(F.size("names")), F.sum(F.length("path") + F.lit(4 * len(columns)))
+    ).first()
+    places = F.transform(F.array(*map(F.lit, columns)), lambda name: F.array_position("names", name).cast("int") - 1)
+    placed = headers.select("path", places.alias("places"), F.size("names").alias("width"))
+    line = "_line"
+    reader = spark.read.options(**CSV_FORMAT, header=True, recursiveFileLookup=True)
+    reader = reader.option("columnNameOfCorruptRecord", line)
+    positions = [f"_c{i}" for i in range(width)]
+    schema = text_schema(positions if rescued is None else [*positions, line])
+    scan = reader.schema(schema).csv(as_list(paths)).select(
+        F.array(*positions).alias("cells"),
+        F.lit(None).cast("string").alias(line) if rescued is None else F.col(line),
+        F.col("_metadata.file_path").alias("path"),
+    )
+    rows = scan.join(F.broadcast(placed) if characters <= BROADCAST_CHARACTERS else placed, "path")
+    cells = [F.get("cells", F.get("places", F.lit(i))).alias(name) for i, name in enumerate(columns)]
+    if rescued is not None:
+        beyond = F.exists(F.slice("cells", F.col("width") + 1, F.lit(width)), lambda value: value.isNotNull())
+        longer = _filled_cells(F.col(line)) > F.col("width")
+        text = F.coalesce(F.col(line), F.array_join("cells", ",", ""))
+        cells.append(F.when(beyond | longer, text).alias(rescued))
+    return rows.select(*cells)
 
 
 def read_reports(
-    spark: SparkSession, paths: str | list[str], header: bool = True, columns: list[str] | None = None
+    spark: SparkSession,
+    paths: str | list[str],
+    header: bool = True,
+    columns: list[str] | None = None,
+    rescued: str | None = None,
 ) -> DataFrame:
-    """All report files below the given folders, their columns bound by name.
+    """All report files below the given folders, their columns bound by exact name.
 
-    Spark binds the cells of several CSV files by position, after the header of one of them. So files are
-    grouped by header, every group is read on its own, and the groups are put together by column name; a
-    column that a file lacks is NULL in its rows. With one header, as is usual, the folders are read as they are.
-    Where the header is known, ``columns`` saves the look at the files and makes any other header an error.
+    A column that a file lacks is NULL in its rows. Where the header is known, ``columns`` saves the look at the files
+    and makes any other header an error. A row may have more cells than the header of its file: the cells that have
+    no name are in no column, and with ``rescued`` a column of that name holds the whole line of each such row (NULL in
+    all others). Files without a header are as wide as their widest line, so that they have no such rows.
     """
     if not header:
-        return read_headerless(spark, paths)
+        rows = read_headerless(spark, paths)
+        return rows if rescued is None else rows.withColumn(rescued, F.lit(None).cast("string"))
     if columns:
-        return read_checked(spark, paths, columns)
-    headers = file_headers(spark, paths)
-    examples = headers.groupBy("header").agg(F.min("path").alias("example")).orderBy("example")
-    groups = examples.collect()
-    if len(groups) <= 1:
-        return read_with_header(spark, paths)
-    # Only file names come to the driver, where Spark's own file listing holds them as well.
-    known = F.array(*[F.lit(group["header"]) for group in groups])
-    number = F.array_position(known, F.col("header")) - 1
-    files: list[list[str]] = [[] for _ in groups]
-    for row in headers.select("path", number.alias("number")).collect():
-        files[row["number"]].append(row["path"])
-    frames: list[DataFrame] = []
-    for group, paths_of_group in zip(groups, files):
-        schema = read_with_header(spark, group["example"]).schema
-        reader = spark.read.options(**CSV_FORMAT, header=True).schema(schema)
-        frames.append(reader.csv(sorted(paths_of_group)))
-    names = {name for frame in frames for name in frame.columns}
-    if len({name.lower() for name in names}) < len(names) and spark.conf.get("spark.sql.caseSensitive") != "true":
-        raise ValueError("names that differ in case only are different columns: set spark.sql.caseSensitive to true")
-    return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), frames)
+        return read_checked(spark, paths, columns, rescued)
+    folder = fresh_folder(spark, "headers")
+    file_headers(spark, paths).write.parquet(folder)
+    headers = spark.read.schema("path string, names array<string>").parquet(folder)
+    kinds = headers.select("names").distinct().limit(2).collect()
+    if not kinds:
+        return spark.read.options(**CSV_FORMAT, header=True, recursiveFileLookup=True).csv(as_list(paths))
+    if len(kinds) == 1 and len({name.lower() for name in kinds[0]["names"]}) == len(kinds[0]["names"]):
+        return read_alike(spark, paths, kinds[0]["names"], rescued)
+    return read_by_name(spark, paths, headers, rescued)
