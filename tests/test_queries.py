@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as registry
 from tests.compare import differences
+from usagemill.operators import clean, stats
+from usagemill.sources import test_tables
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES = registry.queries()
@@ -22,7 +24,7 @@ def test_query_gives_the_rows_of_its_sql(spark, name):
 
 
 def test_summary_has_all_statistics(spark):
-    rows = QUERIES["session_duration_summary"](spark, FOLDER).collect()
+    rows = stats.session_duration_summary(clean.clean_sessions(test_tables.usage_sessions(spark, FOLDER))).collect()
     assert [row["summary"] for row in rows] == ["count", "mean", "stddev", "min", "25%", "50%", "75%", "max"]
     values = {row["summary"]: float(row["SessionDurationMinutes"]) for row in rows}
     assert values["min"] <= values["25%"] <= values["50%"] <= values["75%"] <= values["max"]

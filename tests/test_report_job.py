@@ -5,7 +5,7 @@ import gzip
 import pytest
 
 from usagemill.operators import samples, telemetry
-from usagemill.plans.report_job import ReportRun, _rows_of_run, run_report_job
+from usagemill.plans.report_job import ReportRun, _check_total, _rows_of_run, run_report_job
 
 
 def write(folder, name, text):
@@ -79,7 +79,8 @@ def test_sessions(spark, tmp_path):
 
 
 def totals(result):
-    return {row["value"] for row in result.samples.where(f"name = '{samples.TOTAL_RECORDS}'").collect()}
+    found = getattr(result, "samples", result)
+    return {row["value"] for row in found.where(f"name = '{samples.TOTAL_RECORDS}'").collect()}
 
 
 def test_runs_share_the_tables(spark, tmp_path):
@@ -93,17 +94,20 @@ def test_runs_share_the_tables(spark, tmp_path):
     assert sorted(row["Printer"] for row in table.collect()) == ["hp", "hp", "xerox"]
 
 
-def test_rows_of_a_run_are_taken_only_if_they_are_all_of_them(spark, tmp_path):
+def test_a_run_whose_rows_cannot_be_told_apart_fails(spark, tmp_path):
     write(tmp_path / "in", "a.csv", "Printer\nhp\n")
     run = run_of(tmp_path, "printers")
     schema = run_report_job(spark, run).schema
-    table = spark.read.parquet(run.clean_path)
-    time = table.selectExpr("unix_micros(ProcessedAt)").first()[0]
-    assert _rows_of_run(spark, run, schema, {"rows": 1, "processed_us": time}).count() == 1
-    assert _rows_of_run(spark, run, schema, {"rows": 2, "processed_us": time}) is None
+    time = spark.read.parquet(run.clean_path).selectExpr("unix_micros(ProcessedAt)").first()[0]
+    rows = _rows_of_run(spark, run, schema, {"rows": 1, "processed_us": time})
+    naming = samples.Samples("job")
+    found = samples.report_samples(rows, "printers", naming)
+    _check_total(found, naming, 1)
+    with pytest.raises(RuntimeError, match="2 rows were written, but 1"):
+        _check_total(found, naming, 2)
 
 
-def test_statistics_come_from_the_written_rows(spark, tmp_path, monkeypatch):
+def test_statistics_read_one_partition_of_the_written_rows(spark, tmp_path, monkeypatch, plan_of):
     found = []
 
     def watched(*arguments):
@@ -114,12 +118,33 @@ def test_statistics_come_from_the_written_rows(spark, tmp_path, monkeypatch):
     write(tmp_path / "in", "a.csv", "Printer\nhp\n")
     run_report_job(spark, run_of(tmp_path, "printers"))
     assert [rows.count() for rows in found] == [1]
+    plan = plan_of(found[0])
+    pushed, partitions = plan.split("PushedFilters: [")[1], plan.split("PartitionFilters: [")[1]
+    assert "EqualTo(ProcessedAt," in pushed
+    assert partitions.startswith("isnotnull(ReportType") and "isnotnull(ProcessingDate" in partitions
 
 
-def test_statistics_come_from_the_files_otherwise(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("usagemill.plans.report_job._rows_of_run", lambda *_: None)
-    write(tmp_path / "in", "a.csv", "Printer\nhp\n")
-    assert totals(run_report_job(spark, run_of(tmp_path, "printers"))) == {1.0}
+def test_longer_lines_are_counted(spark, tmp_path):
+    write(tmp_path / "in", "a.csv", "UserId,SessionId\na,s1\nb,s2,more\n")
+    result = run_report_job(spark, run_of(tmp_path, "sessions"))
+    assert (result.total_records, result.longer_lines) == (2, 1)
+    assert result.schema.names == ["UserId", "SessionId", "ProcessedAt", "ReportType", "ProcessingDate"]
+
+
+def test_a_clean_table_is_measured(spark, tmp_path):
+    from usagemill.__main__ import parse
+    from usagemill.plans.report_job import run_table_job
+
+    write(tmp_path / "in", "a.csv", "ApplicationName,UserId\ncalc,u\ndraw,u\ncalc,v\n")
+    run = run_of(tmp_path, "applications", timestamp_ms=1)
+    run_report_job(spark, run)
+    for date, rows in (("2024-01-15", 3), ("2024-01-16", 0), (None, 3)):
+        found = run_table_job(spark, run.clean_path, str(tmp_path / "measured"), "applications", "job", date, 1, run.transport)
+        assert totals(found) == {float(rows)}
+    names = {row["name"]: row["value"] for row in found.collect()}
+    assert names[samples.UNIQUE_APPLICATIONS] == 2.0 and names[samples.DATA_QUALITY_SCORE] == 100.0
+    given = "--job-name j --input-path t --output-path o --report-type sessions --report-date 2024-01-15 --measure-only"
+    assert parse(given.split()).measure_only
 
 
 def test_headerless_files_are_generic_rows(spark, tmp_path):

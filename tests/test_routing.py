@@ -14,15 +14,15 @@ def record(name, bucket, key):
 
 
 RECORDS = [
-    record("ObjectCreated:Put", "logs", "sessions/2024/01/15/session-report-2024-01-15.csv"),
+    record("ObjectCreated:Put", "logs", "sessions/north/log-2024-03-09.csv"),
     record("ObjectCreated:Post", "logs", "applications/2024-02-03/app-2024-05-06.csv"),
     record("ObjectCreated:Copy", "logs", "applications/app.csv"),
-    record("ObjectRemoved:Delete", "logs", "sessions/2024/01/15/session-report-2024-01-15.csv"),
+    record("ObjectRemoved:Delete", "logs", "sessions/north/log-2024-03-09.csv"),
     record("ObjectCreated:Put", "logs", "analytics/sessions/x.csv"),
     record("ObjectCreated:Put", "logs", "sessionsx/x.csv"),
 ]
 EXPECTED = {
-    ("s3://logs/sessions/2024/01/15/", "2024-01-15", "sessions", "s3://logs/" + RECORDS[0]["s3"]["object"]["key"]),
+    ("s3://logs/sessions/north/", "2024-03-09", "sessions", "s3://logs/" + RECORDS[0]["s3"]["object"]["key"]),
     ("s3://logs/applications/2024-02-03/", "2024-02-03", "applications", "s3://logs/" + RECORDS[1]["s3"]["object"]["key"]),
     ("s3://logs/applications/", "2024-12-31", "applications", "s3://logs/applications/app.csv"),
 }

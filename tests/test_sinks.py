@@ -54,8 +54,7 @@ def test_one_partition_is_read_alone(spark, tmp_path, report_type):
     other = clean.with_metadata(spark.range(5), "other", "2024-01-15")
     for part in (frame, other):
         part.write.mode("append").partitionBy("ReportType", "ProcessingDate").parquet(path)
-    values = {"ReportType": report_type, "ProcessingDate": "2024-01-15"}
-    found = tables.read_partition(spark, frame.schema, path, values)
+    found = tables.read_partition(spark, frame.schema, path, report_type, "2024-01-15")
     assert found.count() == 3 and found.columns == frame.columns
     assert {(row["ReportType"], row["ProcessingDate"]) for row in found.collect()} == {(report_type, "2024-01-15")}
 

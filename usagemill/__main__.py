@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
-from usagemill.plans.report_job import ReportRun, run_report_job
+from usagemill.plans.report_job import ReportRun, run_report_job, run_table_job
 from usagemill.sinks.exposition import http_transport
 
 
@@ -26,6 +26,9 @@ def parse(arguments: Sequence[str] | None = None) -> ReportRun:
     parser.add_argument("--no-header", action="store_true", help="the files have no header line")
     parser.add_argument("--trigger-file", help="the one file below the folder that this run is for")
     parser.add_argument("--columns", help="the header that all files have, as names with commas between")
+    parser.add_argument(
+        "--measure-only", action="store_true", help="the input is a clean table: only measure it for the date"
+    )
     given = parser.parse_args(arguments)
     return ReportRun(
         given.input_path,
@@ -37,6 +40,7 @@ def parse(arguments: Sequence[str] | None = None) -> ReportRun:
         transport=http_transport(given.metrics_url) if given.metrics_url else None,
         trigger_file=given.trigger_file,
         columns=tuple(given.columns.split(",")) if given.columns else None,
+        measure_only=given.measure_only,
     )
 
 
@@ -44,8 +48,22 @@ def main(arguments: Sequence[str] | None = None) -> None:
     run = parse(arguments)
     spark = SparkSession.builder.appName(run.job_name).getOrCreate()
     try:
+        if run.measure_only:
+            run_table_job(
+                spark,
+                run.input_path,
+                run.output_base,
+                run.report_type,
+                run.job_name,
+                run.report_date,
+                transport=run.transport,
+            )
+            print(f"{run.input_path} measured")
+            return
         result = run_report_job(spark, run)
         print(f"{result.total_records} records written to {run.clean_path}")
+        if result.longer_lines:
+            print(f"{result.longer_lines} lines have more cells than their header")
     finally:
         spark.stop()
 

@@ -21,15 +21,18 @@ def exposition_lines(samples: DataFrame) -> DataFrame:
     )
 
 
-def number_batches(df: DataFrame, order: list[Column | str], batch_size: int = BATCH_SIZE) -> DataFrame:
+def number_batches(
+    df: DataFrame, order: list[Column | str], batch_size: int = BATCH_SIZE, folder: str | None = None
+) -> DataFrame:
     """Adds ``position`` (from 0, in the given total order) and ``batch_id``, with no task seeing all rows.
 
     The rows are range-sorted, numbered inside each sorted slice and written to the shared folder, so that both
     readers below see the same slices even when executors are lost. Slice starts are running sums over one row
-    per slice; there are at most as many slices as shuffle partitions, which bounds the broadcast.
+    per slice; there are at most as many slices as shuffle partitions, which bounds the broadcast. The copy is
+    written to a new ``folder``, which the caller may remove when the result has been read.
     """
     spark = df.sparkSession
-    folder = fresh_folder(spark, "batches")
+    folder = folder or fresh_folder(spark, "batches")
     row = F.monotonically_increasing_id()
     df.orderBy(*order).select(
         "*",

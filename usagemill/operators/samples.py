@@ -63,7 +63,10 @@ class Samples:
         return F.floor(self.time_ms() / F.lit(1000)).cast("bigint")
 
     def usage(self, name: str, value: Column, **labels: Column | str) -> Column:
-        return sample(self.usage_prefix + name.removeprefix(USAGE_PREFIX), value, labels, self.time_ms())
+        return sample(self.usage_name(name), value, labels, self.time_ms())
+
+    def usage_name(self, name: str) -> str:
+        return self.usage_prefix + name.removeprefix(USAGE_PREFIX)
 
     def job(self, name: str, value: Column, time_ms: Column | None = None, **labels: Column | str) -> Column:
         time_ms = self.time_ms() if time_ms is None else time_ms

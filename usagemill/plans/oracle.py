@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from usagemill.operators import samples as names
-
 _SESSIONS = """
 sessions_raw AS (
   SELECT event_id, event_type, ts,
@@ -60,10 +58,10 @@ notifications AS (
     CASE event_type WHEN 'error' THEN 'ObjectRemoved:Delete' WHEN 'signup' THEN 'ObjectCreated:Post'
       ELSE 'ObjectCreated:Put' END AS event_name,
     CASE event_type
-      WHEN 'view' THEN strftime(ts, 'applications/%Y/%m/%d/app-report-%Y-%m-%d.csv')
+      WHEN 'view' THEN strftime(ts, 'applications/%Y/%m/%d/used-%Y-%m-%d.csv')
       WHEN 'purchase' THEN 'applications/latest/app-' || event_id || '.csv'
       WHEN 'signup' THEN 'analytics/part-' || event_id || '.parquet'
-      ELSE strftime(ts, 'sessions/%Y/%m/%d/session-report-%Y-%m-%d.csv') END AS key
+      ELSE strftime(ts, 'sessions/%Y/%m/%d/log-%Y-%m-%d.csv') END AS key
   FROM events),
 dated AS (
   SELECT *, coalesce(nullif(regexp_extract(key, '(\\d{4}-\\d{2}-\\d{2})', 1), ''), '2024-02-01') AS report_date
@@ -170,36 +168,36 @@ def _labels(**labels: str) -> str:
 def _common_samples(report_type: str, table: str) -> list[str]:
     labels = _labels(report_type=report_type)
     return [
-        _sample(names.TOTAL_RECORDS, "count(*)", labels, table),
-        _sample(names.LAST_PROCESSED_TIMESTAMP, "1706745600", labels, "(SELECT 1)"),
+        _sample("appstream_total_records", "count(*)", labels, table),
+        _sample("appstream_last_processed_timestamp", "1706745600", labels, "(SELECT 1)"),
         _sample(
-            names.RECORDS_PROCESSED_TOTAL,
+            "glue_records_processed_total",
             "count(*)",
-            _labels(data_type=f"{names.USAGE_PREFIX}{report_type}", report_date="2024-01-15"),
+            _labels(data_type=f"appstream_{report_type}", report_date="2024-01-15"),
             table,
         ),
     ]
 
 
 def _quality_samples(report_type: str, nulls: str) -> list[str]:
-    dataset = f"{names.USAGE_PREFIX}{report_type}_reports"
+    dataset = f"appstream_{report_type}_reports"
     column_labels = f"""'dataset="{dataset}",column="' || "column" || '",job_name="usage_job"'"""
     return [
-        _sample(names.COLUMN_NULL_PERCENTAGE, "null_pct", column_labels, f"({nulls})"),
-        _sample(names.DATA_QUALITY_SCORE, "100 - avg(null_pct)", _labels(dataset=dataset), f"({nulls})"),
+        _sample("glue_column_null_percentage", "null_pct", column_labels, f"({nulls})"),
+        _sample("glue_data_quality_score", "100 - avg(null_pct)", _labels(dataset=dataset), f"({nulls})"),
     ]
 
 
 _APPLICATION_SAMPLES = [
-    _sample(names.APPLICATION_RECORDS_TOTAL, "count(*)", _labels(report_type="applications"), "apps"),
+    _sample("appstream_application_records_total", "count(*)", _labels(report_type="applications"), "apps"),
     _sample(
-        names.UNIQUE_APPLICATIONS,
+        "appstream_unique_applications",
         'count(DISTINCT "ApplicationName")',
         _labels(report_type="applications"),
         "apps",
     ),
     _sample(
-        names.TOP_APPLICATIONS_USAGE,
+        "appstream_top_applications_usage",
         "records",
         """'application="' || "ApplicationName"[1:50] || '",rank="' || rank
            || '",report_type="applications",job_name="usage_job"'""",
@@ -209,12 +207,23 @@ _APPLICATION_SAMPLES = [
     *_quality_samples("applications", _APP_NULLS),
 ]
 
+# A clean table is measured by its own cells, one of them a number.
+_CLEAN_APP_NULLS = _null_percent(
+    "apps",
+    _missing(["ApplicationName", "UserId", "ApplicationUsageTime", "Duration"])
+    | {"UsageDurationMinutes": '"UsageDurationMinutes" IS NULL'},
+)
+_TABLE_SAMPLES = [
+    *[part for part in _APPLICATION_SAMPLES if "glue_column" not in part and "glue_data" not in part],
+    *_quality_samples("applications", _CLEAN_APP_NULLS),
+]
+
 _SESSION_SAMPLES = [
-    _sample(names.SESSIONS_TOTAL, "count(*)", _labels(report_type="sessions"), "sessions"),
-    _sample(names.UNIQUE_USERS, 'count(DISTINCT "UserId")', _labels(report_type="sessions"), "sessions"),
-    _sample(names.AVG_SESSION_MINUTES, "coalesce(avg(minutes), 0)", _labels(), "sessions"),
-    _sample(names.MAX_SESSION_MINUTES, "coalesce(max(minutes), 0)", _labels(), "sessions"),
-    _sample(names.TOTAL_USAGE_MINUTES, "coalesce(sum(minutes), 0)", _labels(), "sessions"),
+    _sample("appstream_sessions_total", "count(*)", _labels(report_type="sessions"), "sessions"),
+    _sample("appstream_unique_users", 'count(DISTINCT "UserId")', _labels(report_type="sessions"), "sessions"),
+    _sample("appstream_avg_session_duration_minutes", "coalesce(avg(minutes), 0)", _labels(), "sessions"),
+    _sample("appstream_max_session_duration_minutes", "coalesce(max(minutes), 0)", _labels(), "sessions"),
+    _sample("appstream_total_usage_minutes", "coalesce(sum(minutes), 0)", _labels(), "sessions"),
     *_common_samples("sessions", "sessions"),
     *_quality_samples("sessions", _SESSION_NULLS),
 ]
@@ -226,11 +235,11 @@ def _timed(name: str, value: str, labels: str, source: str) -> str:
 
 
 _TELEMETRY_SAMPLES = [
-    _timed(names.STAGE_DURATION_SECONDS, "seconds", """'stage="' || stage || '",job_name="usage_job"'""", "durations"),
-    _timed(names.JOB_DURATION_SECONDS, "seconds", """'status="' || status || '",job_name="usage_job"'""", "runs"),
-    _timed(names.JOB_COMPLETED_TOTAL, "1", """'status="' || status || '",job_name="usage_job"'""", "runs"),
+    _timed("glue_stage_duration_seconds", "seconds", """'stage="' || stage || '",job_name="usage_job"'""", "durations"),
+    _timed("glue_job_duration_seconds", "seconds", """'status="' || status || '",job_name="usage_job"'""", "runs"),
+    _timed("glue_job_completed_total", "1", """'status="' || status || '",job_name="usage_job"'""", "runs"),
     _timed(
-        names.JOB_ERRORS_TOTAL,
+        "glue_job_errors_total",
         "1",
         """'error_type="' || error_type || '",' || coalesce('report_type="' || report_type || '",', '')
            || 'job_name="usage_job"'""",
@@ -271,6 +280,16 @@ ORACLE: dict[str, str] = {
     "session_duration_stats": f"""WITH {_SESSIONS}
         SELECT round(coalesce(avg(minutes), 0), 6) AS avg_minutes, round(coalesce(max(minutes), 0), 6) AS max_minutes,
           round(coalesce(sum(minutes), 0), 3) AS total_minutes FROM sessions""",
+    "session_duration_summary": f"""WITH {_SESSIONS}
+        SELECT 'count' AS summary, CAST(count(minutes) AS DOUBLE) AS minutes, CAST(NULL AS BOOLEAN) AS within_accuracy
+        FROM sessions
+        UNION ALL SELECT 'mean', round(avg(minutes), 6), NULL FROM sessions
+        UNION ALL SELECT 'stddev', round(stddev_samp(minutes), 6), NULL FROM sessions
+        UNION ALL SELECT 'min', round(min(minutes), 6), NULL FROM sessions
+        UNION ALL SELECT '25%', NULL, true
+        UNION ALL SELECT '50%', NULL, true
+        UNION ALL SELECT '75%', NULL, true
+        UNION ALL SELECT 'max', round(max(minutes), 6), NULL FROM sessions""",
     "session_duration_summary_exact": f"""WITH {_SESSIONS}
         SELECT 'count' AS summary, CAST(count(minutes) AS DOUBLE) AS minutes FROM sessions
         UNION ALL SELECT 'mean', round(avg(minutes), 6) FROM sessions
@@ -279,6 +298,19 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'max', round(max(minutes), 6) FROM sessions""",
     "top_applications": f"""WITH {_APPS}
         SELECT "ApplicationName"[1:50] AS application, records, rank FROM ranked_apps WHERE rank <= 10""",
+    "top_applications_many": """
+        SELECT "ApplicationName"[1:50] AS application, records, rank FROM (
+          SELECT "ApplicationName", count(*) AS records,
+            row_number() OVER (ORDER BY count(*) DESC, "ApplicationName") AS rank
+          FROM (SELECT 'order ' || l_orderkey || ' handled by ' || repeat('office ', 8) AS "ApplicationName" FROM lineitem)
+          GROUP BY 1) WHERE rank <= 10""",
+    "column_null_percentage_nan": """
+        SELECT 'text' AS "column", round(coalesce(100.0 * count(*) FILTER (WHERE event_id % 7 = 0 OR event_id % 5 = 0
+          OR event_id % 3 = 0) / nullif(count(*), 0), 0), 6) AS null_pct FROM events
+        UNION ALL SELECT 'number', round(coalesce(100.0 * count(*) FILTER (WHERE event_id % 4 = 0 OR event_id % 9 = 0)
+          / nullif(count(*), 0), 0), 6) FROM events
+        UNION ALL SELECT 'single', round(coalesce(100.0 * count(*) FILTER (WHERE event_id % 6 = 0)
+          / nullif(count(*), 0), 0), 6) FROM events""",
     "column_null_percentage": f"""WITH {_SESSIONS}
         SELECT "column", round(null_pct, 6) AS null_pct FROM ({_SESSION_NULLS})""",
     "column_null_percentage_lineitem": f'SELECT "column", round(null_pct, 6) AS null_pct FROM ({_LINEITEM_NULLS})',
@@ -309,10 +341,20 @@ ORACLE: dict[str, str] = {
     "csv_headerless": f"""WITH {_SESSIONS}
         SELECT "UserId" AS _c0, "SessionId" AS _c1, "SessionStartTime" AS _c2, "SessionEndTime" AS _c3
         FROM sessions_raw""",
+    "csv_headerless_widths": """
+        SELECT CAST(event_id AS VARCHAR) AS _c0, event_type || ',x' AS _c1,
+          CASE WHEN event_id % 3 <> 0 THEN CAST(user_id AS VARCHAR) END AS _c2,
+          CASE WHEN event_id % 3 <> 0 AND event_id % 4 = 0 THEN 'beyond' END AS _c3 FROM events""",
+    "csv_rescued": """
+        SELECT CAST(event_id AS VARCHAR) AS id, event_type || ',x' AS kind,
+          CASE WHEN event_id % 3 <> 0 THEN CAST(user_id AS VARCHAR) END AS "user",
+          CASE WHEN event_id % 3 <> 0 AND event_id % 4 = 0
+            THEN event_id || ',"' || event_type || ',x",' || user_id || ',beyond' END AS line FROM events""",
     "csv_union_by_header": f"""WITH {_SESSIONS}
-        SELECT trim("UserId", ' ') AS "UserId", "SessionId", "SessionStartTime", "SessionEndTime", NULL AS "Extra"
-        FROM sessions_raw
-        UNION ALL SELECT trim("UserId", ' '), "SessionId", NULL, NULL, event_type FROM sessions_raw""",
+        SELECT trim("UserId", ' ') AS "UserId", "SessionId", "SessionStartTime", "SessionEndTime", NULL AS "Extra",
+          NULL AS other_user FROM sessions_raw
+        UNION ALL SELECT trim("UserId", ' '), "SessionId", NULL, NULL, event_type, NULL FROM sessions_raw
+        UNION ALL SELECT NULL, "SessionId", NULL, NULL, NULL, trim("UserId", ' ') FROM sessions_raw""",
     "parquet_roundtrip": _CLEAN_TABLE,
     "run_summary": f"""WITH {_SESSIONS}
         SELECT 'sessions' AS "ReportType", count(*) AS "TotalRecords", '2024-01-15' AS "ReportDate",
@@ -320,6 +362,8 @@ ORACLE: dict[str, str] = {
     "stream_ingest": f"""WITH {_SESSIONS}
         SELECT {_SHOWN_SESSIONS}, 'sessions' AS "ReportType", strftime(ts, '%Y-%m-%d') AS "ProcessingDate"
         FROM sessions""",
+    "stream_late_files": _CLEAN_TABLE,
+    "stream_report_samples": f"WITH {_APPS} {_union(_TABLE_SAMPLES)}",
     "report_job_sessions": _CLEAN_TABLE,
     "report_job_samples": f"WITH {_APPS} {_union(_APPLICATION_SAMPLES)}",
 }

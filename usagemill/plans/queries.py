@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from usagemill.functions.exposition import label_text
 from usagemill.operators import batches, clean, quality, routing, samples, stats, summary, telemetry
+from usagemill.plans import report_job
 from usagemill.plans.report_job import ReportRun, run_report_job
 from usagemill.session import fresh_folder, use_utc
 from usagemill.sinks import exposition, tables
@@ -26,6 +27,7 @@ DEFAULT_DATE = "2024-02-01"
 INPUT_PATH = "s3://usage-logs/sessions/"
 OUTPUT_PATH = "s3://usage-logs/analytics/"
 METRICS_URL = "http://metrics.example:8428"
+QUARTILES = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
 RUN = samples.Samples("usage_job", 1_706_745_600_000)
 
 
@@ -135,7 +137,30 @@ def session_duration_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def session_duration_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return stats.session_duration_summary(_clean_sessions(spark, folder))
+    """All rows of the summary. Quartiles are approximate, so for them it tells whether their rank is off by no more
+    than the ten-thousandth of the rows that Spark documents, and leaves out the value."""
+    minutes = F.col(stats.DURATION)
+    cleaned = _clean_sessions(spark, folder)
+    shown = stats.session_duration_summary(cleaned).select("summary", minutes.cast("double").alias("minutes"))
+    quartile = F.col("summary").endswith("%")
+    values = {name: shown.where(F.col("summary") == name).select("minutes").scalar() for name in QUARTILES}
+    ranks = cleaned.agg(
+        F.count(minutes).alias("n"),
+        *[F.count_if(minutes < value).alias(f"below {name}") for name, value in values.items()],
+        *[F.count_if(minutes <= value).alias(f"up to {name}") for name, value in values.items()],
+    )
+    slack = F.col("n") / F.lit(10_000) + F.lit(1)
+    exact = [
+        F.struct(
+            F.lit(name).alias("summary"),
+            ((F.col(f"below {name}") - slack <= share * F.col("n")) & (share * F.col("n") <= F.col(f"up to {name}") + slack))
+            .alias("within_accuracy"),
+        )
+        for name, share in QUARTILES.items()
+    ]
+    checked = ranks.select(F.inline(F.array(*exact)))
+    rounded = F.when(~quartile, F.round("minutes", 6)).alias("minutes")
+    return shown.select("summary", rounded).join(F.broadcast(checked), "summary", "left")
 
 
 def session_duration_summary_exact(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,6 +174,11 @@ def top_applications(spark: SparkSession, folder: str) -> DataFrame:
     return stats.top_applications(_clean_apps(spark, folder))
 
 
+def top_applications_many(spark: SparkSession, folder: str) -> DataFrame:
+    """One application per order: far more than ten, many of them used equally often, all with names that are cut."""
+    return stats.top_applications(test_tables.order_applications(spark, folder))
+
+
 # Quality
 
 
@@ -161,6 +191,11 @@ def column_null_percentage_lineitem(spark: SparkSession, folder: str) -> DataFra
     return _rounded(quality.column_null_percentage(lineitem), 6, "null_pct")
 
 
+def column_null_percentage_nan(spark: SparkSession, folder: str) -> DataFrame:
+    """Text that reads as NaN, and numbers that are NaN, count as missing."""
+    return _rounded(quality.column_null_percentage(test_tables.usage_nan(spark, folder)), 6, "null_pct")
+
+
 def data_quality_score(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(quality.data_quality_score(test_tables.usage_generic(spark, folder)), 6, "quality_score")
 
@@ -272,11 +307,35 @@ def csv_headerless(spark: SparkSession, folder: str) -> DataFrame:
     return reports.read_reports(spark, path, header=False)
 
 
+def csv_headerless_widths(spark: SparkSession, folder: str) -> DataFrame:
+    """Files whose lines have two to four cells, some with a separator inside quotes."""
+    path = fresh_folder(spark, "csv")
+    test_tables.uneven_lines(spark, folder).write.text(path)
+    return reports.read_reports(spark, path, header=False)
+
+
+def csv_rescued(spark: SparkSession, folder: str) -> DataFrame:
+    """The same lines under a header of three names: those with a fourth cell are kept whole beside the cells."""
+    path = fresh_folder(spark, "csv")
+    lines = test_tables.uneven_lines(spark, folder)
+    heads = spark.range(0, 1, 1, 1).select(F.lit("id,kind,user").alias("line"))
+    heads.unionByName(lines).coalesce(1).write.text(path)
+    return reports.read_reports(spark, path, rescued="line")
+
+
 def csv_union_by_header(spark: SparkSession, folder: str) -> DataFrame:
+    """Three headers; ``userid`` of the third is another column than ``UserId``, and is shown as ``other_user``."""
     path = fresh_folder(spark, "csv")
-    _write_csv(test_tables.usage_sessions(spark, folder), f"{path}/first")
+    sessions = test_tables.usage_sessions(spark, folder)
+    _write_csv(sessions, f"{path}/first")
     _write_csv(test_tables.usage_sessions_reordered(spark, folder), f"{path}/second")
-    return reports.read_reports(spark, path)
+    _write_csv(sessions.select(F.col("UserId").alias("userid"), "SessionId"), f"{path}/third")
+    before = spark.conf.get("spark.sql.caseSensitive")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        return reports.read_reports(spark, path).withColumnRenamed("userid", "other_user")
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", before)
 
 
 def parquet_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
@@ -311,6 +370,45 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return _show_sessions(table, "ReportType", "ProcessingDate")
 
 
+def _age(spark: SparkSession, folder: str, days: int) -> None:
+    """Sets the modification times of the files of one folder back."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in files.listStatus(path):
+        files.setTimes(found.getPath(), found.getModificationTime() - days * 86_400_000, -1)
+
+
+def stream_late_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Reports that come between two runs of the stream, with files weeks older than those already taken."""
+    base = fresh_folder(spark, "ingest")
+    report = test_tables.usage_sessions(spark, folder).withColumn("late", F.hash("SessionId") % 2 != 0)
+    for late in (False, True):
+        part = f"{base}/in/part-{late}"
+        _write_csv(report.where(F.col("late") == late).drop("late"), part)
+        if late:
+            _age(spark, part, days=40)
+        query = ingest.ingest_reports(
+            spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", "sessions", test_tables.SESSION_COLUMNS, REPORT_DATE
+        )
+        query.awaitTermination()
+    schema = clean.with_metadata(_clean_sessions(spark, folder), "sessions", REPORT_DATE).schema
+    table = tables.read_clean(spark, schema, tables.clean_path(f"{base}/out", "sessions"))
+    return _show_sessions(table, "ReportType", "ProcessingDate")
+
+
+def stream_report_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """Stream in, samples out: application reports taken by the stream, then measured as a table."""
+    base = fresh_folder(spark, "ingest")
+    apps = test_tables.usage_apps(spark, folder)
+    _write_csv(apps, f"{base}/in")
+    query = ingest.ingest_reports(
+        spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", "applications", apps.columns, REPORT_DATE
+    )
+    query.awaitTermination()
+    path = tables.clean_path(f"{base}/out", "applications")
+    return _flat(report_job.table_samples(spark, path, "applications", RUN, REPORT_DATE))
+
+
 def _run_job(spark: SparkSession, report: DataFrame, report_type: str):
     base = fresh_folder(spark, "job")
     _write_csv(report, f"{base}/in")
@@ -350,8 +448,10 @@ QUERIES: dict[str, Query] = {
         session_duration_summary,
         session_duration_summary_exact,
         top_applications,
+        top_applications_many,
         column_null_percentage,
         column_null_percentage_lineitem,
+        column_null_percentage_nan,
         data_quality_score,
         route_notifications,
         report_date,
@@ -369,10 +469,14 @@ QUERIES: dict[str, Query] = {
         csv_roundtrip,
         csv_quoted_roundtrip,
         csv_headerless,
+        csv_headerless_widths,
+        csv_rescued,
         csv_union_by_header,
         parquet_roundtrip,
         run_summary,
         stream_ingest,
+        stream_late_files,
+        stream_report_samples,
         report_job_sessions,
         report_job_samples,
     ]

@@ -1,8 +1,8 @@
 """The report job: read the files of one report, clean, write, summarise, and emit metric samples.
 
 The report files are scanned once, whatever the number of columns and metrics. That scan writes the clean table; the
-null profile of the raw rows and the count of the clean rows are observed on the way. The statistics are taken from
-the columns of the clean table that they need, over the rows of this run.
+null profile of the raw rows, the lines with cells beyond their header and the count of the clean rows are observed on
+the way. The statistics are taken from the columns of the clean table that they need, over the rows of this run.
 """
 
 from __future__ import annotations
@@ -23,16 +23,20 @@ from usagemill.operators.clean import clean_report, with_metadata
 from usagemill.operators.summary import known_summary
 from usagemill.session import use_utc, with_slash
 from usagemill.sinks.exposition import Transport, push_samples, write_text
-from usagemill.sinks.tables import clean_path, read_partition, write_clean, write_summary
+from usagemill.sinks.tables import PARTITION_COLUMNS, clean_path, read_partition, write_clean, write_summary
 from usagemill.sources.reports import read_reports
 
+# The column of lines that have more cells than their header, while the files are read.
+LONGER_LINE = "_longer_line"
+
 
 @dataclass(frozen=True)
 class ReportRun:
     """What one run reads and where it writes.
 
     A job of a routed notification reads its ``trigger_file`` alone, so that the files of one folder are taken once
-    each. With ``columns`` no file is opened to look at its header, and any other header is an error.
+    each. With ``columns`` no file is opened to look at its header, and any other header is an error. A run to
+    ``measure_only`` is one of ``run_table_job`` over the clean table at ``input_path``.
     """
 
     input_path: str
@@ -45,6 +49,7 @@ class ReportRun:
     transport: Transport | None = None
     trigger_file: str | None = None
     columns: tuple[str, ...] | None = None
+    measure_only: bool = False
 
     @property
     def reads(self) -> str:
@@ -65,7 +70,10 @@ class ReportRun:
 
 @dataclass(frozen=True)
 class ReportResult:
+    """``longer_lines`` counts the lines with more cells than their header names; ``read_reports`` lists them."""
+
     total_records: int
+    longer_lines: int
     schema: T.StructType
     samples: DataFrame
 
@@ -104,22 +112,29 @@ def _held(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows.toArrow(), rows.schema)
 
 
-def _rows_of_run(spark: SparkSession, run: ReportRun, schema: T.StructType, counted: dict) -> DataFrame | None:
-    """The rows this run has written, told by their processing time; None if their number is not the observed one.
-
-    The clean table may hold rows of other runs under the same date, at worst with the same time.
-    """
+def _rows_of_run(spark: SparkSession, run: ReportRun, schema: T.StructType, counted: dict) -> DataFrame:
+    """The rows this run has written, told by their processing time; the table may hold rows of other runs."""
     if counted["rows"] == 0:
         return spark.createDataFrame([], schema)
-    partition = {"ReportType": run.report_type, "ProcessingDate": run.report_date}
     time = F.timestamp_micros(F.lit(counted["processed_us"]).cast("bigint"))
-    rows = read_partition(spark, schema, run.clean_path, partition).where(F.col("ProcessedAt") == time)
-    return rows if rows.count() == counted["rows"] else None
+    rows = read_partition(spark, schema, run.clean_path, run.report_type, run.report_date)
+    return rows.where(F.col("ProcessedAt") == time)
+
+
+def _check_total(samples: DataFrame, naming: sample_ops.Samples, total: int) -> None:
+    """Another run may have written rows under the same date in the same microsecond; none is told apart then."""
+    series = naming.usage_name(sample_ops.TOTAL_RECORDS)
+    found = samples.where(F.col("name") == series).first()["value"]
+    if found != total:
+        raise RuntimeError(f"{total} rows were written, but {found:.0f} carry the processing time of this run")
 
 
 def _process(spark: SparkSession, run: ReportRun, log: _RunLog, naming: sample_ops.Samples) -> ReportResult:
     with log.stage("extraction"):
-        raw = read_reports(spark, run.reads, run.header, list(run.columns) if run.columns else None)
+        known = list(run.columns) if run.columns else None
+        lines = read_reports(spark, run.reads, run.header, known, rescued=LONGER_LINE)
+        longer = Observation()
+        raw = lines.observe(longer, F.count(LONGER_LINE).alias("lines")).drop(LONGER_LINE)
     with log.stage("transformation"):
         profile, counted = Observation(), Observation()
         observed = clean_report(raw.observe(profile, *quality.missing_counts(raw)), run.report_type).observe(
@@ -138,12 +153,12 @@ def _process(spark: SparkSession, run: ReportRun, log: _RunLog, naming: sample_o
         write_summary(summary, run.output_base)
     with log.stage("analytics"):
         written = _rows_of_run(spark, run, clean.schema, counted.get)
-        source = clean_report(raw, run.report_type) if written is None else written
-        usage = sample_ops.report_samples(source, run.report_type, naming, run.report_date)
+        usage = sample_ops.report_samples(written, run.report_type, naming, run.report_date)
         nulls = sample_ops.quality_samples(_one_row(spark, profile.get), raw, run.report_type, naming)
         # As many rows as the report has columns and the fixed catalogue has series; written and sent below.
         samples = _held(spark, usage.unionByName(nulls))
-    return ReportResult(total, clean.schema, samples)
+        _check_total(samples, naming, total)
+    return ReportResult(total, longer.get["lines"], clean.schema, samples)
 
 
 def _emit(spark: SparkSession, run: ReportRun, samples: DataFrame) -> None:
@@ -178,3 +193,37 @@ def run_report_job(spark: SparkSession, run: ReportRun) -> ReportResult:
     samples = result.samples.unionByName(_close(spark, run, log, naming))
     _emit(spark, run, samples)
     return replace(result, samples=samples)
+
+
+def table_samples(
+    spark: SparkSession, path: str, report_type: str, naming: sample_ops.Samples, report_date: str | None = None
+) -> DataFrame:
+    """Usage and quality samples of a clean table that a stream or a batch job has written, for one date or all.
+
+    The statistics read the columns they need, and of the dates only the given one.
+    """
+    table = use_utc(spark).read.parquet(path)
+    if report_date is not None:
+        table = table.where(F.col("ProcessingDate").cast("string") == report_date)
+    report = table.drop("ProcessedAt", *PARTITION_COLUMNS)
+    usage = sample_ops.report_samples(report, report_type, naming, report_date)
+    return usage.unionByName(sample_ops.profile_samples(report, report_type, naming))
+
+
+def run_table_job(
+    spark: SparkSession,
+    path: str,
+    output_base: str,
+    report_type: str,
+    job_name: str,
+    report_date: str | None = None,
+    timestamp_ms: int | None = None,
+    transport: Transport | None = None,
+) -> DataFrame:
+    """Measures a clean table once: writes the exposition text, sends it where a transport is given, returns it."""
+    naming = sample_ops.Samples(job_name, timestamp_ms)
+    samples = _held(spark, table_samples(spark, path, report_type, naming, report_date))
+    write_text(samples.coalesce(1), f"{with_slash(output_base)}metrics/")
+    if transport:
+        push_samples(spark, samples.coalesce(1), transport)
+    return samples

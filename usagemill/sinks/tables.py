@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from usagemill.session import with_slash
 
 PARTITION_COLUMNS = ["ReportType", "ProcessingDate"]
 
-# Fixed value: the characters that Spark writes as % and two hexadecimal digits in the folder name of a partition.
-ESCAPED_IN_FOLDERS = r"""[\x00-\x1f"#%'*/:=?\\\x7f{\[\]^]"""
-
 
 def clean_path(base: str, report_type: str) -> str:
     return f"{with_slash(base)}{report_type}/"
@@ -48,6 +44,8 @@ def write_clean(df: DataFrame, base: str, report_type: str) -> str:
     """Appends a clean report; returns the path of its table."""
     path = clean_path(base, report_type)
     forbid_stream_table(df.sparkSession, path)
+    # Spark's default, INT96, has no statistics by which a reader could skip the rows of other runs.
+    df.sparkSession.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
     df.write.mode("append").option("compression", "snappy").partitionBy(*partitioning(df)).parquet(path)
     return path
 
@@ -58,17 +56,13 @@ def read_clean(spark: SparkSession, schema: T.StructType, path: str) -> DataFram
     return spark.read.schema(schema).parquet(path)
 
 
-def partition_folder(path: str, values: dict[str, str]) -> str:
-    """The folder of one partition of the table at ``path``."""
-    escaped = {
-        name: re.sub(ESCAPED_IN_FOLDERS, lambda found: f"%{ord(found[0]):02X}", value) for name, value in values.items()
-    }
-    return with_slash(path) + "/".join(f"{name}={value}" for name, value in escaped.items())
-
-
-def read_partition(spark: SparkSession, schema: T.StructType, path: str, values: dict[str, str]) -> DataFrame:
-    """One partition of a clean table, without listing the others."""
-    return spark.read.schema(schema).option("basePath", path).parquet(partition_folder(path, values))
+def read_partition(spark: SparkSession, schema: T.StructType, path: str, report_type: str, date: str) -> DataFrame:
+    """One partition of a clean table; Spark prunes the others, and stores empty text as no value."""
+    wanted = {"ReportType": report_type, "ProcessingDate": date}
+    table = read_clean(spark, schema, path)
+    for name, value in wanted.items():
+        table = table.where(F.col(name) == value if value else F.col(name).isNull())
+    return table
 
 
 def write_summary(summary: DataFrame, base: str) -> str:

@@ -77,6 +77,32 @@ def usage_generic(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def usage_nan(spark: SparkSession, folder: str) -> DataFrame:
+    """Text and numbers, some of them not a number."""
+    return events(spark, folder).select(
+        F.when(_every(7), "NaN").when(_every(5), " nan ").when(_every(3), None).otherwise(F.col("event_type")).alias("text"),
+        F.when(_every(4), F.lit(float("nan"))).when(_every(9), None).otherwise(F.col("value")).alias("number"),
+        F.when(_every(6), F.lit(float("nan"))).otherwise(F.col("value")).cast("float").alias("single"),
+    )
+
+
+def order_applications(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per order line, under an application name of more than 50 characters per order."""
+    name = F.concat(F.lit("order "), F.col("l_orderkey").cast("string"), F.lit(" handled by " + "office " * 8))
+    return spark.read.parquet(f"{folder}/lineitem.parquet").select(name.alias("ApplicationName"))
+
+
+def uneven_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """CSV lines of two to four cells; the second cell holds a separator inside quotes."""
+    cells = [
+        F.col("event_id").cast("string"),
+        F.concat(F.lit('"'), F.col("event_type"), F.lit(',x"')),
+        F.when(~_every(3), F.col("user_id").cast("string")),
+        F.when(_every(4) & ~_every(3), F.lit("beyond")),
+    ]
+    return events(spark, folder).select(F.concat_ws(",", *cells).alias("line"))
+
+
 def notifications(spark: SparkSession, folder: str) -> DataFrame:
     """One JSON notification per event: ``event_id, body``."""
     kind, event_id = F.col("event_type"), F.col("event_id").cast("string")
@@ -87,10 +113,10 @@ def notifications(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise("ObjectCreated:Put")
     )
     key = (
-        F.when(kind == "view", F.concat(F.lit("applications/"), path, F.lit("/app-report-"), day, F.lit(".csv")))
+        F.when(kind == "view", F.concat(F.lit("applications/"), path, F.lit("/used-"), day, F.lit(".csv")))
         .when(kind == "purchase", F.concat(F.lit("applications/latest/app-"), event_id, F.lit(".csv")))
         .when(kind == "signup", F.concat(F.lit("analytics/part-"), event_id, F.lit(".parquet")))
-        .otherwise(F.concat(F.lit("sessions/"), path, F.lit("/session-report-"), day, F.lit(".csv")))
+        .otherwise(F.concat(F.lit("sessions/"), path, F.lit("/log-"), day, F.lit(".csv")))
     )
     bucket = F.struct(F.lit("usage-logs").alias("name"))
     s3 = F.struct(bucket.alias("bucket"), F.struct(key.alias("key")).alias("object"))
