@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import textwrap
+
 from usagemill.llm import licenses
 
 
@@ -11,3 +13,33 @@ def test_scan(spark, awkward, empty):
     assert found == {0: "apache-2.0", 1: "mit", 2: None, 3: None, 4: None}
     assert licenses.scan(awkward, known).count() == awkward.count()
     assert licenses.scan(empty, known).count() == 0
+
+
+def test_runs_of_lines(spark):
+    texts = {path.stem: path.read_text() for path in licenses.TEXTS.glob("*.txt")}
+    flat = {name: " ".join(text.split()) for name, text in texts.items()}
+    wrapped = {name: "\r\n".join(textwrap.wrap(text, 31, break_on_hyphens=False)) for name, text in flat.items()}
+    cases = [(f"Some prose.\n\n{text}", name.split("~")[0]) for name, text in texts.items()]
+    cases += [(f"# {text}\n\nMore prose.", name.split("~")[0]) for name, text in wrapped.items() if name in ("mit", "bsd-3-clause", "isc", "unlicense")]
+    cases += [
+        ("Prose.\nReleased under the MIT License.", "mit"),
+        ("Prose.\nLicensed under CC BY-NC 4.0.\nMore.\nReleased under the MIT License.", "mit"),
+        ("MIT License\n\nCopyright (c) 2020 A\n\n" + flat["mit"], "mit"),
+        ("Not released under the MIT License.", None),
+        ("Released under the MIT License. Or not.", None),
+        (texts["mit"].replace("WITHOUT WARRANTY", "WITH A WARRANTY"), None),
+    ]
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id int, text string")
+    rows = {row["doc_id"]: row for row in licenses.scan(docs, licenses.known_licenses(spark)).collect()}
+    assert [(cases[i][0][:80], rows[i]["license"]) for i in sorted(rows)] == [(text[:80], name) for text, name in cases]
+    both = next(rows[i]["licenses"] for i, (text, _) in enumerate(cases) if "CC BY-NC" in text)
+    assert both == ["cc-by-nc-4.0", "mit"]
+
+
+def test_known_tables(spark):
+    docs = spark.createDataFrame([(1, "word " * 50000 + "\nLicensed under CC BY-NC 4.0."), (2, "only word")], "doc_id int, text string")
+    few = spark.createDataFrame([("one", "word"), ("none", "--"), ("two", "only word"), ("a", "Only, WORD!")], "license string, text string")
+    known = licenses.known_licenses(spark)
+    assert {row["doc_id"]: row["license"] for row in licenses.scan(docs, known).collect()} == {1: "cc-by-nc-4.0", 2: None}
+    assert {row["doc_id"]: row["license"] for row in licenses.scan(docs, few).collect()} == {1: None, 2: "a"}
+    assert licenses.scan(docs, known.limit(0)).filter("license IS NULL AND size(licenses) = 0").count() == 2

@@ -1,43 +1,105 @@
-"""License scans: whole texts, in a canonical form, are looked up by digest among known licences."""
+"""License scans: every run of whole lines of a text, in a canonical form, is looked up by digest among known licences."""
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Notices by name.
+# Notices by name. Whole licences and longer notices are the files of TEXTS, named by licence and, after
+# a ``~``, by what sets the text apart from others of that licence.
 KNOWN = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("mit", "Licensed under the MIT License."),
+    ("mit", "Released under the MIT License."),
     ("cc0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
+    ("cc-by-4.0", "Licensed under CC BY 4.0."),
+    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."),
+    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
+    ("cc-by-nd-4.0", "Licensed under CC BY-ND 4.0."),
+    ("cc-by-nc-sa-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("cc-by-nc-nd-4.0", "Licensed under CC BY-NC-ND 4.0."),
 ]
+TEXTS = Path(__file__).with_name("license_texts")
 # Spellings and what they are read as, in this order.
 SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("https:", "http:"), ("&", " and ")]
-COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+# Copyright lines, but not lines on which a sentence of a licence goes on, however the licence is wrapped.
+COPYRIGHT = (
+    r"(^|\n)[ \t]*(copyright(?!ed|able|[ \t]+(notices?|holders?|owners?|laws?|licenses?|permissions?|statements?|interests?|disclaimers?"
+    r"|protection|treaty|status|and|or|on|in|is|to|as|for|of|over|if)\b)"
+    r"|\(c\)(?![ \t]+(you|the|a|an|any|all|if|in|to|under|it|is|this|that|for|as|by|or|no|such|each|affirmer|representations)\b)"
+    r"|©|all rights reserved)[^\n]*"
+)
+ANCHOR = 12  # a run of lines is looked at if it begins with the first so many words of a known text
 
 
-def canonical(text: Column) -> Column:
-    """A text with A-Z lower-cased, without copyright lines, in one spelling, its words of a-z and 0-9 a space apart."""
-    out = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    out = F.regexp_replace(out, COPYRIGHT, "\n")
+def canonical_lines(text: Column) -> Column:
+    """A text with A-Z lower-cased, without copyright lines, in one spelling: its lines, each of words of a-z and 0-9 a
+    space apart, without empty ones."""
+    out = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\r", "abcdefghijklmnopqrstuvwxyz\n")
     for spelling, form in SPELLINGS:
         out = F.replace(out, F.lit(spelling), F.lit(form))
-    return F.trim(F.regexp_replace(out, "[^a-z0-9]+", " "))
+    out = F.regexp_replace(out, COPYRIGHT, "\n")
+    out = F.regexp_replace(F.regexp_replace(out, "[^a-z0-9\n]+", " "), " ?\n[ \n]*", "\n")
+    return F.trim(out, F.lit(" \n"))
+
+
+def canonical(text: Column) -> Column:
+    """The words of ``canonical_lines``, a space apart."""
+    return F.translate(canonical_lines(text), "\n", " ")
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license string, text string")
+    files = [(path.stem.split("~")[0], path.read_text()) for path in sorted(TEXTS.glob("*.txt"))]
+    return spark.createDataFrame(KNOWN + files, "license string, text string")
+
+
+def _tails(forms: list[str]) -> str:
+    """A pattern for the line break before each run of lines that begins as a known text does; its group is the text
+    from there on, as far as a known text with that beginning can reach, and one character more."""
+    begins = sorted({tuple(form.split(" ")[:ANCHOR]) for form in forms}, key=len)
+    anchors = {words for words in begins if not any(words[:n] in begins for n in range(1, len(words)))}
+    reach = dict.fromkeys(sorted(anchors), 0)
+    for form in forms:
+        words = form.split(" ")
+        anchor = next(tuple(words[:n]) for n in range(1, ANCHOR + 1) if tuple(words[:n]) in anchors)
+        reach[anchor] = max(reach[anchor], len(form) - len(" ".join(anchor)))
+    branches = ["[ \n]".join(map(re.escape, words)) + f"(?=[ \n])[a-z0-9 \n]{{0,{more + 1}}}" for words, more in reach.items()]
+    return f"\n(?=({'|'.join(branches)}))"
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """``doc_id, license, canonical_sha256`` of every row; ``license`` is null where the whole text is no known licence.
+    """``doc_id, license, licenses, canonical_sha256`` of every row.
 
-    A null text is an empty one and matches nothing, nor does an empty known text. Of known texts with one canonical
-    form the smallest name stands. Rows that repeat are looked up one by one; other columns do not matter. The known
-    texts are a small table that Spark broadcasts by its own measured size.
+    ``licenses`` has the names of the known texts that are, in canonical form, a run of whole lines of the text: a line,
+    a paragraph, a block at its end or anywhere, or all of it, however it is wrapped. ``license`` is the name of the
+    longest of them, the smallest name of equal lengths; null where there is none. ``canonical_sha256`` is of the whole
+    text. A null text is an empty one and matches nothing, nor does an empty known text. Of known texts with one
+    canonical form the smallest name stands. Rows that repeat are looked up one by one; other columns do not matter.
+    The known texts are a small table; their digests go into the plan, so no row of ``docs`` is shuffled.
     """
-    digest = F.sha2(canonical(F.col("text").cast("string")).cast("binary"), 256)
-    table = known.filter(canonical(F.col("text")) != "").groupBy(digest.alias("canonical_sha256")).agg(F.min("license").alias("license"))
-    own = docs.select("doc_id", digest.alias("canonical_sha256"))
-    return own.join(table, "canonical_sha256", "left").select("doc_id", "license", "canonical_sha256")
+    forms = known.select("license", canonical(F.col("text").cast("string")).alias("form")).filter("form != '' AND license IS NOT NULL")
+    digest = F.sha2(F.col("form").cast("binary"), 256).alias("digest")
+    table = forms.groupBy("form").agg(F.min("license").alias("license")).select("form", "license", digest).collect()
+    lined = canonical_lines(F.col("text").cast("string"))
+    own = docs.select("doc_id", lined.alias("_lined"))
+    whole = F.sha2(F.translate("_lined", "\n", " ").cast("binary"), 256).alias("canonical_sha256")
+    if not table:
+        return own.select("doc_id", F.lit(None).cast("string").alias("license"), F.array().cast("array<string>").alias("licenses"), whole)
+    sizes = F.array(*[F.lit(size) for size in sorted({len(row["form"]) for row in table})])
+    names = F.create_map(*[F.lit(value) for row in table for value in (row["digest"], row["license"])])
+
+    def found_in(tail: Column) -> Column:
+        """Known texts that the tail begins with and that end with a line of it: size, name."""
+        ends = F.filter(sizes, lambda size: F.substring(tail, size + 1, F.lit(1)) == "\n")
+        run = lambda size: F.translate(F.substring(tail, F.lit(1), size), "\n", " ")
+        look = F.transform(ends, lambda size: F.struct((-size).alias("order"), F.element_at(names, F.sha2(run(size).cast("binary"), 256)).alias("name")))
+        return F.filter(look, lambda hit: hit["name"].isNotNull())
+
+    tails = F.regexp_extract_all(F.concat(F.lit("\n"), "_lined", F.lit("\n")), F.lit(_tails([row["form"] for row in table])), F.lit(1))
+    hits = own.select("doc_id", whole, F.array_sort(F.flatten(F.transform(tails, found_in))).alias("_hits"))
+    return hits.select("doc_id", F.get("_hits.name", F.lit(0)).alias("license"), F.sort_array(F.array_distinct("_hits.name")).alias("licenses"), "canonical_sha256")
