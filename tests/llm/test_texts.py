@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from itertools import combinations
+from types import SimpleNamespace
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from usagemill.llm import bpe, decontaminate, language, queries, toxicity, urls
+from usagemill.llm.word_kernel import WordKernel
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -89,6 +93,54 @@ def test_toxicity_tolerates_inserted_characters(spark):
     assert toxicity.drop_toxic(docs, labels).columns == ["doc_id", "text"]
 
 
+def chances(model, texts):
+    labels = []
+    for batch in toxicity._scorer(SimpleNamespace(value=model))([pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["row", "text"])]):
+        labels += [int(chance >= 0.5) for chance in batch.column("score").to_pylist()]
+    return labels
+
+
+def test_kernel_has_no_span_and_no_alphabet():
+    kernel = WordKernel()
+    alike = kernel.gram(["i---d---i---o---t", "i" + "-" * 900 + "diot", "дурак", "дууурак", "笨蛋", "xy", "zebra"], ["idiot", "дурак", "笨蛋", "xy"])
+    assert (alike[:2, 0] > 0.6).all() and (alike[2:4, 1] > 0.5).all() and alike[4, 2] > 0.99 and alike[5, 3] > 0.99
+    assert alike[6].max() < 0.01
+    plain = {}
+    word = "abracadabra"
+    for i, j, k in combinations(range(len(word)), 3):
+        plain[word[i] + word[j] + word[k]] = plain.get(word[i] + word[j] + word[k], 0) + 0.6 ** (k - i - 2)
+    numbers, weights = next((numbers, weights) for _, numbers, weights in kernel.features([word]))
+    assert WordKernel.norms(numbers, weights)[0] == pytest.approx(sum(value**2 for value in plain.values()) ** 0.5, rel=1e-4)
+    long_word = "i" + "ab" * 200
+    assert all(sum(map(str.isalpha, piece)) <= 64 for piece in toxicity.words_of(long_word)) and "".join(long_word[:64]) in toxicity.words_of(long_word)
+
+
+def test_toxicity_of_lone_letters_and_many_words():
+    assert "idiot" in toxicity.words_of("you i  d\ti\no \r\n t no")[-1]
+    words = [f"w{i:05d}" for i in range(1500)]
+    batch = pa.record_batch([pa.array([1]), pa.array([" ".join(words)])], names=["toxic", "text"])
+    assert next(toxicity._first_words([batch])).column("words").to_pylist() == [words]
+
+
+def test_toxicity_of_phrases():
+    draw = random.Random(3)
+    plain = ["".join(draw.choices("aehinorstdlm", k=draw.randint(3, 8))) for _ in range(400)] + ["dirty", "mongrel"]
+
+    def text(toxic):
+        words = draw.choices(plain, k=60)
+        words = [word for i, word in enumerate(words) if not (i and words[i - 1] == "dirty" and word == "mongrel")] + ["rose"]
+        at = draw.randrange(55)
+        words[at : at + 2] = ["dirty", "mongrel"] if toxic else draw.choice([["mongrel", "dirty"], ["dirty", "rose"], ["rose", "mongrel"]])
+        return " ".join(words)
+
+    sample = [(int(i % 3 == 0), toxicity.words_of(text(i % 3 == 0))) for i in range(600)]
+    model = toxicity.fit(sample)
+    tests = [(int(i % 3 == 0), text(i % 3 == 0)) for i in range(200)]
+    found = chances(model, [text for _, text in tests])
+    assert sum(a == b for a, (b, _) in zip(found, tests)) >= 190
+    assert chances(model, ["tea d.i.r.t.y mongrel here", "tea dirty here mongrel"]) == [1, 0]
+
+
 def test_toxicity_without_labels(spark, awkward, empty):
     labels = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert {row["score"] for row in toxicity.toxicity_report(awkward, labels).collect()} == {0.0}

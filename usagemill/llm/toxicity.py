@@ -2,7 +2,8 @@
 
 A label belongs to a document, an insult to one of its sentences, and there to a word that may be spelt with gaps or
 inserted characters. The kernel compares words; a sentence scores as its most toxic word; a document is judged
-by its two most toxic words. Training goes back and forth between picking each toxic document's sentence and word (the highest
+by its two most toxic words. Where words alone leave toxic documents unexplained, a second machine compares pairs of
+words that follow each other, by the product of the kernels of their first and of their second words. Training goes back and forth between picking each toxic document's sentence and word (the highest
 score so far) and fitting the machine, with the highest-scoring words of clean documents as the other side.
 
 As the kernel is an inner product of sparse features, the machine over the landmarks becomes one weight for each
@@ -12,9 +13,11 @@ feature, so each distinct word of a task's texts is scored once, without a look
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,49 +25,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usagemill.llm.tables import checkpointed, held_out, offsets, own_rows, text_chunks
-from usagemill.llm.word_kernel import LETTERS, LONGEST, FeatureTable, WordKernel
+from usagemill.llm.word_kernel import LONGEST, FeatureTable, WordKernel
 
 # The machine is fitted on at most so many labelled documents of each class, of different texts, the ones of the
-# smallest text hashes, and on the distinct words of their first so many sentences. Scoring has no such bound.
+# smallest text hashes, and on the words of their first so many sentences. Scoring has no such bound.
 TRAIN_DOCUMENTS = 1500
 TRAIN_SENTENCES = 400
 LANDMARKS = 160
 ALIKE = 0.85  # landmarks more alike than this add nothing
 BACKGROUND = 32
 RANDOM_WORDS = 4000
+PAIRS = 64
+PAIR_EXCESS = 5.0  # standard errors by which a pair must be more common in unexplained toxic documents
 ROUNDS = 4
 CLEAN_COST = 2.0  # of a word's share of clean documents, against its share as the word of toxic ones
 CACHE_WORDS = 1 << 17
 CHUNK_BYTES = 1 << 20
 
-_SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:\S\s++){2,}\S(?!\S)")
 _EDGES = "".join(map(chr, range(0x21, 0x30))) + ":;<=>?@[\\]^_`{|}~"
 _SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n")
 
 
+def _pieces(word: str) -> list[str]:
+    """A long word from its first letter to its last, in overlapping pieces of LONGEST letters; gaps count as none."""
+    places = [i for i, letter in enumerate(word) if letter.isalpha()]
+    half = LONGEST // 2
+    starts = range(0, max(1, len(places) - half), half) if places else ()
+    return [word[places[at] : places[min(at + LONGEST, len(places)) - 1] + 1] for at in starts]
+
+
 def words_of(text: str) -> list[str]:
-    """Lower-cased words; letters that stand alone in a row are joined to one word, long words are cut to pieces."""
+    """Lower-cased words in order, long ones cut to pieces; after an empty word, letters that stand alone in a row, over
+    any white space, joined to one word."""
     text = text.lower()
     words = [word.strip(_EDGES) for word in text.split()]
-    words += [spaced.group().replace(" ", "").replace("\t", "") for spaced in _SPACED.finditer(text)]
+    spaced = ["".join(found.group().split()) for found in _SPACED.finditer(text)]
+    words += ["", *spaced] if spaced else []
     if any(len(word) > LONGEST for word in words):
-        half = LONGEST // 2
-        words = [word[at : at + LONGEST] for word in words for at in range(0, max(1, len(word) - half), half)]
+        words = [piece for word in words for piece in (_pieces(word) if len(word) > LONGEST else [word])]
     return words
 
 
-def _sentence_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         toxic = batch.column("toxic").to_pylist()
         for first, texts in text_chunks(batch, "text"):
-            words = [[sorted(set(words_of(part)))[:400] for part in _SENTENCE.split(text)[:TRAIN_SENTENCES]] for text in texts]
-            kept = [[part for part in parts if part] for parts in words]
+            words = []
+            for text in texts:
+                ends = (found.start() for found in _SENTENCE.finditer(text))
+                words.append(words_of(text[: next(islice(ends, TRAIN_SENTENCES - 1, None), None)]))
             labels = pa.array(toxic[first : first + len(texts)], pa.int32())
-            yield pa.record_batch([labels, pa.array(kept, pa.list_(pa.list_(pa.string())))], names=["toxic", "sentences"])
+            yield pa.record_batch([labels, pa.array(words, pa.list_(pa.string()))], names=["toxic", "words"])
 
 
-def _sample(docs: DataFrame, labels: DataFrame, bound: int) -> list[tuple[int, list[list[str]]]]:
-    """Labels and words by sentence of a bounded sample of documents that may be learned from."""
+def _sample(docs: DataFrame, labels: DataFrame, bound: int) -> list[tuple[int, list[str]]]:
+    """Labels and words in order of a bounded sample of documents that may be learned from."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
     # The ids of the sample are chosen first, so that texts of others are not sorted.
@@ -73,8 +89,29 @@ def _sample(docs: DataFrame, labels: DataFrame, bound: int) -> list[tuple[int, l
     picked = [order.filter(F.col("toxic") == label).orderBy("h").limit(bound) for label in (0, 1)]
     chosen = checkpointed(picked[0].unionByName(picked[1])).select("doc_id", "toxic").distinct()
     rows = own.join(F.broadcast(chosen), "doc_id").select("toxic", "text")  # at most 2 * bound ids
-    rows = rows.mapInArrow(_sentence_words, "toxic int, sentences array<array<string>>")
-    return [(row["toxic"], row["sentences"]) for row in rows.toLocalIterator()]
+    rows = rows.mapInArrow(_first_words, "toxic int, words array<string>")
+    return [(row["toxic"], list(map(sys.intern, row["words"]))) for row in rows.toLocalIterator()]
+
+
+@dataclass
+class Pairs:
+    """A machine on pairs of words, by feature tables of the landmarks' first and second words and a weight for each."""
+
+    first: FeatureTable
+    second: FeatureTable
+    weights: np.ndarray
+    bias: float
+
+    def hits(self, firsts: np.ndarray, seconds: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Scores over 0 of the different pairs of neighbours; ``ids`` has each word's row in the two tables of kernel values."""
+        found: dict[tuple[int, int], float] = {}
+        for start in range(0, len(ids) - 1, 1 << 14):
+            a, b = ids[start : start + (1 << 14)], ids[start + 1 : start + 1 + (1 << 14)]
+            a = a[: len(b)]
+            scores = (firsts[a] * seconds[b]) @ self.weights + self.bias
+            over = np.flatnonzero(scores > 0)
+            found.update(zip(zip(a[over].tolist(), b[over].tolist()), scores[over].tolist()))
+        return np.array(list(found.values()))
 
 
 @dataclass
@@ -83,6 +120,7 @@ class Model:
     table: FeatureTable
     bias: float
     logistic: np.ndarray
+    pairs: Pairs | None
 
     def words(self, words: list[str]) -> np.ndarray:
         return self.kernel.project(words, self.table)[:, 0] + self.bias
@@ -142,19 +180,65 @@ def _logistic(top: np.ndarray, labels: np.ndarray) -> np.ndarray:
         used.pop(int(np.argmin(weights[:-1])))
 
 
-def fit(sample: list[tuple[int, list[list[str]]]]) -> Model | None:
+def _whitened(inner: np.ndarray) -> np.ndarray:
+    """K^-1/2 on the landmarks' span."""
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    sound = values > 1e-4
+    return vectors[:, sound] / np.sqrt(values[sound])
+
+
+def _fit_pairs(kernel: WordKernel, vocabulary: list[str], runs: list[np.ndarray], labels: np.ndarray, scores: np.ndarray) -> Pairs | None:
+    """The machine on pairs of neighbours without a toxic word; none if no pair stands out in the toxic documents that no
+    word explains. ``runs`` are the documents' words in order."""
+    size = len(vocabulary)
+    lettered = np.array([any(map(str.isalpha, word)) for word in vocabulary], bool)
+    explained = np.array([len(run) and scores[run].max() > 0 for run in runs], bool)
+    counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    for run, label, known in zip(runs, labels.tolist(), explained):
+        if label == 0 or not known:
+            a, b = run[:-1], run[1:]
+            plain = (scores[a] <= 0) & (scores[b] <= 0) & lettered[a] & lettered[b]
+            counts[label].update(np.unique(a[plain] * size + b[plain]).tolist())
+    total = {0: int(np.sum(labels == 0)), 1: int(np.sum((labels == 1) & ~explained))}
+    least = max(2, int(np.sum(labels == 1)) / 200)
+
+    def excess(pair: int) -> float:
+        p, q = counts[1][pair] / total[1], counts[0][pair] / total[0]
+        spread = (p * (1 - p) + 1 / total[1]) / total[1] + (q * (1 - q) + 1 / total[0]) / total[0]
+        return (p - q) / spread**0.5
+
+    ranked = sorted((-excess(pair), pair) for pair, times in counts[1].items() if times >= least)
+    marked = [pair for less, pair in ranked if -less >= PAIR_EXCESS][:PAIRS]
+    if not marked:
+        return None
+    firsts, seconds = ([vocabulary[i] for i in part] for part in np.divmod(np.array(marked), size))
+    inner = kernel.gram(firsts, firsts).astype(np.float64) * kernel.gram(seconds, seconds)
+    to_map = _whitened(inner)
+    near = kernel.gram(vocabulary, firsts), kernel.gram(vocabulary, seconds)
+    other = np.array(sorted(counts[0].keys() - set(marked)), np.int64)
+    closest = np.zeros(len(other), np.float32)
+    for start in range(0, len(other), 1 << 16):
+        part = other[start : start + (1 << 16)]
+        closest[start : start + (1 << 16)] = (near[0][part // size] * near[1][part % size]).max(axis=1)
+    hard = other[np.argsort(-closest, kind="stable")[:RANDOM_WORDS]]
+    some = np.random.default_rng(0).permutation(other)[:RANDOM_WORDS]
+    rows = np.unique(np.concatenate([np.array(marked, np.int64), hard, some]))
+    z = (near[0][rows // size] * near[1][rows % size]) @ to_map
+    toxic = np.array([counts[1][pair] / total[1] if pair in set(marked) else 0.0 for pair in rows.tolist()])
+    clean = np.array([max(counts[0][pair], 0.5) / total[0] for pair in rows.tolist()])
+    weights = _svm(z, toxic, CLEAN_COST * clean, np.zeros(to_map.shape[1] + 1))
+    tables = [kernel.table(part, np.eye(len(part), dtype=np.float32)) for part in (firsts, seconds)]
+    return Pairs(*tables, (to_map @ weights[:-1]).astype(np.float32), float(weights[-1]))
+
+
+def fit(sample: list[tuple[int, list[str]]]) -> Model | None:
     """The machine of a sample; none if it lacks a class."""
     labels = np.array([label for label, _ in sample])
     if not len(labels) or labels.min() == labels.max():
         return None
-    bags = [sorted({word for sentence in sentences for word in sentence}) for _, sentences in sample]
+    bags = [sorted(set(words)) for _, words in sample]
     counts = {label: Counter(word for bag, own in zip(bags, labels) if own == label for word in bag) for label in (0, 1)}
-    letters = Counter()
-    for word, times in (counts[0] + counts[1]).items():
-        for letter in word:
-            if letter.isalpha():
-                letters[letter] += times
-    kernel = WordKernel("".join(letter for letter, _ in letters.most_common(LETTERS)))
+    kernel = WordKernel()
     total = {label: int(np.sum(labels == label)) for label in (0, 1)}
 
     def excess(word: str) -> float:
@@ -164,7 +248,7 @@ def fit(sample: list[tuple[int, list[list[str]]]]) -> Model | None:
 
     def landmark_words() -> list[str]:
         """Words of toxic documents by excess, none too like one before; then the most common others."""
-        candidates = [word for word in counts[1] if sum(map(str.isalpha, word)) >= 3]
+        candidates = [word for word in counts[1] if any(map(str.isalpha, word))]
         ranked = sorted(candidates, key=lambda word: (-excess(word), word))
         least = max(2, total[1] / 200)
         ranked = [word for word in ranked if counts[1][word] >= least][: 8 * LANDMARKS] or ranked[: 8 * LANDMARKS]
@@ -180,9 +264,7 @@ def fit(sample: list[tuple[int, list[list[str]]]]) -> Model | None:
     if not landmarks:
         return None
     inner = kernel.gram(landmarks, landmarks).astype(np.float64)
-    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
-    sound = values > 1e-4
-    to_map = vectors[:, sound] / np.sqrt(values[sound])  # K^-1/2 on the landmarks' span
+    to_map = _whitened(inner)
 
     vocabulary = sorted(set().union(*bags))
     number = {word: i for i, word in enumerate(vocabulary)}
@@ -208,26 +290,42 @@ def fit(sample: list[tuple[int, list[list[str]]]]) -> Model | None:
         beta = (to_map @ weights[:-1]).astype(np.float32)
         table = kernel.table(landmarks, beta[:, None])
         scores = kernel.project(vocabulary, table)[:, 0] + weights[-1]
-    top = np.array([top_two(scores[bag], weights[-1]) for bag in held])
-    return Model(kernel, table, float(weights[-1]), _logistic(top, labels))
+    runs = [np.array([number[word] for word in words], np.int64) for _, words in sample]
+    pairs = _fit_pairs(kernel, vocabulary, runs, labels, scores)
+    found = [scores[bag] for bag in held]
+    if pairs:
+        near = kernel.project(vocabulary, pairs.first), kernel.project(vocabulary, pairs.second)
+        found = [np.concatenate([own, pairs.hits(*near, run)]) for own, run in zip(found, runs)]
+    top = np.array([top_two(own, weights[-1]) for own in found])
+    return Model(kernel, table, float(weights[-1]), _logistic(top, labels), pairs)
 
 
 def _scorer(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model | None = shared.value
-        known: dict[str, float] = {}
+        pairs = model.pairs if model else None
+        width = len(pairs.weights) if pairs else 0
+        known: dict[str, int] = {}
+        table, firsts, seconds = np.zeros(0), np.zeros((0, width), np.float32), np.zeros((0, width), np.float32)
         for batch in batches:
             for first, texts in text_chunks(batch, "text", CHUNK_BYTES):
-                split = [words_of(text) for text in texts]
                 if model is None:
                     out = np.zeros(len(texts))
                 else:
                     if len(known) > CACHE_WORDS:
                         known.clear()
-                    split = [set(words) for words in split]
+                        table, firsts, seconds = table[:0], firsts[:0], seconds[:0]
+                    runs = [words_of(text) for text in texts]
+                    split = [set(words) for words in runs]
                     new = [word for word in set().union(*split) if word not in known]
-                    known.update(zip(new, model.words(new).tolist()))
-                    scores = [np.fromiter(map(known.__getitem__, words), float, len(words)) for words in split]
+                    known.update(zip(new, range(len(known), len(known) + len(new))))
+                    table = np.concatenate([table, model.words(new)])
+                    scores = [table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))] for words in split]
+                    if pairs:
+                        firsts = np.concatenate([firsts, model.kernel.project(new, pairs.first)])
+                        seconds = np.concatenate([seconds, model.kernel.project(new, pairs.second)])
+                        ids = (np.fromiter(map(known.__getitem__, words), np.int64, len(words)) for words in runs)
+                        scores = [np.concatenate([own, pairs.hits(firsts, seconds, each)]) for own, each in zip(scores, ids)]
                     out = model.chance(np.array([top_two(own, model.bias) for own in scores]))
                 yield pa.record_batch([batch.column("row").slice(first, len(texts)), pa.array(out)], names=["row", "score"])
 
@@ -243,7 +341,7 @@ def score(docs: DataFrame, labels: DataFrame, carry: list[str], bound: int = TRA
     Columns of ``docs`` may have any name. Scoring shuffles nothing.
     """
     model = fit(_sample(docs, labels, bound))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB: one weight for each feature, and the alphabet
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB for each of one to three feature tables, and their values
     own, kind = own_rows(docs, carry)
     return own.mapInArrow(_scorer(shared), f"row {kind}, score double")
 

@@ -1,23 +1,42 @@
 """A gap-weighted subsequence kernel on words, as sparse features of three letters in order.
 
 The feature of three letters is the sum, over all places where they occur in this order, of DECAY to the power of the
-letters between them; places whose outer letters are more than SPAN apart are left out. The kernel of two words is the
-inner product of their features over the product of their norms. Digits, signs and unknown letters are gaps: they
-carry no feature, so inserted characters lower a word's similarity little.
+characters between them, however many; a word of one or two letters has one feature, of all of them. The kernel of two
+words is the inner product of their features over the product of their norms, so a factor that all features of a word
+share does not matter. Digits and signs are gaps: they carry no feature, so inserted characters lower a word's
+similarity little. Letters of any script count; features are numbered by a hash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 
-from usagemill.llm.tables import by_length
+from usagemill.llm.tables import by_length, offsets
 
-SPAN = 6
 DECAY = 0.6
-LETTERS = 63
-LONGEST = 64  # a longer word is cut into overlapping pieces of this length, and takes the largest of their scores
+FEATURES_LOG2 = 20
+LONGEST = 64  # a word of more letters is cut into overlapping pieces of so many, and takes the largest of their scores
+CELLS = 1 << 20  # features of words, or codes, that are worked on at once
+TABLE_CELLS = 1 << 25  # values of a feature table that a Gram matrix is computed with
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+@lru_cache(maxsize=None)
+def _letter_table() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(code).isalpha() for code in range(0x110000)), bool, 0x110000)
+
+
+@lru_cache(maxsize=None)
+def _places(letters: int) -> np.ndarray:
+    """The first, second and third of all triples of so many letters."""
+    return np.array(list(combinations(range(letters), 3)), np.int64).T
 
 
 @dataclass
@@ -29,34 +48,40 @@ class FeatureTable:
 
 
 class WordKernel:
-    def __init__(self, alphabet: str):
-        if len(alphabet) > LETTERS:
-            raise ValueError("too many letters")
-        self.size = LETTERS + 1
-        self.code = np.zeros(0x110000, np.uint8)
-        for number, letter in enumerate(alphabet, 1):
-            self.code[ord(letter)] = number
-
-    def features(self, words: list[str]):
-        """Rows of one length, feature numbers and weights (a row of each per word); weight 0 is no feature."""
+    def features(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows of equally many letters, feature numbers and weights (a row of each per word); weight 0 is no feature."""
         for rows, codes in by_length(words):
-            for start in range(0, len(rows), 1 << 12):
-                part = slice(start, start + (1 << 12))
-                yield rows[part], *self._of(self.code[codes[part]])
-
-    def _of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        count, width = codes.shape
-        wide = codes.astype(np.int32)
-        numbers, weights = [], []
-        for i in range(width - 2):
-            for j in range(i + 1, min(width - 1, i + SPAN)):
-                for k in range(j + 1, min(width, i + SPAN + 1)):
-                    a, b, c = wide[:, i], wide[:, j], wide[:, k]
-                    numbers.append((a * self.size + b) * self.size + c)
-                    weights.append(np.where((a > 0) & (b > 0) & (c > 0), np.float32(DECAY ** (k - i - 2)), np.float32(0)))
-        if not numbers:
-            return np.zeros((count, 1), np.int32), np.zeros((count, 1), np.float32)
-        return np.stack(numbers, axis=1), np.stack(weights, axis=1)
+            step = max(1, min(1 << 12, CELLS // codes.shape[1]))
+            for start in range(0, len(rows), step):
+                part, own = rows[start : start + step], codes[start : start + step]
+                found = _letter_table()[own]
+                counts = found.sum(axis=1)
+                letters, places = own[found].astype(np.uint64), np.nonzero(found)[1]
+                begins = offsets(counts)[:-1]
+                for count in np.unique(counts[counts > 0]).tolist():
+                    chosen = np.flatnonzero(counts == count)
+                    size = max(1, CELLS // max(1, count * (count - 1) * (count - 2) // 6))
+                    for at in range(0, len(chosen), size):
+                        some = chosen[at : at + size]
+                        cells = begins[some][:, None] + np.arange(count)
+                        yield part[some], *self._of(letters[cells], places[cells])
+
+    def _of(self, letters: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if letters.shape[1] < 3:
+            short = np.zeros((len(letters), 3), np.uint64)
+            short[:, : letters.shape[1]] = letters
+            return self._number(*short.T)[:, None], np.ones((len(letters), 1), np.float32)
+        i, j, k = _places(letters.shape[1])
+        spans = places[:, k] - places[:, i]
+        near = (places[:, 2:] - places[:, :-2]).min(axis=1, keepdims=True)
+        weights = np.power(np.float32(DECAY), (spans - near).astype(np.float32))
+        return self._number(letters[:, i], letters[:, j], letters[:, k]), weights
+
+    @staticmethod
+    def _number(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        mixed = ((a << np.uint64(42)) | (b << np.uint64(21)) | c) * _ODD
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * _ODD
+        return (mixed >> np.uint64(64 - FEATURES_LOG2)).astype(np.int32)
 
     @staticmethod
     def norms(numbers: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -74,7 +99,7 @@ class WordKernel:
         """For each feature its weighted sum over ``words``, each of norm 1, with a column for each column of ``parts``."""
         found = [(rows, numbers, weights / np.maximum(self.norms(numbers, weights), 1e-9)[:, None]) for rows, numbers, weights in self.features(words)]
         used = np.unique(np.concatenate([np.zeros(0, np.int32), *[numbers[weights > 0] for _, numbers, weights in found]]))
-        index = np.zeros(self.size**3, np.int32)
+        index = np.zeros(1 << FEATURES_LOG2, np.int32)
         index[used] = np.arange(1, len(used) + 1)
         values = np.zeros((len(used) + 1, parts.shape[1]), np.float32)
         for rows, numbers, weights in found:
@@ -88,13 +113,27 @@ class WordKernel:
         out = np.zeros((len(words), table.values.shape[1]), np.float32)
         for rows, numbers, weights in self.features(words):
             place = table.index[numbers]
-            total = np.zeros((len(rows), table.values.shape[1]), np.float32)
-            for column in np.flatnonzero(place.any(axis=0)):
-                total += weights[:, column, None] * table.values[place[:, column]]
+            if out.shape[1] == 1:
+                total = np.einsum("rc,rc->r", weights, table.values[:, 0][place])[:, None]
+            else:
+                total = np.zeros((len(rows), table.values.shape[1]), np.float32)
+                for column in np.flatnonzero(place.any(axis=0)):
+                    total += weights[:, column, None] * table.values[place[:, column]]
             hit = np.flatnonzero(total.any(axis=1))
             out[rows[hit]] = total[hit] / np.maximum(self.norms(numbers[hit], weights[hit]), 1e-9)[:, None]
         return out
 
     def gram(self, words: list[str], others: list[str]) -> np.ndarray:
         """Kernel values of all words with all others."""
-        return self.project(words, self.table(others, np.eye(len(others), dtype=np.float32)))
+        out = np.zeros((len(words), len(others)), np.float32)
+        sizes = [1 + sum(map(str.isalpha, word)) ** 3 // 6 for word in others]
+        start = 0
+        while start < len(others):
+            end, cells = start + 1, sizes[start]
+            while end < len(others) and (cells + sizes[end]) * (end + 1 - start) <= TABLE_CELLS:
+                cells += sizes[end]
+                end += 1
+            part = others[start:end]
+            out[:, start:end] = self.project(words, self.table(part, np.eye(len(part), dtype=np.float32)))
+            start = end
+        return out
