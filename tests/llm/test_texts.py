@@ -13,6 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from usagemill.llm import bpe, decontaminate, language, queries, toxicity, urls
+from usagemill.llm.crf import letter_pieces
 from usagemill.llm.word_kernel import WordKernel
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -164,6 +165,25 @@ def test_language(spark):
     assert all(0 <= row["score"] <= 1 for row in found.values())
 
 
+def test_language_of_long_runs(spark):
+    draw = random.Random(2)
+    for size in range(1, 200):
+        run = "".join(draw.choices("abc", k=size))
+        parts = letter_pieces(run)
+        assert max(map(len, parts)) <= 24 and parts[0] + "".join(part[3:] for part in parts[1:]) == run
+
+    def letters(kind, size):
+        return "".join(draw.choices(kind, k=size))
+
+    spaced = [" ".join(letters("abcdef", draw.randint(2, 7)) for _ in range(30)) for _ in range(100)]
+    glued = [letters("的一是不了人我在", 400) + "。" + letters("的一是不了人我在", 90) for _ in range(100)]
+    mixed = letters("abcdef", 24) + letters("的一是不了人我在", 4000) + letters("abcdef", 24) + " abc fade bad"
+    rows = [(i, text, lang) for i, (text, lang) in enumerate([(text, "aa") for text in spaced] + [(text, "zh") for text in glued])]
+    docs = spark.createDataFrame(rows + [(900, mixed, None)], "doc_id bigint, text string, lang string")
+    found = {row["doc_id"]: row["lang_pred"] for row in language.language_report(docs).collect()}
+    assert found[900] == "zh" and all(found[i] == lang for i, _, lang in rows)
+
+
 def test_language_of_empty_tables(empty):
     assert language.language_report(empty).count() == 0
 

@@ -12,11 +12,17 @@ from usagemill.llm.tables import by_length, offsets
 FEATURES = 1 << 16
 AFFIX = 4
 GRAM = 3
-LONGEST = 48  # letters of a word that features look at: its first and last half of that
+LONGEST = 24  # letters of a word; a longer run of letters is a chain of pieces of at most that
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def letter_pieces(run: str) -> list[str]:
+    """A run of letters, in pieces of at most LONGEST letters that overlap by GRAM."""
+    stride = LONGEST - GRAM
+    return [run[at : at + LONGEST] for at in range(0, max(1, len(run) - GRAM), stride)]
+
+
 def _hashed(parts: list[np.ndarray], kind: int) -> np.ndarray:
     value = np.full(len(parts[0]), kind + 1, np.uint64)
     for part in parts:
@@ -28,8 +34,6 @@ def _hashed(parts: list[np.ndarray], kind: int) -> np.ndarray:
 def word_features(codes: np.ndarray) -> np.ndarray:
     """Feature rows of words of one length (code points, a row each): affixes, letter n-grams, the word itself."""
     columns = [codes[:, i] for i in range(codes.shape[1])]
-    if len(columns) > LONGEST:
-        columns = columns[: LONGEST // 2] + columns[-LONGEST // 2 :]
     edge = np.zeros(len(codes), np.uint32)
     found = [_hashed(columns, 0)]
     for size in range(1, min(AFFIX, len(columns)) + 1):
@@ -117,7 +121,7 @@ def fit(labels: list[str], texts: list[tuple[list[str], np.ndarray]], rounds: in
     vocabulary = sorted({word for words, _ in texts for word in words})
     number = {word: i for i, word in enumerate(vocabulary)}
     width = max(len(word) for word in vocabulary) + GRAM + 2 * AFFIX + 2
-    table = np.full((len(vocabulary), min(width, LONGEST + GRAM + 2 * AFFIX + 2)), FEATURES, np.int64)
+    table = np.full((len(vocabulary), width), FEATURES, np.int64)
     for rows, codes in by_length(vocabulary):
         own = word_features(codes)
         table[rows, : own.shape[1]] = own

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagemill.llm.crf import LONGEST, Chain, fit, marginals
+from usagemill.llm.crf import LONGEST, Chain, fit, letter_pieces, marginals
 from usagemill.llm.tables import checkpointed, held_out, own_rows, text_chunks
 
 # The chain is fitted on at most so many different texts of each language, the ones of the smallest hashes, and on at
@@ -27,7 +27,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Lower-cased words; a run of letters over LONGEST, as in scripts without spaces, is several."""
+    words = _WORD.findall(text.lower())
+    if any(len(word) > LONGEST for word in words):
+        words = [piece for word in words for piece in (letter_pieces(word) if len(word) > LONGEST else [word])]
+    return words
 
 
 def _train_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,7 +40,7 @@ def _train_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, texts in text_chunks(batch, "text"):
             out = []
             for text in texts:
-                words = [word[:LONGEST] for word in words_of(text)]
+                words = words_of(text)
                 starts = range(0, len(words), 24)
                 stride = max(1, -(-len(starts) * 24 // TRAIN_WORDS))
                 out.append([words[start : start + 24] for start in starts[::stride]])
