@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagemill.llm import bpe, decontaminate, exact, language, licenses, simhash, substring_dedup, suffix_dedup, toxicity, urls
+from usagemill.llm import bpe, decontaminate, exact, language, licenses, merkle, simhash, substring_dedup, suffix_dedup, toxicity, urls
 from usagemill.llm.tables import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,10 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest_report(documents(spark, folder))
+
+
 OP5_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, text_sha256
@@ -139,9 +143,65 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc_words LEFT JOIN per_words USING (doc_id) LEFT JOIN per_items USING (doc_id)
 """
 
-QUERIES: dict[str, Query] = {query.__name__: query for query in [op1_simhash, op2_toxicity, op3_suffix_dedup, op4_licenses, op5_exact_dedup, op6_substring_dedup, op7_bpe, op8_urls, op9_language, op10_decontamination]}
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII expression, bit by bit."""
+    bits = "list_reduce(range(8), lambda r, i: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384 ELSE 0 END), xor(crc, byte))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda crc, byte: {bits}, 4294967295), 4294967295)"
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+OP13_SQL = f"""
+WITH RECURSIVE fields AS (
+  SELECT doc_id, source, text, {" || ".join(map(_field_sql, ["doc_id", "source", "lang", "n_chars"]))} AS head,
+         CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other
+  FROM documents),
+leaves AS (
+  SELECT doc_id, source, sha256(head || {_field_sql("text")}) AS leaf, sha256(head || {_field_sql("other")}) AS changed FROM fields),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, changed) - 1 AS place,
+         row_number() OVER () AS item, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+tree AS (
+  SELECT 0 AS level, source, place AS i, leaf AS h, n FROM placed
+  UNION ALL
+  SELECT level + 1, source, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM tree WHERE n > 1
+  GROUP BY level, source, i // 3, n),
+subroots AS (
+  SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n
+  FROM tree WHERE n = 1),
+trunk AS (
+  SELECT 0 AS level, place AS i, subroot AS h, n FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM trunk WHERE n > 1 GROUP BY level, i // 3, n),
+steps AS (
+  SELECT item, level AS step, string_agg(h, '' ORDER BY i) FILTER (WHERE i < own) AS a, string_agg(h, '' ORDER BY i) FILTER (WHERE i > own) AS b
+  FROM (SELECT item, t.level, t.i, t.h, place // CAST(pow(3, t.level) AS BIGINT) AS own
+        FROM placed p JOIN tree t ON t.source IS NOT DISTINCT FROM p.source AND t.i // 3 = place // CAST(pow(3, t.level + 1) AS BIGINT)
+        WHERE t.n > 1)
+  GROUP BY item, level
+  UNION ALL
+  SELECT item, 1000 + level, string_agg(h, '' ORDER BY i) FILTER (WHERE i < own), string_agg(h, '' ORDER BY i) FILTER (WHERE i > own)
+  FROM (SELECT item, t.level, t.i, t.h, s.place // CAST(pow(3, t.level) AS BIGINT) AS own
+        FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source
+        JOIN trunk t ON t.i // 3 = s.place // CAST(pow(3, t.level + 1) AS BIGINT)
+        WHERE t.n > 1)
+  GROUP BY item, level),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY step) AS s FROM steps),
+proofs AS (SELECT item, sha256(string_agg(coalesce(a, '') || coalesce(b, ''), '' ORDER BY s)) AS proof, count(*) AS last FROM numbered GROUP BY item),
+fold AS (
+  SELECT item, 0 AS s, changed AS h FROM placed
+  UNION ALL
+  SELECT f.item, f.s + 1, sha256(coalesce(a, '') || f.h || coalesce(b, '')) FROM fold f JOIN numbered k ON k.item = f.item AND k.s = f.s + 1)
+SELECT doc_id, leaf, subroot, r.h AS root, coalesce(proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source CROSS JOIN (SELECT h FROM trunk WHERE n = 1) r
+LEFT JOIN proofs q ON q.item = p.item JOIN fold f ON f.item = p.item AND f.s = coalesce(last, 0)
+"""
+
+QUERIES: dict[str, Query] = {query.__name__: query for query in [op1_simhash, op2_toxicity, op3_suffix_dedup, op4_licenses, op5_exact_dedup, op6_substring_dedup, op7_bpe, op8_urls, op9_language, op10_decontamination, op13_merkle_manifest]}
 
-ORACLE: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op10_decontamination": OP10_SQL}
+ORACLE: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op10_decontamination": OP10_SQL, "op13_merkle_manifest": OP13_SQL}
 
 
 def registered() -> dict[str, Query]:
