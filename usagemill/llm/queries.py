@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagemill.llm import bpe, decontaminate, exact, language, licenses, merkle, simhash, substring_dedup, suffix_dedup, toxicity, urls
-from usagemill.llm.tables import documents, labels
+from usagemill.llm import bpe, byte_bpe, decontaminate, exact, language, licenses, merkle, simhash, substring_dedup, suffix_dedup, toxicity, urls
+from usagemill.llm.tables import documents, labels, offsets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,6 +93,28 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+@F.arrow_udf("string")
+def _ids_digest(column: pa.Array) -> pa.Array:
+    """SHA-256 of each list of ids as little-endian unsigned 32-bit integers."""
+    data = memoryview(column.flatten().to_numpy(zero_copy_only=False).astype("<u4")).cast("B")
+    ends = 4 * offsets(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(ends.tolist(), ends[1:].tolist())], pa.string())
+
+
+def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path(RANKS)
+    coded = byte_bpe.encoded_report(documents(spark, folder), path, public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        _ids_digest("ids").alias("ids_sha256"),
+        _digest("decoded", "decoded_sha256"),
+    )
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest_report(documents(spark, folder))
 
@@ -199,7 +223,7 @@ FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source CROSS JO
 LEFT JOIN proofs q ON q.item = p.item JOIN fold f ON f.item = p.item AND f.s = coalesce(last, 0)
 """
 
-QUERIES: dict[str, Query] = {query.__name__: query for query in [op1_simhash, op2_toxicity, op3_suffix_dedup, op4_licenses, op5_exact_dedup, op6_substring_dedup, op7_bpe, op8_urls, op9_language, op10_decontamination, op13_merkle_manifest]}
+QUERIES: dict[str, Query] = {query.__name__: query for query in [op1_simhash, op2_toxicity, op3_suffix_dedup, op4_licenses, op5_exact_dedup, op6_substring_dedup, op7_bpe, op8_urls, op9_language, op10_decontamination, op12_byte_bpe, op13_merkle_manifest]}
 
 ORACLE: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op10_decontamination": OP10_SQL, "op13_merkle_manifest": OP13_SQL}
 
