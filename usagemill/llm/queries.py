@@ -96,12 +96,16 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 RANKS = "byte_bpe_50k.tiktoken"
 
 
-@F.arrow_udf("string")
-def _ids_digest(column: pa.Array) -> pa.Array:
+def _ids_digest(ids: Column) -> Column:
     """SHA-256 of each list of ids as little-endian unsigned 32-bit integers."""
-    data = memoryview(column.flatten().to_numpy(zero_copy_only=False).astype("<u4")).cast("B")
-    ends = 4 * offsets(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-    return pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(ends.tolist(), ends[1:].tolist())], pa.string())
+
+    @F.arrow_udf("string")
+    def digest(column: pa.Array) -> pa.Array:
+        data = memoryview(column.flatten().to_numpy(zero_copy_only=False).astype("<u4")).cast("B")
+        ends = 4 * offsets(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        return pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(ends.tolist(), ends[1:].tolist())], pa.string())
+
+    return digest(ids)
 
 
 def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -110,7 +114,7 @@ def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
-        _ids_digest("ids").alias("ids_sha256"),
+        _ids_digest(F.col("ids")).alias("ids_sha256"),
         _digest("decoded", "decoded_sha256"),
     )
 
