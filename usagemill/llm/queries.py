@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagemill.llm import bpe, byte_bpe, decontaminate, exact, language, licenses, merkle, simhash, substring_dedup, suffix_dedup, toxicity, urls
+from usagemill.llm import bpe, byte_bpe, conversations, decontaminate, exact, language, licenses, merkle, simhash, substring_dedup, suffix_dedup, toxicity, urls
 from usagemill.llm.tables import documents, labels, offsets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,10 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.damage_report(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
 RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -177,6 +181,57 @@ def crc32_sql(text: str) -> str:
     return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda crc, byte: {bits}, 4294967295), 4294967295)"
 
 
+OP11_SQL = rf"""
+WITH RECURSIVE named AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+source AS (
+  SELECT c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc32_sql("coalesce(CAST(n.conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS hurt
+  FROM conversations t JOIN named n ON n.conv_id IS NOT DISTINCT FROM t.conv_id),
+damaged AS (
+  SELECT c, turn, CASE WHEN hurt = 4 THEN 'user' ELSE role END AS role,
+         CASE hurt WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN hurt = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM source WHERE hurt <> 0),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS n FROM damaged),
+marked AS (
+  SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY n) AS seen, role[1] AS initial,
+         lag(role[1]) OVER (PARTITION BY c ORDER BY n) AS earlier, rtrim(text, E' \t\n\x0B\f\r') AS body
+  FROM ordered),
+faults AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN body[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM marked),
+sums AS (
+  SELECT c, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps,
+         count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE earlier IS NOT NULL AND earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS last
+  FROM faults GROUP BY c),
+puts AS (FROM (VALUES ('', '', '', 0, []), ('', 'u', 'I', 2, ['user:']), ('', 'a', 'II', 4, ['user:', 'assistant:']),
+  ('s', 's', '', 0, []), ('s', 'u', 'I', 2, ['user:']), ('s', 'a', 'II', 4, ['user:', 'assistant:']), ('u', 'u', '', 0, []),
+  ('u', 'a', 'I', 2, ['assistant:']), ('a', 'a', '', 0, []), ('a', 'u', 'I', 2, ['user:'])) v(state, after, letters, price, lines)),
+edits AS (FROM (VALUES ('', 'K', 's', NULL), ('', 'K', 'u', NULL), ('s', 'K', 'u', NULL), ('a', 'K', 'u', NULL), ('u', 'K', 'a', NULL),
+  ('', 'R', 'u', 'user'), ('s', 'R', 'u', 'user'), ('a', 'R', 'u', 'user'), ('u', 'R', 'a', 'assistant'),
+  ('', 'D', '', NULL), ('s', 'D', 's', NULL), ('u', 'D', 'u', NULL), ('a', 'D', 'a', NULL)) v(state, letter, after, role)),
+best AS (
+  SELECT c, 0 AS n, '' AS state, 0 AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM sums
+  UNION ALL
+  SELECT b.c, b.n + 1, e.after, b.cost + p.price + CASE letter WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CAST(letter <> 'D' AND fault = 'truncated' AS INT) AS total,
+         b.audit || p.letters || letter AS done,
+         list_concat(b.lines, p.lines, CASE WHEN letter = 'D' THEN [] ELSE [coalesce(e.role, f.role) || ':' || f.text] END)
+  FROM best b JOIN faults f ON f.c = b.c AND f.n = b.n + 1 JOIN puts p ON p.state = b.state JOIN edits e ON e.state = p.after
+  WHERE letter = 'D' OR fault NOT IN ('blank', 'duplicate') AND (letter = 'R' OR initial = e.after)
+  QUALIFY row_number() OVER (PARTITION BY b.c, e.after ORDER BY total, done) = 1),
+ends AS (
+  SELECT b.c, cost + price AS cost, audit || letters AS audit, list_concat(b.lines, p.lines) AS lines
+  FROM best b JOIN sums s ON s.c = b.c AND s.last = b.n JOIN puts p ON p.state = b.state WHERE p.after IN ('', 'a')
+  QUALIFY row_number() OVER (PARTITION BY b.c ORDER BY cost + price, audit || letters) = 1)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM named LEFT JOIN sums USING (c) LEFT JOIN ends USING (c)
+"""
+
+
 def _field_sql(value: str) -> str:
     return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
 
@@ -227,9 +282,9 @@ FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source CROSS JO
 LEFT JOIN proofs q ON q.item = p.item JOIN fold f ON f.item = p.item AND f.s = coalesce(last, 0)
 """
 
-QUERIES: dict[str, Query] = {query.__name__: query for query in [op1_simhash, op2_toxicity, op3_suffix_dedup, op4_licenses, op5_exact_dedup, op6_substring_dedup, op7_bpe, op8_urls, op9_language, op10_decontamination, op12_byte_bpe, op13_merkle_manifest]}
+QUERIES: dict[str, Query] = {query.__name__: query for query in [op1_simhash, op2_toxicity, op3_suffix_dedup, op4_licenses, op5_exact_dedup, op6_substring_dedup, op7_bpe, op8_urls, op9_language, op10_decontamination, op11_conversations, op12_byte_bpe, op13_merkle_manifest]}
 
-ORACLE: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op10_decontamination": OP10_SQL, "op13_merkle_manifest": OP13_SQL}
+ORACLE: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op10_decontamination": OP10_SQL, "op11_conversations": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
 
 
 def registered() -> dict[str, Query]:
