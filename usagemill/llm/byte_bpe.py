@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +30,11 @@ CHUNK_BYTES = 1 << 20
 # A task forgets its words when they are more, or have more letters, than this; longer words are not remembered.
 CACHE_WORDS, CACHE_LETTERS, CACHE_WORD = 1 << 19, 1 << 25, 1 << 10
 # Bytes from which on a word is cut, and a piece is long; bytes of short pieces that one query takes.
-LONG, QUERY_BYTES = 32, 1 << 18
+LONG, QUERY_BYTES = 32, 1 << 17
 # Rows that one query may make for long pieces, as a power of two; it goes on from where it stopped.
 ROWS, MOST_ROUNDS = 1 << 21, 24
-MEMORY = "400MB"
+MEMORY = "200MB"
+_PLACE_BITS = 6  # places in a short piece
 
 _TABLES = """
 CREATE TABLE merges AS
@@ -40,23 +42,26 @@ CREATE TABLE merges AS
   FROM (SELECT id, hex, unnest(range(2, len(hex), 2)) AS k FROM file) t
   JOIN file l ON l.hex = substr(t.hex, 1, k) JOIN file r ON r.hex = substr(t.hex, k + 1);
 CREATE TABLE tokens AS
-  SELECT id, hex, coalesce(lowest > id, true) AS simple
+  SELECT id, unhex(hex) AS bytes, coalesce(lowest > id, true) AS simple
   FROM file LEFT JOIN (SELECT part, min(joined) AS lowest
     FROM (SELECT a AS part, joined FROM merges UNION ALL SELECT b, joined FROM merges) GROUP BY part) ON part = id
 """
 
-# One pair of each piece a round, so that places stay 0, 1, 2 and so on. All pieces with a pair left go on.
-_SHORT = """
+# One pair of each piece a round, so that places stay 0, 1, 2 and so on. A key holds piece and place, with room between
+# pieces, so that the next key belongs to the next token of the same piece. All pieces with a pair left go on.
+_SHORT = f"""
 WITH RECURSIVE state AS (
-  SELECT piece, pos, id, 0 AS round FROM start
+  SELECT key, id, 0 AS round FROM start
   UNION ALL
-  SELECT s.piece, s.pos - (s.pos > place)::INT, CASE WHEN s.pos = place THEN joined ELSE s.id END, s.round + 1
+  SELECT s.key - (s.key > place)::INT, CASE WHEN s.key = place THEN joined ELSE s.id END, s.round + 1
   FROM state s JOIN (
-    SELECT l.piece, min((merges.joined::BIGINT << 32) | l.pos) AS best, (best >> 32)::INT AS joined, (best & 4294967295)::INT AS place
-    FROM state l JOIN state r ON r.piece = l.piece AND r.pos = l.pos + 1 JOIN merges ON merges.a = l.id AND merges.b = r.id
-    GROUP BY l.piece) lowest ON lowest.piece = s.piece
-  WHERE s.pos <> place + 1)
-SELECT piece, pos, id, round FROM state QUALIFY round = max(round) OVER (PARTITION BY piece)
+    SELECT key >> {_PLACE_BITS} AS piece, min((merges.joined::BIGINT << 40) | key) AS best, (best >> 40)::INT AS joined,
+           best & {(1 << 40) - 1} AS place
+    FROM (SELECT key, id, lead(id) OVER (ORDER BY key) AS next, lead(key) OVER (ORDER BY key) AS next_key FROM state) l
+    JOIN merges ON merges.a = l.id AND merges.b = l.next
+    WHERE next_key = key + 1 GROUP BY key >> {_PLACE_BITS}) lowest ON lowest.piece = s.key >> {_PLACE_BITS}
+  WHERE s.key <> place + 1)
+SELECT key, id, round FROM state
 """
 
 # All places of a piece's lowest rank in a round, every other one in a run of pairs that overlap: as good as one by one
@@ -85,7 +90,7 @@ WITH RECURSIVE state AS (
 SELECT piece, pos, id, round FROM state QUALIFY round = max(round) OVER (PARTITION BY piece)
 """
 
-_DECODE = "SELECT doc, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM start JOIN tokens USING (id) GROUP BY doc"
+_DECODE = "SELECT list(bytes ORDER BY pos) AS bytes FROM start JOIN tokens USING (id)"
 
 
 def compiled(pattern: str) -> regex.Pattern:
@@ -144,8 +149,16 @@ class RankBPE:
         finally:
             self.db.unregister("start")
 
-    def _long(self, rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        done = []
+    def _short(self, piece: np.ndarray, pos: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
+        found = self._query(_SHORT, {"key": (piece << _PLACE_BITS) | pos, "id": ids})
+        piece, pos = found["key"] >> _PLACE_BITS, found["key"] & ((1 << _PLACE_BITS) - 1)
+        last = np.zeros(int(piece.max()) + 1, np.int32)
+        np.maximum.at(last, piece, found["round"])
+        done = found["round"] == last[piece]
+        return {"piece": piece[done], "pos": pos[done], "id": found["id"][done]}
+
+    def _long(self, piece: np.ndarray, pos: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
+        rows, done = {"piece": piece, "pos": pos, "id": ids}, []
         while len(rows["id"]):
             rounds = max(1, min(MOST_ROUNDS, ROWS // len(rows["id"])))
             found = self._query(_LONG, rows, rounds=rounds)
@@ -164,9 +177,9 @@ class RankBPE:
                 if not len(own):
                     continue
                 data = np.frombuffer(b"".join([pieces[i] for i in own.tolist()]), np.uint8)
-                piece = np.repeat(own, sizes[own]).astype(np.int32)
-                rows = {"piece": piece, "pos": spread(np.zeros(len(own), np.int64), sizes[own]).astype(np.int32), "id": self.single[data]}
-                got = self._long(rows) if long else self._query(_SHORT, rows)
+                piece, pos = np.repeat(own, sizes[own]), spread(np.zeros(len(own), np.int64), sizes[own])
+                solve = self._long if long else self._short
+                got = solve(piece, pos, self.single[data])
                 found.append((got["piece"], got["pos"], got["id"]))
         if not found:
             return np.zeros(0, np.int32), counts
@@ -193,15 +206,13 @@ class RankBPE:
         """The bytes of consecutive lists of ids."""
         if len(ids) and not np.isin(ids, self.ids).all():
             raise ValueError("an id is not in the vocabulary")
-        sizes = np.diff(begins)
-        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        self.db.register("start", pa.table({"doc": doc, "pos": np.arange(len(ids)), "id": ids.astype(np.int32)}))
-        found = self.db.sql(_DECODE).to_arrow_table()
+        if not len(ids):
+            return pa.array([b""] * (len(begins) - 1), pa.binary())
+        self.db.register("start", pa.table({"pos": np.arange(len(ids)), "id": ids.astype(np.int32)}))
+        tokens = self.db.sql(_DECODE).to_arrow_table().combine_chunks().column("bytes").chunk(0)
         self.db.unregister("start")
-        out = [b""] * len(sizes)
-        for i, text in zip(found.column("doc").to_pylist(), found.column("bytes").to_pylist()):
-            out[i] = text
-        return pa.array(out, pa.binary())
+        lists = pa.ListArray.from_arrays(pa.array((begins - begins[0]).astype(np.int32)), tokens.flatten())
+        return pc.binary_join(lists, b"")
 
 
 class _Encoder:
@@ -257,9 +268,11 @@ def _load(path: str) -> RankBPE:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, carry: list[str], back: bool = False) -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, pattern: str, carry: list[str], back: bool = False, packed: bool = False
+) -> DataFrame:
     """``row`` (a struct of the carried columns) and the token ``ids`` of every row's whole text; with ``back`` also the
-    bytes ``decoded`` from them.
+    bytes ``decoded`` from them. ``packed`` ids are binary, four bytes each, the lowest first, as token files hold them.
 
     Each match of ``pattern`` is encoded on its own, with no special tokens; letters between matches, if the pattern
     leaves any, have no ids. ``path`` must be readable on every executor. A null text is an empty one, with no id; rows
@@ -273,13 +286,19 @@ def encode(docs: DataFrame, path: str, pattern: str, carry: list[str], back: boo
         for batch in batches:
             for first, texts in text_chunks(batch, "text", CHUNK_BYTES):
                 ids, begins = encoder(texts)
-                lists = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                ids = ids.astype("<i4")
+                if packed:
+                    edges = pa.py_buffer((4 * begins).astype(np.int32))
+                    lists = pa.Array.from_buffers(pa.binary(), len(texts), [None, edges, pa.py_buffer(ids)])
+                else:
+                    lists = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids))
                 columns = [batch.column("row").slice(first, len(texts)), lists]
                 if back:
                     columns.append(encoder.bpe.decode(ids, begins))
                 yield pa.record_batch(columns, names=["row", "ids", "decoded"][: len(columns)])
 
-    return own.mapInArrow(run, f"row {kind}, ids array<int>" + ", decoded binary" * back)
+    shape = "binary" if packed else "array<int>"
+    return own.mapInArrow(run, f"row {kind}, ids {shape}" + ", decoded binary" * back)
 
 
 def decode(ids: Column, path: str) -> Column:
@@ -293,6 +312,6 @@ def decode(ids: Column, path: str) -> Column:
     return decoded(ids)
 
 
-def encoded_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encoded_report(docs: DataFrame, path: str, pattern: str, packed: bool = False) -> DataFrame:
     """``doc_id, ids, decoded`` of every row."""
-    return encode(docs, path, pattern, ["doc_id"], back=True).select("row.doc_id", "ids", "decoded")
+    return encode(docs, path, pattern, ["doc_id"], back=True, packed=packed).select("row.doc_id", "ids", "decoded")

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagemill.llm import bpe, byte_bpe, conversations, decontaminate, exact, language, licenses, merkle, simhash, substring_dedup, suffix_dedup, toxicity, urls
-from usagemill.llm.tables import documents, labels, offsets
+from usagemill.llm.tables import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,25 +98,13 @@ def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
 RANKS = "byte_bpe_50k.tiktoken"
 
 
-def _ids_digest(ids: Column) -> Column:
-    """SHA-256 of each list of ids as little-endian unsigned 32-bit integers."""
-
-    @F.arrow_udf("string")
-    def digest(column: pa.Array) -> pa.Array:
-        data = memoryview(column.flatten().to_numpy(zero_copy_only=False).astype("<u4")).cast("B")
-        ends = 4 * offsets(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        return pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(ends.tolist(), ends[1:].tolist())], pa.string())
-
-    return digest(ids)
-
-
 def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
-    coded = byte_bpe.encoded_report(documents(spark, folder), path, public_tokenizers.PATTERN)
+    coded = byte_bpe.encoded_report(documents(spark, folder), path, public_tokenizers.PATTERN, packed=True)
     return coded.select(
         "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        _ids_digest(F.col("ids")).alias("ids_sha256"),
+        F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        _digest("ids", "ids_sha256"),
         _digest("decoded", "decoded_sha256"),
     )
 
