@@ -145,6 +145,25 @@ def test_push_gives_up_after_the_last_attempt(spark, tmp_path):
     assert len(sent(tmp_path)) == 3
 
 
+def test_ledger_sends_each_batch_once(spark, tmp_path):
+    """A receiver that fails for good after nine batches; the push is taken up and sends what was not accepted."""
+    folder, ledger, outbox = tmp_path / "sent", str(tmp_path / "ledger"), str(tmp_path / "outbox")
+    folder.mkdir()
+    rows = many_samples(spark, 100).repartition(3)
+    push = lambda answers: exposition.push_samples(
+        spark, rows.coalesce(1), fake_transport(str(folder), answers), batch_size=7, pause=lambda seconds: None, ledger=ledger, outbox=outbox
+    )
+    with pytest.raises(Exception, match="not accepted"):
+        push([204] * 9 + [500] * 3)
+    assert len(list((tmp_path / "ledger").iterdir())) == 9
+    push([])
+    push([])
+    accepted = [gzip.decompress(body) for status, _, body in sent(folder) if status == 204]
+    assert len(accepted) == len(set(accepted)) == 15
+    lines = [line for body in accepted for line in body.decode().splitlines()]
+    assert sorted(lines) == sorted(f'm{{k="{i}",job_name="job"}} {i}.0 5' for i in range(100))
+
+
 def test_http_transport(monkeypatch):
     """The request it makes, without a server."""
     seen = []

@@ -29,6 +29,7 @@ def parse(arguments: Sequence[str] | None = None) -> ReportRun:
     parser.add_argument(
         "--measure-only", action="store_true", help="the input is a clean table: only measure it for the date"
     )
+    parser.add_argument("--once", action="store_true", help="take only files that no run with --once has taken before")
     given = parser.parse_args(arguments)
     return ReportRun(
         given.input_path,
@@ -41,6 +42,7 @@ def parse(arguments: Sequence[str] | None = None) -> ReportRun:
         trigger_file=given.trigger_file,
         columns=tuple(given.columns.split(",")) if given.columns else None,
         measure_only=given.measure_only,
+        once=given.once,
     )
 
 

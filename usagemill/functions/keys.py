@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The folder prefix of each report type, and the date pattern in a key.
+# The folder prefix of each report type, the scheme of the object store, and the date pattern in a key.
 REPORT_FOLDERS = {"sessions": "sessions/", "applications": "applications/"}
+OBJECT_ROOT = "s3://"
 DATE_PATTERN = r"(\d{4}-\d{2}-\d{2})"
 
 
@@ -33,5 +34,5 @@ def folder_of(key: Column) -> Column:
     return F.left(key, F.length(key) - F.length(last) - F.lit(1))
 
 
-def object_uri(bucket: Column, key: Column) -> Column:
-    return F.concat(F.lit("s3://"), bucket, F.lit("/"), key)
+def object_uri(bucket: Column, key: Column, root: str = OBJECT_ROOT) -> Column:
+    return F.concat(F.lit(root), bucket, F.lit("/"), key)

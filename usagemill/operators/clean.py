@@ -6,6 +6,7 @@ or a projection, so a clean report is one narrow pass over its rows with no shuf
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -68,19 +69,19 @@ def _is_filled(field: T.StructField) -> Column:
     return value.isNotNull()
 
 
-def clean_generic(df: DataFrame) -> DataFrame:
-    """Rows with at least one value, all text trimmed."""
-    fields = df.schema.fields
+def clean_generic(df: DataFrame, aside: Sequence[str] = ()) -> DataFrame:
+    """Rows with at least one value, all text trimmed; columns ``aside`` are no part of the report."""
+    fields = [field for field in df.schema.fields if field.name not in aside]
     texts = [field.name for field in fields if isinstance(field.dataType, T.StringType)]
     filled = [_is_filled(field) for field in fields]
     kept = df.where(reduce(lambda a, b: a | b, filled)) if filled else df
     return _trim(kept, texts)
 
 
-def clean_report(df: DataFrame, report_type: str) -> DataFrame:
-    """Cleaning by report type; an unknown type gets the generic one."""
+def clean_report(df: DataFrame, report_type: str, aside: Sequence[str] = ()) -> DataFrame:
+    """Cleaning by report type; an unknown type gets the generic one. Columns ``aside`` are carried along."""
     by_type = {"sessions": clean_sessions, "applications": clean_applications}
-    return by_type.get(report_type, clean_generic)(df)
+    return by_type[report_type](df) if report_type in by_type else clean_generic(df, aside)
 
 
 def with_metadata(df: DataFrame, report_type: str, report_date: str) -> DataFrame:

@@ -25,12 +25,13 @@ def route_notifications(
     output_path: str,
     default_date: str | None = None,
     decode_keys: bool = False,
+    object_root: str = keys.OBJECT_ROOT,
 ) -> DataFrame:
     """Arguments of one job for every created report file; other events and folders are left out, and so are
     notifications without a bucket or a key, which ``unroutable`` lists.
 
     ``notifications`` has ``event_name``, ``bucket`` and ``key``. Object stores may percent-encode keys;
-    ``decode_keys`` undoes that. Works on a batch or a stream.
+    ``decode_keys`` undoes that. Buckets are below ``object_root``. Works on a batch or a stream.
     """
     if decode_keys:
         notifications = notifications.withColumn("key", F.try_url_decode(F.col("key")))
@@ -41,9 +42,9 @@ def route_notifications(
     bucket, key = F.col("bucket"), F.col("key")
     return add_report_date(created.where(F.col("report_type").isNotNull()), default_date).select(
         F.lit(metrics_url).alias("metrics_url"),
-        F.concat(keys.object_uri(bucket, keys.folder_of(key)), F.lit("/")).alias("input_path"),
+        F.concat(keys.object_uri(bucket, keys.folder_of(key), object_root), F.lit("/")).alias("input_path"),
         F.lit(with_slash(output_path)).alias("output_path"),
         F.col("report_date"),
         F.col("report_type"),
-        keys.object_uri(bucket, key).alias("trigger_file"),
+        keys.object_uri(bucket, key, object_root).alias("trigger_file"),
     )

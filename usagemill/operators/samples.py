@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from usagemill.functions.cells import cell, distinct_values, present
-from usagemill.operators import quality, stats, telemetry
+from usagemill.operators import file_states, quality, stats, telemetry
 
 SAMPLE_SCHEMA = T.StructType(
     [
@@ -190,6 +190,15 @@ def quality_samples(profile: DataFrame, raw: DataFrame, report_type: str, run: S
     return run.rows(profile, samples)
 
 
+def merged_quality_samples(states: DataFrame, report_type: str, run: Samples) -> DataFrame:
+    """The same samples from the profile states of files (``file_states.py``)."""
+    dataset = run.dataset(report_type)
+    missing = run.job(COLUMN_NULL_PERCENTAGE, F.col("null_pct"), dataset=dataset, column=F.col("column"))
+    whole = run.job(DATA_QUALITY_SCORE, F.col("quality_score"), dataset=dataset)
+    columns = run.rows(file_states.merged_profile(states), [missing])
+    return columns.unionByName(run.rows(file_states.merged_score(states), [whole]))
+
+
 def profile_samples(raw: DataFrame, report_type: str, run: Samples) -> DataFrame:
     return quality_samples(raw.agg(*quality.missing_counts(raw)), raw, report_type, run)
 

@@ -62,3 +62,29 @@ def rank_applications(counts: DataFrame, n: int = 10) -> DataFrame:
 
 def top_applications(df: DataFrame, n: int = 10) -> DataFrame:
     return rank_applications(application_counts(df), n)
+
+
+# Cells into which names are hashed by the bounded count, and how many of the fullest are looked into at first.
+CELLS = 1 << 20
+FIRST_CELLS = 1 << 10
+
+
+def top_applications_bounded(df: DataFrame, n: int = 10, cells: int = CELLS) -> DataFrame:
+    """As ``top_applications``, for very many names: names that cannot be among the first ``n`` are not shuffled.
+
+    Tasks send the counts of hashed cells, at most ``cells`` numbers each. No name occurs more often than its cell.
+    The names of the fullest cells are counted, and the ``n``-th of these counts is a threshold that the true ``n``-th
+    one reaches; then the names of all cells that reach it are counted. If very many do, as when all names are about
+    equally frequent, this shuffles as much as one grouped count, and the result is the same.
+    """
+    name = F.col("ApplicationName")
+    own = df.select("ApplicationName", F.pmod(F.xxhash64(name), F.lit(cells)).cast("int").alias("_cell"))
+    totals = own.groupBy("_cell").agg(F.count(F.lit(1)).alias("_total"))
+    fullest = totals.orderBy(F.desc("_total"), "_cell").limit(FIRST_CELLS)
+    # The lists of cells hold at most as many numbers as there are cells, 12 MB.
+    first = application_counts(own.join(F.broadcast(fullest.select("_cell")), "_cell"))
+    least = first.orderBy(F.desc("records")).limit(n).agg(
+        F.when(F.count(F.lit(1)) == n, F.min("records")).otherwise(F.lit(0)).alias("_least")
+    )
+    reaching = totals.where(F.col("_total") >= least.scalar()).select("_cell")
+    return rank_applications(application_counts(own.join(F.broadcast(reaching), "_cell")), n)

@@ -366,4 +366,30 @@ ORACLE: dict[str, str] = {
     "stream_report_samples": f"WITH {_APPS} {_union(_TABLE_SAMPLES)}",
     "report_job_sessions": _CLEAN_TABLE,
     "report_job_samples": f"WITH {_APPS} {_union(_APPLICATION_SAMPLES)}",
+    "job_each_file_once": _CLEAN_TABLE,
+    "notified_ingest": f"""WITH {_SESSIONS}
+        SELECT {_SHOWN_SESSIONS}, 'sessions' AS "ReportType", strftime(ts, '%Y-%m-%d') AS "ProcessingDate"
+        FROM sessions""",
+    "compacted_days": f"""WITH {_SESSIONS}
+        SELECT CASE WHEN event_id % 2 = 0 THEN '2024-01-15' ELSE strftime(ts, '%Y-%m-%d') END AS "ProcessingDate",
+          count(*) AS rows, true AS few_files
+        FROM sessions_raw WHERE "UserId" IS NOT NULL AND "SessionId" IS NOT NULL GROUP BY 1""",
+    "statistics_from_states": f"""WITH {_SESSIONS}, ends AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS last FROM sessions)
+        SELECT last, count(*) AS rows, count(DISTINCT "UserId") AS users, round(coalesce(max(minutes), 0), 6) AS max_minutes,
+          round(coalesce(sum(minutes), 0), 3) AS total_minutes, round(coalesce(avg(minutes), 0), 6) AS avg_minutes,
+          true AS users_within, true AS quartiles_within
+        FROM sessions JOIN ends ON strftime(ts, '%Y-%m-%d') <= last GROUP BY last""",
+    "profile_from_states": f"""WITH {_SESSIONS}
+        SELECT "column", round(null_pct, 6) AS null_pct FROM ({_SESSION_NULLS})""",
+    "csv_union_registered": f"""WITH {_SESSIONS}
+        SELECT trim("UserId", ' ') AS "UserId", "SessionId", "SessionStartTime", "SessionEndTime", NULL AS "Extra",
+          NULL AS other_user FROM sessions_raw
+        UNION ALL SELECT trim("UserId", ' '), "SessionId", NULL, NULL, event_type, NULL FROM sessions_raw
+        UNION ALL SELECT NULL, "SessionId", NULL, NULL, NULL, trim("UserId", ' ') FROM sessions_raw""",
+    "top_applications_bounded": """
+        SELECT "ApplicationName"[1:50] AS application, records, rank FROM (
+          SELECT "ApplicationName", count(*) AS records,
+            row_number() OVER (ORDER BY count(*) DESC, "ApplicationName") AS rank
+          FROM (SELECT 'order ' || l_orderkey || ' handled by ' || repeat('office ', 8) AS "ApplicationName" FROM lineitem)
+          GROUP BY 1) WHERE rank <= 10""",
 }

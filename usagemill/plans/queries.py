@@ -12,12 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagemill.functions.exposition import label_text
-from usagemill.operators import batches, clean, quality, routing, samples, stats, summary, telemetry
-from usagemill.plans import report_job
+from usagemill.functions.keys import report_date as report_date_of
+from usagemill.operators import batches, clean, file_states, quality, routing, samples, stats, summary, telemetry
+from usagemill.plans import incremental, report_job
 from usagemill.plans.report_job import ReportRun, run_report_job
 from usagemill.session import fresh_folder, use_utc
-from usagemill.sinks import exposition, tables
+from usagemill.sinks import exposition, file_sizes, tables
 from usagemill.sources import notifications, reports, test_tables
+from usagemill.sources.header_registry import HeaderRegistry
+from usagemill.sources.listing import list_files
 from usagemill.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -409,6 +412,138 @@ def stream_report_samples(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(report_job.table_samples(spark, path, "applications", RUN, REPORT_DATE))
 
 
+# Files taken once, sizes of files, states
+
+
+def _clean_schema(spark: SparkSession, folder: str):
+    return clean.with_metadata(_clean_sessions(spark, folder), "sessions", REPORT_DATE).schema
+
+
+def job_each_file_once(spark: SparkSession, folder: str) -> DataFrame:
+    """The job run three times: on half of the reports, on the same folder again, and after the other half has come."""
+    base = fresh_folder(spark, "once")
+    report = test_tables.usage_sessions(spark, folder).withColumn("half", F.pmod(F.hash("SessionId"), F.lit(2)))
+    run = ReportRun(f"{base}/in", f"{base}/out", "sessions", REPORT_DATE, RUN.job_name, timestamp_ms=RUN.timestamp_ms, once=True)
+    for half in (0, None, 1):
+        if half is not None:
+            _write_csv(report.where(F.col("half") == half).drop("half"), f"{base}/in/{half}")
+        run_report_job(spark, run)
+    table = incremental.published_table(run.output_base, "sessions", spark)
+    return _show_sessions(table.read(spark, _clean_schema(spark, folder)), "ReportType", "ProcessingDate")
+
+
+def _notify(spark: SparkSession, root: str, path: str) -> None:
+    """One notification for each file below the root of a bucket, and one that says a file was removed."""
+    key = F.expr(f"substring_index(path, '{root}/', -1)")
+    for event in ("ObjectCreated:Put", "ObjectRemoved:Delete"):
+        s3 = F.struct(F.struct(F.lit("usage-logs").alias("name")).alias("bucket"), F.struct(key.alias("key")).alias("object"))
+        record = F.struct(F.lit(event).alias("eventName"), s3.alias("s3"))
+        listed = list_files(spark, root).select(F.to_json(F.struct(F.array(record).alias("Records"))))
+        listed.write.mode("append").text(path)
+
+
+def notified_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """Session reports of many days, taken because notifications name them; then all notifications come once more, to a
+    stream that has forgotten them."""
+    base = fresh_folder(spark, "notified")
+    bucket = f"{base}/store/usage-logs"
+    _write_csv(test_tables.usage_sessions_by_day(spark, folder), f"{bucket}/sessions", partition="day")
+    _notify(spark, bucket, f"{base}/events")
+    for turn in ("first", "replay"):
+        query = ingest.ingest_notified(
+            spark, f"{base}/events", f"{base}/out", f"{base}/checkpoint-{turn}",
+            [incremental.ReportShape("sessions", columns=tuple(test_tables.SESSION_COLUMNS))], turn, object_root=f"{base}/store/", files_per_run=40,
+        )
+        query.awaitTermination()
+    table = incremental.published_table(f"{base}/out", "sessions", spark)
+    return _show_sessions(table.read(spark, _clean_schema(spark, folder)), "ReportType", "ProcessingDate")
+
+
+def _taken_by_day(spark: SparkSession, folder: str, days: Callable = test_tables.usage_sessions_by_day, files_per_run: int = 60):
+    """Session reports in folders of days, one half of them taken before the other has come."""
+    base = fresh_folder(spark, "days")
+    report = days(spark, folder).withColumn("half", F.pmod(F.hash("SessionId"), F.lit(2)))
+    date = report_date_of(ingest.below_input(F.col("path"), f"{base}/in"), DEFAULT_DATE)
+    for half in (0, 1):
+        _write_csv(report.where(F.col("half") == half).drop("half"), f"{base}/in/{half}", partition="day")
+        shape = incremental.ReportShape("sessions", columns=tuple(test_tables.SESSION_COLUMNS))
+        for _ in incremental.take_folder(spark, f"{base}/in", f"{base}/out", shape, date, files_per_run):
+            pass
+    return incremental.published_table(f"{base}/out", "sessions", spark)
+
+
+def compacted_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Reports of many days, half of them of one day, taken in several runs and made one: rows of each day, whether it has
+    no more files than its rows need, and whether the hot day is split."""
+    target = 256 << 10
+    table = _taken_by_day(spark, folder, test_tables.usage_sessions_hot_day)
+    run = file_sizes.compact(spark, table, _clean_schema(spark, folder), target)
+    rows = table.read(spark, _clean_schema(spark, folder)).groupBy("ProcessingDate").agg(F.count(F.lit(1)).alias("rows"))
+    day = F.regexp_extract("path", "ProcessingDate=([0-9-]+)", 1).alias("ProcessingDate")
+    files = list_files(spark, f"{table.root}rows/run={run}").groupBy(day).agg(F.count(F.lit(1)).alias("files"))
+    # A shuffled row of a session report takes under 256 bytes.
+    few = F.col("files") <= F.ceil(F.col("rows") * 256 / target) + 1
+    return rows.join(files, "ProcessingDate").select("ProcessingDate", "rows", few.alias("few_files"))
+
+
+def statistics_from_states(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of the days up to each day, merged from the states of files; sketched values are shown by whether they
+    are within their bounds of the exact ones, which are counted over the rows."""
+    table = _taken_by_day(spark, folder)
+    states = table.state(spark, "usage", file_states.USAGE_SCHEMA)
+    ends = states.select(F.col("date").alias("last")).distinct()
+    merged = file_states.merged_usage(states.join(ends, F.col("date") <= F.col("last")), "last")
+    rows = table.read(spark, _clean_schema(spark, folder)).select("ProcessingDate", "UserId", stats.DURATION)
+    minutes = F.col(stats.DURATION)
+    met = rows.join(F.broadcast(merged.withColumnRenamed("users", "estimate")), F.col("ProcessingDate") <= F.col("last"))
+    quartiles = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    exact = met.groupBy("last").agg(
+        F.count_distinct("UserId").alias("users"),
+        F.max("estimate").alias("estimate"),
+        F.max("rows").alias("rows"),
+        F.max("max_minutes").alias("max_minutes"),
+        F.max("total_minutes").alias("total_minutes"),
+        F.max("avg_minutes").alias("avg_minutes"),
+        F.count(minutes).alias("n"),
+        *[F.count_if(minutes < F.col(name)).alias(f"under_{name}") for name in quartiles],
+        *[F.count_if(minutes <= F.col(name)).alias(f"upto_{name}") for name in quartiles],
+    )
+    slack = F.col("n") * F.lit(file_states.QUANTILE_BOUND) + F.lit(1)
+    near = [
+        (F.col(f"under_{name}") - slack <= share * F.col("n")) & (share * F.col("n") <= F.col(f"upto_{name}") + slack)
+        for name, share in quartiles.items()
+    ]
+    shown = exact.select(
+        "last", "rows", "users", "max_minutes", "total_minutes", "avg_minutes",
+        (F.abs(F.col("estimate") - F.col("users")) <= F.lit(file_states.DISTINCT_BOUND) * F.col("users")).alias("users_within"),
+        (near[0] & near[1] & near[2]).alias("quartiles_within"),
+    )
+    return _rounded(_rounded(shown, 6, "max_minutes", "avg_minutes"), 3, "total_minutes")
+
+
+def profile_from_states(spark: SparkSession, folder: str) -> DataFrame:
+    """The null profile of all reports, merged from the states of files that were taken at different times."""
+    states = _taken_by_day(spark, folder).state(spark, "profile", file_states.PROFILE_SCHEMA)
+    return _rounded(file_states.merged_profile(states), 6, "null_pct")
+
+
+def csv_union_registered(spark: SparkSession, folder: str) -> DataFrame:
+    """The reports of ``csv_union_by_header``, whose headers are looked at as the files come, and once."""
+    path, registry = fresh_folder(spark, "csv"), HeaderRegistry(fresh_folder(spark, "headers"))
+    sessions = test_tables.usage_sessions(spark, folder)
+    _write_csv(sessions, f"{path}/first")
+    registry.headers(spark, list_files(spark, path))
+    _write_csv(test_tables.usage_sessions_reordered(spark, folder), f"{path}/second")
+    registry.headers(spark, list_files(spark, path))
+    _write_csv(sessions.select(F.col("UserId").alias("other_user"), "SessionId"), f"{path}/third")
+    return reports.read_reports(spark, path, headers=registry.headers(spark, list_files(spark, path)))
+
+
+def top_applications_bounded(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten most used of very many applications, with only those shuffled by name that may be among them."""
+    return stats.top_applications_bounded(test_tables.order_applications(spark, folder))
+
+
 def _run_job(spark: SparkSession, report: DataFrame, report_type: str):
     base = fresh_folder(spark, "job")
     _write_csv(report, f"{base}/in")
@@ -479,6 +614,13 @@ QUERIES: dict[str, Query] = {
         stream_report_samples,
         report_job_sessions,
         report_job_samples,
+        job_each_file_once,
+        notified_ingest,
+        compacted_days,
+        statistics_from_states,
+        profile_from_states,
+        csv_union_registered,
+        top_applications_bounded,
     ]
 }
 

@@ -19,11 +19,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from usagemill.operators import quality, samples as sample_ops, telemetry
+from usagemill.operators.file_states import PROFILE_SCHEMA
 from usagemill.operators.clean import clean_report, with_metadata
 from usagemill.operators.summary import known_summary
+from usagemill.plans import incremental
 from usagemill.session import use_utc, with_slash
 from usagemill.sinks.exposition import Transport, push_samples, write_text
 from usagemill.sinks.tables import PARTITION_COLUMNS, clean_path, read_partition, write_clean, write_summary
+from usagemill.sources.listing import list_files
 from usagemill.sources.reports import read_reports
 
 # The column of lines that have more cells than their header, while the files are read.
@@ -50,6 +53,7 @@ class ReportRun:
     trigger_file: str | None = None
     columns: tuple[str, ...] | None = None
     measure_only: bool = False
+    once: bool = False
 
     @property
     def reads(self) -> str:
@@ -161,10 +165,35 @@ def _process(spark: SparkSession, run: ReportRun, log: _RunLog, naming: sample_o
     return ReportResult(total, longer.get["lines"], clean.schema, samples)
 
 
+def _process_once(spark: SparkSession, run: ReportRun, log: _RunLog, naming: sample_ops.Samples) -> ReportResult:
+    """As ``_process`` for the files that the published table does not have; nothing of them is seen until the end."""
+    table = incremental.published_table(run.output_base, run.report_type, spark)
+    shape = incremental.ReportShape(run.report_type, run.header, run.columns)
+    with log.stage("extraction"):
+        listing = list_files(spark, run.reads)
+        chosen = incremental.choose_files(spark, table, listing, run.report_date, incremental.FILES_PER_RUN)
+    if not chosen:
+        return ReportResult(0, 0, T.StructType(), spark.createDataFrame([], sample_ops.SAMPLE_SCHEMA))
+    with log.stage("transformation"):
+        registry = incremental.registry_of(run.output_base)
+        taken = incremental.stage_files(spark, table, chosen, log.run_id, shape, registry)
+    with log.stage("analytics"):
+        staged = table.staged(spark, taken.schema, log.run_id)
+        usage = sample_ops.report_samples(staged, run.report_type, naming, run.report_date)
+        profile = table.staged_state(spark, "profile", PROFILE_SCHEMA, log.run_id)
+        nulls = sample_ops.merged_quality_samples(profile, run.report_type, naming)
+        samples = _held(spark, usage.unionByName(nulls))
+    with log.stage("loading"):
+        table.publish(spark, log.run_id, taken.files, taken.rows)
+        summary = known_summary(spark, taken.rows, run.report_type, run.report_date, run.reads, run.clean_path)
+        write_summary(summary, run.output_base)
+    return ReportResult(taken.rows, taken.longer_lines, taken.schema, samples)
+
+
 def _emit(spark: SparkSession, run: ReportRun, samples: DataFrame) -> None:
     write_text(samples.coalesce(1), run.metrics_path)
     if run.transport:
-        push_samples(spark, samples.coalesce(1), run.transport)
+        push_samples(spark, samples.coalesce(1), run.transport, ledger=f"{with_slash(run.output_base)}pushed")
 
 
 def _close(spark: SparkSession, run: ReportRun, log: _RunLog, naming: sample_ops.Samples) -> DataFrame:
@@ -181,7 +210,7 @@ def run_report_job(spark: SparkSession, run: ReportRun) -> ReportResult:
     naming = sample_ops.Samples(run.job_name, run.timestamp_ms)
     log.add(telemetry.JOB_START)
     try:
-        result = _process(spark, run, log, naming)
+        result = (_process_once if run.once else _process)(spark, run, log, naming)
     except Exception as problem:
         log.add(telemetry.JOB_END, None, telemetry.FAILED, type(problem).__name__, str(problem))
         try:
@@ -225,5 +254,5 @@ def run_table_job(
     samples = _held(spark, table_samples(spark, path, report_type, naming, report_date))
     write_text(samples.coalesce(1), f"{with_slash(output_base)}metrics/")
     if transport:
-        push_samples(spark, samples.coalesce(1), transport)
+        push_samples(spark, samples.coalesce(1), transport, ledger=f"{with_slash(output_base)}pushed")
     return samples

@@ -51,6 +51,13 @@ def usage_sessions_by_day(spark: SparkSession, folder: str) -> DataFrame:
     return events(spark, folder).select(*_session_columns(), day.alias("day"))
 
 
+def usage_sessions_hot_day(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``usage_sessions_by_day``, with every other event put on one day."""
+    hot = F.when(_every(2), "2024-01-15").otherwise(F.col("day"))
+    by_day = F.date_format("ts", "yyyy-MM-dd").alias("day")
+    return events(spark, folder).select(*_session_columns(), by_day, "event_id").withColumn("day", hot).drop("event_id")
+
+
 def usage_sessions_reordered(spark: SparkSession, folder: str) -> DataFrame:
     """The same reports under another header: two columns swapped, two missing, one more."""
     return events(spark, folder).select(*_session_columns(), F.col("event_type").alias("Extra")).select(

@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from usagemill.functions.keys import report_date
+from usagemill.functions.keys import OBJECT_ROOT, report_date
 from usagemill.operators.clean import clean_report
 from usagemill.operators.routing import route_notifications
-from usagemill.sinks.tables import clean_path, forbid_batch_table, partitioning
+from usagemill.plans.incremental import FILES_PER_RUN, ReportShape, take_notified
+from usagemill.sinks.tables import clean_path, forbid_batch_table, forbid_published_table, partitioning, qualified
 from usagemill.sources.notifications import MAX_FILE_AGE, notification_records, rejected_lines, stream_notifications
 from usagemill.sources.reports import CSV_FORMAT, text_schema
 
@@ -78,6 +79,7 @@ def ingest_reports(
     """
     table = clean_path(base, report_type)
     forbid_batch_table(spark, table)
+    forbid_published_table(spark, table)
     raw = stream_reports(spark, path, columns, files_per_batch)
     date = report_date(below_input(F.col("_metadata.file_path"), path), default_date)
     clean = clean_stream(raw, report_type, date)
@@ -129,3 +131,41 @@ def reject_stream(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def ingest_notified(
+    spark: SparkSession,
+    path: str,
+    base: str,
+    checkpoint: str,
+    shapes: list[ReportShape],
+    name: str,
+    object_root: str = OBJECT_ROOT,
+    default_date: str | None = None,
+    files_per_batch: int = FILES_PER_BATCH,
+    files_per_run: int = FILES_PER_RUN,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Starts the ingest of the files that arriving notifications name into the published tables of their report types.
+
+    Each batch of notifications is routed, and just the files it names are read; no folder is listed. The driver
+    remembers notification files only, the reports taken are in the manifests. ``name`` tells streams apart: a batch
+    that is done again, as after a crash, takes what it has not yet published, and files that were notified
+    more than once are taken once. Buckets are looked for below ``object_root``.
+    """
+    by_type = {shape.report_type: shape for shape in shapes}
+    # A root without a scheme is a folder of the default store.
+    object_root = object_root if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", object_root) else qualified(spark, object_root)
+
+    def take(batch: DataFrame, number: int) -> None:
+        jobs = route_notifications(batch, "", base, default_date, object_root=object_root)
+        wanted = jobs.where(F.col("report_type").isin(*by_type))
+        take_notified(batch.sparkSession, wanted, base, by_type, f"{name}-{number}", files_per_run)
+
+    records = notification_records(stream_notifications(spark, path, files_per_batch))
+    return (
+        records.writeStream.foreachBatch(take)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
