@@ -25,5 +25,5 @@ def test_stages_keep_the_columns_and_take_effect(spark):
 
 def test_every_query_has_one_row_per_input_row(spark):
     for name, query in queries.registered().items():
-        table = "pages" if name == "op8_urls" else "documents"
-        assert query(spark, FOLDER).count() == spark.read.parquet(f"{FOLDER}/{table}.parquet").count(), name
+        table, key = {"op8_urls": ("pages", "page_id"), "op11_conversations": ("conversations", "conv_id")}.get(name, ("documents", "doc_id"))
+        assert query(spark, FOLDER).count() == spark.read.parquet(f"{FOLDER}/{table}.parquet").select(key).distinct().count(), name

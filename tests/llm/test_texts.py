@@ -12,6 +12,8 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from usagemill.llm import bpe, decontaminate, language, queries, toxicity, urls
 from usagemill.llm.crf import letter_pieces
 from usagemill.llm.word_kernel import WordKernel
@@ -220,3 +222,42 @@ def test_urls_with_nothing_to_learn(spark):
     pages = spark.createDataFrame([(1, "http://a.net/"), (2, None)], "page_id bigint, url string")
     assert {row["verdict"] for row in urls.judge_urls(pages, queries.RULES).collect()} == {"allow"}
     assert urls.judge_urls(pages.limit(0), queries.RULES).count() == 0
+
+
+def test_hot_url_changes_no_verdict(spark):
+    """More copies of one ruled URL than the trees are fitted on, and a very long URL."""
+    ruled = [f"http://s{i}.example.{('org/es', 'com/fr')[i % 2]}/{'1' * (i % 9)}x{i}" for i in range(400)]
+    other = [f"http://s{i}.example.{('org/en/9', 'net/es', 'com/it')[i % 3]}/{'1' * (i % 9)}x{i}" for i in range(100)] + ["http://n.net/" + "a1/" * 100_000]
+    plain_ = spark.createDataFrame(list(enumerate(ruled + other)), "page_id bigint, url string")
+    hot = spark.range(20_001).select((F.col("id") + 1000).alias("page_id"), F.lit(ruled[0]).alias("url"))
+    verdicts = lambda pages: {row["page_id"]: (row["verdict"], row["chance"]) for row in urls.judge_urls(pages, queries.RULES).filter("page_id < 1000").collect()}
+    without = verdicts(plain_)
+    assert len({verdict for verdict, _ in without.values()}) == 2
+    assert verdicts(plain_.unionByName(hot).repartition(7)) == without
+
+
+def test_own_label_is_left_out_of_the_rates(spark):
+    rows = spark.createDataFrame([("http://a.x/", "a.x", "/", 1.0), ("http://b.x/", "b.x", "/", 0.0)], "url string, host string, path string, blocked double")
+    counts = urls.suffix_counts(rows.union(rows))
+    rated = {row["host"]: row for row in urls._rates(rows, counts, 0.5, F.lit(1.0)).collect()}
+    # Of the two URLs under "x" each sees the other only.
+    assert rated["a.x"]["f_rate1"] == (0 + 0.5 * urls.PRIOR) / (1 + urls.PRIOR) and rated["b.x"]["f_rate1"] == (1 + 0.5 * urls.PRIOR) / (1 + urls.PRIOR)
+    assert rated["a.x"]["f_rate2"] == rated["b.x"]["f_rate2"] == 0.5
+
+
+def test_urls_agree_with_sql(spark):
+    """Host, path and rule of all pages by DuckDB."""
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    cases = " ".join(
+        f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{rest}') THEN '{rule.text}'"
+        for rule in sorted(queries.RULES, key=lambda rule: -len(rule.text))
+        for name, _, rest in [rule.text.partition("/")]
+    )
+    want = duckdb.sql(rf"""
+        SELECT page_id, host, path, CASE {cases} END AS rule FROM (
+          SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM '{folder}/pages.parquet')""").fetchall()
+    got = queries.op8_urls(spark, folder).select("page_id", "host", "path", "rule").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
