@@ -32,7 +32,17 @@ def test_exact(awkward):
     assert Counter(map(tuple, exact.duplicate_report(awkward).collect())) == want
     kept = exact.exact_dedup(awkward)
     assert kept.columns == awkward.columns
-    assert {text or "" for _, text in rows_of(kept)} == set(groups)
+    assert sorted(text or "" for _, text in rows_of(kept)) == sorted(groups)
+    assert sorted(text or "" for _, text in rows_of(exact.exact_dedup(awkward.unionByName(awkward)))) == sorted(groups)
+
+
+def test_one_row_of_each_near_group_stays(awkward):
+    kept = Counter(rows_of(simhash.near_dedup(awkward)))
+    twice = awkward.unionByName(awkward.withColumn("lang", F.lit("xx")))
+    assert Counter(rows_of(simhash.near_dedup(twice))) == kept
+    groups = simhash.near_duplicate_report(awkward).filter("component_id IS NOT NULL").select("component_id").distinct().count()
+    assert sum(n for (doc_id, _), n in kept.items() if doc_id is not None) == groups
+    assert max(kept.values()) == 1
 
 
 def test_filter_never_misses_a_repeat(spark):
@@ -155,16 +165,17 @@ def cut_substrings(rows, length):
 
 @pytest.mark.parametrize("length, options", [(20, {}), (6, {"gram": 2}), (6, {"gram": 2, "hot_kinds": 1})])
 def test_substring_dedup(awkward, length, options):
-    # A null doc_id is less than any other, but a later row than none.
-    rows = [row for row in rows_of(awkward) if row[0] is not None]
-    docs = awkward.filter("doc_id IS NOT NULL")
+    """A null doc_id is less than any other."""
+    more = awkward.filter("doc_id % 9 = 0").withColumn("doc_id", F.lit(None).cast("bigint"))
+    docs = awkward.unionByName(more)
     found = substring_dedup.substring_report(docs, length=length, **options)
     got = Counter(tuple(row) for row in found.select("doc_id", "n_words", "n_removed", "kept").collect())
-    assert got == Counter(cut_substrings(rows, length))
+    assert got == Counter(cut_substrings(rows_of(docs), length))
 
 
-def test_substring_dedup_takes_null_ids(awkward):
-    assert substring_dedup.substring_report(awkward).count() == awkward.count()
+def test_substring_of_a_document_without_id(spark):
+    docs = spark.createDataFrame([(None, " ".join(f"w{i}" for i in range(40))), (5, " ".join(f"w{i}" for i in range(40)))], "doc_id bigint, text string")
+    assert {row["doc_id"]: row["n_removed"] for row in substring_dedup.substring_report(docs).collect()} == {None: 0, 5: 40}
 
 
 def test_empty_tables(empty):

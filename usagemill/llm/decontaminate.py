@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usagemill.llm.fm_index import FMIndex
-from usagemill.llm.tables import byte_chunks, checkpointed, offsets, own_rows
+from usagemill.llm.tables import byte_chunks, offsets, own_rows
+from usagemill.session import fresh_folder
+from usagemill.sources.stores import store_of
 
 WINDOW_WORDS = 10
-# Documents are searched with so many bytes of benchmark text at a time, which bounds what is sent to the tasks.
+# Documents are searched with so many bytes of benchmark text at a time, which bounds what a task holds of it.
 BLOCK_BYTES = 1 << 20
 SHARD_BYTES = 2 << 20
 
@@ -67,55 +70,111 @@ def _search(numbers: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarr
     return which, places[at]
 
 
-def _spans(shared):
+class _Shard:
+    """Some texts of a batch as one row of words, and what the blocks have hit so far."""
+
+    def __init__(self, first: int, texts: list[bytes]):
+        self.first, self.split = first, [words_of(text) for text in texts]
+        self.counts = np.fromiter(map(len, self.split), np.int64, len(self.split))
+        self.begins = offsets(self.counts + 1)  # a 0 between texts
+        self.edge = np.zeros(self.begins[-1] + 1, np.int64)
+        self.items: list[set[str]] = [set() for _ in texts]
+
+    def search(self, phrases: Phrases) -> None:
+        """Indexes the words that a block knows, and marks its phrases."""
+        numbers = np.zeros(self.begins[-1], np.int64)
+        for begin, words in zip(self.begins[:-1].tolist(), self.split):
+            numbers[begin : begin + len(words)] = list(map(phrases.words.get, words, [0] * len(words)))
+        which, at = _search(numbers, phrases)
+        np.add.at(self.edge, at, 1)
+        np.add.at(self.edge, at + phrases.lengths[which], -1)
+        owner = np.searchsorted(self.begins, at, "right") - 1
+        for text, phrase in np.unique(np.stack([owner, which]), axis=1).T.tolist():
+            self.items[text].update(phrases.owners[phrase])
+
+    def columns(self) -> list[pa.Array]:
+        hit = np.cumsum(self.edge)[:-1] > 0
+        hits = np.add.reduceat(hit, self.begins[:-1]) if len(hit) else np.zeros(0, np.int64)
+        bounds = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).reshape(-1, 2)
+        of = np.searchsorted(self.begins, bounds[:, 0], "right") - 1
+        spans: list[list[dict]] = [[] for _ in self.split]
+        for text, (start, end) in zip(of.tolist(), (bounds - self.begins[of][:, None]).tolist()):
+            spans[text].append({"start": start, "end": end})
+        return [
+            pa.array(self.counts),
+            pa.array(hits.astype(np.int64)),
+            pa.array([sorted(names) for names in self.items], pa.list_(pa.string())),
+            pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+        ]
+
+
+def _spans(blocks: Callable[[], Iterable[Phrases]]):
+    """The hits of each text; ``blocks`` gives the phrases a block at a time, once for each batch of documents."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shards = [_Shard(first, texts) for first, texts in byte_chunks(batch, "text", SHARD_BYTES)]
+            for phrases in blocks():
+                for shard in shards:
+                    shard.search(phrases)
+            for shard in shards:
+                own = batch.column("row").slice(shard.first, len(shard.split))
+                yield pa.record_batch([own, *shard.columns()], names=["row", "n_words", "n_hit", "items", "spans"])
+
+    return run
+
+
+def _phrase_blocks(window: int, limit: int):
+    """Blocks of the items of a partition, pickled, each of about ``limit`` bytes of text."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases: Phrases = shared.value
+        def packed() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([pickle.dumps(Phrases(block, window))], pa.binary())], names=["block"])
+
+        block, size = [], 0
         for batch in batches:
-            for first, texts in byte_chunks(batch, "text", SHARD_BYTES):
-                split = [words_of(text) for text in texts]
-                counts = np.fromiter(map(len, split), np.int64, len(split))
-                begins = offsets(counts + 1)  # a 0 between texts
-                numbers = np.zeros(begins[-1], np.int64)
-                for begin, words in zip(begins[:-1].tolist(), split):
-                    numbers[begin : begin + len(words)] = list(map(phrases.words.get, words, [0] * len(words)))
-                which, at = _search(numbers, phrases)
-                edge = np.zeros(len(numbers) + 1, np.int64)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + phrases.lengths[which], -1)
-                hit = np.cumsum(edge)[:-1] > 0
-                hits = np.add.reduceat(hit, begins[:-1]) if len(hit) else np.zeros(0, np.int64)
-                owner = np.searchsorted(begins, at, "right") - 1
-                items = [set() for _ in texts]
-                for text, phrase in np.unique(np.stack([owner, which]), axis=1).T.tolist():
-                    items[text].update(phrases.owners[phrase])
-                bounds = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).reshape(-1, 2)
-                of = np.searchsorted(begins, bounds[:, 0], "right") - 1
-                spans = [[] for _ in texts]
-                for text, (a, b) in zip(of.tolist(), (bounds - begins[of][:, None]).tolist()):
-                    spans[text].append({"start": a, "end": b})
-                columns = [
-                    batch.column("row").slice(first, len(texts)),
-                    pa.array(counts),
-                    pa.array(hits.astype(np.int64)),
-                    pa.array([sorted(names) for names in items], pa.list_(pa.string())),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                ]
-                yield pa.record_batch(columns, names=["row", "n_words", "n_hit", "items", "spans"])
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                block.append((item, text))
+                size += len(text)
+                if size >= limit:
+                    yield packed()
+                    block, size = [], 0
+        if block:
+            yield packed()
 
     return run
 
 
-def _blocks(benchmark: DataFrame, window: int, limit: int) -> Iterator[Phrases]:
-    """The items in blocks of bounded size, one in memory at a time."""
-    rows = benchmark.select(F.col("item_id").cast("string"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
-    block, size = [], 0
-    for item, text in rows.toLocalIterator():
-        block.append((item, bytes(text)))
-        size += len(text)
-        if size >= limit:
-            yield Phrases(block, window)
-            block, size = [], 0
-    yield Phrases(block, window)
+def _stored(folder: str) -> Callable[[], Iterator[Phrases]]:
+    """Reads blocks from the shared folder, one in memory at a time."""
+
+    def blocks() -> Iterator[Phrases]:
+        from pyarrow import fs, parquet
+
+        files, name = store_of(folder, named_by_spark=False)
+        for found in files.get_file_info(fs.FileSelector(name)):
+            if found.path.endswith(".parquet"):
+                with files.open_input_file(found.path) as source:
+                    for batch in parquet.ParquetFile(source).iter_batches(batch_size=1):
+                        yield from map(pickle.loads, batch.column(0).to_pylist())
+
+    return blocks
+
+
+def _shared(benchmark: DataFrame, window: int, limit: int) -> Callable[[], Iterable[Phrases]]:
+    """The phrases where tasks find them: broadcast if the texts are at most one block, else as a table that tasks write
+    to the shared folder and read block by block, so that neither the driver nor a task holds the benchmark."""
+    spark = benchmark.sparkSession
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), text.alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if size <= limit:
+        items = [(row["item"], bytes(row["text"])) for row in rows.collect()]
+        one = spark.sparkContext.broadcast(Phrases(items, window))
+        return lambda: [one.value]
+    folder = fresh_folder(spark, "phrases")
+    rows.mapInArrow(_phrase_blocks(window, limit), "block binary").write.parquet(folder)
+    return _stored(folder)
 
 
 def find_contamination(
@@ -126,44 +185,14 @@ def find_contamination(
     Words are runs of 0-9, a-z after A-Z is lower-cased, and all that is not ASCII. A window is ``window`` consecutive
     words of an item, or the whole of a shorter item with a word; ``items`` are the ids, as sorted strings, of the
     items with a window in the document, ``spans`` the merged runs of words (start, end) in such windows, ``n_hit``
-    the words in them. A null text has no word. Items of one id are one item; a window of an item without an id is hit
-    but names none. With no benchmark nothing is hit. Each task indexes its own documents: nothing is shuffled, unless
-    the benchmark takes more than one block; then the blocks' spans are brought together by row.
+    the words in them. A null text has no word; a text of any length is indexed whole. Items of one id are one item; a
+    window of an item without an id is hit but names none. With no benchmark nothing is hit. Rows that repeat are
+    searched each; columns of ``docs`` may have any name. Each task indexes its own documents in one scan and takes the
+    blocks of phrases one after the other: nothing is shuffled.
     """
     own, kind = own_rows(docs, carry)
     out = f"row {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>"
-    context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast(phrases) for phrases in _blocks(benchmark, window, block_bytes)]
-    if len(blocks) == 1:
-        return own.mapInArrow(_spans(blocks[0]), out)
-    numbered = checkpointed(own.withColumn("row", F.struct("row", F.monotonically_increasing_id().alias("n"))))
-    out = out.replace(f"row {kind}", f"row struct<row:{kind},n:bigint>", 1)
-    return _merged([numbered.mapInArrow(_spans(block), out) for block in blocks])
-
-
-def _merged(parts: list[DataFrame]) -> DataFrame:
-    """One row per document out of those of several blocks."""
-    both = parts[0]
-    for part in parts[1:]:
-        both = both.unionByName(part)
-    grouped = both.groupBy("row.n").agg(
-        F.first("row.row").alias("row"),
-        F.first("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"),
-    )
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-
-    def add(done, span):
-        last = F.get(done, F.size(done) - 1)
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))
-        touches = (F.size(done) > 0) & (span["start"] <= last["end"])
-        rest = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-        return F.when(touches, F.concat(rest, F.array(longer))).otherwise(F.concat(done, F.array(span)))
-
-    merged = grouped.withColumn("spans", F.aggregate("all", empty, add))
-    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, span: n + span["end"] - span["start"])
-    return merged.select("row", "n_words", hit.alias("n_hit"), "items", "spans")
+    return own.mapInArrow(_spans(_shared(benchmark, window, block_bytes)), out)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -174,19 +174,28 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: those of the smallest doc_id of their component.
+    """The rows of ``docs`` that stay, with all their columns: of each component one row, of its smallest doc_id.
 
-    Only ids and hashes of texts are shuffled, and the rows whose id may be one of those that go.
+    Of several texts under that doc_id the one of the smallest hash stays, of rows that share it the one of the
+    smallest hash of all columns. Rows of components without any doc_id are dropped only if they have the text of
+    another one. Only ids and hashes of texts are shuffled, and the rows whose id may be one of those that go or repeat.
     """
     own = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
-    found = near_duplicates(own, ["doc_id", "hash"])
-    gone = found.filter(~F.col("_id").eqNullSafe(F.col("component_id"))).select("row.doc_id", "row.hash").distinct()
-    gone = checkpointed(gone)
-    members = member_filter(gone.select(F.xxhash64("doc_id", "hash").alias("key")))
+    found = near_duplicates(own, ["doc_id", "hash"]).select("row.doc_id", "row.hash", "component_id")
+    found = checkpointed(found.groupBy("doc_id", "hash", "component_id").agg(F.count(F.lit(1)).alias("n")))
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    least = found.filter(first & F.col("doc_id").isNotNull()).groupBy("component_id").agg(F.min("hash").alias("least"))
+    stays = first & (F.col("least").isNull() | (F.col("hash") == F.col("least")))
+    judged = found.join(least, "component_id", "left").select("doc_id", "hash", "n", stays.alias("stays"))
+    special = checkpointed(judged.filter("NOT stays OR n > 1").select("doc_id", "hash", "stays"))
+    members = member_filter(special.select(F.xxhash64("doc_id", "hash").alias("key")))
     rows = docs.select(
         F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("hash")
     )
     flagged = rows.withColumn("_maybe", members.column(F.xxhash64("doc_id", "hash")))
-    maybe, away = flagged.filter("_maybe").alias("m"), gone.alias("g")
-    same = F.col("m.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("m.hash") == F.col("g.hash"))
-    return flagged.filter("NOT _maybe").select("row.*").unionByName(maybe.join(away, same, "left_anti").select("row.*"))
+    maybe, marked = flagged.filter("_maybe").alias("m"), special.alias("s")
+    same = F.col("m.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("m.hash") == F.col("s.hash"))
+    untouched = maybe.join(marked, same, "left_anti").select("row.*")
+    repeated = maybe.join(marked.filter("stays"), same).groupBy("m.doc_id", "m.hash")
+    one = repeated.agg(F.min_by("m.row", F.xxhash64(F.to_json("m.row"))).alias("row")).select("row.*")
+    return flagged.filter("NOT _maybe").select("row.*").unionByName(untouched).unionByName(one)

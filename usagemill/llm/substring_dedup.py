@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagemill.llm.anchors import PrefixHash, Runs, mixed, runs
@@ -148,21 +148,32 @@ def _candidates(seen: RepeatFilter, length: int, gram: int):
     return run
 
 
-def _contexts(mixed_: RepeatFilter, hot: RepeatFilter | None, length: int, gram: int):
-    """The words of runs whose gram has several kinds of runs."""
+def _mark(whole: int, key: int, first: int) -> int:
+    """A signed number for a kind of run at a place of a text; ``_mark_column`` is the same in a plan."""
+    value = (whole ^ key ^ (first << 20)) & ((1 << 64) - 1)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _mark_column(whole: Column, key: Column, first: Column) -> Column:
+    return whole.bitwiseXOR(key).bitwiseXOR(F.shiftleft(first, 20))
+
+
+def _contexts(mixed_: RepeatFilter, wanted_: RepeatFilter, length: int, gram: int):
+    """The words of the runs that stand first of their kind; of kinds that copies of a text share also those of the copies."""
     names = ["gram", "whole", "id", "key", "first", "words"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: dict[int, tuple] = {}  # of each kind the smallest document that this task has sent
+        # Of each kind the smallest document that this task has sent; a task that forgets some sends more, no less.
+        sent: dict[int, tuple] = {}
         for batch in batches:
             kinds = [pa.int64(), pa.int64(), batch.schema.field("id").type, pa.int64(), pa.int64(), pa.binary()]
             for chunk in _chunks(batch, length, gram):
-                grams = chunk.runs.gram.view(np.int64)
-                wanted = mixed_.may_repeat(grams)
-                if hot is not None:
-                    wanted &= ~hot.may_repeat(grams)
+                found = list(chunk.chosen(mixed_.may_repeat(chunk.runs.gram.view(np.int64))))
+                marks = np.array([_mark(whole, chunk.keys[text], first) for text, _, whole, first, _, _ in found], np.int64)
                 rows = []
-                for text, gram_, whole, first, _, words in chunk.chosen(wanted):
+                for (text, gram_, whole, first, _, words), first_of_kind in zip(found, wanted_.may_repeat(marks).tolist()):
+                    if not first_of_kind:
+                        continue
                     order = (chunk.ids[text] is not None, chunk.ids[text])
                     if whole in sent and sent[whole] <= order:
                         continue
@@ -263,29 +274,35 @@ def earlier_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_k
     spans = [found.filter("gram IS NULL").select("id", "key", *span)]
     found = found.filter("gram IS NOT NULL")
     # A row for each text and kind: the smallest doc_id keeps the run, the others lose it as a whole.
-    kinds = kept_table(found.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")), "kinds")
-    again = kinds.filter("n > 1").select("gram", "whole", "least")
-    later = (F.col("id") > F.col("least")) & F.col("id").isNotNull()
+    place = F.struct(F.col("id").isNotNull().alias("has"), "id", "first", "key")
+    kinds = kept_table(found.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")), "kinds")
+    again = kinds.filter("n > 1").select("gram", "whole", F.struct("least.has", "least.id").alias("least"))
+    later = F.struct(F.col("id").isNotNull().alias("has"), "id") > F.col("least")
     # Adaptive execution splits a kind that very many documents share.
     spans.append(found.join(again, ["gram", "whole"]).filter(later).select("id", "key", *span))
 
     several = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     several = kept_table(several, "grams")
-    mixed_ = member_filter(several.select("gram"))
-    hottest = several.filter(F.col("kinds") > hot_kinds).select("gram")
-    hot = None if hottest.isEmpty() else member_filter(hottest)
+    few = several.filter(F.col("kinds") <= hot_kinds).select("gram")
+    first_ones = kinds.join(few, "gram").select(_mark_column(F.col("whole"), F.col("least.key"), F.col("least.first")).alias("mark"))
     shape = f"gram bigint, whole bigint, id {kind}, key bigint, first bigint, words binary"
-    contexts = texts.mapInArrow(_contexts(mixed_, hot, length, gram), shape)
-    contexts = contexts.repartition("gram").sortWithinPartitions("gram", "whole", "id")
+    contexts = texts.mapInArrow(_contexts(member_filter(few), member_filter(first_ones), length, gram), shape)
+    # Of each kind one row is dealt by gram, however many tasks have sent it.
+    one = F.min(F.struct(F.col("id").isNotNull().alias("has"), "id", "first", "key", "words")).alias("one")
+    contexts = contexts.groupBy("gram", "whole").agg(one).select("gram", "whole", "one.id", "one.key", "one.first", "one.words")
+    contexts = contexts.repartition("gram").sortWithinPartitions("gram", "whole")
     spans.append(contexts.mapInArrow(_streamed(length), f"id {kind}, key bigint, start bigint, end bigint"))
-    if hot is not None:
+    hottest = several.filter(F.col("kinds") > hot_kinds).select("gram")
+    if not hottest.isEmpty():
+        hot = member_filter(hottest)
         windows = texts.mapInArrow(_hot_windows(hot, length, gram), f"window binary, id {kind}, key bigint, start bigint")
         windows = kept_table(windows, "windows")
         end = (F.col("start") + length).alias("end")
         spans.append(windows.filter("window IS NULL").select("id", "key", "start", end))
         windows = windows.filter("window IS NOT NULL")
-        least = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).filter("n > 1")
-        spans.append(windows.join(least.select("window", "least"), "window").filter(later).select("id", "key", "start", end))
+        least = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNotNull().alias("has"), "id")).alias("least"))
+        least = least.filter("n > 1").select("window", "least")
+        spans.append(windows.join(least, "window").filter(later).select("id", "key", "start", end))
     out = spans[0]
     for part in spans[1:]:
         out = out.unionByName(part)

@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagemill.llm.anchors import Runs, runs
@@ -129,8 +129,22 @@ def _candidates(seen: RepeatFilter, length: int, gram: int):
     return run
 
 
-def _contexts(mixed: RepeatFilter, hot: RepeatFilter | None, length: int, gram: int):
-    """The bytes of runs whose gram has several kinds of runs; of each kind one for each task, as far as it remembers."""
+_KEY_BYTES = 7
+
+
+def _mark(whole: int, key: bytes, first: int) -> int:
+    """A signed number for a kind of run at a place of a text; ``_mark_column`` is the same in a plan."""
+    value = (whole ^ int.from_bytes(key[:_KEY_BYTES], "big") ^ (first << 20)) & ((1 << 64) - 1)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _mark_column(whole: Column, key: Column, first: Column) -> Column:
+    number = F.conv(F.hex(F.substring(key, 1, _KEY_BYTES)), 16, 10).cast("bigint")
+    return whole.bitwiseXOR(number).bitwiseXOR(F.shiftleft(first, 20))
+
+
+def _contexts(mixed: RepeatFilter, chosen: RepeatFilter, length: int, gram: int):
+    """The bytes of one run of each kind whose gram has several kinds; copies of a text may send it more than once."""
     names = ["gram", "whole", "key", "first", "reach", "bytes"]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
 
@@ -139,12 +153,11 @@ def _contexts(mixed: RepeatFilter, hot: RepeatFilter | None, length: int, gram:
         for batch in batches:
             for data, found, shift, _, owner in _found(batch, length, gram):
                 signed = found.gram.view(np.int64)
-                wanted = mixed.may_repeat(signed)
-                if hot is not None:
-                    wanted &= ~hot.may_repeat(signed)
+                several = list(_chosen(data, found, mixed.may_repeat(signed), length))
+                marks = [_mark(whole, owner[text], first + int(shift[i])) for i, text, whole, first, _, _, _ in several]
                 rows = []
-                for i, text, whole, first, _, reach, own in _chosen(data, found, wanted, length):
-                    if whole not in sent:
+                for (i, text, whole, first, _, reach, own), one in zip(several, chosen.may_repeat(np.array(marks, np.int64)).tolist()):
+                    if one and whole not in sent:
                         if len(sent) < SENT_KINDS:
                             sent.add(whole)
                         rows.append((int(signed[i]), whole, owner[text], first + int(shift[i]), reach, own))
@@ -222,20 +235,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     span = [F.col("first").alias("start"), (F.col("last") + length).alias("end")]
     spans = [found.filter("gram IS NULL").select("key", *span)]
     found = found.filter("gram IS NOT NULL")
-    kinds = kept_table(found.groupBy("gram", "whole").agg(F.sum("n").alias("n")), "kinds")
+    place = F.min(F.struct("key", "first")).alias("least")
+    kinds = kept_table(found.groupBy("gram", "whole").agg(F.sum("n").alias("n"), place), "kinds")
     # Adaptive execution splits a kind that very many texts share.
     spans.append(found.join(kinds.filter("n > 1").select("gram", "whole"), ["gram", "whole"]).select("key", *span))
 
     several = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     several = kept_table(several, "grams")
-    mixed = member_filter(several.select("gram"))
-    hottest = several.filter(F.col("kinds") > hot_kinds).select("gram")
-    hot = None if hottest.isEmpty() else member_filter(hottest)
+    few = several.filter(F.col("kinds") <= hot_kinds).select("gram")
+    chosen = kinds.join(few, "gram").select(_mark_column(F.col("whole"), F.col("least.key"), F.col("least.first")).alias("mark"))
     shape = "gram bigint, whole bigint, key binary, first bigint, reach bigint, bytes binary"
-    contexts = texts.mapInArrow(_contexts(mixed, hot, length, gram), shape)
+    contexts = texts.mapInArrow(_contexts(member_filter(few), member_filter(chosen), length, gram), shape)
+    # Of each kind one row is dealt by gram, however many tasks have sent it.
+    one = F.min(F.struct("key", "first", "reach", "bytes")).alias("one")
+    contexts = contexts.groupBy("gram", "whole").agg(one).select("gram", "whole", "one.*")
     contexts = contexts.repartition("gram").sortWithinPartitions("gram", "whole")
     spans.append(contexts.mapInArrow(_sorted_out(length), "key binary, start bigint, end bigint"))
-    if hot is not None:
+    hottest = several.filter(F.col("kinds") > hot_kinds).select("gram")
+    if not hottest.isEmpty():
+        hot = member_filter(hottest)
         windows = texts.mapInArrow(_hot_windows(hot, length, gram), "window binary, key binary, start bigint")
         windows = kept_table(windows, "windows")
         twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
