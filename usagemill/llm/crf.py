@@ -63,11 +63,10 @@ class Chain:
 
 
 def marginals(emissions: np.ndarray, lengths: np.ndarray, move: np.ndarray, collect: bool = False) -> np.ndarray:
-    """By forward and backward sums: each text's sum of its words' chances for the labels, in a row.
+    """By forward and backward sums: the chances of every word for the labels, a word a row.
 
     ``emissions`` has the words of all texts, one text after the other; every text has a word. Texts go side by side,
-    the longest first, a word of each at a time. With ``collect`` the chances of every word are returned instead, and
-    after them the expected transitions.
+    the longest first, a word of each at a time. With ``collect`` the expected transitions are returned after them.
     """
     order = np.argsort(-lengths, kind="stable")
     sizes = lengths[order]
@@ -89,17 +88,14 @@ def marginals(emissions: np.ndarray, lengths: np.ndarray, move: np.ndarray, coll
         state = (state[: counts[t]] @ step) * scaled[a:b]
         state /= state.sum(axis=1, keepdims=True)
         forward[a:b] = state
-    total = np.zeros((len(sizes), scaled.shape[1]), np.float64)
     back = np.ones((len(sizes), scaled.shape[1]), scaled.dtype)
-    chances = np.empty_like(scaled) if collect else None
+    chances = np.empty_like(scaled)
     moves = np.zeros_like(step, dtype=np.float64)
     for t in range(steps - 1, -1, -1):
         a, b, n = cuts[t], cuts[t + 1], counts[t]
         own = forward[a:b] * back[:n]
         own /= own.sum(axis=1, keepdims=True)
-        total[:n] += own
-        if chances is not None:
-            chances[a:b] = own
+        chances[a:b] = own
         if t:
             right = scaled[a:b] * back[:n]
             if collect:
@@ -107,13 +103,9 @@ def marginals(emissions: np.ndarray, lengths: np.ndarray, move: np.ndarray, coll
                 moves += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
             ahead = right @ step.T
             back[:n] = ahead / ahead.sum(axis=1, keepdims=True)
-    if collect:
-        out = np.empty_like(chances)
-        out[place] = chances
-        return out, moves
-    out = np.empty_like(total)
-    out[order] = total
-    return out
+    out = np.empty_like(chances)
+    out[place] = chances
+    return (out, moves) if collect else out
 
 
 def fit(labels: list[str], texts: list[tuple[list[str], np.ndarray]], rounds: int = 6, batch: int = 128) -> Chain:

@@ -7,11 +7,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagemill.llm.crf import LONGEST, Chain, fit, letter_pieces, marginals
-from usagemill.llm.tables import checkpointed, held_out, own_rows, text_chunks
+from usagemill.llm.tables import checkpointed, held_out, offsets, own_rows, text_chunks
 
 # The chain is fitted on at most so many different texts of each language, the ones of the smallest hashes, and on at
 # most so many words of each, drawn from all over the text. Prediction has no such bound.
@@ -112,30 +112,66 @@ def _predictor(shared):
                 for words in split:
                     ids[begin : begin + len(words)] = list(map(known.__getitem__, words))
                     begin += len(words)
-                langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-                full = np.flatnonzero(sizes)
-                if len(full):
-                    total = marginals(table[ids], sizes[full], chain.move)
-                    best = total.argmax(axis=1)
-                    scores[full] = np.clip(total.max(axis=1) / sizes[full], 0, 1)
-                    for i, label in zip(full.tolist(), best.tolist()):
-                        langs[i] = chain.labels[label]
                 row = batch.column("row").slice(first, len(texts))
-                yield pa.record_batch([row, pa.array(langs), pa.array(scores)], names=["row", "lang_pred", "score"])
+                yield pa.record_batch([row, *_labelled(table[ids], sizes, chain)], names=["row", "spans", "chances"])
 
     return run
 
 
-def predict(docs: DataFrame, carry: list[str], chain: Chain | None) -> DataFrame:
-    """``row`` (a struct of the carried columns), ``lang_pred`` and ``score`` of every row's whole text.
-
-    The language is the one that most of the text's words are expected to have, the score the mean chance of that
-    language over all words, by forward and backward sums over the chain. A null text, or one without a letter, is
-    ``und`` with score 0; so are all texts if nothing could be learned. Columns of ``docs`` may have any name.
+_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.int32()), ("chance", pa.float64())])
+
+
+def _labelled(emissions: np.ndarray, sizes: np.ndarray, chain: Chain | None) -> tuple[pa.Array, pa.Array]:
+    """Of each text the runs of words that most likely have one label, and the mean chance of each label."""
+    begins = offsets(sizes)
+    if not len(emissions):
+        nothing = pa.array(np.zeros(len(sizes) + 1, np.int32))
+        return pa.ListArray.from_arrays(nothing, pa.array([], _SPAN)), pa.ListArray.from_arrays(nothing, pa.array([], pa.float64()))
+    full = sizes > 0
+    chances = marginals(emissions, sizes[full], chain.move)
+    means = np.add.reduceat(chances, begins[:-1][full], axis=0, dtype=np.float64) / sizes[full][:, None]
+    lists = pa.array(offsets(np.where(full, means.shape[1], 0)).astype(np.int32))
+    best = chances.argmax(axis=1)
+    new = np.concatenate([[True], best[1:] != best[:-1]])
+    new[begins[:-1][full]] = True
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(best))
+    owner = np.searchsorted(begins, starts, "right") - 1
+    chance = np.add.reduceat(chances[np.arange(len(best)), best], starts, dtype=np.float64) / (ends - starts)
+    columns = [starts - begins[owner], ends - begins[owner], best[starts].astype(np.int32), np.clip(chance, 0, 1)]
+    spans = pa.StructArray.from_arrays([pa.array(column) for column in columns], fields=list(_SPAN))
+    edges = offsets(np.bincount(owner, minlength=len(sizes)))
+    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), spans), pa.ListArray.from_arrays(lists, pa.array(np.clip(means, 0, 1).ravel()))
+
+
+def label_words(docs: DataFrame, carry: list[str], chain: Chain | None) -> DataFrame:
+    """``row`` (a struct of the carried columns), ``spans`` and ``chances`` of every row's whole text.
+
+    ``spans`` are runs of words that most likely have one language: ``start, end`` in words, ``lang``, and ``chance``, the mean
+    chance of it over these words, by forward and backward sums over the chain. ``chances`` are those of all languages
+    (``chain.labels``, in order) over all words. Words are runs of letters; of a run of over 24 letters each piece counts
+    as one. A null text, or one without a letter, has neither; so has any text if nothing could be learned. Rows that repeat are
+    labelled each; columns of ``docs`` may have any name; an empty table gives no row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # a fixed number of features for each language
     own, kind = own_rows(docs, carry)
-    return own.mapInArrow(_predictor(shared), f"row {kind}, lang_pred string, score double")
+    shape = f"row {kind}, spans array<struct<start:bigint,end:bigint,label:int,chance:double>>, chances array<double>"
+    labels = _labels(chain)
+    named = F.transform("spans", lambda span: F.struct(span["start"].alias("start"), span["end"].alias("end"), F.get(labels, span["label"]).alias("lang"), span["chance"].alias("chance")))
+    return own.mapInArrow(_predictor(shared), shape).select("row", named.alias("spans"), "chances")
+
+
+def _labels(chain: Chain | None) -> Column:
+    return F.array(*map(F.lit, chain.labels if chain else [])).cast("array<string>")
+
+
+def predict(docs: DataFrame, carry: list[str], chain: Chain | None) -> DataFrame:
+    """``label_words`` with ``lang_pred``, the language that most of the text's words are expected to have (the first of
+    equal ones), and ``score``, its mean chance over all words; ``und`` and 0 for a text that has no chances."""
+    top = F.array_max("chances")
+    found = F.get(_labels(chain), F.array_position("chances", top).cast("int") - 1)
+    labelled = label_words(docs, carry, chain)
+    return labelled.select("row", F.coalesce(found, F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce(top, F.lit(0.0)).alias("score"), "spans", "chances")
 
 
 def language_report(docs: DataFrame) -> DataFrame:
