@@ -114,15 +114,87 @@ def test_kernel_has_no_span_and_no_alphabet():
         plain[word[i] + word[j] + word[k]] = plain.get(word[i] + word[j] + word[k], 0) + 0.6 ** (k - i - 2)
     numbers, weights = next((numbers, weights) for _, numbers, weights in kernel.features([word]))
     assert WordKernel.norms(numbers, weights)[0] == pytest.approx(sum(value**2 for value in plain.values()) ** 0.5, rel=1e-4)
-    long_word = "i" + "ab" * 200
-    assert all(sum(map(str.isalpha, piece)) <= 64 for piece in toxicity.words_of(long_word)) and "".join(long_word[:64]) in toxicity.words_of(long_word)
+    long_word = "i" + "a-b" * 200
+    pieces = toxicity.words_of(long_word)
+    assert all(sum(map(str.isalpha, piece)) <= toxicity.PIECE for piece in pieces)
+    # Every run of half a piece is whole in some piece.
+    letters = long_word.replace("-", "")
+    assert all(any(letters[at : at + toxicity.PIECE // 2] in piece.replace("-", "") for piece in pieces) for at in range(len(letters) - toxicity.PIECE // 2))
+
+
+def plain_kernel(a, b):
+    """All subsequences of three letters, one by one."""
+
+    def features(word):
+        places = [i for i, letter in enumerate(word) if letter.isalpha()]
+        if len(places) < 3:
+            return Counter({"".join(word[i] for i in places): 1.0} if places else {})
+        out = Counter()
+        for i, j, k in combinations(places, 3):
+            out[word[i] + word[j] + word[k]] += 0.6 ** (k - i)
+        return out
+
+    f, g = features(a), features(b)
+    size = lambda x: sum(value**2 for value in x.values()) ** 0.5
+    return sum(f[key] * g[key] for key in f) / (size(f) * size(g)) if f and g else 0.0
+
+
+def test_kernel_is_that_of_all_subsequences():
+    rng = random.Random(6)
+    words = ["", "a", "ab", "--", "idiot", "i-d1iot", "übel", "日本語", "aaaa"] + ["".join(rng.choices("abcd-1é", k=rng.randrange(1, 14))) for _ in range(60)]
+    found = WordKernel().gram(words, words)
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            assert found[i, j] == pytest.approx(plain_kernel(a, b), abs=2e-3), (a, b)
+
+
+def test_runs_of_letters_cost_no_more_than_words():
+    """Text of a script without spaces against as many bytes of words, by the processor's time."""
+    import time
+
+    rng = random.Random(1)
+    bad = "idiot"
+    sample = [(i % 2, toxicity.words_of(" ".join(["".join(rng.choices("abcdefgh", k=5)) for _ in range(30)] + [bad] * (i % 2)))) for i in range(200)]
+    model = toxicity.fit(sample)
+    spaced = " ".join("".join(rng.choices("abcdefghilmnorst", k=rng.randint(2, 9))) for _ in range(150_000))[:900_000]
+    letters = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(300_000))
+    seconds = []
+    for text in (spaced, letters):
+        start = time.process_time()
+        batch = pa.record_batch([pa.array([1]), pa.array([text])], names=["row", "text"])
+        list(toxicity._scorer(SimpleNamespace(value=model))(iter([batch])))
+        seconds.append(time.process_time() - start)
+    assert seconds[1] <= 2 * seconds[0]
+    assert model.words([one for one in toxicity.words_of("xkcdxkcdxkcdxkcdxkcdidiotxkcdxkcdxkcd")]).max() > model.words(["xkcdxkcd"]).max()
+
+
+def test_awkward_rows_are_scored(spark, awkward):
+    """A fitted machine on nulls, empty and very long texts, repeated rows and clashing names."""
+    rng = random.Random(2)
+    text = lambda bad: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(20)) + (" you idiot" if bad else "")
+    known = spark.createDataFrame([(10_000 + i, text(i % 2)) for i in range(300)], "doc_id bigint, text string")
+    marks = known.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    docs = awkward.unionByName(known, allowMissingColumns=True).withColumn("score", F.lit("x"))
+    found = toxicity.score(docs, marks, ["doc_id", "text", "score"]).select("row.doc_id", "row.text", "score").collect()
+    assert len(found) == docs.count() and all(0 <= row["score"] <= 1 for row in found)
+    by_text = {}
+    for row in found:
+        assert by_text.setdefault(row["text"] or "", row["score"]) == row["score"]
+    assert by_text["idiot"] > by_text["One"] and by_text[""] < 0.5 and by_text["One"] < 0.5
+
+
+def test_training_reads_sentences_from_all_over_the_text():
+    text = " ".join(f"w{i}." for i in range(3 * toxicity.TRAIN_SENTENCES))
+    drawn = toxicity._drawn(text).split()
+    assert len(drawn) == toxicity.TRAIN_SENTENCES and drawn[0] == "w0." and drawn[-1] == f"w{3 * toxicity.TRAIN_SENTENCES - 3}."
+    assert toxicity._drawn("a. b") == "a. b"
 
 
 def test_toxicity_of_lone_letters_and_many_words():
     assert "idiot" in toxicity.words_of("you i  d\ti\no \r\n t no")[-1]
     words = [f"w{i:05d}" for i in range(1500)]
     batch = pa.record_batch([pa.array([1]), pa.array([" ".join(words)])], names=["toxic", "text"])
-    assert next(toxicity._first_words([batch])).column("words").to_pylist() == [words]
+    assert next(toxicity._train_words([batch])).column("words").to_pylist() == [words]
 
 
 def test_toxicity_of_phrases():

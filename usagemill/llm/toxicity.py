@@ -17,7 +17,6 @@ import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usagemill.llm.tables import checkpointed, held_out, offsets, own_rows, text_chunks
-from usagemill.llm.word_kernel import LONGEST, FeatureTable, WordKernel
+from usagemill.llm.word_kernel import LONGEST, PIECE, FeatureTable, WordKernel
 
 # The machine is fitted on at most so many labelled documents of each class, of different texts, the ones of the
-# smallest text hashes, and on the words of their first so many sentences. Scoring has no such bound.
+# smallest text hashes, and on the words of so many of their sentences, drawn from all over the text. Scoring has no
+# such bound.
 TRAIN_DOCUMENTS = 1500
 TRAIN_SENTENCES = 400
 LANDMARKS = 160
@@ -42,17 +42,21 @@ CLEAN_COST = 2.0  # of a word's share of clean documents, against its share as t
 CACHE_WORDS = 1 << 17
 CHUNK_BYTES = 1 << 20
 
+_MARK = "\0"  # before a piece of a long word: no letter, so the kernel does not see it; pieces are in no pairs
 _SPACED = re.compile(r"(?<!\S)(?:\S\s++){2,}\S(?!\S)")
 _EDGES = "".join(map(chr, range(0x21, 0x30))) + ":;<=>?@[\\]^_`{|}~"
 _SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n")
 
 
 def _pieces(word: str) -> list[str]:
-    """A long word from its first letter to its last, in overlapping pieces of LONGEST letters; gaps count as none."""
+    """A word from its first letter to its last, a long one in pieces of PIECE letters that overlap by half, each marked;
+    gaps count as none."""
     places = [i for i, letter in enumerate(word) if letter.isalpha()]
-    half = LONGEST // 2
-    starts = range(0, max(1, len(places) - half), half) if places else ()
-    return [word[places[at] : places[min(at + LONGEST, len(places)) - 1] + 1] for at in starts]
+    if len(places) <= LONGEST:
+        return [word[places[0] : places[-1] + 1]] if places else []
+    half = PIECE // 2
+    starts = range(0, max(1, len(places) - half), half)
+    return [_MARK + word[places[at] : places[min(at + PIECE, len(places)) - 1] + 1] for at in starts]
 
 
 def words_of(text: str) -> list[str]:
@@ -67,14 +71,21 @@ def words_of(text: str) -> list[str]:
     return words
 
 
-def _first_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _drawn(text: str) -> str:
+    """The sentences of a text, or TRAIN_SENTENCES of them at even distances."""
+    ends = [found.end() for found in _SENTENCE.finditer(text)]
+    if len(ends) < TRAIN_SENTENCES:
+        return text
+    starts, ends = [0, *ends], [*ends, len(text)]
+    stride = -(-len(ends) // TRAIN_SENTENCES)
+    return "\n".join(text[a:b] for a, b in zip(starts[::stride], ends[::stride]))
+
+
+def _train_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         toxic = batch.column("toxic").to_pylist()
         for first, texts in text_chunks(batch, "text"):
-            words = []
-            for text in texts:
-                ends = (found.start() for found in _SENTENCE.finditer(text))
-                words.append(words_of(text[: next(islice(ends, TRAIN_SENTENCES - 1, None), None)]))
+            words = [words_of(_drawn(text)) for text in texts]
             labels = pa.array(toxic[first : first + len(texts)], pa.int32())
             yield pa.record_batch([labels, pa.array(words, pa.list_(pa.string()))], names=["toxic", "words"])
 
@@ -89,7 +100,7 @@ def _sample(docs: DataFrame, labels: DataFrame, bound: int) -> list[tuple[int, l
     picked = [order.filter(F.col("toxic") == label).orderBy("h").limit(bound) for label in (0, 1)]
     chosen = checkpointed(picked[0].unionByName(picked[1])).select("doc_id", "toxic").distinct()
     rows = own.join(F.broadcast(chosen), "doc_id").select("toxic", "text")  # at most 2 * bound ids
-    rows = rows.mapInArrow(_first_words, "toxic int, words array<string>")
+    rows = rows.mapInArrow(_train_words, "toxic int, words array<string>")
     return [(row["toxic"], list(map(sys.intern, row["words"]))) for row in rows.toLocalIterator()]
 
 
@@ -294,12 +305,20 @@ def fit(sample: list[tuple[int, list[str]]]) -> Model | None:
     pairs = _fit_pairs(kernel, vocabulary, runs, labels, scores)
     found = [scores[bag] for bag in held]
     if pairs:
-        near = kernel.project(vocabulary, pairs.first), kernel.project(vocabulary, pairs.second)
+        near = _near(kernel, vocabulary, pairs.first), _near(kernel, vocabulary, pairs.second)
         found = [np.concatenate([own, pairs.hits(*near, run)]) for own, run in zip(found, runs)]
     top = np.array([top_two(own, weights[-1]) for own in found])
     return Model(kernel, table, float(weights[-1]), _logistic(top, labels), pairs)
 
 
+def _near(kernel: WordKernel, words: list[str], table: FeatureTable) -> np.ndarray:
+    """Kernel values of words with the landmarks of a table; 0 for pieces of long words."""
+    out = np.zeros((len(words), table.values.shape[1]), np.float32)
+    whole = [i for i, word in enumerate(words) if not word.startswith(_MARK)]
+    out[whole] = kernel.project([words[i] for i in whole], table)
+    return out
+
+
 def _scorer(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model | None = shared.value
@@ -322,8 +341,8 @@ def _scorer(shared):
                     table = np.concatenate([table, model.words(new)])
                     scores = [table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))] for words in split]
                     if pairs:
-                        firsts = np.concatenate([firsts, model.kernel.project(new, pairs.first)])
-                        seconds = np.concatenate([seconds, model.kernel.project(new, pairs.second)])
+                        firsts = np.concatenate([firsts, _near(model.kernel, new, pairs.first)])
+                        seconds = np.concatenate([seconds, _near(model.kernel, new, pairs.second)])
                         ids = (np.fromiter(map(known.__getitem__, words), np.int64, len(words)) for words in runs)
                         scores = [np.concatenate([own, pairs.hits(firsts, seconds, each)]) for own, each in zip(scores, ids)]
                     out = model.chance(np.array([top_two(own, model.bias) for own in scores]))
@@ -337,11 +356,12 @@ def score(docs: DataFrame, labels: DataFrame, carry: list[str], bound: int = TRA
 
     Learns from the text of at most ``bound`` documents of each label; rows whose crc32(doc_id) mod 5 is 0 are never
     learned from, and a document that is labelled more than once counts as toxic if any label says so. A null or empty
-    text has no word and scores as one without any sign of toxicity. If a class is missing, every score is 0.
-    Columns of ``docs`` may have any name. Scoring shuffles nothing.
+    text has no word and scores as one without any sign of toxicity. If a class is missing, every score is 0. A text
+    of any length is scored whole; rows that repeat have the same score. Columns of ``docs`` may have any name; an empty
+    table gives no row. Scoring shuffles nothing.
     """
     model = fit(_sample(docs, labels, bound))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB for each of one to three feature tables, and their values
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 5 MB for each of one to three feature tables, and their values
     own, kind = own_rows(docs, carry)
     return own.mapInArrow(_scorer(shared), f"row {kind}, score double")
 

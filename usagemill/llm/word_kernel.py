@@ -20,7 +20,9 @@ from usagemill.llm.tables import by_length, offsets
 
 DECAY = 0.6
 FEATURES_LOG2 = 20
-LONGEST = 64  # a word of more letters is cut into overlapping pieces of so many, and takes the largest of their scores
+# A word of more letters than LONGEST is cut into pieces of PIECE letters that overlap by half, and takes the largest of
+# their scores: a word of n letters has n^3 / 6 triples, a run of letters without spaces 37 for each letter.
+LONGEST, PIECE = 24, 12
 CELLS = 1 << 20  # features of words, or codes, that are worked on at once
 TABLE_CELLS = 1 << 25  # values of a feature table that a Gram matrix is computed with
 
@@ -41,21 +43,31 @@ def _places(letters: int) -> np.ndarray:
 
 @dataclass
 class FeatureTable:
-    """A row of values for each feature in use: feature number f has row ``index[f]``, row 0 is nothing."""
+    """A row of values for each feature in use: feature number f has row ``index[f]``, row 0 is nothing.
+
+    ``letters`` tells of each code point whether it is in any feature in use.
+    """
 
     index: np.ndarray
     values: np.ndarray
+    letters: np.ndarray
 
 
 class WordKernel:
-    def features(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Rows of equally many letters, feature numbers and weights (a row of each per word); weight 0 is no feature."""
+    def features(self, words: list[str], letters_in_use: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows of equally many letters, feature numbers and weights (a row of each per word); weight 0 is no feature.
+
+        With ``letters_in_use`` words are left out that have too few of these letters for any of their features.
+        """
         for rows, codes in by_length(words):
             step = max(1, min(1 << 12, CELLS // codes.shape[1]))
             for start in range(0, len(rows), step):
                 part, own = rows[start : start + step], codes[start : start + step]
                 found = _letter_table()[own]
                 counts = found.sum(axis=1)
+                if letters_in_use is not None:
+                    able = (letters_in_use[own] & found).sum(axis=1) >= np.minimum(counts, 3)
+                    part, own, found, counts = part[able], own[able], found[able], counts[able]
                 letters, places = own[found].astype(np.uint64), np.nonzero(found)[1]
                 begins = offsets(counts)[:-1]
                 for count in np.unique(counts[counts > 0]).tolist():
@@ -106,12 +118,14 @@ class WordKernel:
             for column in range(numbers.shape[1]):
                 np.add.at(values, index[numbers[:, column]], weights[:, column, None] * parts[rows])
         values[0] = 0
-        return FeatureTable(index, values)
+        letters = np.zeros(0x110000, bool)
+        letters[[ord(letter) for letter in set("".join(words))]] = True
+        return FeatureTable(index, values, letters)
 
     def project(self, words: list[str], table: FeatureTable) -> np.ndarray:
         """Inner products of the words' features, of norm 1, with the columns of a feature table."""
         out = np.zeros((len(words), table.values.shape[1]), np.float32)
-        for rows, numbers, weights in self.features(words):
+        for rows, numbers, weights in self.features(words, table.letters):
             place = table.index[numbers]
             if out.shape[1] == 1:
                 total = np.einsum("rc,rc->r", weights, table.values[:, 0][place])[:, None]
