@@ -11,6 +11,7 @@ window by window over all reducers.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -148,18 +149,20 @@ def _candidates(seen: RepeatFilter, length: int, gram: int):
     return run
 
 
-def _mark(whole: int, key: int, first: int) -> int:
-    """A signed number for a kind of run at a place of a text; ``_mark_column`` is the same in a plan."""
-    value = (whole ^ key ^ (first << 20)) & ((1 << 64) - 1)
+def _mark(whole: int, doc_id, first: int) -> int:
+    """A signed number for a kind of run at a place of a document; ``_mark_column`` is the same in a plan."""
+    number = 0 if doc_id is None else zlib.crc32(str(doc_id).encode()) + 1
+    value = (whole ^ (number << 24) ^ first) & ((1 << 64) - 1)
     return value - (1 << 64) if value >> 63 else value
 
 
-def _mark_column(whole: Column, key: Column, first: Column) -> Column:
-    return whole.bitwiseXOR(key).bitwiseXOR(F.shiftleft(first, 20))
+def _mark_column(whole: Column, doc_id: Column, first: Column) -> Column:
+    number = F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) + 1, F.lit(0))
+    return whole.bitwiseXOR(F.shiftleft(number, 24)).bitwiseXOR(first)
 
 
 def _contexts(mixed_: RepeatFilter, wanted_: RepeatFilter, length: int, gram: int):
-    """The words of the runs that stand first of their kind; of kinds that copies of a text share also those of the copies."""
+    """The words of the runs that stand first of their kind: one row of each kind, but for rows that repeat in other tasks."""
     names = ["gram", "whole", "id", "key", "first", "words"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +172,7 @@ def _contexts(mixed_: RepeatFilter, wanted_: RepeatFilter, length: int, gram: in
             kinds = [pa.int64(), pa.int64(), batch.schema.field("id").type, pa.int64(), pa.int64(), pa.binary()]
             for chunk in _chunks(batch, length, gram):
                 found = list(chunk.chosen(mixed_.may_repeat(chunk.runs.gram.view(np.int64))))
-                marks = np.array([_mark(whole, chunk.keys[text], first) for text, _, whole, first, _, _ in found], np.int64)
+                marks = np.array([_mark(whole, chunk.ids[text], first) for text, _, whole, first, _, _ in found], np.int64)
                 rows = []
                 for (text, gram_, whole, first, _, words), first_of_kind in zip(found, wanted_.may_repeat(marks).tolist()):
                     if not first_of_kind:
@@ -284,13 +287,10 @@ def earlier_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_k
     several = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     several = kept_table(several, "grams")
     few = several.filter(F.col("kinds") <= hot_kinds).select("gram")
-    first_ones = kinds.join(few, "gram").select(_mark_column(F.col("whole"), F.col("least.key"), F.col("least.first")).alias("mark"))
+    first_ones = kinds.join(few, "gram").select(_mark_column(F.col("whole"), F.col("least.id"), F.col("least.first")).alias("mark"))
     shape = f"gram bigint, whole bigint, id {kind}, key bigint, first bigint, words binary"
     contexts = texts.mapInArrow(_contexts(member_filter(few), member_filter(first_ones), length, gram), shape)
-    # Of each kind one row is dealt by gram, however many tasks have sent it.
-    one = F.min(F.struct(F.col("id").isNotNull().alias("has"), "id", "first", "key", "words")).alias("one")
-    contexts = contexts.groupBy("gram", "whole").agg(one).select("gram", "whole", "one.id", "one.key", "one.first", "one.words")
-    contexts = contexts.repartition("gram").sortWithinPartitions("gram", "whole")
+    contexts = contexts.repartition("gram").sortWithinPartitions("gram", "whole", "id", "first")
     spans.append(contexts.mapInArrow(_streamed(length), f"id {kind}, key bigint, start bigint, end bigint"))
     hottest = several.filter(F.col("kinds") > hot_kinds).select("gram")
     if not hottest.isEmpty():
