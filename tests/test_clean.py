@@ -26,6 +26,9 @@ SESSION = ["UserId", "SessionId", "SessionStartTime", "SessionEndTime"]
         ("1969-12-31 23:59:59.5", "1970-01-01 00:00:59", 1.0),
         ("bad", "2024-01-15 10:00:00", None),
         ("2024-01-15 10:00:00", None, None),
+        ("10:00", "10:30", None),
+        ("T10:00:00", " 2024", None),
+        (" 2024-01-15 10:00", "2024-01-15T10:05 ", 5.0),
     ],
 )
 def test_session_minutes(spark, start, end, minutes):

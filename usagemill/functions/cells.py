@@ -19,9 +19,17 @@ def present(df: DataFrame, names: Sequence[str]) -> list[str]:
     return [name for name in names if name in df.columns]
 
 
+# Fixed value: how a text with a date begins.
+DATED_TEXT = r"\A\s*[+-]?\d{4}"
+
+
 def parse_time(value: Column) -> Column:
-    """Text to timestamp; unreadable text becomes NULL instead of ending the job."""
-    return F.try_to_timestamp(value)
+    """Text to timestamp; unreadable text becomes NULL instead of ending the job.
+
+    So does a time without a date, which Spark would take for one of today: what a report says must not depend on
+    the day on which it is read.
+    """
+    return F.when(value.cast("string").rlike(DATED_TEXT), F.try_to_timestamp(value))
 
 
 def parse_number(value: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,7 +147,8 @@ def session_duration_summary(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = _clean_sessions(spark, folder)
     shown = stats.session_duration_summary(cleaned).select("summary", minutes.cast("double").alias("minutes"))
     quartile = F.col("summary").endswith("%")
-    values = {name: shown.where(F.col("summary") == name).select("minutes").scalar() for name in QUARTILES}
+    found = shown.agg(F.map_from_entries(F.collect_list(F.struct("summary", "minutes"))).alias("found")).scalar()
+    values = {name: F.element_at(found, name) for name in QUARTILES}
     ranks = cleaned.agg(
         F.count(minutes).alias("n"),
         *[F.count_if(minutes < value).alias(f"below {name}") for name, value in values.items()],
@@ -318,11 +320,15 @@ def csv_headerless_widths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def csv_rescued(spark: SparkSession, folder: str) -> DataFrame:
-    """The same lines under a header of three names: those with a fourth cell are kept whole beside the cells."""
+    """The same lines in files with a header of three names: those with a fourth cell are kept whole beside the cells."""
     path = fresh_folder(spark, "csv")
-    lines = test_tables.uneven_lines(spark, folder)
-    heads = spark.range(0, 1, 1, 1).select(F.lit("id,kind,user").alias("line"))
-    heads.unionByName(lines).coalesce(1).write.text(path)
+
+    def with_header(batches):
+        yield pa.record_batch([pa.array(["id,kind,user"])], names=["line"])
+        for batch in batches:
+            yield pa.record_batch([batch.column(0)], names=["line"])
+
+    test_tables.uneven_lines(spark, folder).mapInArrow(with_header, "line string").write.text(path)
     return reports.read_reports(spark, path, rescued="line")
 
 
