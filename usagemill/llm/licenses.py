@@ -1,13 +1,14 @@
-"""License scans: every run of whole lines of a text, in a canonical form, is looked up by digest among known licences."""
+"""License scans: every run of whole lines of a text, in a canonical form, meets the known licences by a join on digests."""
 
 from __future__ import annotations
 
-import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from usagemill.llm.tables import checkpointed
+
 # Notices by name. Whole licences and longer notices are the files of TEXTS, named by licence and, after
 # a ``~``, by what sets the text apart from others of that licence.
 KNOWN = [
@@ -58,18 +59,53 @@ def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(KNOWN + files, "license string, text string")
 
 
-def _tails(forms: list[str]) -> str:
-    """A pattern for the line break before each run of lines that begins as a known text does; its group is the text
-    from there on, as far as a known text with that beginning can reach, and one character more."""
-    begins = sorted({tuple(form.split(" ")[:ANCHOR]) for form in forms}, key=len)
-    anchors = {words for words in begins if not any(words[:n] in begins for n in range(1, len(words)))}
-    reach = dict.fromkeys(sorted(anchors), 0)
-    for form in forms:
-        words = form.split(" ")
-        anchor = next(tuple(words[:n]) for n in range(1, ANCHOR + 1) if tuple(words[:n]) in anchors)
-        reach[anchor] = max(reach[anchor], len(form) - len(" ".join(anchor)))
-    branches = ["[ \n]".join(map(re.escape, words)) + f"(?=[ \n])[a-z0-9 \n]{{0,{more + 1}}}" for words, more in reach.items()]
-    return f"\n(?=({'|'.join(branches)}))"
+# The line break before each line, with the first words from there on, across lines.
+_BEGINS = "\n(?=((?:[a-z0-9]+[ \n]){1,%d}))" % ANCHOR
+
+
+def _begins(lined: Column) -> Column:
+    """For each line of a canonical text the first ANCHOR words from there on, a space apart."""
+    found = F.regexp_extract_all(F.concat(F.lit("\n"), lined, F.lit("\n")), F.lit(_BEGINS), F.lit(1))
+    return F.transform(found, lambda words: F.rtrim(F.translate(words, "\n", " ")))
+
+
+def known_forms(known: DataFrame) -> DataFrame:
+    """``license, digest, size, words, anchor`` of the different canonical forms of known texts: their digest, length, and the
+    hash of their first ``words`` words."""
+    forms = known.select("license", canonical(F.col("text").cast("string")).alias("form")).filter("form != '' AND license IS NOT NULL")
+    one = forms.groupBy("form").agg(F.min("license").alias("license"))
+    sized = one.withColumn("words", F.least(F.size(F.split("form", " ")), F.lit(ANCHOR)))
+    digest = F.sha2(F.col("form").cast("binary"), 256).alias("digest")
+    return sized.select("license", digest, F.length("form").alias("size"), "words", F.xxhash64(F.expr("substring_index(form, ' ', words)")).alias("anchor"))
+
+
+def _hits(docs: DataFrame, forms: DataFrame, sizes: list[int]) -> DataFrame:
+    """``key, found``: of each different text with hits the lengths (less than 0) and names of the known texts in it.
+
+    Hashes of the beginnings of lines meet those of the known texts by a join, so that only texts with a line that begins
+    like a known one go on; the digest of each run of lines from there meets the digests of the known texts.
+    """
+    hashes = lambda words: F.array(*[F.xxhash64(F.substring_index(words, " ", size)) for size in sizes])
+    text = F.col("text").cast("string")
+    lined = docs.select(_key(), canonical_lines(text).alias("lined"))
+    looked = lined.select("key", F.explode(F.array_distinct(F.flatten(F.transform(_begins(F.col("lined")), hashes)))).alias("anchor"))
+    keys = checkpointed(looked.join(forms.select("anchor").distinct(), "anchor", "left_semi").select("key").distinct())
+    # Copies of a text are one text here; tasks send one of them.
+    some = docs.select(_key(), text.alias("text")).join(keys, "key").groupBy("key").agg(F.first("text").alias("text"))
+    lines = some.select("key", canonical_lines(F.col("text")).alias("lined"))
+    starts = lines.select("key", F.split("lined", "\n").alias("lines"), F.posexplode(_begins(F.col("lined"))).alias("line", "words"))
+    each = starts.select("key", "lines", "line", F.explode(F.array_distinct(hashes(F.col("words")))).alias("anchor"))
+    met = each.join(forms, "anchor")
+    # A run of ``size`` letters has at most as many lines.
+    rest = met.withColumn("run", F.concat(F.array_join(F.slice("lines", F.col("line") + 1, F.col("size") + 1), "\n"), F.lit("\n")))
+    own = F.sha2(F.translate(F.substring("run", F.lit(1), F.col("size")), "\n", " ").cast("binary"), 256)
+    ends = F.substring("run", F.col("size") + 1, F.lit(1)) == "\n"
+    hits = rest.select("key", "size", "license", "digest", own.alias("own"), ends.alias("ends")).filter("ends AND own = digest")
+    return hits.groupBy("key").agg(F.array_sort(F.collect_set(F.struct((-F.col("size")).alias("order"), F.col("license").alias("name")))).alias("found"))
+
+
+def _key() -> Column:
+    return F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")), 256).alias("key")
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -79,27 +115,15 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     a paragraph, a block at its end or anywhere, or all of it, however it is wrapped. ``license`` is the name of the
     longest of them, the smallest name of equal lengths; null where there is none. ``canonical_sha256`` is of the whole
     text. A null text is an empty one and matches nothing, nor does an empty known text. Of known texts with one
-    canonical form the smallest name stands. Rows that repeat are looked up one by one; other columns do not matter.
-    The known texts are a small table; their digests go into the plan, so no row of ``docs`` is shuffled.
+    canonical form the smallest name stands. Texts and known texts may be of any length, and ``known`` a table of any size.
+    Rows that repeat have the same result; other columns do not matter; an empty table gives no row.
     """
-    forms = known.select("license", canonical(F.col("text").cast("string")).alias("form")).filter("form != '' AND license IS NOT NULL")
-    digest = F.sha2(F.col("form").cast("binary"), 256).alias("digest")
-    table = forms.groupBy("form").agg(F.min("license").alias("license")).select("form", "license", digest).collect()
-    lined = canonical_lines(F.col("text").cast("string"))
-    own = docs.select("doc_id", lined.alias("_lined"))
-    whole = F.sha2(F.translate("_lined", "\n", " ").cast("binary"), 256).alias("canonical_sha256")
-    if not table:
-        return own.select("doc_id", F.lit(None).cast("string").alias("license"), F.array().cast("array<string>").alias("licenses"), whole)
-    sizes = F.array(*[F.lit(size) for size in sorted({len(row["form"]) for row in table})])
-    names = F.create_map(*[F.lit(value) for row in table for value in (row["digest"], row["license"])])
-
-    def found_in(tail: Column) -> Column:
-        """Known texts that the tail begins with and that end with a line of it: size, name."""
-        ends = F.filter(sizes, lambda size: F.substring(tail, size + 1, F.lit(1)) == "\n")
-        run = lambda size: F.translate(F.substring(tail, F.lit(1), size), "\n", " ")
-        look = F.transform(ends, lambda size: F.struct((-size).alias("order"), F.element_at(names, F.sha2(run(size).cast("binary"), 256)).alias("name")))
-        return F.filter(look, lambda hit: hit["name"].isNotNull())
-
-    tails = F.regexp_extract_all(F.concat(F.lit("\n"), "_lined", F.lit("\n")), F.lit(_tails([row["form"] for row in table])), F.lit(1))
-    hits = own.select("doc_id", whole, F.array_sort(F.flatten(F.transform(tails, found_in))).alias("_hits"))
-    return hits.select("doc_id", F.get("_hits.name", F.lit(0)).alias("license"), F.sort_array(F.array_distinct("_hits.name")).alias("licenses"), "canonical_sha256")
+    forms = checkpointed(known_forms(known))
+    sizes = sorted(row["words"] for row in forms.select("words").distinct().collect())  # at most ANCHOR numbers
+    whole = F.sha2(canonical(F.col("text").cast("string")).cast("binary"), 256).alias("canonical_sha256")
+    if not sizes:
+        return docs.select("doc_id", F.lit(None).cast("string").alias("license"), F.array().cast("array<string>").alias("licenses"), whole)
+    # Adaptive execution splits a text that very many rows share.
+    met = docs.select("doc_id", _key(), whole).join(checkpointed(_hits(docs, forms, sizes)), "key", "left")
+    names = F.coalesce(F.sort_array(F.array_distinct("found.name")), F.array().cast("array<string>")).alias("licenses")
+    return met.select("doc_id", F.get("found.name", F.lit(0)).alias("license"), names, "canonical_sha256")
