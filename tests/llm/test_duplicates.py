@@ -53,6 +53,20 @@ def test_filter_never_misses_a_repeat(spark):
     assert seen.may_repeat(known).mean() < 0.1
 
 
+@pytest.mark.parametrize("n", [1_000, 300_000, 2_000_000])
+def test_filter_grows_with_the_keys(spark, monkeypatch, n):
+    """Few unrepeated keys pass, however many there are; a filter that may not grow passes more, and still all repeats."""
+    monkeypatch.setattr(repeats, "LEAST_LOG2", 16)
+    keys = spark.range(n).select(F.xxhash64("id").alias("key"))
+    known = np.array([row["key"] for row in keys.limit(50_000).collect()])
+    seen = repeats.repeat_filter(keys.union(keys.limit(100)), repeats.cells_log2(n))
+    assert seen.may_repeat(known[:100]).all() and seen.may_repeat(known[100:]).mean() < 0.06
+    monkeypatch.setattr(repeats, "MOST_LOG2", 16)
+    small = repeats.repeat_filter(keys.union(keys.limit(100)), repeats.cells_log2(n))
+    assert small.log2 == 16 and small.may_repeat(known[:100]).all()
+    assert repeats.member_filter(keys.limit(100)).may_repeat(known[:100]).all()
+
+
 def fingerprint(text):
     words = (text or "").encode().lower().split()
     pieces = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ WINDOW_WORDS = 10
 # Documents are searched with so many bytes of benchmark text at a time, which bounds what a task holds of it.
 BLOCK_BYTES = 1 << 20
 SHARD_BYTES = 2 << 20
+# Shards that a task searches with one reading of the blocks, if these are read from the shared folder.
+SHARDS = 6
 
 # Bytes of words keep their value, A-Z become a-z, all others become a space.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -108,18 +111,19 @@ class _Shard:
         ]
 
 
-def _spans(blocks: Callable[[], Iterable[Phrases]]):
-    """The hits of each text; ``blocks`` gives the phrases a block at a time, once for each batch of documents."""
+def _spans(blocks: Callable[[], Iterable[Phrases]], at_once: int):
+    """The hits of each text; ``blocks`` gives the phrases a block at a time, once for every ``at_once`` shards."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shards = [_Shard(first, texts) for first, texts in byte_chunks(batch, "text", SHARD_BYTES)]
-            for phrases in blocks():
+            parts = byte_chunks(batch, "text", SHARD_BYTES)
+            while shards := [_Shard(first, texts) for first, texts in islice(parts, at_once)]:
+                for phrases in blocks():
+                    for shard in shards:
+                        shard.search(phrases)
                 for shard in shards:
-                    shard.search(phrases)
-            for shard in shards:
-                own = batch.column("row").slice(shard.first, len(shard.split))
-                yield pa.record_batch([own, *shard.columns()], names=["row", "n_words", "n_hit", "items", "spans"])
+                    own = batch.column("row").slice(shard.first, len(shard.split))
+                    yield pa.record_batch([own, *shard.columns()], names=["row", "n_words", "n_hit", "items", "spans"])
 
     return run
 
@@ -161,8 +165,8 @@ def _stored(folder: str) -> Callable[[], Iterator[Phrases]]:
     return blocks
 
 
-def _shared(benchmark: DataFrame, window: int, limit: int) -> Callable[[], Iterable[Phrases]]:
-    """The phrases where tasks find them: broadcast if the texts are at most one block, else as a table that tasks write
+def _shared(benchmark: DataFrame, window: int, limit: int) -> tuple[Callable[[], Iterable[Phrases]], int]:
+    """For ``_spans``: the phrases where tasks find them: broadcast if the texts are at most one block, else as a table that tasks write
     to the shared folder and read block by block, so that neither the driver nor a task holds the benchmark."""
     spark = benchmark.sparkSession
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
@@ -171,10 +175,10 @@ def _shared(benchmark: DataFrame, window: int, limit: int) -> Callable[[], Itera
     if size <= limit:
         items = [(row["item"], bytes(row["text"])) for row in rows.collect()]
         one = spark.sparkContext.broadcast(Phrases(items, window))
-        return lambda: [one.value]
+        return lambda: [one.value], 1
     folder = fresh_folder(spark, "phrases")
     rows.mapInArrow(_phrase_blocks(window, limit), "block binary").write.parquet(folder)
-    return _stored(folder)
+    return _stored(folder), SHARDS
 
 
 def find_contamination(
@@ -192,7 +196,7 @@ def find_contamination(
     """
     own, kind = own_rows(docs, carry)
     out = f"row {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>"
-    return own.mapInArrow(_spans(_shared(benchmark, window, block_bytes)), out)
+    return own.mapInArrow(_spans(*_shared(benchmark, window, block_bytes)), out)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

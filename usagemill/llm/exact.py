@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagemill.llm.repeats import CELLS_LOG2, repeat_filter
+from usagemill.llm.repeats import cells_log2, repeat_filter
 from usagemill.llm.tables import salted_lookup
 
 RESULT = ("keep_id", "group_size", "kept", "text_sha256")
@@ -22,12 +22,12 @@ def _key(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
-def _marked(docs: DataFrame, carry: Sequence[str], log2: int) -> DataFrame:
+def _marked(docs: DataFrame, carry: Sequence[str], log2: int | None) -> DataFrame:
     """``row``, the columns of ``RESULT`` and ``_rows``: how many rows have the text and doc_id that stay."""
     hashed = docs.select(
         F.struct(*[F.col(f"`{name}`") for name in carry]).alias("row"), F.col("doc_id").alias("_id"), _digest().alias("text_sha256")
     )
-    seen = repeat_filter(docs.select(_key(_digest()).alias("key")), log2)
+    seen = repeat_filter(docs.select(_key(_digest()).alias("key")), log2 or cells_log2(docs.count()))
     flagged = hashed.withColumn("_maybe", seen.column(_key(F.col("text_sha256"))))
     one = F.lit(1).cast("bigint")
     alone = flagged.filter(~F.col("_maybe")).select(
@@ -43,7 +43,7 @@ def _marked(docs: DataFrame, carry: Sequence[str], log2: int) -> DataFrame:
     return alone.unionByName(met.select("row", *RESULT, "_rows"))
 
 
-def mark_duplicates(docs: DataFrame, carry: Sequence[str] = ("doc_id",), log2: int = CELLS_LOG2) -> DataFrame:
+def mark_duplicates(docs: DataFrame, carry: Sequence[str] = ("doc_id",), log2: int | None = None) -> DataFrame:
     """Every row, dropped ones too: the struct ``row`` of the carried columns, ``keep_id, group_size, kept,
     text_sha256``.
 
@@ -56,7 +56,7 @@ def mark_duplicates(docs: DataFrame, carry: Sequence[str] = ("doc_id",), log2: i
     return _marked(docs, carry, log2).drop("_rows")
 
 
-def exact_dedup(docs: DataFrame, log2: int = CELLS_LOG2) -> DataFrame:
+def exact_dedup(docs: DataFrame, log2: int | None = None) -> DataFrame:
     """One row for each text, with all its columns: of the rows of the doc_id that stays the one of the smallest hash.
 
     Only rows that repeat with text and doc_id are gathered for that, in each task before the shuffle.
@@ -67,6 +67,6 @@ def exact_dedup(docs: DataFrame, log2: int = CELLS_LOG2) -> DataFrame:
     return kept.filter("_rows = 1").select("row.*").unionByName(several.select("row.*"))
 
 
-def duplicate_report(docs: DataFrame, log2: int = CELLS_LOG2) -> DataFrame:
+def duplicate_report(docs: DataFrame, log2: int | None = None) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for every row."""
     return mark_duplicates(docs, ("doc_id",), log2).select("row.doc_id", *RESULT)

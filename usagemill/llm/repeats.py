@@ -2,9 +2,10 @@
 
 Each key sets two cells of a table of saturating counts 0, 1, 2. Tasks send the cells they have set, in segments of
 65,536 cells with two bytes a cell; segments are merged on their own, one after the other in sorted order. A key may
-be repeated if both its cells are 2; a key that does occur twice always passes. The table has a fixed number of
-cells, which bounds the broadcast (one bit a cell: 16 MB by default). With more keys than cells, more unrepeated keys
-pass; this costs time for the rows that follow, and no result, as all that pass are compared by their full hashes.
+be repeated if both its cells are 2; a key that does occur twice always passes. The table has at least eight cells for
+each key, so that under one in twenty unrepeated keys passes, up to 2^30 cells, which bounds the broadcast (one bit a
+cell: 128 MB). With more than 2^27 keys more of them pass, a third with four times as many; this costs time for the rows
+that follow, and no result, as all that pass are compared by their full hashes.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CELLS_LOG2 = 27
+LEAST_LOG2, MOST_LOG2 = 20, 30
+CELLS_PER_KEY = 8
 SEGMENT_LOG2 = 16
 FLUSH = 1 << 18
 
@@ -25,6 +27,11 @@ _SCHEMA = pa.schema([("segment", pa.int32()), ("once", pa.binary()), ("twice", p
 _BITS = pa.schema([("segment", pa.int32()), ("bits", pa.binary())])
 
 
+def cells_log2(keys: float) -> int:
+    """Cells for about so many keys, as a power of two."""
+    return min(MOST_LOG2, max(LEAST_LOG2, int(max(1, CELLS_PER_KEY * keys) - 1).bit_length()))
+
+
 def _cells(keys: np.ndarray, log2: int) -> list[np.ndarray]:
     keys = keys.astype(np.int64, copy=False).view(np.uint64)
     keys = keys ^ (keys >> np.uint64(31))
@@ -104,8 +111,8 @@ class RepeatFilter:
         return may_repeat(key)
 
 
-def repeat_filter(keys: DataFrame, log2: int = CELLS_LOG2) -> RepeatFilter:
-    """The filter of the only column of ``keys``, longs; a null is no key. Runs a job."""
+def repeat_filter(keys: DataFrame, log2: int) -> RepeatFilter:
+    """The filter of the only column of ``keys``, longs, with 2^``log2`` cells; a null is no key. Runs a job."""
     partial = keys.mapInArrow(_partials(log2), "segment int, once binary, twice binary")
     merged = partial.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge, "segment int, bits binary")
     table = np.zeros((1 << log2) // 8, np.uint8)
@@ -116,6 +123,9 @@ def repeat_filter(keys: DataFrame, log2: int = CELLS_LOG2) -> RepeatFilter:
     return RepeatFilter(keys.sparkSession.sparkContext.broadcast(table), log2)
 
 
-def member_filter(members: DataFrame, log2: int = CELLS_LOG2) -> RepeatFilter:
-    """A filter that passes all of the only column of ``members`` (longs) and few others: each counts twice."""
-    return repeat_filter(members.unionAll(members), log2)
+def member_filter(members: DataFrame) -> RepeatFilter:
+    """A filter that passes all of the only column of ``members`` (longs) and few others: each counts twice.
+
+    The column is counted first; it should come from a written table.
+    """
+    return repeat_filter(members.unionAll(members), cells_log2(members.count()))

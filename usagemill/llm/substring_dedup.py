@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from usagemill.llm.anchors import PrefixHash, Runs, mixed, runs
 from usagemill.llm.automaton import SuffixAutomaton
-from usagemill.llm.repeats import RepeatFilter, member_filter, repeat_filter
+from usagemill.llm.repeats import RepeatFilter, cells_log2, member_filter, repeat_filter
 from usagemill.llm.spans import cut_out
 from usagemill.llm.tables import byte_chunks, kept_table, offsets
 
@@ -32,6 +32,8 @@ HOT_KINDS = 4096
 SHARD_WORDS = 1 << 17
 SENT_KINDS = 1 << 16
 PIECE_WORDS = 1 << 19
+# Runs that a byte of text makes, as measured with the defaults; it sets the size of the filter only.
+RUNS_PER_BYTE = 0.016
 
 # Space, and tab to carriage return.
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -270,7 +272,8 @@ def earlier_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_k
         raise ValueError("a gram must fit into the window")
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     kind = texts.schema["id"].dataType.simpleString()
-    seen = repeat_filter(texts.mapInArrow(_grams(length, gram), "gram bigint"))
+    runs_ = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] * RUNS_PER_BYTE
+    seen = repeat_filter(texts.mapInArrow(_grams(length, gram), "gram bigint"), cells_log2(runs_))
     shape = f"gram bigint, whole bigint, id {kind}, key bigint, first bigint, last bigint"
     found = kept_table(texts.mapInArrow(_candidates(seen, length, gram), shape), "candidates")
     span = [F.col("first").alias("start"), (F.col("last") + length).alias("end")]

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagemill.llm.anchors import Runs, runs
-from usagemill.llm.repeats import RepeatFilter, member_filter, repeat_filter
+from usagemill.llm.repeats import RepeatFilter, cells_log2, member_filter, repeat_filter
 from usagemill.llm.spans import cut_out, text_key
 from usagemill.llm.suffix_sort import repeated_windows
 from usagemill.llm.tables import byte_chunks, kept_table, offsets
@@ -31,6 +31,8 @@ GRAM = 64
 # An anchor with more kinds of runs than this is counted window by window, over all reducers.
 HOT_KINDS = 4096
 SORT_BYTES = 2 << 20
+# Runs that a byte of text makes, as measured with the defaults; it sets the size of the filter only.
+RUNS_PER_BYTE = 0.006
 # A task remembers so many kinds of runs that it has sent.
 SENT_KINDS = 1 << 17
 # Longer texts are looked at in pieces that overlap by a window.
@@ -229,7 +231,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     if not 0 < gram <= length:
         raise ValueError("a gram must fit into the window")
     texts = docs.select(F.col("text").cast("string").alias("text")).filter(F.octet_length("text") >= length)
-    seen = repeat_filter(texts.mapInArrow(_grams(length, gram), "gram bigint"))
+    runs_ = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] * RUNS_PER_BYTE
+    seen = repeat_filter(texts.mapInArrow(_grams(length, gram), "gram bigint"), cells_log2(runs_))
     shape = "gram bigint, whole bigint, key binary, first bigint, last bigint, n bigint"
     found = kept_table(texts.mapInArrow(_candidates(seen, length, gram), shape), "candidates")
     span = [F.col("first").alias("start"), (F.col("last") + length).alias("end")]
