@@ -17,7 +17,7 @@ from usagemill.llm.tables import checkpointed, held_out, offsets, own_rows, text
 # most so many words of each, drawn from all over the text. Prediction has no such bound.
 TRAIN_DOCUMENTS = 300
 TRAIN_WORDS = 240
-LANES = 32
+BUCKETS = 8
 MIXED_TEXTS = 4000
 CHUNK_BYTES = 6 << 20
 CACHE_WORDS = 1 << 18
@@ -48,22 +48,25 @@ def _train_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([lang, pa.array(out, pa.list_(pa.list_(pa.string())))], names=["lang", "pieces"])
 
 
-def _smallest(rows: DataFrame, group: list[str], bound: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy(*group).orderBy("h"))
-    return rows.withColumn("n", place).filter(F.col("n") <= bound).drop("n")
+def _chosen(own: DataFrame, bound: int) -> DataFrame:
+    """``doc_id, lang`` of at most ``bound`` documents of each language, of different texts, those of the smallest hashes.
+
+    Hashes deal the texts of a language into buckets, of which tasks send the smallest each; so the last choice sees
+    at most ``BUCKETS`` rows for each of ``bound``, however many documents or copies a language has.
+    """
+    bucket = F.pmod("h", F.lit(BUCKETS * bound)).alias("bucket")
+    hashed = own.select("lang", F.struct(F.xxhash64("text").alias("h"), "doc_id").alias("one"), F.xxhash64("text").alias("h"))
+    least = hashed.groupBy("lang", bucket).agg(F.min("one").alias("one")).select("lang", "one.*")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return least.withColumn("n", place).filter(F.col("n") <= bound).select("doc_id", "lang")
 
 
 def train(docs: DataFrame, bound: int = TRAIN_DOCUMENTS) -> Chain | None:
     """The chain learned from text and lang of a bounded sample of documents that may be learned from."""
     own = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text"))
     own = own.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    hashed = own.select("doc_id", "lang", F.xxhash64("text").alias("h")).groupBy("h", "lang").agg(F.min("doc_id").alias("doc_id"))
-    # Spark limits each group in each task before the shuffle, so a common language sends no more than any other. Tasks
-    # are gathered in lanes first, so that no task takes the rows of all others.
-    lanes = hashed.withColumn("lane", F.spark_partition_id() % LANES)
-    nearest = _smallest(_smallest(lanes, ["lang", "lane"], bound), ["lang"], bound)
-    chosen = nearest.select("doc_id", "lang")
-    chosen = checkpointed(chosen.filter("doc_id IS NOT NULL"))
+    own = own.filter("doc_id IS NOT NULL")
+    chosen = checkpointed(_chosen(own, bound))
     pieces = own.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("lang", "text")  # bound ids a language
     rows = pieces.mapInArrow(_train_words, "lang string, pieces array<array<string>>")
     by_lang: dict[str, list[list[str]]] = {}
