@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import os
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from usagemill.operators import file_states, stats
+from usagemill.operators.samples import Samples
 from usagemill.plans import incremental
 from usagemill.plans.incremental import ReportShape, choose_files, published_table, stage_files, take_folder, take_notified
-from usagemill.plans.report_job import ReportRun, run_report_job
+from usagemill.plans.report_job import ReportRun, run_report_job, table_samples
 from usagemill.sinks import file_sizes, tables
 from usagemill.sinks.published import PublishedTable
 from usagemill.sources.header_registry import HeaderRegistry
@@ -126,7 +129,7 @@ def test_failure_in_the_statistics_publishes_nothing(spark, tmp_path, monkeypatc
     put(tmp_path / "in", "a.csv", range(6))
     run = ReportRun(str(tmp_path / "in"), str(tmp_path / "out"), "sessions", "2024-01-15", "job", once=True)
     with monkeypatch.context() as broken:
-        broken.setattr("usagemill.operators.samples.report_samples", lambda *a: 1 / 0)
+        broken.setattr("usagemill.plans.incremental.report_samples", lambda *a: 1 / 0)
         with pytest.raises(ZeroDivisionError):
             run_report_job(spark, run)
     assert table_of(spark, tmp_path).files(spark).isEmpty()
@@ -237,6 +240,40 @@ def test_notification_stream(spark, tmp_path):
     assert sorted((row["SessionId"], row["ProcessingDate"]) for row in rows) == [("s4", "2024-01-07"), ("s5", "2024-01-07")]
 
 
+def test_notified_runs_are_measured(spark, tmp_path):
+    """Samples of each run are written and sent; the published table can be measured as a whole."""
+    sent = tmp_path / "sent"
+    sent.mkdir()
+
+    def transport(body, headers):
+        (sent / uuid.uuid4().hex).write_bytes(gzip.decompress(body))
+        return 204
+
+    events = tmp_path / "events"
+    events.mkdir()
+    for turn, names in enumerate([["2024-01-07/x.csv", "2024-01-08/y.csv"], ["2024-01-08/z.csv"]]):
+        records = []
+        for i, name in enumerate(names):
+            put(tmp_path / "store" / "logs" / "sessions", name, range(10 * turn + 3 * i, 10 * turn + 3 * i + 3))
+            records.append({"eventName": "ObjectCreated:Put", "s3": {"bucket": {"name": "logs"}, "object": {"key": f"sessions/{name}"}}})
+        (events / f"{turn}.json").write_text(json.dumps({"Records": records}) + "\n")
+        query = ingest.ingest_notified(
+            spark, str(events), str(tmp_path / "out"), str(tmp_path / "checkpoint"), [SHAPE], "n", f"{tmp_path}/store/",
+            naming=Samples("job", 5 + turn), transport=transport,
+        )
+        query.awaitTermination()
+    lines = sorted(line for file in sent.iterdir() for line in file.read_text().splitlines())
+    totals = [line for line in lines if line.startswith("appstream_sessions_total")]
+    assert totals == ['appstream_sessions_total{report_type="sessions",job_name="job"} 3.0 6', 'appstream_sessions_total{report_type="sessions",job_name="job"} 6.0 5']
+    assert sum("glue_records_processed_total" in line for line in lines) == 3
+    written = sorted(line for file in (tmp_path / "out" / "metrics").glob("part-*") for line in gzip.open(file, "rt").read().splitlines())
+    assert written == lines
+    found = table_samples(spark, f"{tmp_path}/out/sessions", "sessions", Samples("job", 9)).collect()
+    assert {row["value"] for row in found if row["name"] == "appstream_sessions_total"} == {9}
+    day = table_samples(spark, f"{tmp_path}/out/sessions", "sessions", Samples("job", 9), "2024-01-08").collect()
+    assert {row["value"] for row in day if row["name"] == "appstream_sessions_total"} == {6}
+
+
 def test_profile_reads_new_files_only(spark, tmp_path):
     put(tmp_path / "in", "a.csv", range(8))
     take(spark, tmp_path)

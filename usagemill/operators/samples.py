@@ -190,6 +190,13 @@ def quality_samples(profile: DataFrame, raw: DataFrame, report_type: str, run: S
     return run.rows(profile, samples)
 
 
+def date_samples(states: DataFrame, report_type: str, run: Samples) -> DataFrame:
+    """Records processed for each date, from the usage states of files."""
+    counts = states.groupBy("date").agg(F.sum("rows").alias("rows"))
+    data_type = run.data_type(report_type)
+    return run.rows(counts, [run.job(RECORDS_PROCESSED_TOTAL, F.col("rows"), data_type=data_type, report_date=F.col("date"))])
+
+
 def merged_quality_samples(states: DataFrame, report_type: str, run: Samples) -> DataFrame:
     """The same samples from the profile states of files (``file_states.py``)."""
     dataset = run.dataset(report_type)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 
 from usagemill.functions.cells import cell
 from usagemill.operators.clean import clean_report
-from usagemill.operators.file_states import profile_state, usage_state
+from usagemill.operators.file_states import PROFILE_SCHEMA, USAGE_SCHEMA, profile_state, usage_state
+from usagemill.operators.samples import Samples, date_samples, merged_quality_samples, report_samples
 from usagemill.session import fresh_folder, with_slash
 from usagemill.sinks.file_sizes import TARGET_BYTES, by_date, partition_size
 from usagemill.sinks.published import SOURCE, PublishedTable
@@ -105,6 +106,15 @@ def stage_files(
     return Taken(run, len(chosen), counted.get["rows"], longer.get["lines"], clean.drop(SOURCE).schema)
 
 
+def run_samples(spark: SparkSession, table: PublishedTable, taken: Taken, report_type: str, naming: Samples) -> DataFrame:
+    """Usage and quality samples of a staged run; records processed are told by date."""
+    rows = table.staged(spark, taken.schema, taken.run)
+    usage = report_samples(rows, report_type, naming)
+    dates = date_samples(table.staged_state(spark, "usage", USAGE_SCHEMA, taken.run), report_type, naming)
+    nulls = merged_quality_samples(table.staged_state(spark, "profile", PROFILE_SCHEMA, taken.run), report_type, naming)
+    return usage.unionByName(dates).unionByName(nulls)
+
+
 def choose_files(
     spark: SparkSession, table: PublishedTable, listing: DataFrame, date: Column | str, most: int
 ) -> list[dict]:
@@ -164,12 +174,15 @@ def take_notified(
     shapes: dict[str, ReportShape],
     claim: str,
     files_per_run: int = FILES_PER_RUN,
+    naming: Samples | None = None,
+    emit: Callable[[DataFrame], None] | None = None,
 ) -> int:
     """Takes the files that routed notifications name (``report_type, report_date, trigger_file``); returns how many.
 
     Only these files are asked for. ``claim`` names the batch: a batch that is done again finds the files that it has
     published in the manifest and stages the others anew. Files that are gone are noted in ``<base>missing``. Several
-    notifications of one file are one file, under the earliest of their dates.
+    notifications of one file are one file, under the earliest of their dates. With ``naming`` each run is measured, and
+    its samples are handed to ``emit`` once it is published.
     """
     wanted = jobs.groupBy("report_type", "trigger_file").agg(F.min("report_date").alias("report_date"))
     folder = fresh_folder(spark, "claims")
@@ -193,7 +206,12 @@ def take_notified(
             names = "\n".join(sorted(one["path"] for one in chosen))
             run = f"{claim}-{hashlib.sha256(names.encode()).hexdigest()[:16]}"
             taken = stage_files(spark, table, chosen, run, shape, registry_of(base))
+            samples = run_samples(spark, table, taken, report_type, naming) if naming and emit else None
+            # As many rows as the report has columns and dates and the fixed catalogue has series.
+            held = samples and spark.createDataFrame(samples.toArrow(), samples.schema)
             table.publish(spark, run, taken.files, taken.rows)
+            if held:
+                emit(held)
             count += taken.files
     return count
 

@@ -19,12 +19,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from usagemill.operators import quality, samples as sample_ops, telemetry
-from usagemill.operators.file_states import PROFILE_SCHEMA
 from usagemill.operators.clean import clean_report, with_metadata
 from usagemill.operators.summary import known_summary
 from usagemill.plans import incremental
 from usagemill.session import use_utc, with_slash
 from usagemill.sinks.exposition import Transport, push_samples, write_text
+from usagemill.sinks.published import PublishedTable
 from usagemill.sinks.tables import PARTITION_COLUMNS, clean_path, read_partition, write_clean, write_summary
 from usagemill.sources.listing import list_files
 from usagemill.sources.reports import read_reports
@@ -178,11 +178,7 @@ def _process_once(spark: SparkSession, run: ReportRun, log: _RunLog, naming: sam
         registry = incremental.registry_of(run.output_base)
         taken = incremental.stage_files(spark, table, chosen, log.run_id, shape, registry)
     with log.stage("analytics"):
-        staged = table.staged(spark, taken.schema, log.run_id)
-        usage = sample_ops.report_samples(staged, run.report_type, naming, run.report_date)
-        profile = table.staged_state(spark, "profile", PROFILE_SCHEMA, log.run_id)
-        nulls = sample_ops.merged_quality_samples(profile, run.report_type, naming)
-        samples = _held(spark, usage.unionByName(nulls))
+        samples = _held(spark, incremental.run_samples(spark, table, taken, run.report_type, naming))
     with log.stage("loading"):
         table.publish(spark, log.run_id, taken.files, taken.rows)
         summary = known_summary(spark, taken.rows, run.report_type, run.report_date, run.reads, run.clean_path)
@@ -227,11 +223,13 @@ def run_report_job(spark: SparkSession, run: ReportRun) -> ReportResult:
 def table_samples(
     spark: SparkSession, path: str, report_type: str, naming: sample_ops.Samples, report_date: str | None = None
 ) -> DataFrame:
-    """Usage and quality samples of a clean table that a stream or a batch job has written, for one date or all.
+    """Usage and quality samples of a clean table that a stream or a batch job has written, published or not, for one date
+    or all.
 
     The statistics read the columns they need, and of the dates only the given one.
     """
-    table = use_utc(spark).read.parquet(path)
+    published = PublishedTable(with_slash(path))
+    table = published.read_all(spark) if published.is_there(spark) else use_utc(spark).read.parquet(path)
     if report_date is not None:
         table = table.where(F.col("ProcessingDate").cast("string") == report_date)
     report = table.drop("ProcessedAt", *PARTITION_COLUMNS)

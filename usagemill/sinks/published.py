@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from usagemill.session import with_slash
-from usagemill.sinks.tables import exists, partitioning
+from usagemill.sinks.tables import PARTITION_COLUMNS, exists, partitioning
 
 RUN, SOURCE = "run", "SourceFile"
 FILES_SCHEMA = "path string, file string, size bigint, modified timestamp"
@@ -126,6 +126,16 @@ class PublishedTable:
         rows = self._live(spark, self._read(spark, "rows", whole), SOURCE)
         return rows.select(*schema.names, *([SOURCE, RUN] if with_source else []))
 
+    def is_there(self, spark: SparkSession) -> bool:
+        return exists(spark, self._part("commits"))
+
+    def read_all(self, spark: SparkSession) -> DataFrame:
+        """The table with the columns of all of its runs, as the files have them."""
+        found = spark.read.option("mergeSchema", True).parquet(self._part("rows")).schema
+        names = [field for field in found.fields if field.name not in (SOURCE, RUN)]
+        text = [T.StructField(field.name, T.StringType()) if field.name in PARTITION_COLUMNS else field for field in names]
+        return self.read(spark, T.StructType(text))
+
     def staged(self, spark: SparkSession, schema: T.StructType, run: str) -> DataFrame:
         """The rows of one run, published or not."""
         if not exists(spark, self._of_run("rows", run)):

@@ -15,7 +15,10 @@ from pyspark.sql.streaming import StreamingQuery
 from usagemill.functions.keys import OBJECT_ROOT, report_date
 from usagemill.operators.clean import clean_report
 from usagemill.operators.routing import route_notifications
+from usagemill.operators.samples import Samples
 from usagemill.plans.incremental import FILES_PER_RUN, ReportShape, take_notified
+from usagemill.session import with_slash
+from usagemill.sinks.exposition import Transport, push_samples, write_text
 from usagemill.sinks.tables import clean_path, forbid_batch_table, forbid_published_table, partitioning, qualified
 from usagemill.sources.notifications import MAX_FILE_AGE, notification_records, rejected_lines, stream_notifications
 from usagemill.sources.reports import CSV_FORMAT, text_schema
@@ -145,22 +148,31 @@ def ingest_notified(
     files_per_batch: int = FILES_PER_BATCH,
     files_per_run: int = FILES_PER_RUN,
     trigger: dict | None = None,
+    naming: Samples | None = None,
+    transport: Transport | None = None,
 ) -> StreamingQuery:
     """Starts the ingest of the files that arriving notifications name into the published tables of their report types.
 
     Each batch of notifications is routed, and just the files it names are read; no folder is listed. The driver
     remembers notification files only, the reports taken are in the manifests. ``name`` tells streams apart: a batch
     that is done again, as after a crash, takes what it has not yet published, and files that were notified
-    more than once are taken once. Buckets are looked for below ``object_root``.
+    more than once are taken once. Buckets are looked for below ``object_root``. With ``naming`` each run is measured as the
+    report job does: its samples are written to ``<base>metrics`` and, with a ``transport``, sent once.
     """
     by_type = {shape.report_type: shape for shape in shapes}
     # A root without a scheme is a folder of the default store.
     object_root = object_root if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", object_root) else qualified(spark, object_root)
 
+    def emit(samples: DataFrame) -> None:
+        write_text(samples.coalesce(1), f"{with_slash(base)}metrics/")
+        if transport:
+            # Of the batch's own session, in which the sink must be known.
+            push_samples(samples.sparkSession, samples.coalesce(1), transport, ledger=f"{with_slash(base)}pushed")
+
     def take(batch: DataFrame, number: int) -> None:
         jobs = route_notifications(batch, "", base, default_date, object_root=object_root)
         wanted = jobs.where(F.col("report_type").isin(*by_type))
-        take_notified(batch.sparkSession, wanted, base, by_type, f"{name}-{number}", files_per_run)
+        take_notified(batch.sparkSession, wanted, base, by_type, f"{name}-{number}", files_per_run, naming, emit)
 
     records = notification_records(stream_notifications(spark, path, files_per_batch))
     return (
