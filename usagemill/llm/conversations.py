@@ -25,6 +25,7 @@ from usagemill.llm import viterbi
 from usagemill.llm.tables import SALTS, checkpointed, kept_table
 
 CHUNK_ROWS, CHUNK_BYTES = 2048, 4 << 20
+TURNS_AT_ONCE = 1 << 16  # turns whose edits a task holds as objects
 # Fixed value: white space.
 SPACE = " \t\n\v\f\r"
 # Consecutive chunks that one task of the first fix-up pass takes; each further pass takes four times as many.
@@ -131,14 +132,22 @@ def _kind(name: str) -> pa.DataType:
     return pa.list_(_kind(name[6:-1])) if name.startswith("array<") else _KINDS[name]
 
 
+def _few(batch: pa.RecordBatch) -> Iterator[list[dict]]:
+    """The rows of a batch, so many at once as have about TURNS_AT_ONCE turns in their ``codes``."""
+    ends = np.cumsum(pc.binary_length(batch.column("codes")).to_numpy(zero_copy_only=False) + 16) // TURNS_AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+    for start, end in zip(cuts, cuts[1:]):
+        yield batch.slice(start, end - start).to_pylist()
+
+
 def _mapped(df: DataFrame, one: Callable[[dict], dict], shape: str) -> DataFrame:
-    """``df`` with each row replaced by what ``one`` makes of it."""
+    """``df``, which has ``codes``, with each row replaced by what ``one`` makes of it."""
     kinds = {name: _kind(kind) for name, kind in (part.split() for part in shape.split(", "))}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [one(row) for row in batch.to_pylist()]
-            if out:
+            for rows in _few(batch):
+                out = [one(row) for row in rows]
                 yield pa.record_batch([pa.array([row[name] for row in out], kind) for name, kind in kinds.items()], names=list(kinds))
 
     return df.mapInArrow(run, shape)
@@ -284,13 +293,14 @@ def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array([conv]), pa.array([digest.hexdigest()])], names=["conv", "long_sha256"])
 
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["conv"] != conv:
+        for own, lines, piece in zip(batch.column("conv").to_pylist(), batch.column("lines").to_pylist(), batch.column("piece").cast(pa.binary())):
+            if own != conv:
                 if conv is not None:
                     yield done()
-                conv, digest, any_ = row["conv"], hashlib.sha256(), False
-            if row["lines"]:
-                digest.update((b"\n" if any_ else b"") + row["piece"].encode())
+                conv, digest, any_ = own, hashlib.sha256(), False
+            if lines:
+                digest.update(b"\n" if any_ else b"")
+                digest.update(piece.as_buffer())
                 any_ = True
     if conv is not None:
         yield done()
