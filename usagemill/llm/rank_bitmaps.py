@@ -1,9 +1,9 @@
 """Positions of ids in their group by bitmaps that count, instead of a sort of all rows.
 
-An id is cut into a high part and its lowest 16 bits. Tasks send the low parts that they saw of each group and high
-part as a container: a bitmap of 65,536 bits, or a list while that is shorter, with the counts of ids seen more than
+An id is cut into a high part and its lowest 12 bits. Tasks send the low parts that they saw of each group and high
+part as a container: a bitmap of 4,096 bits, or a list while that is shorter, with the counts of ids seen more than
 once. Containers are merged one at a time. A merged container knows how many rows of its group come before it (sums
-over directories of at most 65,536 entries each) and how many bits are set before each of its words, so the
+over directories of at most 2^18 entries each) and how many bits are set before each of its words, so the
 position of an id is one sum and one popcount.
 """
 
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from usagemill.llm.tables import checkpointed
 
-LOW_BITS = 16
+LOW_BITS = 12
+DIRECTORY_BITS = 17  # of a high part, twice; what is left of 64 bits makes the first directory
 WIDTH = 1 << LOW_BITS
 # A list of two bytes an id is longer than the bitmap from this number of ids on.
 LIST_IDS = WIDTH // 16
@@ -164,13 +165,13 @@ def _before(n: str, own: str, *within: str) -> Column:
 def containers(rows: DataFrame) -> DataFrame:
     """``grp, high, bits, more, n, base`` of the columns ``grp`` (a non-null string) and ``id`` (a non-null long).
 
-    ``base`` is the number of rows of the group with a smaller high part. It is summed over three directories of 16
-    bits each, so no window holds more than 65,536 rows, however the ids are spread.
+    ``base`` is the number of rows of the group with a smaller high part. It is summed over three directories of 17 or 18
+    bits each, so no window holds more than 2^18 rows, however the ids are spread.
     """
     partial = rows.select("grp", "id").mapInArrow(_partials, "grp string, high bigint, bits binary, more binary")
     dealt = partial.repartition("grp", "high").sortWithinPartitions("grp", "high")
     merged = checkpointed(dealt.mapInArrow(_merged, "grp string, high bigint, bits binary, more binary, n bigint"))
-    own = merged.select("grp", "high", "n", F.shiftright("high", 16).alias("mid"), F.shiftright("high", 32).alias("top"))
+    own = merged.select("grp", "high", "n", F.shiftright("high", DIRECTORY_BITS).alias("mid"), F.shiftright("high", 2 * DIRECTORY_BITS).alias("top"))
     mids = own.groupBy("grp", "mid", "top").agg(F.sum("n").alias("n"))
     tops = mids.groupBy("grp", "top").agg(F.sum("n").alias("n"))
     tops = tops.select("grp", "top", _before("n", "top", "grp").alias("of_top"))
