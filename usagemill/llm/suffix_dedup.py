@@ -3,8 +3,8 @@
 1. Runs of windows are found around anchors (``anchors.py``); a filter drops those whose gram occurs once.
 2. Runs are counted by the digest of all their bytes: equal runs repeat as a whole. That settles the inside of long
    copies with no text moved, counted in each task before the shuffle.
-3. Of anchors with more than one kind of run, each kind sends its bytes once per task to the anchor's reducer, where
-   a hash-compared suffix sort (``suffix_sort.py``) tells which windows repeat, with byte-wise checks.
+3. Of anchors with more than one kind of run, each kind sends its bytes from one text to the anchor's reducer, where a
+   hash-compared suffix sort (``suffix_sort.py``) tells which windows repeat, with byte-wise checks.
 4. An anchor with very many kinds is not gathered in one place: its windows are counted by digest instead.
 5. The spans are brought to the texts that have some.
 """
@@ -146,7 +146,8 @@ def _mark_column(whole: Column, key: Column, first: Column) -> Column:
 
 
 def _contexts(mixed: RepeatFilter, chosen: RepeatFilter, length: int, gram: int):
-    """The bytes of one run of each kind whose gram has several kinds; copies of a text may send it more than once."""
+    """The bytes of one run of each kind whose gram has several kinds, that of the text of the least digest; if that text
+    has copies, one from each task that has some."""
     names = ["gram", "whole", "key", "first", "reach", "bytes"]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
 
@@ -249,9 +250,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     chosen = kinds.join(few, "gram").select(_mark_column(F.col("whole"), F.col("least.key"), F.col("least.first")).alias("mark"))
     shape = "gram bigint, whole bigint, key binary, first bigint, reach bigint, bytes binary"
     contexts = texts.mapInArrow(_contexts(member_filter(few), member_filter(chosen), length, gram), shape)
-    # Of each kind one row is dealt by gram, however many tasks have sent it.
-    one = F.min(F.struct("key", "first", "reach", "bytes")).alias("one")
-    contexts = contexts.groupBy("gram", "whole").agg(one).select("gram", "whole", "one.*")
     contexts = contexts.repartition("gram").sortWithinPartitions("gram", "whole")
     spans.append(contexts.mapInArrow(_sorted_out(length), "key binary, start bigint, end bigint"))
     hottest = several.filter(F.col("kinds") > hot_kinds).select("gram")
