@@ -151,16 +151,16 @@ def _candidates(seen: RepeatFilter, length: int, gram: int):
     return run
 
 
-def _mark(whole: int, doc_id, first: int) -> int:
-    """A signed number for a kind of run at a place of a document; ``_mark_column`` is the same in a plan."""
+def _mark(whole: int, doc_id) -> int:
+    """A signed number for a kind of run in a document; ``_mark_column`` is the same in a plan."""
     number = 0 if doc_id is None else zlib.crc32(str(doc_id).encode()) + 1
-    value = (whole ^ (number << 24) ^ first) & ((1 << 64) - 1)
+    value = (whole ^ (number << 24)) & ((1 << 64) - 1)
     return value - (1 << 64) if value >> 63 else value
 
 
-def _mark_column(whole: Column, doc_id: Column, first: Column) -> Column:
+def _mark_column(whole: Column, doc_id: Column) -> Column:
     number = F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) + 1, F.lit(0))
-    return whole.bitwiseXOR(F.shiftleft(number, 24)).bitwiseXOR(first)
+    return whole.bitwiseXOR(F.shiftleft(number, 24))
 
 
 def _contexts(mixed_: RepeatFilter, wanted_: RepeatFilter, length: int, gram: int):
@@ -174,7 +174,7 @@ def _contexts(mixed_: RepeatFilter, wanted_: RepeatFilter, length: int, gram: in
             kinds = [pa.int64(), pa.int64(), batch.schema.field("id").type, pa.int64(), pa.int64(), pa.binary()]
             for chunk in _chunks(batch, length, gram):
                 found = list(chunk.chosen(mixed_.may_repeat(chunk.runs.gram.view(np.int64))))
-                marks = np.array([_mark(whole, chunk.ids[text], first) for text, _, whole, first, _, _ in found], np.int64)
+                marks = np.array([_mark(whole, chunk.ids[text]) for text, _, whole, _, _, _ in found], np.int64)
                 rows = []
                 for (text, gram_, whole, first, _, words), first_of_kind in zip(found, wanted_.may_repeat(marks).tolist()):
                     if not first_of_kind:
@@ -280,17 +280,19 @@ def earlier_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_k
     spans = [found.filter("gram IS NULL").select("id", "key", *span)]
     found = found.filter("gram IS NOT NULL")
     # A row for each text and kind: the smallest doc_id keeps the run, the others lose it as a whole.
-    place = F.struct(F.col("id").isNotNull().alias("has"), "id", "first", "key")
-    kinds = kept_table(found.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")), "kinds")
-    again = kinds.filter("n > 1").select("gram", "whole", F.struct("least.has", "least.id").alias("least"))
-    later = F.struct(F.col("id").isNotNull().alias("has"), "id") > F.col("least")
+    # A null doc_id comes before all others.
+    least = [F.min("id").alias("least"), F.max(F.col("id").isNull()).alias("unnamed")]
+    kinds = kept_table(found.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("n"), *least), "kinds")
+    again = kinds.filter("n > 1").select("gram", "whole", "least", "unnamed")
+    later = F.col("id").isNotNull() & (F.col("unnamed") | (F.col("id") > F.col("least")))
     # Adaptive execution splits a kind that very many documents share.
     spans.append(found.join(again, ["gram", "whole"]).filter(later).select("id", "key", *span))
 
     several = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     several = kept_table(several, "grams")
     few = several.filter(F.col("kinds") <= hot_kinds).select("gram")
-    first_ones = kinds.join(few, "gram").select(_mark_column(F.col("whole"), F.col("least.id"), F.col("least.first")).alias("mark"))
+    first = F.when(~F.col("unnamed"), F.col("least"))
+    first_ones = kinds.join(few, "gram").select(_mark_column(F.col("whole"), first).alias("mark"))
     shape = f"gram bigint, whole bigint, id {kind}, key bigint, first bigint, words binary"
     contexts = texts.mapInArrow(_contexts(member_filter(few), member_filter(first_ones), length, gram), shape)
     contexts = contexts.repartition("gram").sortWithinPartitions("gram", "whole", "id", "first")
@@ -303,9 +305,8 @@ def earlier_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_k
         end = (F.col("start") + length).alias("end")
         spans.append(windows.filter("window IS NULL").select("id", "key", "start", end))
         windows = windows.filter("window IS NOT NULL")
-        least = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNotNull().alias("has"), "id")).alias("least"))
-        least = least.filter("n > 1").select("window", "least")
-        spans.append(windows.join(least, "window").filter(later).select("id", "key", "start", end))
+        same = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n"), *least).filter("n > 1").drop("n")
+        spans.append(windows.join(same, "window").filter(later).select("id", "key", "start", end))
     out = spans[0]
     for part in spans[1:]:
         out = out.unionByName(part)

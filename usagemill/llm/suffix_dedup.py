@@ -146,8 +146,8 @@ def _mark_column(whole: Column, key: Column, first: Column) -> Column:
 
 
 def _contexts(mixed: RepeatFilter, chosen: RepeatFilter, length: int, gram: int):
-    """The bytes of one run of each kind whose gram has several kinds, that of the text of the least digest; if that text
-    has copies, one from each task that has some."""
+    """The bytes of one run of each kind whose gram has several kinds, that of the least mark; if its text has copies, one
+    from each task that has some."""
     names = ["gram", "whole", "key", "first", "reach", "bytes"]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
 
@@ -239,15 +239,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     span = [F.col("first").alias("start"), (F.col("last") + length).alias("end")]
     spans = [found.filter("gram IS NULL").select("key", *span)]
     found = found.filter("gram IS NOT NULL")
-    place = F.min(F.struct("key", "first")).alias("least")
-    kinds = kept_table(found.groupBy("gram", "whole").agg(F.sum("n").alias("n"), place), "kinds")
+    # Of each kind the run of the least mark stands for all.
+    mark = F.min(_mark_column(F.col("whole"), F.col("key"), F.col("first"))).alias("mark")
+    kinds = kept_table(found.groupBy("gram", "whole").agg(F.sum("n").alias("n"), mark), "kinds")
     # Adaptive execution splits a kind that very many texts share.
     spans.append(found.join(kinds.filter("n > 1").select("gram", "whole"), ["gram", "whole"]).select("key", *span))
 
     several = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     several = kept_table(several, "grams")
     few = several.filter(F.col("kinds") <= hot_kinds).select("gram")
-    chosen = kinds.join(few, "gram").select(_mark_column(F.col("whole"), F.col("least.key"), F.col("least.first")).alias("mark"))
+    chosen = kinds.join(few, "gram").select("mark")
     shape = "gram bigint, whole bigint, key binary, first bigint, reach bigint, bytes binary"
     contexts = texts.mapInArrow(_contexts(member_filter(few), member_filter(chosen), length, gram), shape)
     contexts = contexts.repartition("gram").sortWithinPartitions("gram", "whole")
