@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagemill.llm.tables import checkpointed
+from usagemill.llm.tables import kept_table
 
 # Notices by name. Whole licences and longer notices are the files of TEXTS, named by licence and, after
 # a ``~``, by what sets the text apart from others of that licence.
@@ -89,7 +89,7 @@ def _hits(docs: DataFrame, forms: DataFrame, sizes: list[int]) -> DataFrame:
     text = F.col("text").cast("string")
     lined = docs.select(_key(), canonical_lines(text).alias("lined"))
     looked = lined.select("key", F.explode(F.array_distinct(F.flatten(F.transform(_begins(F.col("lined")), hashes)))).alias("anchor"))
-    keys = checkpointed(looked.join(forms.select("anchor").distinct(), "anchor", "left_semi").select("key").distinct())
+    keys = kept_table(looked.join(forms.select("anchor").distinct(), "anchor", "left_semi").select("key").distinct(), "licensed")
     # Copies of a text are one text here; tasks send one of them.
     some = docs.select(_key(), text.alias("text")).join(keys, "key").groupBy("key").agg(F.first("text").alias("text"))
     lines = some.select("key", canonical_lines(F.col("text")).alias("lined"))
@@ -118,12 +118,13 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     canonical form the smallest name stands. Texts and known texts may be of any length, and ``known`` a table of any size.
     Rows that repeat have the same result; other columns do not matter; an empty table gives no row.
     """
-    forms = checkpointed(known_forms(known))
+    # As written tables their sizes are known: Spark broadcasts small ones at once, and shuffles no text for them.
+    forms = kept_table(known_forms(known), "licenses")
     sizes = sorted(row["words"] for row in forms.select("words").distinct().collect())  # at most ANCHOR numbers
     whole = F.sha2(canonical(F.col("text").cast("string")).cast("binary"), 256).alias("canonical_sha256")
     if not sizes:
         return docs.select("doc_id", F.lit(None).cast("string").alias("license"), F.array().cast("array<string>").alias("licenses"), whole)
     # Adaptive execution splits a text that very many rows share.
-    met = docs.select("doc_id", _key(), whole).join(checkpointed(_hits(docs, forms, sizes)), "key", "left")
+    met = docs.select("doc_id", _key(), whole).join(kept_table(_hits(docs, forms, sizes), "hits"), "key", "left")
     names = F.coalesce(F.sort_array(F.array_distinct("found.name")), F.array().cast("array<string>")).alias("licenses")
     return met.select("doc_id", F.get("found.name", F.lit(0)).alias("license"), names, "canonical_sha256")
