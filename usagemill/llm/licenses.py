@@ -35,6 +35,8 @@ COPYRIGHT = (
     r"|\(c\)(?![ \t]+(you|the|a|an|any|all|if|in|to|under|it|is|this|that|for|as|by|or|no|such|each|affirmer|representations)\b)"
     r"|©|all rights reserved)[^\n]*"
 )
+# Rows of keys, hashes and hits, of some 100 bytes each, up to which such a table is broadcast.
+BROADCAST_ROWS = 1 << 17
 ANCHOR = 12  # a run of lines is looked at if it begins with the first so many words of a known text
 
 
@@ -79,22 +81,30 @@ def known_forms(known: DataFrame) -> DataFrame:
     return sized.select("license", digest, F.length("form").alias("size"), "words", F.xxhash64(F.expr("substring_index(form, ' ', words)")).alias("anchor"))
 
 
-def _hits(docs: DataFrame, forms: DataFrame, sizes: list[int]) -> DataFrame:
+def _small(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few rows of bounded size; else Spark shuffles or splits as it likes."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _hashes(words: Column, sizes: list[int]) -> Column:
+    return F.array(*[F.xxhash64(F.substring_index(words, " ", size)) for size in sizes])
+
+
+def _hits(docs: DataFrame, looked: DataFrame, forms: DataFrame, sizes: list[int]) -> DataFrame:
     """``key, found``: of each different text with hits the lengths (less than 0) and names of the known texts in it.
 
     Hashes of the beginnings of lines meet those of the known texts by a join, so that only texts with a line that begins
     like a known one go on; the digest of each run of lines from there meets the digests of the known texts.
     """
-    hashes = lambda words: F.array(*[F.xxhash64(F.substring_index(words, " ", size)) for size in sizes])
     text = F.col("text").cast("string")
-    lined = docs.select(_key(), canonical_lines(text).alias("lined"))
-    looked = lined.select("key", F.explode(F.array_distinct(F.flatten(F.transform(_begins(F.col("lined")), hashes)))).alias("anchor"))
-    keys = kept_table(looked.join(forms.select("anchor").distinct(), "anchor", "left_semi").select("key").distinct(), "licensed")
+    each = looked.select("key", F.explode("anchors").alias("anchor"))
+    begun = each.join(_small(kept_table(forms.select("anchor").distinct(), "anchors")), "anchor", "left_semi")
+    keys = _small(kept_table(begun.select("key").distinct(), "licensed"))
     # Copies of a text are one text here; tasks send one of them.
     some = docs.select(_key(), text.alias("text")).join(keys, "key").groupBy("key").agg(F.first("text").alias("text"))
     lines = some.select("key", canonical_lines(F.col("text")).alias("lined"))
     starts = lines.select("key", F.split("lined", "\n").alias("lines"), F.posexplode(_begins(F.col("lined"))).alias("line", "words"))
-    each = starts.select("key", "lines", "line", F.explode(F.array_distinct(hashes(F.col("words")))).alias("anchor"))
+    each = starts.select("key", "lines", "line", F.explode(F.array_distinct(_hashes(F.col("words"), sizes))).alias("anchor"))
     met = each.join(forms, "anchor")
     # A run of ``size`` letters has at most as many lines.
     rest = met.withColumn("run", F.concat(F.array_join(F.slice("lines", F.col("line") + 1, F.col("size") + 1), "\n"), F.lit("\n")))
@@ -124,7 +134,13 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     whole = F.sha2(canonical(F.col("text").cast("string")).cast("binary"), 256).alias("canonical_sha256")
     if not sizes:
         return docs.select("doc_id", F.lit(None).cast("string").alias("license"), F.array().cast("array<string>").alias("licenses"), whole)
+    # Each text is brought into canonical form once; what is kept of it are hashes.
+    lined = docs.select("doc_id", _key(), canonical_lines(F.col("text").cast("string")).alias("lined"))
+    anchors = F.array_distinct(F.flatten(F.transform(_begins(F.col("lined")), lambda words: _hashes(words, sizes))))
+    digest = F.sha2(F.translate("lined", "\n", " ").cast("binary"), 256).alias("canonical_sha256")
+    looked = kept_table(lined.select("doc_id", "key", digest, anchors.alias("anchors")), "begins")
+    hits = _small(kept_table(_hits(docs, looked.select("key", "anchors"), forms, sizes), "hits"))
     # Adaptive execution splits a text that very many rows share.
-    met = docs.select("doc_id", _key(), whole).join(kept_table(_hits(docs, forms, sizes), "hits"), "key", "left")
+    met = looked.select("doc_id", "key", "canonical_sha256").join(hits, "key", "left")
     names = F.coalesce(F.sort_array(F.array_distinct("found.name")), F.array().cast("array<string>")).alias("licenses")
     return met.select("doc_id", F.get("found.name", F.lit(0)).alias("license"), names, "canonical_sha256")
