@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from usagemill.operators import file_states, stats
 from usagemill.operators.samples import Samples
-from usagemill.plans import incremental
+from usagemill.plans import incremental, queries
 from usagemill.plans.incremental import ReportShape, choose_files, published_table, stage_files, take_folder, take_notified
 from usagemill.plans.report_job import ReportRun, run_report_job, table_samples
 from usagemill.sinks import file_sizes, tables
@@ -163,6 +163,45 @@ def test_compaction(spark, tmp_path):
     assert take(spark, tmp_path) == []
 
 
+def test_runs_with_large_files_are_compacted_as_a_whole(spark, tmp_path):
+    for i, n in enumerate((4000, 4, 4)):
+        put(tmp_path / "in", f"{i}.csv", range(5000 * i, 5000 * i + n))
+    runs = take(spark, tmp_path, files_per_run=1)
+    table, schema = table_of(spark, tmp_path), runs[0].schema
+    shown = lambda: sorted(map(str, table.read(spark, schema, with_source=True).drop("run").collect()))
+    before, target = shown(), 16 << 10
+    live = lambda: sorted(row["run"] for row in table.live_runs(spark).collect())
+    listed = lambda: sorted(row["run"] for row in file_sizes.live_files(spark, table).collect())
+    small = file_sizes.compact(spark, table, schema, target)
+    assert live() == sorted([runs[0].run, small]) and set(listed()) == set(live())
+    assert file_sizes.compact(spark, table, schema, target) is None
+    run = file_sizes.compact(spark, table, schema, target, whole=True)
+    assert shown() == before and live() == [run] and listed() == [run] * len(listed())
+    assert file_sizes.compact(spark, table, schema, target, whole=True) is None
+
+
+@pytest.mark.parametrize("days, per_day", [(0, 0), (1, 1), (2, 120_000)])
+def test_days_are_compacted_however_large_their_files_are(spark, tmp_path, monkeypatch, days, per_day):
+    """No report at all, one run that has nothing to be made one with, and runs whose files are not small."""
+    made, compact = [], file_sizes.compact
+    monkeypatch.setattr(queries.file_sizes, "compact", lambda *args, **options: made.append(compact(*args, **options)) or made[-1])
+    events = spark.range(1, 1 + days * per_day, 1, 1).select(
+        F.col("id").alias("event_id"),
+        F.expr(f"timestamp_ntz '2024-01-01' + make_dt_interval(cast((id - 1) div {per_day or 1} as int))").alias("ts"),
+        F.pmod(F.xxhash64("id"), F.lit(1000)).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.5).alias("value"), F.lit("{}").alias("props"),
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    found = {row["ProcessingDate"]: (row["rows"], row["few_files"]) for row in queries.compacted_days(spark, str(tmp_path)).collect()}
+    wanted = {}
+    for i in range(1, 1 + days * per_day):
+        if i % 17 and i % 29:
+            date = "2024-01-15" if i % 2 == 0 else f"2024-01-{(i - 1) // per_day + 1:02d}"
+            wanted[date] = (wanted.get(date, (0,))[0] + 1, True)
+    assert found == wanted
+    # Large runs are not small ones, and yet made one.
+    assert [bool(run) for run in made] == [False, days > 1]
+
+
 def test_hot_date_is_split(spark, tmp_path):
     rows = spark.range(200_000).select(F.col("id").cast("string").alias("SourceFile"), F.rand(1).alias("x"), F.lit("t").alias("ReportType"),
                                        F.when(F.col("id") % 100 == 0, F.concat(F.lit("d"), F.col("id") % 7)).otherwise("hot").alias("ProcessingDate"))
