@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 from itertools import combinations
 from types import SimpleNamespace
@@ -190,6 +191,15 @@ def test_training_reads_sentences_from_all_over_the_text():
     assert toxicity._drawn("a. b") == "a. b"
 
 
+@pytest.mark.parametrize("more", [0, 1, 7, toxicity.TRAIN_SENTENCES + 1])
+@pytest.mark.parametrize("end", ["", ".", ".\n ", ". rest"])
+def test_training_draws_its_full_number_of_sentences(more, end):
+    text = ". ".join(f"w{i}" for i in range(toxicity.TRAIN_SENTENCES + more)) + end
+    drawn = [line for line in re.split(r"[.\n]", toxicity._drawn(text)) if line.strip()]
+    whole = toxicity.TRAIN_SENTENCES + more + end.count("rest")
+    assert len(drawn) == min(whole, toxicity.TRAIN_SENTENCES) and drawn[0] == "w0"
+
+
 def test_toxicity_of_lone_letters_and_many_words():
     assert "idiot" in toxicity.words_of("you i  d\ti\no \r\n t no")[-1]
     words = [f"w{i:05d}" for i in range(1500)]

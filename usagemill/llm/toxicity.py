@@ -74,11 +74,13 @@ def words_of(text: str) -> list[str]:
 def _drawn(text: str) -> str:
     """The sentences of a text, or TRAIN_SENTENCES of them at even distances."""
     ends = [found.end() for found in _SENTENCE.finditer(text)]
-    if len(ends) < TRAIN_SENTENCES:
+    starts = [0, *ends]
+    if text[starts[-1] :].strip():
+        ends.append(len(text))
+    if len(ends) <= TRAIN_SENTENCES:
         return text
-    starts, ends = [0, *ends], [*ends, len(text)]
-    stride = -(-len(ends) // TRAIN_SENTENCES)
-    return "\n".join(text[a:b] for a, b in zip(starts[::stride], ends[::stride]))
+    chosen = [i * len(ends) // TRAIN_SENTENCES for i in range(TRAIN_SENTENCES)]
+    return "\n".join(text[starts[i] : ends[i]] for i in chosen)
 
 
 def _train_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
